@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_lengths, tokens, wavelet
+from . import block_search, bpe, exact_dedup, packing, token_lengths, tokens, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.context_table(token_lengths.length_histogram(docs, tokens.tokenizer_path(tokens.WORD_BPE)))
 
 
+def op5_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,9 +42,22 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_bin_completion_packing, op3_token_length_histogram, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards)}
+def op10_warc_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op2_bin_completion_packing, op3_token_length_histogram, op5_block_matrix_search, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
 
 ORACLES = {
+    "op10_warc_chunk_records": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+            FROM pages),
+        w AS (SELECT payload_digest, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN w.winner IS NULL OR w.winner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN w.winner <> p.page_id THEN w.winner END AS refers_to
+        FROM p LEFT JOIN w USING (payload_digest)""",
     "op7_perfect_hash_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
