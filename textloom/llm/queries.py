@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, bpe, exact_dedup, packing, token_lengths, tokens, warc, wavelet
+from . import block_search, bpe, exact_dedup, packing, quality, sharding, storage, token_lengths, tokens, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in four parts, each appended on its own; the store is then compacted."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, storage.new_path(spark, "shards"))
+    for part in range(4):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part))
+    store.compact()
+    store.vacuum()
+    rows = store.read()
+    return rows.select("doc_id", "shard", "tier", "version", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokens.tokenizer_path(tokens.WORD_BPE), end_id=0, capacity=2048)
     return packing.pack(pieces, capacity=2048)
@@ -26,6 +38,12 @@ def op5_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.grades(_table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.score(docs, model).withColumn("selected", F.col("tail") >= 0.5)
+
+
 def op7_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +64,7 @@ def op10_warc_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bin_completion_packing, op3_token_length_histogram, op5_block_matrix_search, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
 
 ORACLES = {
     "op10_warc_chunk_records": """
