@@ -181,11 +181,12 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every document with expected_grade and tail (P of the highest grade).
 
-    A null text is scored as an empty one.
+    A null text is scored as an empty one. If the text is among the columns
+    kept it passes through the same Arrow batch, not a second copy.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
-    names = [f"c{i}" for i in range(len(keep))]
+    names = [f"c{i}" if c != text else "_text" for i, c in enumerate(keep)]
 
     def rate(batches):
         for batch in batches:
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[
 
     kept = [F.col(c).alias(a) for c, a in zip(keep, names, strict=True)]
     out = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, schema, strict=True))
-    rated = docs.select(*kept, F.col(text).alias("_text")).mapInArrow(rate, f"{out}, expected_grade double, tail double")
+    rated = docs.select(*kept, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(rate, f"{out}, expected_grade double, tail double")
     return rated.select(*(F.col(a).alias(c) for a, c in zip(names, keep, strict=True)), "expected_grade", "tail")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, bpe, exact_dedup, packing, quality, sharding, storage, token_lengths, tokens, warc, wavelet
+from . import block_search, bpe, exact_dedup, near_dedup, packing, quality, sharding, storage, token_lengths, tokens, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.context_table(token_lengths.length_histogram(docs, tokens.tokenizer_path(tokens.WORD_BPE)))
 
 
+def op4_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -64,7 +68,7 @@ def op10_warc_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op4_weighted_minhash_dedup, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
 
 ORACLES = {
     "op10_warc_chunk_records": """
