@@ -121,10 +121,11 @@ def record_text(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.concat(head, F.lit("\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None, chunk_chars: int = 1 << 16, least: int = 1000, per_file: int = 50_000, compression: str = "none") -> str:
+def write_archives(pages: DataFrame, path: str | None = None, chunk_chars: int = 1 << 16, least: int = 1000, per_file: int = 50_000, compression: str = "gzip") -> str:
     """Write a record per row of `page_id, url, html`; returns the folder of archives.
 
-    `compression` may be gzip; such archives are read as streams, not split.
+    Archives are compressed unless `compression` is none; compressed ones are read as
+    streams, others may also be split between records.
     """
     path = path or new_path(pages.sparkSession, "warc")
     text = record_text(chunked(with_types(payloads(pages), least), chunk_chars))
