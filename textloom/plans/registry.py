@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search_queries, text_queries
+from . import ops_queries, search_queries, text_queries
 
-_MODULES = (text_queries, search_queries)
+_MODULES = (text_queries, search_queries, ops_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
