@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -53,8 +55,12 @@ def context_table(histogram: DataFrame, block: int = 1024) -> DataFrame:
     blocks = blocks.select(*grp, "_block", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(c + "_after") for c in ("_d", "_t")))
     totals = h.groupBy(*grp).agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
     down = Window.partitionBy(*grp, "_block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    out = h.join(blocks, [*grp, "_block"]).withColumn("docs_ge", F.col("_d_after") + F.sum("n_docs").over(down)).withColumn("tokens_ge", F.col("_t_after") + F.sum("tokens").over(down))
-    out = out.join(totals, grp) if grp else out.crossJoin(F.broadcast(totals))
+    same = functools.reduce(lambda a, b: a & b, (F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*grp, "_block"]))
+    out = h.alias("h").join(blocks.alias("b"), same).select("h.*", "_d_after", "_t_after").withColumn("docs_ge", F.col("_d_after") + F.sum("n_docs").over(down)).withColumn("tokens_ge", F.col("_t_after") + F.sum("tokens").over(down))
+    if grp:
+        out = out.alias("o").join(totals.alias("t"), F.col("o.grp").eqNullSafe(F.col("t.grp"))).select("o.*", "all_docs", "all_tokens")
+    else:
+        out = out.join(F.broadcast(totals))  # one row
     kept = F.col("all_tokens") - F.col("tokens_ge") + F.col("n_tokens") * F.col("docs_ge")
     return out.select(
         *grp,
