@@ -246,11 +246,13 @@ def test_op4_finds_all_links(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_of_a_long_chain(spark, few):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     links = spark.createDataFrame([(bytearray(name(i)), bytearray(name(i + 1))) for i in range(40)] + [(bytearray(name(100)), bytearray(name(101)))], "a binary, b binary")
-    roots = {bytes(r["node"]): bytes(r["root"]) for r in near_dedup.components(links).collect()}
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in near_dedup.components(links, few=few).collect()}
     assert len({roots[name(i)] for i in range(41)}) == 1 and roots[name(100)] == roots[name(101)] != roots[name(0)]
+    assert roots[name(0)] == min(name(i) for i in range(41))
 
 
 # --- search ---------------------------------------------------------------------------

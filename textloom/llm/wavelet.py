@@ -180,7 +180,7 @@ def open_shard(row) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, np.frombuffer(zlib.decompress(row["ends"]), "<i8"), WaveletMatrix(row["n_tokens"], planes, list(row["zeros"]))
 
 
-def shard_starts(spark: SparkSession, path: str, group: int = 4096) -> DataFrame:
+def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     """Ids before each shard: (part, seq, first). Sums run per part, then over parts."""
     rows = spark.read.schema(SHARD).parquet(path).select("part", "seq", "n_tokens")
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("_t"))
