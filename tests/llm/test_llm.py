@@ -246,6 +246,59 @@ def test_op4_finds_all_links(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_force_classes(texts, threshold=0.8):
+    """The least index of the texts that plain links join with each."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+def near_copies(seed, n, edits, length):
+    """Texts that copy one text with some words each replaced at even distances, so few of them are links."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    texts = []
+    for i in range(n):
+        c = list(base)
+        for k in r.sample(range(2, length - 2, 5), r.choice(edits)):
+            c[k] = f"e{k}"
+        texts.append(" ".join(c))
+    return texts
+
+
+def test_op4_finds_all_links_of_a_large_group(spark):
+    texts = near_copies(11, 500, (3, 4), 200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: c for i, c, *_ in near_dedup.near_duplicates(docs).collect()}
+    truth = brute_force_classes(texts)
+    assert len(set(truth)) > 10
+    assert got == dict(enumerate(truth))
+
+
+def test_op4_blocks_equal_pairs(spark):
+    """Blocks of any size join what all pairs join."""
+    texts = near_copies(5, 120, (2, 3, 4, 5), 120)
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string")
+    features = near_dedup._features(docs, 5).groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"))
+    weights = spark.sparkContext.broadcast(near_dedup.Weights(len(texts), np.empty(0, np.uint64), np.empty(0)))
+    apart = features.select(F.lit(0).alias("band"), F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("root"))
+    pairs = apart.select(F.col("node").alias("a")).crossJoin(apart.select(F.col("node").alias("b"))).where("a < b")
+    classes = []
+    for links in (near_dedup._verified(pairs, features, weights, 0.8), near_dedup._compared(apart, features, weights, 0.8, block=20), near_dedup._compared(apart, features, weights, 0.8, block_bytes=20_000)):
+        classes.append({bytes(r["node"]): bytes(r["root"]) for r in near_dedup.components(links).collect()})
+    assert len(set(classes[0].values())) > 1 and classes[0] == classes[1] == classes[2]
+
+
 @pytest.mark.parametrize("few", [0, 500_000])
 def test_components_of_a_long_chain(spark, few):
     name = lambda i: hashlib.md5(str(i).encode()).digest()

@@ -11,8 +11,6 @@ however many, are one node throughout.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -342,19 +340,74 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 500_000)
         edges = staged(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
 
 
-def _narrow_pairs(nodes: DataFrame, bands: int, combination: int, turn: int) -> DataFrame:
-    """(a, b): each node with the centre of every bucket of agreeing bands, if they are in different components.
+def _block_links(near: list[np.ndarray], weights: np.ndarray, ids: np.ndarray, cuts: np.ndarray, roots: np.ndarray, n_left: int, threshold: float):
+    """(a, b, similarity) of links that join components: of each pair of rows a < n_left, b > a, b >= n_left (any b > a if all rows are left), or none if earlier links join them.
 
-    Buckets take two bands (all pairs of bands) or three (as many triples);
-    the centre is the node of least hash, another one in each bucket and turn.
+    `ids` number the shingles of all rows, `cuts` tell where each row begins,
+    `near` has the rows' numbers of shingles and sums of weights.
+    """
+    n, (sizes, sums) = len(roots), near
+    first = 0 if n_left == n else n_left
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0)
+    for a in range(n_left):
+        low = max(first, a + 1)
+        other = np.arange(low, n)
+        sized = np.minimum(sizes[low:], sizes[a]) >= threshold * np.maximum(sizes[low:], sizes[a])
+        weighed = np.minimum(sums[low:], sums[a]) >= threshold * (1 - 1e-9) * np.maximum(sums[low:], sums[a])
+        other = other[(sized | weighed) & (roots[low:] != roots[a])]
+        if not len(other):
+            continue
+        own = slice(cuts[a], cuts[a + 1])
+        mark[ids[own]] = weights[own]
+        long = cuts[other + 1] - cuts[other]
+        begins = np.cumsum(long) - long
+        at = np.repeat(cuts[other] - begins, long) + np.arange(long.sum())
+        met = mark[ids[at]]
+        common = np.add.reduceat((met > 0).astype(np.int64), begins)
+        least = np.add.reduceat(np.minimum(met, weights[at]), begins)
+        mark[ids[own]] = 0
+        plain = common / (sizes[a] + sizes[other] - common)
+        best = np.where(plain >= threshold, plain, least / (sums[a] + sums[other] - least))
+        for i in np.flatnonzero(best >= threshold).tolist():
+            b = int(other[i])
+            if roots[b] != roots[a]:
+                roots[roots == roots[b]] = roots[a]
+                yield a, b, float(best[i])
+
+
+def _compared(apart: DataFrame, features: DataFrame, weights, threshold: float, block: int = 512, block_bytes: int = 1 << 23) -> DataFrame:
+    """(a, b, similarity): links that join whatever rows (band, key, node, root) of one bucket and different roots are similar.
+
+    No pair is left out but those that other links join. A bucket is cut into
+    blocks of about `block` nodes (`block_bytes` of shingles), salted by the
+    node; each pair of blocks is compared in one task. A bucket of n nodes
+    takes n * n / 2 comparisons at most and copies a node n / block times.
     """
-    chosen = list(itertools.combinations(range(bands), combination))
-    chosen = chosen[:: max(1, len(chosen) // (bands * (bands - 1) // 2))]
-    keys = F.array(*(F.xxhash64(F.lit(i), *(F.get("keys", F.lit(b)) for b in c)) for i, c in enumerate(chosen)))
-    entries = staged(nodes.select("node", "root", F.explode(keys).alias("narrow")), "narrow")
-    centres = entries.groupBy("narrow").agg(F.min(F.struct(F.xxhash64("node", "narrow", F.lit(turn)).alias("h"), "node", "root")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    both = entries.join(centres, "narrow").where(F.col("root") != F.col("c.root"))
-    return both.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"))
+
+    def compare(key, table):
+        table = table.combine_chunks()
+        i, j = key[2].as_py(), key[3].as_py()
+        blocks = table["block"].to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        table, n_left = table.take(pa.array(order)), int((blocks == i).sum())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
+        times = [np.frombuffer(c, "<u4") if len(c := x.as_buffer()) else np.ones(len(h), "<u4") for x, h in zip(table["counts"], sets, strict=True)]
+        sizes = np.array([len(h) for h in sets], np.int64)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        w = np.concatenate(times) * weights.value.of(names).astype(np.float64)[ids]
+        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        links = list(_block_links([sizes, np.add.reduceat(w, cuts[:-1])], w, ids, cuts, roots, n_left, threshold)) if i == j or n_left < len(sets) else []
+        nodes = table["node"].to_pylist()
+        rows = [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b]), s) for a, b, s in links]
+        return pa.table([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], ["a", "b", "similarity"])
+
+    sized = apart.join(features.select("node", F.octet_length("hashes").alias("bytes")), "node")
+    blocks = sized.groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
+    dealt = apart.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("band", "key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    both = dealt.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(features, "node")
+    return both.groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, small: int = 24) -> DataFrame:
@@ -365,15 +418,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshol
     classed by their text, and a class of such rows only has a null class_id.
     Of rows that repeat id and text all have `kept` alike.
 
-    Comparisons stay linear in the number of documents, since nodes already
-    joined need none: all nodes of a bucket are compared with one centre; then,
-    where a bucket still holds several components, all pairs of nodes that are
-    apart if it has at most `small` nodes, and else the nodes with the centres
-    of narrower buckets, of all pairs and of many triples of bands that agree.
-    Two documents of similarity s agree in a pair of bands with probability
-    s**(2 * rows), so a node meets those nearest to it. A link within a large
-    bucket is missed if no centre drawn joins the components of its nodes;
-    README.md has measured recall.
+    All nodes of a bucket are compared with one centre first. Where the bucket
+    then still holds several components, all pairs of nodes that are apart are
+    compared: one by one if it has at most `small` nodes, else by pairs of
+    blocks. So every link between two nodes of a bucket is found or joined by
+    other links; what sampling never puts into one bucket is missed. The last
+    step grows with the square of a bucket whose nodes are not alike.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     context = docs.sparkSession.sparkContext
@@ -396,19 +446,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshol
     placed = members.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
     apart = staged(placed.join(split, ["band", "key"]), "unsettled")
-    large = staged(apart.where(F.col("n") > small).select("node").distinct().join(nodes.select("node", "keys"), "node"), "large")
-    for turn, combination in enumerate((1, 2, 3)):
-        if combination == 1:
-            near = apart.where(F.col("n") <= small)
-            other = near.select("band", "key", F.col("node").alias("head"), F.col("root").alias("head_root"))
-            more = near.join(other, ["band", "key"]).where("node < head AND root <> head_root").select(F.col("node").alias("a"), F.col("head").alias("b"))
-        else:
-            now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            more = _narrow_pairs(now, bands, combination, turn)
-        found = staged(_verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), features, weights, threshold), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+    near = apart.where(F.col("n") <= small)
+    other = near.select("band", "key", F.col("node").alias("head"), F.col("root").alias("head_root"))
+    more = near.join(other, ["band", "key"]).where("node < head AND root <> head_root").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    found = _verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), features, weights, threshold)
+    large = _compared(apart.where(F.col("n") > small).select("band", "key", "node", "root"), features, weights, threshold)
+    found = staged(found.unionByName(large), "links")
+    if not found.isEmpty():
+        roots = components(links.unionByName(found))
 
     placed = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("best"))
