@@ -1,10 +1,11 @@
 """Near-duplicate documents by consistent weighted sampling (operator 4).
 
 Documents are weighted sets of five-word shingles (term frequency times a
-saturating inverse document frequency). Improved consistent weighted sampling
+saturating inverse document frequency) and as plain sets. Improved consistent weighted sampling
 draws samples that two sets share with the probability of their weighted
-Jaccard similarity; bands of samples make buckets, and pairs from a bucket are
-verified on their whole shingle sets. Verified links join documents to
+Jaccard similarity; bands of samples, drawn with the weights and with unit
+weights, make buckets, and pairs from a bucket are verified on their whole
+shingle sets by both similarities. Verified links join documents to
 classes. A node is a distinct text (its normalised word sequence), so copies,
 however many, are one node throughout.
 """
@@ -174,13 +175,14 @@ _GAMMA = _gamma_quantiles()
 _R, _INVERSE_R, _LN_C = _GAMMA.astype(np.float32), (1 / _GAMMA).astype(np.float32), np.log(_GAMMA).astype(np.float32)
 
 
-def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n_samples: int, chunk: int = 1 << 17) -> np.ndarray:
+def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n_samples: int, chunk: int = 1 << 17, unit: np.ndarray | None = None) -> np.ndarray:
     """Improved consistent weighted samples: a (texts, n_samples) array of 32-bit sample names.
 
     For each sample a shingle draws r, c from Gamma(2,1) and beta from [0,1),
     all from its hash; t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1).
     The shingle of least a is the sample, named by its hash and t. Texts without
-    shingles have name 0.
+    shingles have name 0. `unit`, an array of zeros like the result, is filled
+    with the samples that the same draws give when all weights are 1.
     """
     n = len(starts) - 1
     out = np.zeros((n, n_samples), np.uint32)
@@ -199,6 +201,8 @@ def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n_s
             a, b = starts[rows[0]], starts[rows[-1] + 1]
             h, lw, cuts = hashes[a:b], log_weights[a:b], starts[rows] - a
             name = (h >> np.uint64(13)).astype(np.uint32)
+            odd = np.flatnonzero(lw)  # other weights than 1
+            odd_name = name[odd].astype(np.uint64)
             for k in range(n_samples):
                 z = (h ^ np.uint64((k + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
                 z ^= z >> np.uint64(29)
@@ -212,6 +216,12 @@ def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n_s
                 order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000))
                 key = order.astype(np.uint64) << np.uint64(32) | (name ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)))
                 out[rows, k] = np.minimum.reduceat(key, cuts).astype(np.uint32)
+                if unit is not None and len(odd):  # t is 0 where the weight is 1
+                    bits = (_LN_C[((z[odd] >> np.uint64(32)) & mask).astype(np.int32)] - _R[r_at[odd]] * (np.float32(1) - beta[odd])).view(np.uint32)
+                    key[odd] = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64) << np.uint64(32) | odd_name
+                    unit[rows, k] = np.minimum.reduceat(key, cuts).astype(np.uint32)
+                elif unit is not None:
+                    unit[rows, k] = out[rows, k]
     return out
 
 
@@ -229,7 +239,12 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weights, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (digest of the word sequence), keys (one per band; none for a text without words)."""
+    """doc_id, node (digest of the word sequence), keys (none for a text without words).
+
+    Keys of all bands by weighted samples, then by samples of unit weight: null
+    where a band has the same, and left out if all have. Both kinds share the
+    buckets of a band.
+    """
 
     def sign(batches):
         for batch in batches:
@@ -239,9 +254,13 @@ def signatures(docs: DataFrame, weights, size: int, bands: int, rows: int) -> Da
                 nodes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 hashes, counts, at = shingles(words, starts, size)
                 log_weights = np.log(counts * weights.value.of(hashes)).astype(np.float32)
-                keys = band_keys(samples(hashes, log_weights, at, bands * rows), bands, rows)
-                n = np.where(np.diff(at) > 0, bands, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(keys[n > 0].ravel()))
+                plain = np.zeros((len(nodes), bands * rows), np.uint32)
+                keys = band_keys(samples(hashes, log_weights, at, bands * rows, unit=plain), bands, rows)
+                both = np.concatenate((keys, band_keys(plain, bands, rows)), axis=1)
+                same = np.concatenate((np.zeros(keys.shape, bool), both[:, bands:] == keys), axis=1)
+                n = np.where(np.diff(at) > 0, np.where(same[:, bands:].all(axis=1), bands, 2 * bands), 0)
+                given = np.arange(2 * bands) < n[:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(both[given], mask=same[given]))
                 yield pa.record_batch([part["doc_id"], pa.array(nodes, pa.binary()), lists], ["doc_id", "node", "keys"])
 
     return docs.mapInArrow(sign, "doc_id long, node binary, keys array<long>")
@@ -433,7 +452,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshol
 
     signed = staged(signatures(docs, weights, size, bands, rows), "signatures")
     nodes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes")
-    entries = staged(nodes.select("node", "doc_id", F.posexplode("keys").alias("band", "key")), "bands")
+    entries = staged(nodes.select("node", "doc_id", F.posexplode("keys").alias("band", "key")).where("key IS NOT NULL").withColumn("band", F.col("band") % bands), "bands")
     buckets = entries.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = staged(entries.join(buckets, ["band", "key"]), "buckets")
 
