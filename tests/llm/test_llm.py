@@ -285,6 +285,15 @@ def test_op4_finds_all_links_of_a_large_group(spark):
     assert got == dict(enumerate(truth))
 
 
+def test_op4_links_rows_of_null_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:50], f"e{i}", *base[51:]]) for i in range(6)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, "another text of some more words than five")], "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in got) == [(0, 0, 6)] * 6 + [(1, 1, 1)]
+    assert sum(r["kept"] for r in got if r["doc_id"] is None) == 1
+
+
 def test_op4_blocks_equal_pairs(spark):
     """Blocks of any size join what all pairs join."""
     texts = near_copies(5, 120, (2, 3, 4, 5), 120)

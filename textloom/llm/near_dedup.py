@@ -457,7 +457,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshol
     members = staged(entries.join(buckets, ["band", "key"]), "buckets")
 
     wanted = members.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    features = staged(_features(docs.join(wanted, "doc_id", "left_semi").select("_text"), size).groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts")), "features", "lz4")
+    nameless = _features(docs.where("doc_id IS NULL").select("_text"), size).join(members.select("node").distinct(), "node", "left_semi")
+    extracted = _features(docs.join(wanted, "doc_id", "left_semi").select("_text"), size).unionByName(nameless)
+    features = staged(extracted.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts")), "features", "lz4")
 
     pairs = staged(members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")  # a < b
     links = staged(_verified(pairs, features, weights, threshold), "links")
