@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sift
 from .storage import staged
 
 INDEX = "block int, levels array<binary>, digests binary, winners binary, sizes binary"
@@ -178,14 +179,23 @@ def exact_duplicates(docs: DataFrame, is_history=None, text: str = "text", per_b
 
 
 def without_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their columns as they were.
+    """The rows of `docs` that stay, with their columns as they were, whatever their names.
 
-    Repeated rows of the same id and text leave one.
+    Null and empty texts are equal. Repeated rows of the same id and text leave
+    one, the first by a hash of all columns. Texts of rows that go,
+    or that repeat an id and a text, travel; others don't.
     """
-    stays = exact_duplicates(docs, text=text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    found = exact_duplicates(docs, text=text)
+    one = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    given = dict(zip(docs.columns, names, strict=True))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), letters, letters.lower()), 256)
-    rows = docs.withColumn("_sha256", sha)
-    rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["_id"]) & (rows["_sha256"] == stays["_sha"]), "left_semi")
-    one = Window.partitionBy("doc_id", "_sha256").orderBy(F.lit(1))
-    return rows.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_sha256", "_copy")
+    sha = F.sha2(F.translate(F.coalesce(F.col(given[text]), F.lit("")), letters, letters.lower()), 256)
+    touched = staged(one.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept", sift.row_key("doc_id", "text_sha256").alias("row_key")), "copies")
+    rows = docs.toDF(*names).withColumn("_doc", F.col(given["doc_id"]).cast("long")).withColumn("_sha256", sha)
+    rows = sift.sifted(rows.withColumn("row_key", sift.row_key("_doc", "_sha256")), touched, "row_key")
+    same = (F.col("_sha256") == F.col("_sha")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    judged = rows.where("_may").join(touched.drop("row_key"), same, "left").where("kept IS NULL OR kept")
+    order = Window.partitionBy("_doc", "_sha256").orderBy(F.xxhash64(*names))
+    judged = judged.withColumn("_copy", F.row_number().over(order)).where("_copy = 1")
+    return rows.where("NOT _may").select(*names).unionByName(judged.select(*names)).toDF(*docs.columns)

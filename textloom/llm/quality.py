@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -26,8 +25,8 @@ SHAPES = ("letters", "capital first", "all capitals", "digits", "marks", "mixed"
 EDGES = np.array([1e-9, 0.01, 0.03, 0.1, 0.25, 0.5])
 
 
-def _describe(piece: str) -> tuple[int, int]:
-    """The hash of a piece's word and its shape."""
+def _describe(piece: str) -> int:
+    """The hash of a piece's word, 60 bits of it, and in the lowest three bits its shape."""
     word = piece.strip(".,;:!?\"'()[]")
     if piece.isalpha() or word.isalpha():
         if piece.endswith("!"):
@@ -36,15 +35,10 @@ def _describe(piece: str) -> tuple[int, int]:
             shape = 2 if len(word) > 1 and word.isupper() else 1 if word[:1].isupper() else 0
     else:
         shape = 3 if word.isdigit() else 4 if not any(map(str.isalnum, piece)) else 5
-    return xxhash.xxh3_64_intdigest(word.lower().encode()) >> 1, shape
+    return xxhash.xxh3_64_intdigest(word.lower().encode()) >> 4 << 3 | shape
 
 
-class _Pieces(tokens.Memo):
-    def __init__(self):
-        super().__init__(lambda pieces: list(map(_describe, pieces)))
-
-
-_pieces = _Pieces()
+_pieces = tokens.Memo(lambda pieces: list(map(_describe, pieces)))
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +55,8 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(offsets) - 1
     coded = lists.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    known = _pieces.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-    word = np.fromiter((k[0] for k in known), np.int64, len(known))
-    shape = np.fromiter((k[1] for k in known), np.int8, len(known))
+    known = np.array(_pieces.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64)
+    word, shape = known >> 3, (known & 7).astype(np.int8)
     index = coded.indices.to_numpy(zero_copy_only=False)
     n = np.diff(offsets)
     doc = np.repeat(np.arange(n_docs), n)
@@ -147,7 +140,10 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
 
     `ratings` has doc_id and grade; null or out-of-range grades and ids that
     `docs` lacks are left out. The bound keeps the sample within one task and
-    the join's small side within a broadcast. Without any rating the model is
+    the join's small side within a broadcast; it also holds where rows of
+    `docs` or `ratings` repeat an id, each of which is a row of the sample. Null
+    and empty texts count as texts without words. Only doc_id and the text are
+    read, so other columns may have any names. Without any rating the model is
     empty and gives every grade the same chance.
     """
     grade = F.col("grade").cast("int")
@@ -159,19 +155,23 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
         for batch in batches:
             for part in tokens.slices(batch, "_text"):
                 features, starts = text_features(part["_text"])
-                yield pa.record_batch([part["doc_id"], part["grade"], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(features))], ["doc_id", "grade", "features"])
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "grade"], kind="stable")
-        starts = np.concatenate(([0], np.cumsum(pdf["features"].map(len).to_numpy())))
-        model = fit_ordinal(np.concatenate(pdf["features"].to_list()), starts, pdf["grade"].to_numpy(np.int64), n_grades)
-        return pd.concat([
-            pd.DataFrame({"kind": 0, "name": model.features, "value": model.weights}),
-            pd.DataFrame({"kind": 1, "name": np.arange(len(model.thresholds)), "value": model.thresholds}),
-        ])
-
-    sample = rows.select("doc_id", "_text", "grade").mapInArrow(extract, "doc_id long, grade int, features array<long>")
-    fitted = sample.groupBy().applyInPandas(train, "kind int, name long, value double").toPandas()
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(features))
+                with np.errstate(over="ignore"):
+                    total = np.add.reduceat(np.append(features, 0), starts[:-1])
+                yield pa.record_batch([part["doc_id"], part["grade"], pa.array(np.diff(starts).astype(np.int32)), pa.array(total), lists], ["doc_id", "grade", "size", "total", "features"])
+
+    def train(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("size", "ascending"), ("total", "ascending")]).combine_chunks()
+        lists = table["features"].combine_chunks()
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        model = fit_ordinal(lists.flatten().to_numpy(), starts, table["grade"].to_numpy().astype(np.int64), n_grades)
+        kind = np.repeat([0, 1], [len(model.features), len(model.thresholds)]).astype(np.int32)
+        name = np.concatenate((model.features, np.arange(len(model.thresholds))))
+        return pa.table({"kind": kind, "name": name, "value": np.concatenate((model.weights, model.thresholds))})
+
+    sample = rows.select("doc_id", "_text", "grade").mapInArrow(extract, "doc_id long, grade int, size int, total long, features array<long>")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "size", "total").limit(sample_rows)  # rows of a repeated id count too
+    fitted = sample.groupBy().applyInArrow(train, "kind int, name long, value double").toPandas()
     weights, thresholds = fitted[fitted["kind"] == 0].sort_values("name"), fitted[fitted["kind"] == 1].sort_values("name")["value"].to_numpy()
     if not len(thresholds):
         thresholds = np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1))
@@ -179,25 +179,43 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns of every document with expected_grade and tail (P of the highest grade).
+    """`keep` columns of every row with expected_grade and tail (P of the highest grade).
+
+    A null text is scored as an empty one; repeated rows are scored alike. If
+    the text is among the columns kept it passes through the same Arrow batch,
+    not a second copy. A kept column may not be called expected_grade or tail.
+    """
+    if {"expected_grade", "tail"} & {*keep}:
+        raise ValueError("a column that is kept has the name of a result")
+    rated, kept = _rated(docs, model, text, keep, None)
+    return rated.select(*kept, F.col("_expected").alias("expected_grade"), F.col("_tail").alias("tail"))
 
-    A null text is scored as an empty one. If the text is among the columns
-    kept it passes through the same Arrow batch, not a second copy.
+
+def select(docs: DataFrame, model: OrdinalModel, least_tail: float, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose chance of the highest grade is `least_tail` or more.
+
+    Columns may have any names; nulls, empty texts and repeated rows are as in `score`.
     """
+    rated, kept = _rated(docs, model, text, tuple(docs.columns), least_tail)
+    return rated.select(*kept)
+
+
+def _rated(docs: DataFrame, model: OrdinalModel, text: str, keep: tuple[str, ...], least_tail: float | None):
+    """Rows under names of our own with `_expected` and `_tail`, and the columns that give `keep` back their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
     names = [f"c{i}" if c != text else "_text" for i, c in enumerate(keep)]
 
     def rate(batches):
         for batch in batches:
             for part in tokens.slices(batch, "_text"):
                 tails = shared.value.tails(shared.value.scores(*text_features(part["_text"])))
-                yield pa.record_batch([*(part[c] for c in names), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*names, "expected_grade", "tail"])
+                out = pa.record_batch([*(part[c] for c in names), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*names, "_expected", "_tail"])
+                yield out if least_tail is None else out.filter(pa.array(tails[:, -1] >= least_tail))
 
-    kept = [F.col(c).alias(a) for c, a in zip(keep, names, strict=True)]
-    out = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, schema, strict=True))
-    rated = docs.select(*kept, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(rate, f"{out}, expected_grade double, tail double")
-    return rated.select(*(F.col(a).alias(c) for a, c in zip(names, keep, strict=True)), "expected_grade", "tail")
+    given = [F.col(f"`{c}`").alias(a) for c, a in zip(keep, names, strict=True)]
+    rows = docs.select(*given, *([] if text in keep else [F.col(text).alias("_text")]))
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.mapInArrow(rate, f"{out}, _expected double, _tail double"), [F.col(a).alias(c) for a, c in zip(names, keep, strict=True)]
 
 
 def grades(labels: DataFrame) -> DataFrame:

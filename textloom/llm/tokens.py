@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces whose ids one Python worker remembers; rarely used ones are encoded again.
-REMEMBERED = 800_000
+#: Pieces that one Python worker remembers at most, and their bytes with those of their values; others are worked out again.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 24 << 20
+#: Bytes of text that a task works on at a time; its arrays take some twenty times as much.
+SLICE = 1 << 22
 
 
 #: Byte-level vocabularies spell printable Latin-1 bytes as themselves and the other bytes as letters from U+0100 on.
@@ -27,10 +29,17 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PRINT
 
 
 class Memo:
-    """piece -> ids as little-endian uint32 bytes; the older half is forgotten when full."""
+    """piece -> value, say ids as little-endian uint32 bytes; the older half is forgotten when full.
 
-    def __init__(self, encode, size: int = REMEMBERED):
-        self.encode, self.half, self.new, self.old = encode, size // 2, {}, {}
+    A Python worker serves tasks of different operators in turn, so only the
+    memo used last keeps anything.
+    """
+
+    active: Memo | None = None
+
+    def __init__(self, encode, size: int = REMEMBERED, size_bytes: int = REMEMBERED_BYTES):
+        self.encode, self.half, self.half_bytes = encode, size // 2, size_bytes // 2
+        self.new, self.old, self.held = {}, {}, 0
 
     def get(self, piece: str) -> bytes | None:
         ids = self.new.get(piece)
@@ -38,6 +47,10 @@ class Memo:
 
     def all(self, pieces: list[str]) -> list[bytes]:
         """The ids of each of some distinct pieces; those not remembered are encoded together."""
+        if Memo.active is not self:
+            if Memo.active is not None:
+                Memo.active.new, Memo.active.old, Memo.active.held = {}, {}, 0
+            Memo.active = self
         found = list(map(self.new.get, pieces))
         missing = []
         for i, ids in enumerate(found):
@@ -51,10 +64,11 @@ class Memo:
             words = [pieces[i] for i in missing]
             made = self.encode(words)
             self.new.update(zip(words, made, strict=True))
+            self.held += sum(map(len, words)) + sum(len(m) if isinstance(m, bytes) else 8 for m in made)
             for i, ids in zip(missing, made, strict=True):
                 found[i] = ids
-        if len(self.new) >= self.half:
-            self.old, self.new = self.new, {}
+        if len(self.new) >= self.half or self.held >= self.half_bytes:
+            self.old, self.new, self.held = self.new, {}, 0
         return found
 
 
@@ -81,7 +95,7 @@ def per_text(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return sums[offsets]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // limit
@@ -98,16 +112,18 @@ class WordBpe:
     looks across white space, so the pieces between spaces are independent.
     A piece of letters only is a single pre-token in composed form; for it the
     library's model is called directly, which gives the same ids with less
-    overhead per piece than its full pipeline.
+    overhead per piece than its full pipeline. The vocabulary's special tokens
+    are found in the text as it is written, before it is lower-cased, as the
+    library does; they hold no space, so they lie within a piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.stops = {s: self._ids(s) for s in (".", ",")}
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(lambda pieces: list(map(self._piece, pieces)))
 
     def _ids(self, pre_token: str) -> bytes:
@@ -128,9 +144,12 @@ class WordBpe:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the position where each begins (and the last ends)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
-        lists = pc.split_pattern(texts, " ")
-        ids, lengths = gather(lists.flatten(), self.memo)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        raw = lists.flatten()
+        pieces = pc.ascii_lower(raw)
+        for mark in self.marks:
+            pieces = pc.if_else(pc.match_substring(pieces, mark), raw, pieces)
+        ids, lengths = gather(pieces, self.memo)
         offsets = lists.offsets.to_numpy(zero_copy_only=False)
         return ids, per_text(offsets - offsets[0], lengths)
 
