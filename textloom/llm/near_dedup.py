@@ -116,13 +116,13 @@ class Weights:
         return np.where(self.hashes[at] == hashes, self.idf[at], np.float32(1))
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int, scratch: Scratch, size: int = 5, block_docs: int = 8192, block_shingles: int = 1 << 22) -> tuple[float, np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, scratch: Scratch, size: int = 5, block_docs: int = 8192, block_shingles: int = 1 << 22, block_bytes: int = 1 << 28) -> tuple[float, np.ndarray, np.ndarray]:
     """(floor, shingles, df): all shingles that more than `floor` documents have, with their exact document frequency.
 
-    A first pass over all texts finds candidates by lossy counting: tasks count
-    blocks of documents and leave out what at most 1/2048 of a block has, so a
-    frequency is at most that share of the documents too low, half of what
-    counts as frequent. A second pass counts the candidates exactly. The floor
+    A first pass over all texts finds candidates by lossy counting: a task
+    leaves out what at most 1/2048 of its documents can have, so a frequency is
+    at most that share of the documents too low, half of what counts as
+    frequent. A second pass counts the candidates exactly. The floor
     is FULL_SHARE of the documents, so at most 2/FULL_SHARE times the average
     number of shingles of a document are candidates, whatever the number of
     documents; where documents are so long that these are more than
@@ -131,26 +131,33 @@ def frequent_shingles(docs: DataFrame, n_docs: int, scratch: Scratch, size: int
 
     def count(batches):
         held, n, total = [], 0, 0
+        names, times, missed = (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))  # counted so far, and what may have been left out before
 
-        def flush():
-            flat = np.concatenate(held) if held else np.empty(0, np.uint64)
+        def gathered():
+            flat = np.concatenate([names, *held])
+            own = np.concatenate([times, np.ones(len(flat) - len(names), np.int64)])
+            gap = np.concatenate([missed, np.full(len(flat) - len(names), before // 4096)])
             held.clear()
-            flat.sort()
+            order = np.argsort(flat, kind="stable")  # a name counted before comes first, with its own gap
+            flat = flat[order]
             first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(flat)))
-            often = times > n // 2048
-            return pa.record_batch([pa.array(flat[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "df"])
+            return flat[first], np.add.reduceat(own[order], first) if len(first) else own, gap[order][first]
 
+        before = 0
         for batch in batches:
             for part in tokens.slices(batch, "_text"):
                 held.append(shingles(*word_hashes(part["_text"]), size)[0])
                 n, total = n + part.num_rows, total + len(held[-1])
-                if n >= block_docs or total >= block_shingles:
-                    yield flush()
-                    n = total = 0
-        yield flush()
-
-    few = docs.select(F.col("_text")).coalesce(max(1, n_docs // block_docs))
+                if n - before >= block_docs or total >= block_shingles:
+                    names, times, missed = gathered()
+                    often = times + missed > n // 4096
+                    names, times, missed = names[often], times[often], missed[often]
+                    before, total = n, 0
+        names, times, missed = gathered()
+        often = times + missed > n // 2048
+        yield pa.record_batch([pa.array(names[often].view(np.int64)), pa.array(times[often])], ["shingle", "df"])
+
+    few = docs.select("_text").coalesce(max(1, n_docs // block_docs, n_bytes // block_bytes))
     counted = few.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
     floor = max(n_docs * FULL_SHARE, FULL_DOCS)
     candidates = scratch.staged(counted.where(F.col("df") > floor - n_docs / 2048), "frequent")
@@ -515,8 +522,8 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, threshold: float
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     docs = docs.withColumn("row_key", sift.row_key("doc_id", "_text"))
     with Scratch(spark) as scratch:
-        n_docs = docs.count()
-        weights = spark.sparkContext.broadcast(Weights(n_docs, *frequent_shingles(docs, n_docs, scratch, size)))
+        n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0))).first()
+        weights = spark.sparkContext.broadcast(Weights(n_docs, *frequent_shingles(docs, n_docs, n_bytes, scratch, size)))
         signed = staged(signatures(docs, weights, size, bands, rows, plain), "signatures")
         nodes = scratch.staged(signed.where(F.size("keys") > 0).groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("row"), F.first("keys").alias("keys")), "nodes")
         entries = scratch.staged(nodes.select("node", "row", F.posexplode("keys").alias("band", "key")).where("key IS NOT NULL").withColumn("band", F.col("band") % bands), "bands")
