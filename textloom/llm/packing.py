@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .storage import staged
+from .storage import free_name, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,109 +70,162 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
     return [(n, list(items)) for entries in open_bins.values() for n, items in entries]
 
 
-def completions(residual: int, lengths: list[int], counts: dict[int, int], most: int, steps: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of `residual`, the fullest first.
+def fits_into(items: tuple[int, ...], places: tuple[int, ...]) -> bool:
+    """Whether first-fit decreasing puts all items into places of these sizes."""
+    room = sorted(places, reverse=True)
+    for item in sorted(items, reverse=True):
+        for i, left in enumerate(room):
+            if item <= left:
+                room[i] -= item
+                break
+        else:
+            return False
+    return True
+
+
+def completions(residual: int, lengths: list[int], counts: dict[int, int], most: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of `residual`, the fullest first, and whether none was left out.
 
     `lengths` ascend and have positive counts. Fillings are enumerated with
-    their items in descending order and are maximal: nothing left would fit.
-    A filling is dominated by one that is at least as full with fewer items,
-    because the spare small items can stand in for its larger ones. Branches
-    whose waste bound (all that the smaller items could still add) can't beat
-    the fillings kept so far are pruned.
+    their items in descending order and are maximal: nothing left would fit. A
+    filling is dominated by one into whose items its own can be put: wherever
+    those items stand instead, its own could stand too. Branches whose waste
+    bound (the smaller items that could still be added) shows more waste than
+    the worst of `most` fillings are pruned; at most `steps` items are tried.
     """
     found: list[tuple[int, int, tuple[int, ...]]] = []
-    budget = steps
-
-    def worst() -> int:
-        return found[-1][0] if len(found) >= most else residual + 1
+    budget, whole = steps, True
+    volumes = np.cumsum([k * counts[k] for k in lengths]).tolist()
 
     def keep(left: int, items: tuple[int, ...]) -> None:
-        if any(w <= left and n <= len(items) for w, n, _ in found):
+        nonlocal whole
+        if any(left >= w and fits_into(items, other) for w, _, other in found):
             return
-        found[:] = [f for f in found if not (left <= f[0] and len(items) <= f[1])]
+        found[:] = [f for f in found if not (f[0] >= left and fits_into(f[2], items))]
         found.append((left, len(items), items))
         found.sort()
+        whole = whole and len(found) <= most
         del found[most:]
 
     def extend(left: int, top: int, items: tuple[int, ...]) -> None:
-        nonlocal budget
+        nonlocal budget, whole
         at = bisect_right(lengths, min(left, top)) - 1
         fits = False
-        while at >= 0 and budget > 0:
+        while at >= 0:
             length = lengths[at]
+            if len(found) >= most and left - volumes[at] > found[-1][0]:
+                whole = False
+                return
             at -= 1
             if items.count(length) >= counts[length]:
                 continue
             fits = True
-            budget -= 1
-            if len(items) >= 4:  # deep fillings take the largest that fits, without branching
-                times = min(left // length, counts[length] - items.count(length))
-                extend(left - times * length, length - 1, items + (length,) * times)
+            if budget <= 0:
+                whole = False
                 return
+            budget -= 1
             extend(left - length, length, (*items, length))
-            if found and found[0][0] == 0 and found[0][1] <= len(items) + 1:
-                return
-        if not fits and left < worst():
+        if not fits:
             keep(left, items)
 
     extend(residual, residual, ())
-    return [f[2] for f in found]
+    return [f[2] for f in found], whole
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, branch: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns [(repeats, [(length, times), ...])] that pack the histogram.
+@dataclass(frozen=True)
+class Plan:
+    """Patterns [(repeats, ((length, times), ...))] that pack a histogram into `sequences`, which are no fewer than `bound`.
+
+    `proved` tells that no plan has fewer sequences.
+    """
+
+    patterns: list[tuple[int, list[tuple[int, int]]]]
+    sequences: int
+    bound: int
+    proved: bool
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: the best of the volume bound and of bounds that count items over half.
+
+    For each length s up to half: items over capacity - s share with none of s
+    or more; items over half share with no other of them; what items of s to
+    half don't find beside those takes room of its own.
+    """
+    best = -(-sum(k * v for k, v in counts.items()) // capacity)
+    lengths = sorted(counts)
+    for s in {0, *(k for k in lengths if 2 * k <= capacity)}:
+        alone = sum(counts[k] for k in lengths if k > capacity - s)
+        large = [(k, counts[k]) for k in lengths if capacity - s >= k and 2 * k > capacity]
+        small = sum(k * counts[k] for k in lengths if s <= k and 2 * k <= capacity)
+        n = sum(v for _, v in large)
+        room = n * capacity - sum(k * v for k, v in large)
+        best = max(best, alone + n + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 8000, branch: int = 8, steps: int = 2000) -> Plan:
+    """Pack a histogram by branch and bound.
 
     Depth first: around the largest length that is left, the undominated
-    fillings are tried, the fullest first, each as often as the counts allow.
-    The incumbent starts as best-fit decreasing; a branch is pruned when the
-    bins used plus the volume bound of the rest can't beat it, and the search
-    ends at the volume bound of the whole or after `nodes` nodes.
+    fillings are tried, the fullest first, each as often as the counts allow
+    and then less often. The incumbent starts as best-fit decreasing and takes
+    every better packing found; a branch is pruned when the sequences used plus
+    the bound of the rest can't beat it. The search ends at the bound of the
+    whole, when it is exhausted, or after `nodes` nodes; `branch` fillings of a
+    node are followed, found in `steps` steps. Where one of these three limits
+    was met and the bound wasn't, `proved` is false.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v > 0 and k > 0}
     incumbent = best_fit(counts, capacity)
     best = sum(n for n, _ in incumbent)
     total = sum(k * v for k, v in counts.items())
-    bound = -(-total // capacity)
-    spent = 0
+    bound = lower_bound(counts, capacity) if counts else 0
+    spent, whole = 0, True
 
-    # A frame: the counts left, their volume, the bins used, the patterns so far (a linked list), untried fillings.
+    # A frame: the counts left, their volume, the sequences used, the patterns so far (a linked list), untried fillings with their repeats.
     def frame(left: dict, volume: int, used: int, path) -> list:
+        nonlocal whole
         lengths = sorted(left)
         top = lengths[-1]
-        left = dict(left)
         rest = {**left, top: left[top] - 1}
-        names = [k for k in lengths if rest[k]]
-        tries = completions(capacity - top, names, rest, branch) or [()]
-        return [left, volume, used, path, [(top, *t) for t in reversed(tries)]]
+        found, all_of_them = completions(capacity - top, [k for k in lengths if rest[k]], rest, branch, steps)
+        whole = whole and all_of_them
+
+        def tries():
+            for items in found or [()]:
+                need = Counter((top, *items))
+                for repeats in range(min(left[k] // n for k, n in need.items()), 0, -1):
+                    yield need, repeats
+
+        return [left, volume, used, path, tries()]
 
-    stack = [frame(counts, total, 0, None)] if counts else []
-    while stack and best > bound and spent < nodes:
+    stack = [frame(counts, total, 0, None)] if counts and best > bound else []
+    while stack and best > bound:
         left, volume, used, path, tries = stack[-1]
-        if not tries:
+        need, repeats = next(tries, (None, 0))
+        if need is None:
             stack.pop()
             continue
-        items = tries.pop()
+        if spent >= nodes:
+            whole = False
+            break
         spent += 1
-        need = {k: items.count(k) for k in set(items)}
-        repeats = min(left[k] // n for k, n in need.items())
-        rest = dict(left)
-        for k, n in need.items():
-            rest[k] -= n * repeats
-            if not rest[k]:
-                del rest[k]
+        rest = {k: n for k, v in left.items() if (n := v - repeats * need.get(k, 0))}
         more = used + repeats
-        now = volume - sum(items) * repeats
+        now = volume - sum(k * n for k, n in need.items()) * repeats
         if more + -(-now // capacity) >= best:
             continue
         chain = ((repeats, sorted(need.items(), reverse=True)), path)
         if rest:
-            stack.append(frame(rest, now, more, chain))
+            if more + lower_bound(rest, capacity) < best:
+                stack.append(frame(rest, now, more, chain))
             continue
         best, incumbent = more, []
         while chain:
             incumbent.append(chain[0])
             chain = chain[1]
-    return incumbent
+    return Plan(incumbent, best, bound, best == bound or whole)
 
 
 @dataclass(frozen=True)
@@ -236,32 +290,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 65536) -> DataFrame:
-    """Add sequence_id and offset to pieces with `doc_id, piece, length`.
+    """Add sequence_id and offset to pieces with `doc_id, piece, length, ids_crc32`.
 
     Ranks within a length are counted in buckets of hashed piece keys, so a
     length that a large share of the pieces has is spread over all buckets.
     Equal rows (repeated documents) are interchangeable and take different
     places; pieces of length 0 do not occur, since they would need no place.
-    An empty table gives an empty result.
+    Other columns are kept; where one has the name of a result, underscores
+    stand before the result's. An empty table gives an empty result.
     """
     pieces = staged(pieces, "pieces")
+    names = pieces.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = pieces.toDF(*inner).withColumns({f"_{c}": F.col(inner[names.index(c)]) for c in ("doc_id", "piece", "length", "ids_crc32")})
     n = pieces.count()
     buckets = max(64, -(-n // per_bucket))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
+    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64("_doc_id", "_piece", "_ids_crc32"), F.lit(buckets)).cast("int"))
+    counts = keyed.groupBy("_length", "_bucket").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = pieces.sparkSession.sparkContext.broadcast(Places.of(bin_completion(histogram, capacity)))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["_bucket", "length"])
-    columns = [c for c in pieces.columns]
+    places = pieces.sparkSession.sparkContext.broadcast(Places.of(bin_completion(histogram, capacity).patterns))
+    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("_bucket", "_length").orderBy("_doc_id", "_piece", "_ids_crc32")
+    ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["_bucket", "_length"])
 
     def locate(batches):
         for batch in batches:
-            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("_length", "_rank"))
             sequence, offset = places.value.find(length, rank)
-            yield pa.record_batch([*(batch[c] for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+            yield pa.record_batch([*(batch[c] for c in inner), pa.array(sequence), pa.array(offset)], [*inner, "_sequence", "_offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*columns, (F.col("_first") + F.col("_rank")).alias("_rank")).mapInArrow(locate, schema)
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, pieces.schema, strict=True)) + ", _sequence long, _offset long"
+    found = ranked.select(*inner, "_length", (F.col("_first") + F.col("_rank")).alias("_rank")).mapInArrow(locate, schema)
+    return found.toDF(*names, free_name("sequence_id", names), free_name("offset", names))

@@ -75,3 +75,10 @@ class Scratch:
         for path in self.paths:
             fs, target = _file_system(self.spark, path)
             fs.delete(target, True)
+
+
+def free_name(name: str, taken) -> str:
+    """`name`, with as many underscores before it as it takes to differ from those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
