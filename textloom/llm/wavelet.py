@@ -2,10 +2,11 @@
 
 A shard holds the ids of consecutive documents as one bit-plane per bit of an
 id, most significant first; after each plane the ids are reordered, those with
-a 0 bit before those with a 1 bit, both in their old order. With ranks of the
-planes this answers access, counting and occurrence lookup from the shard
-alone. A shard is one Parquet file of a single row in the shared folder, its
-planes compressed as deflate streams.
+a 0 bit before those with a 1 bit, both in their old order. A plane is cut
+into blocks that are deflated one by one; the file also has where each block
+ends and how many ones come before it. So access, counting and occurrence
+lookup inflate only the blocks they touch. A shard is one Parquet file of a
+single row in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .storage import new_path
 
-SHARD = "part int, seq int, n_docs int, n_tokens long, ids_of binary, ends binary, planes array<binary>, zeros array<long>"
+SHARD = "part int, seq int, n_docs int, n_tokens long, ids_of binary, ends binary, planes array<binary>, block_ends array<binary>, block_ranks array<binary>, zeros array<long>"
+#: Bits of a block of a plane.
+BLOCK = 1 << 15
 
 
 def build(values: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
@@ -37,28 +40,75 @@ def build(values: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     return planes, zeros
 
 
+class Plane:
+    """A bit-plane in blocks: deflated bytes, the end of each block in them, and the ones before each block and in all."""
+
+    def __init__(self, n: int, data: bytes, ends: np.ndarray, ranks: np.ndarray, keep: int = 64):
+        self.n, self.data, self.ends, self.ranks, self.keep, self.open = n, data, ends, ranks, keep, {}
+
+    @staticmethod
+    def of(packed: np.ndarray, n: int) -> Plane:
+        step = BLOCK // 8
+        blocks = [packed[i : i + step] for i in range(0, len(packed), step)]
+        deflated = [zlib.compress(b.tobytes(), 1) for b in blocks]
+        ones = [int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks]
+        return Plane(n, b"".join(deflated), np.cumsum([len(d) for d in deflated], dtype=np.int64), np.concatenate(([0], np.cumsum(ones, dtype=np.int64))))
+
+    def raw(self, block: int) -> bytes:
+        return zlib.decompress(self.data[int(self.ends[block - 1]) if block else 0 : int(self.ends[block])])
+
+    def _words(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block and the ones before each; the blocks opened last stay open."""
+        if block not in self.open:
+            while len(self.open) >= self.keep:
+                self.open.pop(next(iter(self.open)))
+            words = np.zeros(BLOCK // 8 + 8, np.uint8)
+            found = np.frombuffer(self.raw(block), np.uint8)
+            words[: len(found)] = found
+            words = words.view(">u8").astype(np.uint64)
+            self.open[block] = words, np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+        return self.open[block]
+
+    def rank1(self, at: np.ndarray) -> np.ndarray:
+        """Ones among the first `at` bits."""
+        block = np.minimum(at // BLOCK, max(len(self.ends) - 1, 0))
+        out = self.ranks[block].copy()
+        for b in np.unique(block) if len(self.ends) else ():
+            mine = np.flatnonzero(block == b)
+            inside = at[mine] - b * BLOCK
+            words, before = self._words(int(b))
+            word, bit = inside >> 6, (inside & 63).astype(np.uint64)
+            top = np.where(bit == 0, np.uint64(0), words[word] >> (np.uint64(64) - np.maximum(bit, np.uint64(1))))
+            out[mine] += before[word] + np.bitwise_count(top)
+        return out
+
+    def bits(self) -> np.ndarray:
+        packed = np.frombuffer(b"".join(self.raw(b) for b in range(len(self.ends))), np.uint8)
+        return np.unpackbits(packed, count=self.n).astype(bool)
+
+
 @dataclass
 class WaveletMatrix:
-    """A shard in memory: `n` ids under `planes`, with a rank directory per 64-bit word."""
+    """A shard: `n` ids under `planes`, and the zeros of each plane."""
 
     n: int
-    planes: list[np.ndarray]
+    planes: list[Plane]
     zeros: list[int]
 
-    def __post_init__(self):
-        self.directory = []
-        for plane in self.planes:
-            padded = np.zeros(-(-len(plane) // 8) * 8 + 8, np.uint8)
-            padded[: len(plane)] = plane
-            words = padded.view(">u8").astype(np.uint64)
-            self.directory.append((words, np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))))
+    @staticmethod
+    def of(values: np.ndarray, bits: int) -> WaveletMatrix:
+        planes, zeros = build(values, bits)
+        return WaveletMatrix(len(values), [Plane.of(p, len(values)) for p in planes], zeros)
+
+    @staticmethod
+    def load(row) -> WaveletMatrix:
+        n = row["n_tokens"]
+        planes = [Plane(n, p, np.frombuffer(e, "<i8"), np.frombuffer(r, "<i8")) for p, e, r in zip(row["planes"], row["block_ends"], row["block_ranks"], strict=True)]
+        return WaveletMatrix(n, planes, list(row["zeros"]))
 
     def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones among the first `at` bits of a plane."""
-        words, before = self.directory[level]
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        top = np.where(bit == 0, np.uint64(0), words[word] >> (np.uint64(64) - np.maximum(bit, np.uint64(1))))
-        return before[word] + np.bitwise_count(top)
+        return self.planes[level].rank1(at)
 
     def select(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
         """Positions of the nth (from 0) ones or zeros of a plane."""
@@ -110,7 +160,7 @@ class WaveletMatrix:
         """Every id in order: the planes are undone from the last to the first."""
         values = np.zeros(self.n, np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            one = self.planes[level].bits()
             back = np.empty_like(values)
             back[~one] = values[: self.zeros[level]]
             back[one] = values[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
@@ -118,66 +168,104 @@ class WaveletMatrix:
         return values
 
 
-def _packed(ids: np.ndarray, doc_ids: list[pa.Array], ends: np.ndarray, part: int, seq: int, bits: int) -> pa.RecordBatch:
-    planes, zeros = build(ids, bits)
-    docs = pa.concat_arrays(doc_ids)
-    known = np.asarray(docs.is_valid())
-    table = np.stack([docs.fill_null(0).to_numpy(), known.astype(np.int64)], 1)
+def _packed(ids: np.ndarray, doc_ids: pa.Array, ends: np.ndarray, part: int, seq: int, bits: int) -> pa.RecordBatch:
+    matrix = WaveletMatrix.of(ids, bits)
+    known = np.asarray(doc_ids.is_valid())
+    table = np.stack([doc_ids.fill_null(0).to_numpy(), known.astype(np.int64)], 1)
     row = {
-        "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(docs)], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()),
+        "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()),
         "ids_of": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary()), "ends": pa.array([zlib.compress(ends.astype("<i8").tobytes(), 1)], pa.binary()),
-        "planes": pa.array([[zlib.compress(p.tobytes(), 1) for p in planes]], pa.list_(pa.binary())), "zeros": pa.array([zeros], pa.list_(pa.int64())),
+        "planes": pa.array([[p.data for p in matrix.planes]], pa.list_(pa.binary())),
+        "block_ends": pa.array([[p.ends.astype("<i8").tobytes() for p in matrix.planes]], pa.list_(pa.binary())),
+        "block_ranks": pa.array([[p.ranks.astype("<i8").tobytes() for p in matrix.planes]], pa.list_(pa.binary())),
+        "zeros": pa.array([matrix.zeros], pa.list_(pa.int64())),
     }
     return pa.RecordBatch.from_pydict(row)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", shard_tokens: int = 1 << 20, path: str | None = None) -> str:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], text: str = "text") -> DataFrame:
+    """part, doc_id, ids (little-endian, 2 or 4 bytes each) of whole texts; part tells between which bounds the doc_id lies, nulls before all."""
+
+    def encode(batches):
+        encoder = tokens.word_bpe(tokenizer)
+        kind = np.dtype("<u2" if id_bits(encoder, end_id) <= 16 else "<u4")
+        end = np.array([end_id], kind).tobytes()
+        for batch in batches:
+            for piece in tokens.slices(batch, "_text"):
+                found, starts = encoder.encode(piece["_text"])
+                raw = memoryview(found.astype(kind).tobytes())
+                ids = [raw[a * kind.itemsize : b * kind.itemsize].tobytes() + end for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                known = np.asarray(piece["doc_id"].is_valid())
+                part = np.where(known, np.searchsorted(bounds, piece["doc_id"].fill_null(0).to_numpy(), "right") + 1, 0)
+                yield pa.record_batch([pa.array(part.astype(np.int32)), piece["doc_id"], pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(encode, "part int, doc_id long, ids binary")
+
+
+def id_bits(encoder: tokens.WordBpe, end_id: int) -> int:
+    return max(1, int(max(encoder.tokenizer.get_vocab_size() - 1, end_id)).bit_length())
+
+
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", shard_tokens: int = 1 << 20, path: str | None = None, part_bytes: int = 1 << 25) -> str:
     """Encode whole texts and write shards in ascending doc_id order; returns their folder.
 
-    Documents are dealt by ranges of doc_id (nulls first) and sorted within
-    each range, so the order of (part, seq) is the order of doc_id. Repeated
-    ids stay next to each other. A shard closes at `shard_tokens` ids; a
-    document is never split, so a longer one makes a longer shard.
+    Documents are dealt by ranges of doc_id (nulls first) of about `part_bytes`
+    of text and sorted within each range, so the order of (part, seq) is the
+    order of doc_id; ids travel, not texts. Rows of a repeated id stay next to
+    each other, in any order. A null or empty text has the end id only. A shard
+    closes at `shard_tokens` ids or where its range ends; a document is never
+    split, so a longer one makes a longer shard. Other columns aren't read.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
+    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = max(1, -(-n_bytes // part_bytes))
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [1.0], 100 * parts)).first()[0] or []
+    bounds = sorted({int(c) for c in cuts}) if parts > 1 else []
 
     def shards(batches):
         encoder = tokens.word_bpe(tokenizer)
-        bits = max(1, int(max(encoder.tokenizer.get_vocab_size() - 1, end_id)).bit_length())
-        kind = np.uint16 if bits <= 16 else np.uint32
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, doc_ids, ends, held = [], [], [], 0
+        bits = id_bits(encoder, end_id)
+        kind = np.dtype("<u2" if bits <= 16 else "<u4")
+        held: list[pa.RecordBatch] = []
+        n, part, seq = 0, None, 0
+
+        def closed():
+            raw = b"".join(b"".join(x["ids"].to_pylist()) for x in held)
+            sizes = np.concatenate([pc.binary_length(x["ids"]).to_numpy() for x in held])
+            return _packed(np.frombuffer(raw, kind), pa.concat_arrays([x["doc_id"] for x in held]), np.cumsum(sizes) // kind.itemsize, part, seq, bits)
+
         for batch in batches:
-            for piece in tokens.slices(batch, "_text"):
-                found, starts = encoder.encode(piece["_text"])
-                last = np.cumsum(np.diff(starts) + 1)
-                flat = np.insert(found.astype(kind), starts[1:], kind(end_id))
-                a = 0
-                while a < len(last):
-                    base = last[a - 1] if a else 0
-                    b = max(a + 1, int(np.searchsorted(last, base + shard_tokens - held, "right")))
-                    ids.append(flat[base : last[b - 1]])
-                    doc_ids.append(piece["doc_id"].slice(a, b - a))
-                    ends.append(last[a:b] - base + held)
-                    held += int(last[b - 1] - base)
-                    a = b
-                    if held >= shard_tokens or a < len(last):
-                        yield _packed(np.concatenate(ids), doc_ids, np.concatenate(ends), part, seq, bits)
-                        ids, doc_ids, ends, held, seq = [], [], [], 0, seq + 1
-        if doc_ids:
-            yield _packed(np.concatenate(ids), doc_ids, np.concatenate(ends), part, seq, bits)
-
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+            which = batch["part"].to_numpy()
+            ends = np.cumsum(pc.binary_length(batch["ids"]).to_numpy().astype(np.int64)) // kind.itemsize
+            a = 0
+            while a < batch.num_rows:
+                if which[a] != part:
+                    if held:
+                        yield closed()
+                    held, n, part, seq = [], 0, int(which[a]), 0
+                last = int(np.searchsorted(which, part, "right"))
+                base = int(ends[a - 1]) if a else 0
+                b = min(last, max(a + 1, int(np.searchsorted(ends, base + shard_tokens - n, "right"))))
+                held.append(batch.slice(a, b - a))
+                n += int(ends[b - 1]) - base
+                if n >= shard_tokens or b < last:
+                    yield closed()
+                    held, n, seq = [], 0, seq + 1
+                a = b
+        if held:
+            yield closed()
+
+    ids = encoded(docs, tokenizer, end_id, bounds, text)
+    ordered = ids.repartition("part").sortWithinPartitions("part", "doc_id")
     ordered.mapInArrow(shards, SHARD).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
     return path
 
 
 def open_shard(row) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     """Documents (id, known), the end of each, and the matrix, from a shard's row as a dict."""
-    planes = [np.frombuffer(zlib.decompress(p), np.uint8) for p in row["planes"]]
     docs = np.frombuffer(zlib.decompress(row["ids_of"]), np.int64).reshape(-1, 2)
-    return docs, np.frombuffer(zlib.decompress(row["ends"]), "<i8"), WaveletMatrix(row["n_tokens"], planes, list(row["zeros"]))
+    return docs, np.frombuffer(zlib.decompress(row["ends"]), "<i8"), WaveletMatrix.load(row)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -196,7 +284,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch[c][i].as_py() for c in ("planes", "ids_of", "ends", "n_tokens", "zeros", "part", "seq")}
+                row = {c: batch[c][i].as_py() for c in ("planes", "block_ends", "block_ranks", "ids_of", "ends", "n_tokens", "zeros", "part", "seq")}
                 docs, ends, matrix = open_shard(row)
                 raw = memoryview(matrix.all().astype("<u4").tobytes())
                 starts = np.concatenate(([0], ends[:-1]))
@@ -213,12 +301,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """(part, seq, n): occurrences of an id in each shard, from the planes alone."""
+    """(part, seq, n): occurrences of an id in each shard; two blocks of each plane are inflated."""
 
     def counted(batches):
         for batch in batches:
             rows = [{c: batch[c][i].as_py() for c in batch.schema.names} for i in range(batch.num_rows)]
-            n = [WaveletMatrix(r["n_tokens"], [np.frombuffer(zlib.decompress(p), np.uint8) for p in r["planes"]], r["zeros"]).count(token) for r in rows]
+            n = [WaveletMatrix.load(r).count(token) for r in rows]
             yield pa.record_batch([batch["part"], batch["seq"], pa.array(n, pa.int64())], ["part", "seq", "n"])
 
-    return spark.read.schema(SHARD).parquet(path).select("part", "seq", "n_tokens", "planes", "zeros").mapInArrow(counted, "part int, seq int, n long")
+    return spark.read.schema(SHARD).parquet(path).select("part", "seq", "n_tokens", "planes", "block_ends", "block_ranks", "zeros").mapInArrow(counted, "part int, seq int, n long")
