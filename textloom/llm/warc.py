@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from . import sift
+from .storage import new_path, staged
 
 VERSION = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-CHUNKS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, chunk int, last boolean, body string"
+CHUNKS = "page_id long, url string, record_type string, refers_to long, refers_url string, payload_bytes long, payload_digest string, record_id string, chunk int, last boolean, body string"
 
 
 def payloads(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -29,18 +30,28 @@ def payloads(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body.cast("binary")).alias("payload_digest"))
 
 
-def with_types(records: DataFrame, least: int = 1000) -> DataFrame:
-    """Add record_type and refers_to.
+def with_types(records: DataFrame, least: int = 1000, salts: int = 64) -> DataFrame:
+    """Add record_type, refers_to and refers_url.
 
     Of records with equal payloads of at least `least` bytes, the one with the
     largest page_id is the response and the others revisit it; rows that repeat
-    that page_id are responses too. Smaller ones are all responses. Only groups
-    of several are joined back, and they are counted before the shuffle.
+    that page_id are responses too. Smaller ones are all responses. Who is what
+    is found from ids, sizes and digests alone; then only records that a sieve
+    takes for repeated ones travel with their bodies, those of one payload to
+    `salts` places.
     """
-    groups = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("_n"))
-    typed = records.join(groups.where("_n > 1").drop("_n"), ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("winner"))).drop("winner")
+    key, salt = ["payload_digest", "payload_bytes"], F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")
+    records = records.withColumn("_salt", salt)
+    parts = records.where(F.col("payload_bytes") >= least).groupBy(*key, "_salt").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("_n"))
+    groups = parts.groupBy(*key).agg(F.max("best").alias("winner"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    known = staged(parts.select(*key, "_salt").join(groups, key).withColumn("_key", sift.row_key(*key)), "payloads")
+    marked = sift.sifted(records.withColumn("_key", sift.row_key(*key)), known.select("_key"), "_key").drop("_key")
+    judged = marked.where("_may").join(known.drop("_key"), [*key, "_salt"], "left")
+    kind = "struct<page_id: bigint, url: string>"
+    typed = marked.where("NOT _may").withColumn("winner", F.lit(None).cast(kind)).unionByName(judged).drop("_may", "_salt")
+    revisit = F.col("winner.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner.page_id"))
+    told = {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("winner.page_id")), "refers_url": F.when(revisit, F.col("winner.url"))}
+    return typed.withColumns(told).drop("winner")
 
 
 def chunked(typed: DataFrame, chunk_chars: int = 1 << 16) -> DataFrame:
@@ -52,11 +63,14 @@ def chunked(typed: DataFrame, chunk_chars: int = 1 << 16) -> DataFrame:
     """
     plain = (F.char_length("body") <= chunk_chars) & ~F.contains("body", F.lit(VERSION))
     typed = typed.withColumn("body", F.when(F.col("record_type") == "response", F.col("body")).otherwise(""))
-    whole = typed.where(plain).select("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", F.expr("uuid()").alias("record_id"), F.lit(0).alias("chunk"), F.lit(True).alias("last"), "body")
+    whole = typed.where(plain).select("page_id", "url", "record_type", "refers_to", "refers_url", "payload_bytes", "payload_digest", F.expr("uuid()").alias("record_id"), F.lit(0).alias("chunk"), F.lit(True).alias("last"), "body")
+
+    cols = ["page_id", "url", "record_type", "refers_to", "refers_url", "body"]
 
     def cut(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one body at a time becomes a Python object
+                row = {c: batch[c][i].as_py() for c in cols}
                 body, sha, size, name = row.pop("body"), hashlib.sha1(), 0, str(uuid.uuid4())
                 at, number = 0, 0
                 mark = body.find(VERSION)
@@ -74,12 +88,11 @@ def chunked(typed: DataFrame, chunk_chars: int = 1 << 16) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([rows], schema=_SCHEMA)
                     at, number = end, number + 1
 
-    cols = ["page_id", "url", "record_type", "refers_to", "body"]
     return whole.unionByName(typed.where(~plain).select(*cols).mapInArrow(cut, CHUNKS))
 
 
 _SCHEMA = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("record_id", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("body", pa.string()),
 ])
 
@@ -100,17 +113,22 @@ def record_text(chunks: DataFrame) -> DataFrame:
     block = F.concat(F.when(first & response, HTTP).otherwise(""), F.col("body"))
     several = ~F.col("last") | (F.col("chunk") > 0)
     own = F.when(first, F.col("record_id")).otherwise(F.concat("record_id", F.lit("-"), F.col("chunk").cast("string")))
-    url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("unknown"))))
+
+    def target(url: str, page: str) -> Column:
+        return F.coalesce(F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("unknown"))))
+
     head = F.concat(
         F.lit(VERSION),
         _line("WARC-Type", F.when(first, F.col("record_type")).otherwise("continuation")),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), own, F.lit(">"))),
         _line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-        _line("WARC-Target-URI", url),
+        _line("WARC-Target-URI", target("url", "page_id")),
         _line("WARC-Segment-Number", F.col("chunk") + 1, several),
         _line("WARC-Segment-Origin-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">")), ~first),
         _line("WARC-Segment-Total-Length", F.col("payload_bytes") + F.lit(len(HTTP)), several & F.col("last")),
         _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ~response),
+        _line("WARC-Refers-To-Target-URI", target("refers_url", "refers_to"), ~response),
+        _line("WARC-Refers-To-Date", F.lit("2024-01-01T00:00:00Z"), ~response),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("X-Payload-Length", F.col("payload_bytes")),
         _line("X-Page-ID", F.col("page_id")),
@@ -124,8 +142,14 @@ def record_text(chunks: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str | None = None, chunk_chars: int = 1 << 16, least: int = 1000, per_file: int = 50_000, compression: str = "gzip") -> str:
     """Write a record per row of `page_id, url, html`; returns the folder of archives.
 
-    Archives are compressed unless `compression` is none; compressed ones are read as
-    streams, others may also be split between records.
+    A null html is an empty payload, a null page_id a page of no id, which
+    nothing refers to; repeated rows are records of their own. Urls and
+    payloads may be of any length; other columns aren't read. An empty table
+    gives a folder without records.
+
+    Archives are compressed, each file as one gzip stream, unless `compression`
+    is none; compressed ones are read as streams, others may also be split
+    between records.
     """
     path = path or new_path(pages.sparkSession, "warc")
     text = record_text(chunked(with_types(payloads(pages), least), chunk_chars))
