@@ -116,7 +116,7 @@ class Weights:
         return np.where(self.hashes[at] == hashes, self.idf[at], np.float32(1))
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, scratch: Scratch, size: int = 5, block_docs: int = 8192, block_shingles: int = 1 << 22, block_bytes: int = 1 << 28) -> tuple[float, np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, scratch: Scratch, size: int = 5, block_docs: int = 8192, block_shingles: int = 1 << 20, block_bytes: int = 1 << 28) -> tuple[float, np.ndarray, np.ndarray]:
     """(floor, shingles, df): all shingles that more than `floor` documents have, with their exact document frequency.
 
     A first pass over all texts finds candidates by lossy counting: a task
@@ -134,14 +134,17 @@ def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, scratch: Scrat
         names, times, missed = (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))  # counted so far, and what may have been left out before
 
         def gathered():
-            flat = np.concatenate([names, *held])
-            own = np.concatenate([times, np.ones(len(flat) - len(names), np.int64)])
-            gap = np.concatenate([missed, np.full(len(flat) - len(names), before // 4096)])
+            flat = np.concatenate(held) if held else np.empty(0, np.uint64)
             held.clear()
-            order = np.argsort(flat, kind="stable")  # a name counted before comes first, with its own gap
-            flat = flat[order]
-            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
-            return flat[first], np.add.reduceat(own[order], first) if len(first) else own, gap[order][first]
+            new, own = np.unique(flat, return_counts=True)
+            del flat
+            both = np.concatenate((names, new))
+            order = np.argsort(both, kind="stable")  # a name counted before comes first, with its own gap
+            both = both[order]
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
+            sums = np.concatenate((times, own))[order]
+            gaps = np.concatenate((missed, np.full(len(new), before // 4096)))[order]
+            return both[first], np.add.reduceat(sums, first) if len(first) else sums, gaps[first]
 
         before = 0
         for batch in batches:

@@ -108,9 +108,8 @@ def fit_ordinal(features: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_
     names, column, count = np.unique(features, return_inverse=True, return_counts=True)
     common = count >= least_docs
     keep = common[column]
-    new = np.cumsum(common) - 1
-    column = new[column[keep]]
-    row = np.repeat(np.arange(len(grades)), np.diff(starts))[keep]
+    column = (np.cumsum(common) - 1).astype(np.int32)[column[keep]]
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(starts))[keep]
     names = names[common]
     w, gaps = np.zeros(len(names)), np.zeros(n_grades - 1)
     share = np.array([(grades < k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
@@ -160,13 +159,14 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
                     total = np.add.reduceat(np.append(features, 0), starts[:-1])
                 yield pa.record_batch([part["doc_id"], part["grade"], pa.array(np.diff(starts).astype(np.int32)), pa.array(total), lists], ["doc_id", "grade", "size", "total", "features"])
 
-    def train(table: pa.Table) -> pa.Table:
+    def train(table):
         table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("size", "ascending"), ("total", "ascending")]).combine_chunks()
         lists = table["features"].combine_chunks()
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         model = fit_ordinal(lists.flatten().to_numpy(), starts, table["grade"].to_numpy().astype(np.int64), n_grades)
         kind = np.repeat([0, 1], [len(model.features), len(model.thresholds)]).astype(np.int32)
         name = np.concatenate((model.features, np.arange(len(model.thresholds))))
+        tokens.release()
         return pa.table({"kind": kind, "name": name, "value": np.concatenate((model.weights, model.thresholds))})
 
     sample = rows.select("doc_id", "_text", "grade").mapInArrow(extract, "doc_id long, grade int, size int, total long, features array<long>")

@@ -8,6 +8,7 @@ given at each encoder. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ WORD_BPE = "word_bpe_49k.json"
 #: Pieces that one Python worker remembers at most, and their bytes with those of their values; others are worked out again.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 24 << 20
 #: Bytes of text that a task works on at a time; its arrays take some twenty times as much.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 #: Byte-level vocabularies spell printable Latin-1 bytes as themselves and the other bytes as letters from U+0100 on.
@@ -103,6 +104,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
     for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give memory that freed arrays left with this Python worker back to the system; other tasks share the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 class WordBpe:
