@@ -198,12 +198,12 @@ class ByteBpe:
         marked = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         mixed = pc.or_(pc.match_substring(texts, "\0"), pc.match_substring_regex(texts, r"\s \s|\s $|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x0b]"))
         if pc.any(mixed).as_py():
-            whole = [i for i, m in enumerate(mixed.to_pylist()) if m]
-            lists = marked.to_pylist()
-            for i in whole:
+            apart = np.zeros(len(texts), bool)
+            for i in np.flatnonzero(mixed.to_numpy(zero_copy_only=False)).tolist():
                 text = texts[i].as_py()
-                lists[i] = [text] if "\0" in text or self.apart(text) else lists[i]
-            marked = pa.array(lists, pa.large_list(pa.large_string()))
+                apart[i] = "\0" in text or bool(self.apart(text))
+            alone = pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1)), texts)
+            marked = pc.if_else(pa.array(apart), alone, marked.cast(alone.type))
         offsets = marked.offsets.to_numpy(zero_copy_only=False)
         ids, lengths = tokens.gather(marked.flatten(), self.memo)
         return ids, tokens.per_text(offsets - offsets[0], lengths)
