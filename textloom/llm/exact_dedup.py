@@ -170,14 +170,27 @@ def exact_duplicates(docs: DataFrame, is_history=None, text: str = "text", per_b
 
     history = groups(keys.where(old))
     blocks = max(1, -(-keys.where(old).count() // per_block))
-    found = merge(build_index(history, blocks), groups(keys.where(~old)), blocks)
-    rows = keys.join(found, "digest")
+    found = staged(merge(build_index(history, blocks), groups(keys.where(~old)), blocks), "groups")
+    rows = _with_groups(keys, found)
     copy = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
     return rows.select("doc_id", "keep_id", "group_size", "digest", "known", copy).select(
         "doc_id", "keep_id", "group_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known"
     )
 
 
+def _with_groups(keys: DataFrame, found: DataFrame, large: int = 4096, salts: int = 64) -> DataFrame:
+    """Rows of keys with those of their digest; the rows of a large group are dealt to `salts` places.
+
+    A sieve tells which digests may be large on either side alike.
+    """
+    often = found.where(F.col("group_size") > large).select(F.xxhash64("digest").alias("_key"))
+    left, right = (sift.sifted(df.withColumn("_key", F.xxhash64("digest")), often, "_key").drop("_key") for df in (keys, found))
+    few = left.where("NOT _may").drop("_may").join(right.where("NOT _may").drop("_may"), "digest")
+    salted = left.where("_may").drop("_may").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    copies = right.where("_may").drop("_may").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return few.unionByName(salted.join(copies, ["digest", "_salt"]).drop("_salt"))
+
+
 def without_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns as they were, whatever their names.
 
