@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from textloom.sources import files
+from textloom.sources.config import Config
 from textloom.streaming import jobs
 
 
@@ -22,7 +23,7 @@ def test_files(spark, tmp_path):
     assert [r["text"] for r in files.read_files(spark, str(tmp_path), "markdown").collect()] == ["naïve"]
     assert {r["name"] for r in files.discovered(spark, str(tmp_path), ["latex", "markdown"]).collect()} == {"a.tex", "b.md"}
     with pytest.raises(ValueError):
-        files.read_files(spark, str(tmp_path), "audio")
+        files.read_files(spark, str(tmp_path), "unknown")
 
 
 def test_golden_and_passages(spark, tmp_path):
@@ -35,6 +36,30 @@ def test_golden_and_passages(spark, tmp_path):
 def test_report(spark, tmp_path):
     files.write_report(spark.createDataFrame([("a", 1), ("b", None)], "k string, n int"), str(tmp_path / "r"), "Runs")
     assert [r["value"] for r in spark.read.text(str(tmp_path / "r/markdown")).collect()][:4] == ["# Runs", "", "| k | n |", "|---|---|"]
+    html = "".join(r["value"] for r in spark.read.text(str(tmp_path / "r/html")).collect())
+    assert html == "<h1>Runs</h1><table><tr><th>k</th><th>n</th></tr><tr><td>a</td><td>1</td></tr><tr><td>b</td><td></td></tr></table>"
+
+
+def test_export_and_metadata(spark, tmp_path):
+    docs = spark.createDataFrame([("T", "---\ntitle: 'X y'\nbad\nkey: a: b\n---\none <two>\n\nthree")], "title string, text string")
+    row = files.metadata(docs).first()
+    assert row["frontmatter"] == {"title": "X y", "key": "a: b"} and (row["line_count"], row["word_count"]) == (8, 12) and row["file_size"] == len(docs.first()["text"])
+    assert files.metadata(spark.createDataFrame([("plain",)], "text string")).first()["frontmatter"] is None
+    for form in ("json", "markdown", "html"):
+        files.export(docs, str(tmp_path / form), form)
+    assert "one &lt;two&gt;</p><p>three" in "".join(r["value"] for r in spark.read.text(str(tmp_path / "html")).collect())
+    assert spark.read.json(str(tmp_path / "json")).first()["title"] == "T"
+    with pytest.raises(ValueError):
+        files.export(docs, str(tmp_path / "x"), "pdf")
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"a": {"b": {"c": 1}}, "spark": {"sql": {"caseSensitive": False}}}))
+    config = Config.load(spark, str(tmp_path / "c.json"))
+    assert (config.get("a.b.c"), config.get("a.x.c", 7), config.get("a.b")) == (1, 7, {"c": 1})
+    assert config.merged({"a": {"b": {"d": 2}}}).get("a.b") == {"c": 1, "d": 2}
+    config.apply(spark)
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
 
 
 def test_ingest_resumes(spark, tmp_path):
@@ -52,6 +77,9 @@ def test_ingest_resumes(spark, tmp_path):
 
     assert arrive("one") == 50
     assert arrive("two") == rows.count()
+    rows.where("doc_id BETWEEN 40 AND 60 OR doc_id IS NULL").withColumn("text", F.lit("sent again")).write.parquet(str(tmp_path / "again"))
+    assert arrive("again") == rows.count()
+    assert spark.read.parquet(str(target)).where("text = 'sent again'").count() == 0
 
 
 def test_streams_equal_batches(spark, tmp_path):

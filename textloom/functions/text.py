@@ -49,7 +49,7 @@ def sorted_set(values: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words: what is neither letter, digit, underscore, hyphen nor white space separates."""
     clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " ")
-    return F.filter(F.split(clean, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(clean, r"\s+"), "")
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -135,10 +135,11 @@ def figure_references(text: Column) -> Column:
 
 def keywords(text: Column, most: int = 10) -> Column:
     """Capitalised words of over three letters that aren't all capitals, acronyms, and words of technical endings; the first in order."""
-    words = matches(text, WORD + "+")
-    joined = F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: F.rlike(w, F.lit(r"^\p{Lu}.{3,}$")) & F.rlike(w, F.lit(r"\p{Ll}")))
-    special = F.filter(words, lambda w: F.rlike(w, F.lit("^[A-Z]{2,}$")) | F.rlike(w, F.lit(".(ness|tion|ment|ity)$")))
-    return F.slice(sorted_set(F.concat(joined, special)), 1, most)
+    joined = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""), r"\s+")
+    capital = F.filter(joined, lambda w: F.rlike(w, F.lit(r"^\p{Lu}(?=.*\p{Ll}).{3,}$")))
+    edge = r"(?<![\p{L}\p{N}_])"
+    special = matches(text, edge + r"(?:[A-Z]{2,}|[\p{L}\p{N}_]+(?:ness|tion|ment|ity))(?![\p{L}\p{N}_])")
+    return F.slice(sorted_set(F.concat(capital, special)), 1, most)
 
 
 def chunk_type(equations: Column, figures: Column) -> Column:

@@ -35,6 +35,15 @@ def truncate(v: Column, dims: int) -> Column:
     return normalize(F.slice(v, 1, dims))
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """The mean of the token vectors whose mask is 1; zeros if none is."""
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    pairs = F.zip_with(tokens, mask, lambda t, m: F.struct(as_double(t).alias("t"), m.cast("double").alias("m")))
+    sums = F.aggregate(pairs, zero, lambda s, p: F.zip_with(s, p["t"], lambda a, x: a + x * p["m"]))
+    total = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return F.transform(sums, lambda x: x / total)
+
+
 def binary_code(v: Column) -> Column:
     """A bit per dimension, 1 where positive, eight to a number, the lowest bit first."""
     n = F.ceil(F.size(v) / 8).cast("int")

@@ -115,7 +115,32 @@ def sliding_spans(text: str, most: int = 1000, overlap: int = 100, window: int =
     return out
 
 
-KERNELS = {"sentences": sentence_spans, "recursive": recursive_spans, "paragraphs": paragraph_spans, "structural": structural_spans, "sliding": sliding_spans}
+def sliding_tail_spans(text: str, most: int = 1000, overlap: int = 100, window: int = 200) -> list[tuple[int, int]]:
+    """Like `sliding_spans`, with what the last two windows would share as a chunk of its own at the end of a text that was cut."""
+    out = sliding_spans(text, most, overlap, window)
+    start = max(len(text) - overlap, out[-1][0] + 1) if out else 0
+    return [*out, (start, len(text))] if len(out) > 1 and start < len(text) else out
+
+
+def headed_spans(text: str, most: int = 512) -> list[tuple[int, int, str]]:
+    """(start, end, heading path): paragraphs under one heading packed up to `most` words; larger ones are cut as in `recursive_spans`."""
+    heads = [(m.start(), len(m.group(1)), m.group(2).strip()) for m in re.finditer(r"(?m)^(#{1,6})\s+(.+)$", text)]
+    path: list[tuple[int, str]] = []
+    out = []
+    for at, (start, end) in enumerate(zip([0, *(h[0] for h in heads)], [*(h[0] for h in heads), len(text)], strict=True)):
+        if at:
+            _, level, title = heads[at - 1]
+            path = [*(p for p in path if p[0] < level), (level, title)]
+        part = text[start:end]
+        cuts = [m.end() for m in re.finditer(r"\n\s*\n", part)]
+        for a, b in _packed(part, cuts, words_in, most):
+            for x, y in [(a, b)] if words_in(part[a:b]) <= most else recursive_spans(part[a:b], most, a):
+                if part[x:y].strip():
+                    out.append((start + x, start + y, " > ".join(p[1] for p in path)))
+    return out
+
+
+KERNELS = {"sliding_tail": sliding_tail_spans, "sentences": sentence_spans, "recursive": recursive_spans, "paragraphs": paragraph_spans, "structural": structural_spans, "sliding": sliding_spans}
 
 
 def split(docs: DataFrame, kernel: str | Callable[[str], list[tuple[int, int]]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,3 +153,21 @@ def split(docs: DataFrame, kernel: str | Callable[[str], list[tuple[int, int]]],
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content", "token_count"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInPandas(run, CHUNKS)
+
+
+def hybrid(docs: DataFrame, most: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The canonical chunk table with `heading_path` and `contextual`, the chunk's text below its headings; chunks never cross a heading."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(d, i, a, b, t[a:b], words_in(t[a:b]), path) for d, t in zip(pdf["doc_id"], pdf["_text"], strict=True) if t for i, (a, b, path) in enumerate(headed_spans(t, most))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content", "token_count", "heading_path"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInPandas(run, f"{CHUNKS}, heading_path string")
+    return rows.withColumn("contextual", F.when(F.col("heading_path") == "", F.col("content")).otherwise(F.concat("heading_path", F.lit("\n"), "content")))
+
+
+def parsed(docs: DataFrame, metadata: list[str], kernel: str = "recursive", overlap: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks of parsed documents with an overlap of words and some of the document's columns as `metadata`, a JSON text; documents need ids of their own."""
+    about = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.to_json(F.struct(*metadata)).alias("metadata"))
+    return with_overlap(split(docs, kernel, doc_id, text), overlap).join(about, "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parallel import spread
 
 # The entity dictionaries and patterns.
 COMPANIES = (
@@ -36,12 +37,12 @@ TECHNOLOGY_PATTERNS = (
 def enrich(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Add equation count and flag, figure references, keywords, type, first LaTeX source and word count."""
     t = F.col(text)
-    out = chunks.withColumns({"equation_count": T.detected_equations(t), "figure_references": T.figure_references(t), "keywords": T.keywords(t)})
+    out = spread(chunks).withColumns({"equation_count": T.detected_equations(t), "figure_references": T.figure_references(t), "keywords": T.keywords(t)})
     return out.withColumns({
         "has_equations": F.col("equation_count") > 0,
         "chunk_type": T.chunk_type(F.col("equation_count"), F.col("figure_references")),
         "latex_source": T.first_latex(t),
-        "token_count": F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).cast("long"),
+        "token_count": F.size(F.array_remove(F.split(t, r"\s+"), "")).cast("long"),
     })
 
 
@@ -94,7 +95,7 @@ def dictionary_entities(text: Column) -> dict[str, Column]:
 
 def pattern_entities(text: Column) -> dict[str, Column]:
     def found(patterns: tuple[str, ...]) -> Column:
-        return T.sorted_set(F.concat(*(T.matches(text, p) for p in patterns)))
+        return T.sorted_set(F.concat(*(T.matches(text, "(?U)" + p) for p in patterns)))  # words and their ends in all scripts
 
     return {"companies": found(COMPANY_PATTERNS), "technologies": found(TECHNOLOGY_PATTERNS)}
 
@@ -125,3 +126,16 @@ def with_parsers(rows: DataFrame, *parsed: str, least: int = 100, out: str = "co
     """The first parser column of good quality (at least `least` characters without outer white space), else null."""
     good = [F.when(F.char_length(F.regexp_replace(c, r"^\s+|\s+$", "")) >= least, F.col(c)) for c in parsed]
     return rows.withColumn(out, F.coalesce(*good))
+
+
+def enriched_formulas(rows: DataFrame, key: str, recognised: str, original: str) -> DataFrame:
+    """key, latex, status: what a recogniser read, repaired if that makes it valid, else the original text.
+
+    status is `recognised`, `repaired`, `fallback` (not valid even so) or
+    `failed` (nothing was read).
+    """
+    out = clean_latex(rows, recognised, "_clean")
+    missing = F.col(recognised).isNull() | (F.col(recognised) == "")
+    status = F.when(missing, "failed").when(T.latex_error(F.col("_clean")).isNotNull(), "fallback").when(F.col("_clean") == F.col(recognised), "recognised").otherwise("repaired")
+    out = out.withColumn("status", status)
+    return out.select(key, F.when(F.col("status").isin("recognised", "repaired"), F.col("_clean")).otherwise(F.col(original)).alias("latex"), "status")

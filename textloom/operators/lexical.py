@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parallel import MOST_BROADCAST, spread
 
 # Abbreviations, expansions, keyword lists and weights of query analysis.
 ABBREVIATIONS = {
@@ -115,11 +116,12 @@ def analyze(queries: DataFrame, text: str = "query") -> DataFrame:
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, dl, term, tf); with `terms`, only those of a table with a `term` column.
 
-    The terms wanted cut the exploded rows before they are counted.
+    The terms wanted cut the exploded rows before they travel, once, to the
+    place of their document, where all later sums over documents find them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -133,7 +135,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def document_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, idf) of every term; a document's distinct terms are found before the shuffle."""
-    terms = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = spread(docs.select(text)).select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
@@ -141,30 +143,70 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10, k1: float = 1.
     """ranked: query_id, doc_id, score, rank of each query's best documents (all that share a term, if k is None).
 
     A term that a query repeats counts each time. Scores are rounded to nine
-    places before ranking; ties go to the smaller doc_id.
+    places before ranking; ties go to the smaller doc_id. Terms of queries are
+    broadcast if they are few; then a document's score adds up where its
+    postings are, and a task hands on k documents for each query.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    post = postings(docs, terms=asked)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    small = F.broadcast if asked.count() <= MOST_BROADCAST else lambda df: df
+    docs = spread(docs)
+    post = postings(docs, terms=small(asked.select("term").distinct()))
+    df = small(post.groupBy("term").agg(F.count("*").alias("df")))
     stats = F.broadcast(corpus_stats(docs))
     length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
-    scored = post.join(df, "term").join(asked, "term").join(stats).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    scored = post.join(df, "term").join(small(asked), "term").join(stats).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def all_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of documents that have all terms of a query, an array `terms`; a query without terms has none."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(queries.select("query_id", F.size(F.array_distinct("terms")).alias("need")), "query_id")
+    small = F.broadcast if asked.count() <= MOST_BROADCAST else lambda df: df
+    words = spread(docs).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    met = words.join(small(asked), "term").groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n"))
+    return met.where("n = need").select("query_id", "doc_id")
+
+
+def holding(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of all documents that hold a passage whole; passages are (query_id, query).
+
+    The inner words of a passage, those between its first and its last space,
+    are words of every text that holds it. So texts meet passages by the
+    longest inner word and are then searched. A passage without inner words is
+    looked for in all texts.
+    """
+    words = F.split("query", " ")
+    inner = F.array_remove(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    asked = passages.where("query IS NOT NULL").select("query_id", "query", longest.alias("word"))
+    small = F.broadcast if asked.count() <= MOST_BROADCAST else lambda df: df
+    texts = spread(docs.select("doc_id", "text"))
+    known = small(asked.where("word IS NOT NULL").select("word").distinct())
+    met = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(known, "word", "left_semi").join(small(asked), "word").select("query_id", "query", "doc_id")
+    found = met.join(texts, "doc_id").where(F.contains("text", F.col("query")))
+    rest = small(asked.where("word IS NULL"))
+    return found.select("query_id", "doc_id").unionByName(texts.join(rest, F.contains("text", F.col("query"))).select("query_id", "doc_id")).distinct()
+
+
 # --- fusion ---------------------------------------------------------------------------
 
 
-def rrf(semantic: DataFrame, lexical: DataFrame, semantic_weight: float | Column = 0.5, k: int = 60, top: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion of two `ranked` tables by one full outer join on (query_id, doc_id)."""
+def rrf(semantic: DataFrame, lexical: DataFrame, semantic_weight: float | Column = 0.5, k: int = 60, top: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion of two `ranked` tables by one full outer join on (query_id, doc_id).
+
+    `weights` (query_id, semantic_weight) gives each query a weight of its own.
+    """
     a = semantic.select("query_id", "doc_id", F.col("rank").alias("semantic_rank"))
     b = lexical.select("query_id", "doc_id", F.col("rank").alias("lexical_rank"))
+    fused = a.join(b, ["query_id", "doc_id"], "full_outer")
     w = F.lit(semantic_weight) if isinstance(semantic_weight, float) else semantic_weight
+    if weights is not None:
+        fused, w = fused.join(weights.select("query_id", F.col("semantic_weight").alias("_w")), "query_id"), F.col("_w")
     score = F.coalesce(w / (k + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce((1 - w) / (k + F.col("lexical_rank")), F.lit(0.0))
-    fused = a.join(b, ["query_id", "doc_id"], "full_outer").withColumn("score", F.round(score, 9))
+    fused = fused.withColumn("score", F.round(score, 9)).drop("_w")
     fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return fused if top is None else fused.where(F.col("rank") <= top)
 

@@ -11,23 +11,35 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import lexical
+from . import vectors as search
+from .parallel import spread
 
 Embedder = Callable[[pd.Series], list[list[float] | None]]
 
 
 def hashing_embedder(dims: int = 256) -> Embedder:
-    """Signed feature hashing of lower-case words, unit length; empty texts give zeros."""
+    """A stand-in for a model: signed feature hashing of lower-case words, unit length; empty texts give zeros.
+
+    A batch's distinct words are hashed once each.
+    """
 
     def embed(texts: pd.Series) -> list[list[float]]:
-        out = np.zeros((len(texts), dims), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % dims] += 1.0 if h >> 31 else -1.0
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(pa.array(texts, pa.large_string()), "")))
+        coded = words.flatten().dictionary_encode()
+        hashed = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.int64)
+        index = coded.indices.to_numpy()
+        row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        real = np.array([bool(w) for w in coded.dictionary.to_pylist()], bool)[index] if len(hashed) else np.empty(0, bool)
+        h = hashed[index[real]] if len(hashed) else np.empty(0, np.int64)
+        sums = np.bincount(row[real] * dims + h % dims, np.where(h >> 31, 1.0, -1.0), len(texts) * dims)
+        out = sums.reshape(len(texts), dims).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
@@ -37,6 +49,7 @@ def hashing_embedder(dims: int = 256) -> Embedder:
 def embed(rows: DataFrame, text: str, out: str = "vector", embedder: Embedder | None = None, dims: int | None = None) -> DataFrame:
     """Add a vector; `dims` keeps the first dimensions and normalises again."""
     run = embedder or hashing_embedder()
+    rows = spread(rows)
     column = F.pandas_udf(lambda s: pd.Series(run(s)), "array<float>")(F.col(text))
     return rows.withColumn(out, column if dims is None else V.truncate(column, dims))
 
@@ -49,6 +62,45 @@ def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embedder: Embedd
     return known.unionByName(embed(fresh, "_text", embedder=embedder).select("content_key", "vector"))
 
 
+def embedded_batches(rows: DataFrame, done: DataFrame, text: str, key: str, attempts: int = 3, embedder: Embedder | None = None) -> DataFrame:
+    """key, vector, attempts, failed: rows whose key `done` lacks are embedded, each batch tried up to `attempts` times.
+
+    A batch whose last try fails is marked, not raised, so a job goes on; what
+    failed has no vector and is taken up again by the next run, as `done` holds
+    the keys that have one.
+    """
+    run = embedder or hashing_embedder()
+
+    def batches(frames):
+        for pdf in frames:
+            vectors, tries = None, 0
+            while vectors is None and tries < attempts:
+                tries += 1
+                try:
+                    vectors = run(pdf["_text"])
+                except Exception:  # a model may fail in any way
+                    vectors = None
+            yield pd.DataFrame({"key": pdf["key"], "vector": vectors or [None] * len(pdf), "attempts": tries, "failed": vectors is None})
+
+    todo = rows.join(done.select(F.col("key").alias(key)), key, "left_anti").select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return spread(todo).mapInPandas(batches, "key string, vector array<float>, attempts int, failed boolean")
+
+
+def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, embedder: Embedder | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: BM25's and the vectors' best `depth` of all documents, fused by the query's weight, the best `depth` of them reranked by cosine.
+
+    `queries` is (query_id, query). Analysis gives each query its weight of
+    lexical search; the vectors' side has the rest.
+    """
+    weights = lexical.analyze(queries, "query").select("query_id", (1 - F.col("alpha")).alias("semantic_weight"))
+    asked = embed(queries, "query", "q", embedder).select("query_id", "q")
+    texts = embed(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "text", "v", embedder).select("doc_id", "v")
+    near = search.batch_top_k(asked.select(F.col("query_id"), "q"), texts.select(F.col("doc_id").alias("id"), "v"), depth, own=True).withColumnRenamed("id", "doc_id")
+    both = lexical.rrf(near, lexical.bm25(queries, docs, depth), weights=weights, top=depth)
+    candidates = both.select("query_id", "doc_id").join(texts, "doc_id").join(asked, "query_id")
+    return rerank(candidates, k)
+
+
 def rerank(candidates: DataFrame, k: int, query_vector: str = "q", vector: str = "v") -> DataFrame:
     """Candidates (query_id, doc_id, q, v) by cosine: rank 1..k, ties to the smaller id."""
     scored = candidates.withColumn("score", F.round(V.cosine(F.col(query_vector), F.col(vector)), 6))

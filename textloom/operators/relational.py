@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,57 @@ def filters(document_id: str | None = None, chunk_type: str | None = None, has_e
     return reduce(lambda a, b: a & b, used.values()) if used else None
 
 
+def dict_filters(wanted: dict[str, object], columns: list[str] | None = None) -> Column | None:
+    """AND of conditions from a dictionary: {"gte": a, "lte": b} (also gt, lt) is a range, anything else equality; None if empty."""
+    ranges = {"gte": lambda c, v: c >= v, "lte": lambda c, v: c <= v, "gt": lambda c, v: c > v, "lt": lambda c, v: c < v}
+    if columns is not None and (unknown := set(wanted) - set(columns)):
+        raise ValueError(f"no such column to filter: {sorted(unknown)}")
+    tests = []
+    for name, value in wanted.items():
+        if isinstance(value, dict):
+            if bad := set(value) - set(ranges):
+                raise ValueError(f"unknown bounds: {sorted(bad)}")
+            tests += [ranges[k](F.col(name), v) for k, v in value.items()]
+        else:
+            tests.append(F.col(name) == value)
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def contains_all_parts(text: Column, query: str) -> Column:
+    """Whether a text has every part of a query between white space, anywhere; an empty query matches all."""
+    return reduce(lambda a, b: a & b, (F.contains(text, F.lit(p)) for p in query.split()), F.lit(True))
+
+
+def contains_all_terms(tokens: Column, terms: Column) -> Column:
+    """Whether all terms are among the tokens; without terms nothing matches."""
+    return (F.size(terms) > 0) & (F.size(F.array_except(terms, tokens)) == 0)
+
+
+def contains_json(document: Column, wanted: dict, at: str = "$") -> Column:
+    """Whether a JSON text has all fields of `wanted` with these values, nested ones too."""
+    tests = []
+    for name, value in wanted.items():
+        path = f"{at}.{name}"
+        if isinstance(value, dict):
+            tests.append(contains_json(document, value, path))
+        else:
+            told = str(value).lower() if isinstance(value, bool) else str(value)
+            tests.append(F.coalesce(F.get_json_object(document, path) == told, F.lit(False)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def checked_limit(limit: int, most: int = 50) -> int:
+    """A result limit from 1 to `most`; larger ones count as `most`, smaller ones are an error."""
+    if limit < 1:
+        raise ValueError("a limit must be at least 1")
+    return min(limit, most)
+
+
+def clamped(score: Column) -> Column:
+    """A score within [0, 1]; a null stays one."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """Last write wins: of each key the row of highest version, the new table's on ties; rows of null key are left out."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).where(F.col(key).isNotNull())
@@ -36,12 +88,24 @@ def scroll(rows: DataFrame, key: str, after: int | None, limit: int) -> DataFram
     return page.orderBy(key).limit(limit + 1)
 
 
-def reach(edges: DataFrame, depth: int) -> DataFrame:
-    """(src, dst, depth): the shortest walks of up to `depth` edges; each round extends only what is new."""
-    frontier = found = edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1).cast("long"))
+def reach(edges: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(src, dst, depth): the shortest walks of up to `depth` edges; each round extends only what is new.
+
+    `keep` cuts the plan after a round, so that a round doesn't repeat the ones
+    before it; by default a checkpoint in the folder the session names, if it
+    names one.
+    """
+    spark = edges.sparkSession
+    if keep is None:
+        folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        if folder and not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
+        keep = (lambda df: df.checkpoint()) if folder else (lambda df: df)
+    frontier = found = keep(edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1).cast("long")))
+    steps = edges.select(F.col("src").alias("_via"), "dst")
     for d in range(2, depth + 1):
-        step = frontier.select("src", F.col("dst").alias("_via")).join(edges.select(F.col("src").alias("_via"), "dst"), "_via").select("src", "dst").where("src <> dst").distinct()
-        frontier = step.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d).cast("long"))
+        step = frontier.select("src", F.col("dst").alias("_via")).join(steps, "_via").select("src", "dst").where("src <> dst").distinct()
+        frontier = keep(step.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d).cast("long")))
         found = found.unionByName(frontier)
     return found
 
@@ -59,11 +123,10 @@ def recent_messages(messages: DataFrame, n: int, session: str = "conv_id", order
 def positioned(rows: DataFrame, ts: str, tie: str) -> DataFrame:
     """Add `position`, the 1-based place in the order of (ts, tie).
 
-    Rows are numbered within hours; what goes before an hour comes from a
-    running sum over hours, of which there are few.
+    Rows are numbered within minutes; what goes before a minute comes from a
+    running sum over minutes, of which there are some half a million a year.
     """
-    hour = F.date_trunc("hour", F.col(ts))
-    counted = rows.withColumn("_hour", hour)
+    counted = rows.withColumn("_hour", F.date_trunc("minute", F.col(ts)))
     hours = counted.groupBy("_hour").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -82,3 +145,72 @@ def rolling(rows: DataFrame, n: int, columns: dict[str, Column], block: int = 10
     copies = rows.withColumn("_block", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy("_block").orderBy("position").rowsBetween(-(n - 1), 0)
     return copies.select("*", *(c.over(w).alias(k) for k, c in columns.items())).where(F.col("_block") == own).drop("_block")
+
+
+def running(rows: DataFrame, columns: dict[str, Column], block: int = 10_000) -> DataFrame:
+    """Sums over each row and all before it, by `position`: within blocks of positions, plus what the blocks before add up to."""
+    marked = rows.select("*", F.floor((F.col("position") - 1) / block).alias("_block"))
+    sums = marked.groupBy("_block").agg(*(F.sum(c).alias(f"_{k}") for k, c in columns.items()))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    sums = sums.select("_block", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in columns))
+    within = Window.partitionBy("_block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    both = marked.select("*", *(F.sum(c).over(within).alias(f"_own_{k}") for k, c in columns.items())).join(sums, "_block")
+    return both.select(*rows.columns, *((F.col(f"_{k}") + F.col(f"_own_{k}")).alias(k) for k in columns))
+
+
+# --- stores ---------------------------------------------------------------------------
+
+
+def append_documents(documents: DataFrame, chunks: DataFrame, folder: str, batch: str) -> None:
+    """Append a batch of documents with their chunks: chunks first, so `stored_chunks` never shows those of documents that aren't there yet.
+
+    A batch that runs again overwrites its own folders.
+    """
+    chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch}")
+    documents.write.mode("overwrite").parquet(f"{folder}/documents/batch={batch}")
+
+
+def stored_chunks(documents: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Chunks of the batches whose documents are stored."""
+    return chunks.join(documents.select("batch", key).distinct(), ["batch", key], "left_semi")
+
+
+def emptied(table: DataFrame, path: str) -> None:
+    """Overwrite a Parquet table with no rows of the same columns."""
+    table.limit(0).write.mode("overwrite").parquet(path)
+
+
+def points(chunks: DataFrame, key: str, vector: str, required: list[str], optional: list[str]) -> DataFrame:
+    """id, vector, payload: JSON with the required fields, and of the optional ones those that aren't null."""
+    payload = F.to_json(F.struct(*required, *optional))  # leaves out fields that are null
+    return chunks.select(F.col(key).alias("id"), F.col(vector).alias("vector"), payload.alias("payload"))
+
+
+def comprehensive(**results: DataFrame) -> DataFrame:
+    """Results of several searches (query_id, id, score) under their source's name, with each query's total; a source that is None failed and is left out."""
+    parts = [df.select("query_id", F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"), F.lit(name).alias("source")) for name, df in results.items() if df is not None]
+    if not parts:
+        raise ValueError("no source gave results")
+    return reduce(DataFrame.unionByName, parts).withColumn("total_results", F.count("*").over(Window.partitionBy("query_id")))
+
+
+def remaining(**tables: DataFrame) -> DataFrame:
+    """status, n: how many rows each table has, as one table."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(f"{name} remaining:").alias("status"), "n") for name, df in tables.items()))
+
+
+def captured(rows: DataFrame, key: str, value: Column, problem: Column, continue_on_error: bool = True) -> DataFrame:
+    """key, value, error of a step that can fail: a row with a problem has no value; without `continue_on_error` the first one stops the job."""
+    error = problem if continue_on_error else F.when(problem.isNotNull(), F.raise_error(problem).cast("string"))
+    return rows.select(key, error.alias("error"), value.alias("value")).select(key, F.when(F.col("error").isNull(), F.col("value")).alias("value"), "error")
+
+
+def equations_of(hits: DataFrame, equations: DataFrame, hit: str = "id", parent: str = "context_chunk_id") -> DataFrame:
+    """Hits with `equations`, an array of the structs of all equations of their chunk, in the order of their columns; empty for those that have none."""
+    nested = equations.groupBy(F.col(parent).alias(hit)).agg(F.array_sort(F.collect_list(F.struct(*(c for c in equations.columns if c != parent)))).alias("equations"))
+    return hits.join(nested, hit, "left").withColumn("equations", F.coalesce("equations", F.array().cast(nested.schema["equations"].dataType)))
+
+
+def parents_of(equations: DataFrame, chunks: DataFrame, chunk: str = "id", parent: str = "context_chunk_id") -> DataFrame:
+    """The chunk that each equation stands in; equations without one, or whose chunk isn't there, have no row."""
+    return equations.join(chunks.withColumnRenamed(chunk, parent), parent)

@@ -28,8 +28,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6) -> DataFrame:
-    """query_id, id, score, rank: the k rows of largest cosine for each of many queries, but for the query's own id.
+def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6, own: bool = False) -> DataFrame:
+    """query_id, id, score, rank: the k rows of largest cosine for each of many queries, but for the query's own id unless `own`.
 
     `queries` is (query_id, q) and `vectors` (id, v). Both are dealt to blocks
     by hashed id and each pair of blocks is one matrix product in a task, so
@@ -50,7 +50,8 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 409
             asks, names = _unit(np.array(a["q"].tolist(), np.float64)), a["query_id"].to_numpy(np.int64)
             for i in range(0, len(asks), 256):
                 score = np.round(asks[i : i + 256] @ cand.T, digits)
-                score[names[i : i + 256, None] == ids[None, :]] = -np.inf
+                if not own:
+                    score[names[i : i + 256, None] == ids[None, :]] = -np.inf
                 for r, row in enumerate(score):
                     top = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else (lambda c: c[np.lexsort((ids[c], -row[c]))][:k])(np.flatnonzero(row >= np.partition(row, -k)[-k]))
                     top = top[row[top] > -np.inf]
@@ -74,6 +75,15 @@ def int8_quantize(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return ranged.select(id_col, V.int8_code(F.col(vector_col), F.col("low"), F.col("scale")).alias("code"), "low", "scale")
 
 
+def quantisation_metrics(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """A row per kind of code: n, original and quantised size in MB, and how many times smaller it is."""
+    size = F.sum(F.size(vector_col).cast("long"))
+    sums = vectors.where(F.col(vector_col).isNotNull()).agg(F.count("*").alias("n"), (size * 4).alias("original"), F.sum(F.ceil(F.size(vector_col) / 8)).alias("binary"), size.alias("int8"))
+    rows = sums.select("n", "original", F.explode(F.create_map(F.lit("binary"), F.col("binary"), F.lit("int8"), F.col("int8"))).alias("kind", "bytes"))
+    mb = lambda c: F.round(F.col(c) / 1048576.0, 6)
+    return rows.select("kind", "n", mb("original").alias("original_mb"), mb("bytes").alias("quantized_mb"), F.round(F.try_divide("original", "bytes"), 6).alias("ratio"))
+
+
 def hamming_rescored(vectors: DataFrame, query: DataFrame, k: int, oversample: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Candidates by Hamming distance of binary codes (k times `oversample`), ranked by exact cosine."""
     one = query.select("q", V.binary_code(F.col("q")).alias("qc")).limit(1)

@@ -44,13 +44,8 @@ def maxsim_rerank(s, d):
 
 
 def two_stage(s, d):
-    """BM25 candidates of every passage, reranked by the cosine of hashed-word vectors and fused by rank."""
-    asked, docs = _asked(s, d), _docs(s, d)
-    lexical = L.bm25(asked, docs, 50)
-    wanted = N.embed(docs.join(lexical.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), "text", "v").select("doc_id", "v")
-    questions = N.embed(asked, "query", "q").select("query_id", "q")
-    semantic = N.rerank(lexical.select("query_id", "doc_id").join(wanted, "doc_id").join(questions, "query_id"), 50)
-    return L.rrf(semantic, lexical, 0.5, top=10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    """The hundred best documents of each passage by BM25 and by hashed-word vectors, fused by the passage's own weight and reranked to ten."""
+    return N.two_stage(_asked(s, d), _docs(s, d)).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
 def embed_cache(s, d):

@@ -74,7 +74,7 @@ def session_active(s, d):
     """Sessions of events: 60 minutes after a user's last event a session ends; those active at the last event of all."""
     e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     last = e.groupBy("user_id").agg(F.max("ts").alias("seen"))
-    return last.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("seen") + F.expr("INTERVAL 24 HOURS") > F.col("now")).select("user_id")
+    return last.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("seen") + F.expr("INTERVAL 60 MINUTES") > F.col("now")).select("user_id")
 
 
 def metadata_merge(s, d):
@@ -111,7 +111,7 @@ def graph_reach_recursive(s, d):
 
 def timeline(s, d):
     facts = rows_df(s, FACTS, "entity string, fact string, valid_at string, invalid_at string")
-    return facts.where("entity = 'acme' AND (invalid_at IS NULL OR invalid_at > '2011-01-01')").select("fact", "valid_at")
+    return facts.where("entity = 'acme' AND (invalid_at IS NULL OR CAST(invalid_at AS DATE) > DATE'2011-01-01')").orderBy(F.desc_nulls_last("valid_at")).select("fact", "valid_at")
 
 
 def rerank_cache_key(s, d):
@@ -147,8 +147,9 @@ def lru_simulate(s, d):
 
 
 def cache_hit_rate(s, d):
-    e = table(s, d, "events")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "click").cast("int")) * 100, 6).alias("rate"))
+    """A cache of users that keeps an entry for a day after its last use: hits and misses of each day's lookups."""
+    asked = M.renewed_hits(table(s, d, "events").select("event_id", "ts", F.col("user_id").alias("key")), 86400)
+    return M.cache_stats(asked, F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 def ingestion_report(s, d):
@@ -179,10 +180,8 @@ def category_progress(s, d):
 
 
 def _relevant(s, d):
-    """Documents that hold a benchmark passage whole: candidates are BM25's, which share its words."""
-    found = L.bm25(_asked(s, d), _docs(s, d), 50)
-    both = found.join(_docs(s, d).select("doc_id", "text"), "doc_id").join(_asked(s, d), "query_id")
-    return both.where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    """All documents that hold a benchmark passage whole."""
+    return L.holding(_asked(s, d), _docs(s, d))
 
 
 def retrieval_quality(s, d):
@@ -259,7 +258,7 @@ ORACLES = {
     "list_documents_page": f"SELECT d.doc_id, d.lang, count(*) AS chunk_count FROM documents d JOIN {CHUNKS_SQL} c USING (doc_id) GROUP BY d.doc_id, d.lang ORDER BY chunk_count DESC, doc_id LIMIT 20 OFFSET 20",
     "session_messages_recent": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, length(text) AS n FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5)",
     "session_summary": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
-    "session_active": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 24 HOURS > (SELECT max(ts) FROM events)",
+    "session_active": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTES > (SELECT max(ts) FROM events)",
     "metadata_merge": "SELECT event_id, 'k=' || (props::JSON ->> 'k') || ',source=7' AS merged FROM events",
     "upsert_latest": f"SELECT CAST(id AS INTEGER) AS id, payload, CAST(version AS INTEGER) AS version FROM (SELECT *, 0 AS n FROM {values_sql(POINTS, 'id, payload, version')} UNION ALL SELECT *, 1 FROM {values_sql(NEWER, 'id, payload, version')}) WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, n DESC) = 1",
     "delete_points_anti": "SELECT vec_id FROM embeddings ANTI JOIN (SELECT doc_id AS vec_id FROM labels) USING (vec_id)",
@@ -283,7 +282,9 @@ ORACLES = {
         p AS (SELECT *, lag(i) OVER (PARTITION BY cache, key ORDER BY i) AS prev FROM o),
         dist AS (SELECT p.cache, p.i, count(DISTINCT o.key) AS n FROM p JOIN o ON o.cache = p.cache AND o.i > p.prev AND o.i < p.i GROUP BY p.cache, p.i)
         SELECT p.cache, count(*) AS lookups, count(*) FILTER (p.prev IS NOT NULL AND coalesce(dist.n, 0) < 75) AS hits FROM p LEFT JOIN dist ON dist.cache = p.cache AND dist.i = p.i GROUP BY p.cache""",
-    "cache_hit_rate": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg((event_type = 'click')::INTEGER) * 100, 6) AS rate FROM events GROUP BY 1",
+    "cache_hit_rate": """
+        WITH o AS (SELECT ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 DAY AS hit FROM events)
+        SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lookups, count(*) FILTER (hit) AS hits, count(*) FILTER (hit IS NOT TRUE) AS misses, round(count(*) FILTER (hit) * 100.0::DOUBLE / count(*), 6) AS hit_rate FROM o GROUP BY 1""",
     "ingestion_report": f"""
         WITH c AS (SELECT doc_id, count(*) AS chunks FROM {CHUNKS_SQL} GROUP BY doc_id)
         SELECT lang, count(*) AS documents, CAST(sum(chunks) AS BIGINT) AS chunks, round(avg(chunks), 6) AS chunks_per_document, CAST(ceil(sum(chunks) / 1000.0) AS BIGINT) AS batches FROM documents JOIN c USING (doc_id) GROUP BY lang""",
@@ -293,8 +294,8 @@ ORACLES = {
     "duplicate_ids": f"SELECT id, count(*) AS n FROM {_G} GROUP BY id HAVING count(*) > 1",
     "category_progress": f"SELECT t.category, CAST(t.target AS BIGINT) AS target, coalesce(g.n, 0) AS n, round(coalesce(g.n, 0) * 100.0::DOUBLE / t.target, 6) AS progress FROM {values_sql(TARGETS, 'category, target').replace('AS v', 'AS t')} LEFT JOIN (SELECT category, count(*) AS n FROM {_G} GROUP BY category) g USING (category)",
     "retrieval_quality": f"""
-        WITH {_bm25_sql('m', 50)},
-        rel AS (SELECT mk.query_id, mk.doc_id, mk.rank FROM mk JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id WHERE contains(documents.text, benchmark.text)),
+        WITH {_bm25_sql('m', 10)},
+        rel AS (SELECT h.query_id, h.doc_id, mk.rank FROM (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)) h LEFT JOIN mk ON mk.query_id = h.query_id AND mk.doc_id = h.doc_id),
         q AS (SELECT query_id, count(*) AS n, count(*) FILTER (rank <= 10) AS hits, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM rel GROUP BY query_id)
         SELECT query_id, round(hits / 10.0::DOUBLE, 6) AS precision, round(hits / n::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank,
                round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM q""",

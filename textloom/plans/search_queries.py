@@ -141,9 +141,11 @@ def rrf_fuse(s, d):
 
 
 def hybrid_rrf(s, d):
-    """BM25 and language-filtered BM25 as two branches over the whole corpus, fused by rank."""
-    docs, asked = table(s, d, "documents"), _asked(s, d)
-    return L.rrf(L.bm25(asked, docs, 20), L.bm25(asked, docs.where("lang = 'en'"), 20), 0.5, top=10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    """The best twenty documents of each passage by BM25 and by nearness of vectors, fused by rank; a passage's vector is the one of its own id."""
+    e = _emb(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = _asked(s, d)
+    near = O.batch_top_k(e.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q")), e, 20).withColumnRenamed("id", "doc_id")
+    return L.rrf(near, L.bm25(asked, table(s, d, "documents"), 20), 0.5, top=10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
 def weighted_hybrid(s, d):
@@ -233,7 +235,9 @@ ORACLES = {
         f AS (SELECT alpha, coalesce(s.doc_id, b.doc_id) AS doc_id, round(coalesce(alpha / (60 + s.rank), 0) + coalesce((1 - alpha) / (60 + b.rank), 0), 9) AS score FROM (s FULL JOIN b ON s.doc_id = b.doc_id), w)
         SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, doc_id) AS rank FROM f""",
     "hybrid_rrf": f"""
-        WITH {_bm25_sql('m', 20)}, {_bm25_sql('n', 20, chr(87) + 'HERE lang = ' + chr(39) + 'en' + chr(39))},
+        WITH {_bm25_sql('m', 20)}, nk AS (
+            SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+            FROM (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, round({COS}, 6) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings a ON a.vec_id <> q.vec_id) QUALIFY rank <= 20),
         f AS (SELECT coalesce(mk.query_id, nk.query_id) AS query_id, coalesce(mk.doc_id, nk.doc_id) AS doc_id, round(coalesce(0.5::DOUBLE / (60 + mk.rank), 0) + coalesce(0.5::DOUBLE / (60 + nk.rank), 0), 9) AS score
               FROM mk FULL JOIN nk ON mk.query_id = nk.query_id AND mk.doc_id = nk.doc_id)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",

@@ -96,7 +96,8 @@ def entities_dictionary(s, d):
 
 
 def entities_pattern(s, d):
-    return rows_df(s, ENTITIES, "id long, text string").select("id", *(F.array_join(c, "|").alias(k) for k, c in D.pattern_entities(F.col("text")).items()))
+    rows = rows_df(s, ENTITIES, "id long, text string").unionByName(_docs(s, d).select((F.col("doc_id") + 1000).alias("id"), "text"))
+    return rows.select("id", *(F.array_join(c, "|").alias(k) for k, c in D.pattern_entities(F.col("text")).items()))
 
 
 def episode_truncate(s, d):
@@ -147,6 +148,15 @@ def _names(names: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + n + "'" for n in names) + "]"
 
 
+def _matches_sql(patterns: tuple[str, ...]) -> str:
+    """All matches in a text with a mark after each character that is no letter, so that one match doesn't take the space before the next."""
+    out = []
+    for p in patterns:
+        body = p.removeprefix(r"(?i)\b").removesuffix(r"\b").replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s+", r"[\s\x01]+").replace(" ", r" \x01")
+        out.append(f"list_transform(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({body})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), lambda x: replace(x, chr(1), ''))")
+    return " || ".join(out)
+
+
 ORACLES = {
     "tokenize_counts": f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens, len(list_distinct({TOKENS_SQL})) AS n_distinct FROM documents",
     "normalize_whitespace": rf"""
@@ -192,9 +202,9 @@ ORACLES = {
                coalesce(array_to_string(list_sort(list_filter({_names(D.PEOPLE)}, lambda n: contains(text, n))), '|'), '') AS people,
                coalesce(array_to_string(list_sort(list_filter({_names(D.LOCATIONS)}, lambda n: contains(text, n))), '|'), '') AS locations FROM t""",
     "entities_pattern": f"""
-        SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_sort(list_distinct({' || '.join(f"regexp_extract_all(text, '{p}')" for p in D.COMPANY_PATTERNS)})), '|'), '') AS companies,
-               coalesce(array_to_string(list_sort(list_distinct({' || '.join(f"regexp_extract_all(text, '{p}')" for p in D.TECHNOLOGY_PATTERNS)})), '|'), '') AS technologies
-        FROM {values_sql(ENTITIES, 'id, text')}""",
+        WITH r AS (SELECT CAST(id AS BIGINT) AS id, text FROM {values_sql(ENTITIES, 'id, text')} UNION ALL SELECT doc_id + 1000, text FROM documents),
+        m AS (SELECT id, regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(1), 'g') AS text FROM r)
+        SELECT id, coalesce(array_to_string(list_sort(list_distinct({_matches_sql(D.COMPANY_PATTERNS)})), '|'), '') AS companies, coalesce(array_to_string(list_sort(list_distinct({_matches_sql(D.TECHNOLOGY_PATTERNS)})), '|'), '') AS technologies FROM m""",
     "episode_truncate": """
         WITH h AS (SELECT doc_id, source, text, substr(text, 1, 6000) AS head FROM documents),
         e AS (SELECT *, greatest(CASE WHEN instr(reverse(head), ' .') > 0 THEN 6000 - instr(reverse(head), ' .') - 1 ELSE -1 END,

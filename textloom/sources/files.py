@@ -14,6 +14,7 @@ FORMATS = {
     "documents": "*.{pdf,tex}",
     "office": "*.{pdf,docx,pptx,xlsx}",
     "web": "*.{html,htm}",
+    "audio": "*.{mp3,wav,m4a,flac}",
 }
 
 GOLDEN = """test_cases array<struct<id string, category string, difficulty string, question string, expected_chunks array<string>,
@@ -65,10 +66,38 @@ def discovered(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
     return out
 
 
+def metadata(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add frontmatter (a map of its `key: value` lines, null without a block), line_count, word_count and file_size."""
+    t = F.col(text)
+    block = F.nullif(F.regexp_extract(t, r"(?s)^---\n(.*?)\n---\n", 1), F.lit(""))
+    pairs = F.filter(F.transform(F.split(block, "\n"), lambda x: F.split(x, r":\s*", 2)), lambda x: F.size(x) == 2)
+    front = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(x[0]), F.regexp_replace(F.trim(x[1]), "^[\"']|[\"']$", ""))))
+    return docs.withColumns({"frontmatter": front, "line_count": F.size(F.split(t, "\n", -1)), "word_count": F.size(F.array_remove(F.split(t, r"\s+"), "")), "file_size": F.octet_length(t)})
+
+
+def export(docs: DataFrame, path: str, form: str, title: str = "title", text: str = "text") -> None:
+    """Documents as files of lines below `path`: `json`, `markdown` or `html`, a line for each; other forms are an error."""
+    if form == "json":
+        docs.write.mode("overwrite").json(path)
+        return
+    escaped = F.col(text)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(name))
+    forms = {"markdown": F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), F.col(text), F.lit("\n")), "html": F.concat(F.lit("<article><h1>"), F.col(title), F.lit("</h1><p>"), F.replace(escaped, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p></article>"))}
+    if form not in forms:
+        raise ValueError(f"unknown form {form!r}; known: {sorted([*forms, 'json'])}")
+    docs.select(forms[form].alias("value")).write.mode("overwrite").text(path)
+
+
 def write_report(summary: DataFrame, path: str, title: str) -> None:
-    """A summary as JSON rows and as a markdown table, side by side below `path`."""
-    summary.write.mode("overwrite").json(f"{path}/json")
+    """A summary, a row for each thing summed up, as JSON rows and as tables in markdown and HTML, side by side below `path`."""
     names = summary.columns
-    head = summary.sparkSession.createDataFrame([(0, f"# {title}\n\n| {' | '.join(names)} |\n|{'---|' * len(names)}")], "_o int, value string")
-    body = summary.select(F.lit(1).alias("_o"), F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)), F.lit(" |")).alias("value"))
-    head.unionByName(body).orderBy("_o", "value").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    summary.write.mode("overwrite").json(f"{path}/json")
+    forms = {
+        "markdown": (f"# {title}\n\n| {' | '.join(names)} |\n|{'---|' * len(names)}", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")), None),
+        "html": (f"<h1>{title}</h1><table><tr><th>{'</th><th>'.join(names)}</th></tr>", F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>")), "</table>"),
+    }
+    for form, (head, line, tail) in forms.items():
+        ends = summary.sparkSession.createDataFrame([(0, head)] + ([(2, tail)] if tail else []), "_o int, value string")
+        ends.unionByName(summary.select(F.lit(1).alias("_o"), line.alias("value"))).orderBy("_o", "value").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/{form}")

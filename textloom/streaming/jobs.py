@@ -13,13 +13,19 @@ LATENESS = "10 minutes"
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str) -> StreamingQuery:
     """Append new files of `source` to the Parquet table `target`, each key once; restarts go on from the checkpoint.
 
-    A batch that runs again after a failure overwrites its own folder, so no
-    row is written twice.
+    A key that an earlier batch has written is left out, also where it comes
+    again in a later run. A batch that runs again after a failure overwrites
+    its own folder, so no row is written twice. Rows without a key are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
         order = Window.partitionBy(key).orderBy(F.lit(0))
         one = batch.where(F.col(key).isNotNull()).withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
+        folder = own.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if folder.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            stored = own.read.schema(f"{schema}, batch long").parquet(target).where(F.col("batch") != number)
+            one = one.join(stored.select(key), key, "left_anti").select(*batch.columns)
         one.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -30,10 +36,10 @@ def timed(traces: DataFrame) -> DataFrame:
 
 
 def windowed_health(traces: DataFrame, length: str = "1 hour") -> DataFrame:
-    """Count, failures, mean and approximate p95 per window and component; late rows beyond the watermark are left out."""
+    """Count, failures, mean and exact p95 per window and component; late rows beyond the watermark are left out."""
     grouped = timed(traces).groupBy(F.window("ts", length), F.col("event_type").alias("component"))
-    out = grouped.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.avg("value").alias("mean_ms"), F.percentile_approx("value", 0.95).alias("p95_ms"))
-    return out.select(F.col("window.start").alias("start"), "component", "n", "failures", F.round("mean_ms", 6).alias("mean_ms"), "p95_ms")
+    out = grouped.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.avg("value").alias("mean_ms"), F.percentile("value", 0.95).alias("p95_ms"))
+    return out.select(F.col("window.start").alias("start"), "component", "n", "failures", F.round("mean_ms", 6).alias("mean_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
 def sessions(events: DataFrame, gap: str = "60 minutes") -> DataFrame:
