@@ -152,26 +152,28 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     or more; items over half share with no other of them; what items of s to
     half don't find beside those takes room of its own.
     """
-    best = -(-sum(k * v for k, v in counts.items()) // capacity)
-    lengths = sorted(counts)
-    for s in {0, *(k for k in lengths if 2 * k <= capacity)}:
-        alone = sum(counts[k] for k in lengths if k > capacity - s)
-        large = [(k, counts[k]) for k in lengths if capacity - s >= k and 2 * k > capacity]
-        small = sum(k * counts[k] for k in lengths if s <= k and 2 * k <= capacity)
-        n = sum(v for _, v in large)
-        room = n * capacity - sum(k * v for k, v in large)
-        best = max(best, alone + n + max(0, -(-(small - room) // capacity)))
-    return best
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 8000, branch: int = 8, steps: int = 2000) -> Plan:
+    lengths = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in lengths.tolist()], np.int64)
+    before = lambda x: np.concatenate(([0], np.cumsum(x)))  # noqa: E731  sums of what is shorter
+    items, volume = before(n), before(n * lengths)
+    best = -(-int(volume[-1]) // capacity)
+    half = np.searchsorted(lengths, capacity // 2, "right")
+    s = np.concatenate(([0], lengths[:half]))
+    top = np.maximum(np.searchsorted(lengths, capacity - s, "right"), half)  # from here on items share with none of s or more
+    large, small = items[top] - items[half], volume[half] - volume[np.searchsorted(lengths, s)]
+    room = large * capacity - (volume[top] - volume[half])
+    rest = np.maximum(0, -(-(small - room) // capacity))
+    return max(best, int((items[-1] - items[top] + large + rest).max()))
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000, branch: int = 8, steps: int = 1000) -> Plan:
     """Pack a histogram by branch and bound.
 
     Depth first: around the largest length that is left, the undominated
     fillings are tried, the fullest first, each as often as the counts allow
     and then less often. The incumbent starts as best-fit decreasing and takes
     every better packing found; a branch is pruned when the sequences used plus
-    the bound of the rest can't beat it. The search ends at the bound of the
+    the volume bound of the rest can't beat it. The search ends at the bound of the
     whole, when it is exhausted, or after `nodes` nodes; `branch` fillings of a
     node are followed, found in `steps` steps. Where one of these three limits
     was met and the bound wasn't, `proved` is false.
@@ -218,8 +220,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 8000, bra
             continue
         chain = ((repeats, sorted(need.items(), reverse=True)), path)
         if rest:
-            if more + lower_bound(rest, capacity) < best:
-                stack.append(frame(rest, now, more, chain))
+            stack.append(frame(rest, now, more, chain))
             continue
         best, incumbent = more, []
         while chain:
