@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,11 +152,16 @@ def _merge(k: int, ranked: bool):
 
 
 def _scores(batches):
-    """Inner products of the original vectors in double precision."""
+    """Inner products of the original vectors in double precision, summed from the first component to the last."""
     for batch in batches:
+        dims = pc.list_value_length(batch["q"]).to_numpy()
         sides = [(batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64), batch[c].offsets.to_numpy() - batch[c].offsets[0].as_py()) for c in ("q", "v")]
-        both = sides[0][0] * sides[1][0]
-        sums = np.add.reduceat(both, sides[0][1][:-1]) if len(both) else np.empty(0)
+        sums = np.zeros(batch.num_rows)
+        for dim in np.unique(dims):
+            mine = np.flatnonzero(dims == dim)
+            (q, q_at), (v, v_at) = ((flat, at[:-1][mine]) for flat, at in sides)
+            for d in range(int(dim)):
+                sums[mine] += q[q_at + d] * v[v_at + d]
         yield pa.record_batch([batch["query_id"], batch["vec_id"], pa.array(sums)], ["query_id", "vec_id", "score"])
 
 

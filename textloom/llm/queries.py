@@ -13,15 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four parts, each appended on its own; the store is then compacted."""
+    """Documents arrive in four parts, each appended on its own; the store is then compacted and read back: every row with the size and digest of its text, and how many shards are still due for a merge."""
     docs = _table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, storage.new_path(spark, "shards"))
     for part in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part))
     store.compact()
     store.vacuum()
-    rows = store.read()
-    return rows.select("doc_id", "shard", "tier", "version", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), F.lit(store.due()).alias("shards_due"))
 
 
 def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +70,13 @@ def op10_warc_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op4_weighted_minhash_dedup, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records)}
 
 ORACLES = {
+    "op1_size_tiered_shards": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes, md5(text) AS text_md5, 0::BIGINT AS shards_due FROM documents",
+    "op5_block_matrix_search": """
+        WITH c AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)
+        SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, list_inner_product(q.v, c.v) AS score
+        FROM c q JOIN c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v) QUALIFY rank <= 20""",
     "op10_warc_chunk_records": """
         WITH p AS (
             SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes

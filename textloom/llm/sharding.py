@@ -161,6 +161,10 @@ class ShardStore:
         numbered = groups.select("tier", "_part", (F.row_number().over(Window.orderBy("tier", "_part")) - 1).alias("group"))  # a row for each merged shard
         return cut.join(numbered, ["tier", "_part"]).select("run", "number", "group")
 
+    def due(self) -> int:
+        """How many shards of the newest version `compact` would merge next."""
+        return self._due(self.manifest()).count()
+
     def compact(self) -> int:
         """Merge similarly sized shards until no tier is due; returns the newest version.
 
