@@ -64,6 +64,10 @@ def extractive_answer(s, d):
 QUERIES = {f.__name__: f for f in (match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
 
 ORACLES = {
+    "maxsim_rerank": f"""
+        WITH t AS (SELECT CAST(query_id AS INTEGER) AS query_id, CAST(doc_id AS INTEGER) AS doc_id, qt, dt FROM {values_sql(TOKENS, 'query_id, doc_id, qt, dt')}),
+        n AS (SELECT query_id, doc_id, list_transform(qt, lambda a: list_max(list_transform(dt, lambda b: coalesce(list_inner_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[])), 0), 0)))) AS best FROM t)
+        SELECT query_id, doc_id, round(list_sum(best), 6) AS score FROM n""",
     "match_chunks": f"WITH n AS (SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10) SELECT n.vec_id, score, source, lang FROM n JOIN documents ON doc_id = vec_id",
     "equation_exact_match": f"SELECT CAST(equation_id AS INTEGER) AS equation_id, chunk_id FROM {values_sql(POINTS, 'equation_id, latex, chunk_id')} WHERE replace(latex, ' ', '') = 'E=mc^2'",
     "rerank_pooled": f"""

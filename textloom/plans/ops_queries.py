@@ -36,6 +36,13 @@ def _traces(s, d):
     return table(s, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("component"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("failed"))
 
 
+def _uses(s, d):
+    """The literal uses of chunks and one for each event, of twenty chunks by its user's answer."""
+    e, part = table(s, d, "events"), lambda k: (F.col("event_id") * k % 101) / 100
+    made = e.select((F.col("user_id") + 1000).cast("int").alias("answer_id"), F.concat(F.lit("c"), (F.col("event_id") % 20).cast("string")).alias("chunk_id"), part(37).alias("relevance"), part(53).alias("confidence"), F.col("event_id").cast("int").alias("use"))
+    return rows_df(s, USES, "answer_id int, chunk_id string, relevance double, confidence double, use int").unionByName(made)
+
+
 def chunk_fixed_stride(s, d):
     return _chunks(s, d).select("doc_id", F.col("chunk_index").cast("long"), F.col("start_char").cast("long"), F.col("end_char").cast("long"), F.md5("content").alias("digest"))
 
@@ -194,7 +201,7 @@ def degradation_gate(s, d):
 
 
 def citation_rank(s, d):
-    return G.tracked(rows_df(s, USES, "answer_id int, chunk_id string, relevance double, confidence double, use int"))
+    return G.tracked(_uses(s, d))
 
 
 def citation_confidence(s, d):
@@ -244,7 +251,7 @@ _ROLL = """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS positio
     FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"""
 _CITED = f"""
     WITH u AS (SELECT CAST(answer_id AS INTEGER) AS answer_id, chunk_id, arg_min(relevance, use)::DOUBLE AS relevance, arg_min(confidence, use)::DOUBLE AS confidence, count(*) AS usage_count
-               FROM {values_sql(USES, 'answer_id, chunk_id, relevance, confidence, use')} GROUP BY answer_id, chunk_id),
+               FROM (SELECT * FROM {values_sql(USES, 'answer_id, chunk_id, relevance, confidence, use')} UNION ALL SELECT user_id + 1000, 'c' || (event_id % 20), (event_id * 37 % 101) / 100.0::DOUBLE, (event_id * 53 % 101) / 100.0::DOUBLE, event_id FROM events) GROUP BY answer_id, chunk_id),
     c AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY relevance DESC, usage_count DESC, chunk_id) AS rank FROM u WHERE relevance >= 0.5 AND confidence >= 0.5)"""
 _G = values_sql(GOLDEN, "id, category, difficulty, question, ground_truth")
 _E = values_sql(EDGES, "src, dst, kind")

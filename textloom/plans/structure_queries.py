@@ -14,9 +14,9 @@ from ..operators import prompts as P
 from ..operators import relational as R
 from ..operators import vectors as O
 from .common import literal, rows_df, table, values_sql
-from .ops_queries import ANSWERS, META, USES, _CITED
+from .ops_queries import ANSWERS, META, _CITED, _uses
 from .search_queries import _asked, _bm25_sql
-from .text_queries import FILES, LATEX, LATEX_SQL, TOKENS_SQL
+from .text_queries import FILES_SQL, LATEX, LATEX_SQL, TOKENS_SQL, _files
 
 #: A LaTeX source made of each document: plain pieces, and SQL that both engines read in brackets.
 BOOK = [
@@ -94,11 +94,8 @@ def parser_report(s, d):
 
 
 def project_chunks(s, d):
-    """Metadata of the whole project for each file's chunk; files of a thousand projects made from the documents are added."""
-    schema = "dir string, file string, text string"
-    docs = table(s, d, "documents").where("doc_id IS NOT NULL")
-    made = docs.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 5).cast("string")).alias("dir"), F.concat(F.lit("Ch"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("_x.tex")).alias("file"), F.concat(F.lit("\\chapter{T"), F.col("doc_id").cast("string"), F.lit("} \\input{a} \\myexternaldocument{Ch"), (F.col("doc_id") % 3).cast("string"), F.lit("}")).alias("text"))
-    files = rows_df(s, FILES, schema).unionByName(made)
+    """Metadata of the whole project for each file's chunk."""
+    files = _files(s, d)
     out = X.with_projects(files.where("file LIKE '%.tex'").select("dir", "file"), files, D.projects(files), D.chapters(files), D.cross_references(files))
     return out.withColumn("references_chapters", F.array_join("references_chapters", "|"))
 
@@ -172,18 +169,18 @@ def prompt_kinds(s, d):
     return rows.select("query_id", F.explode(F.create_map(*(x for k, v in asked.items() for x in (F.lit(k), F.struct(v["system"], v["user"]))))).alias("kind", "p")).select("query_id", "kind", F.md5("p.col1").alias("system"), F.md5("p.col2").alias("user"))
 
 
-def _cited(s):
-    return G.tracked(rows_df(s, USES, "answer_id int, chunk_id string, relevance double, confidence double, use int"))
+def _cited(s, d):
+    return G.tracked(_uses(s, d))
 
 
 def answer_sources(s, d):
     meta = rows_df(s, META, "n int, chunk_id string, meta string").select("chunk_id", F.expr("str_to_map(meta, '[|]', '=')").alias("meta"))
-    rows = _cited(s).join(meta, "chunk_id").select("answer_id", "rank", G.citation_text("ieee", F.col("rank"), F.lit("")).alias("citation"), G.source_info(F.col("meta"), F.col("chunk_id")).alias("info"), G.source_link(F.col("meta")).alias("link"))
+    rows = _cited(s, d).join(meta, "chunk_id").select("answer_id", "rank", G.citation_text("ieee", F.col("rank"), F.lit("")).alias("citation"), G.source_info(F.col("meta"), F.col("chunk_id")).alias("info"), G.source_link(F.col("meta")).alias("link"))
     return P.with_sources(rows_df(s, ANSWERS, "answer_id int, answer string"), rows)
 
 
 def citation_summary(s, d):
-    return P.citation_summary(rows_df(s, USES, "answer_id int, chunk_id string, relevance double, confidence double, use int"), _cited(s))
+    return P.citation_summary(_uses(s, d), _cited(s, d))
 
 
 def _results(s, d):
@@ -272,8 +269,6 @@ _CHECKED = f"""{_B},
           coalesce(len(list_filter(regexp_extract_all(markdown, '\\$\\$([^$]+)\\$\\$', 1), lambda e: length(replace(e, '{{', '')) <> length(replace(e, '}}', '')) OR length(replace(e, '[', '')) <> length(replace(e, ']', '')))) = 0, false) AS syntax_valid FROM p),
     r AS (SELECT *, CASE WHEN markdown IS NULL THEN 0.0::DOUBLE WHEN original > 0 THEN kept / original ELSE 1.0::DOUBLE END AS preservation FROM c),
     v AS (SELECT *, CASE WHEN markdown IS NULL THEN 'Parser failed' ELSE concat_ws('|', CASE WHEN preservation < 0.95 THEN printf('Equation preservation rate %.1f%% below target 95.0%%', preservation * 100) END, CASE WHEN NOT syntax_valid THEN 'Invalid LaTeX syntax detected in equations' END) END AS issues FROM r)"""
-_FILES = f"""(SELECT * FROM {values_sql(FILES, 'dir, file, text')} UNION ALL SELECT 'p' || (doc_id // 5), 'Ch' || (doc_id % 5 + 1) || '_x.tex', '\\chapter{{T' || doc_id || '}} \\input{{a}} \\myexternaldocument{{Ch' || (doc_id % 3) || '}}' FROM documents)"""
-
 
 def _template_sql(kind: str, **values: str) -> str:
     import re
@@ -310,7 +305,7 @@ ORACLES = {
     "parser_validation": f"{_CHECKED} SELECT id, original, kept, round(preservation, 6) AS preservation, syntax_valid, issues = '' AS passed, issues FROM v",
     "parser_report": f"{_CHECKED} SELECT count(*) AS total_files, count(*) FILTER (issues = '') AS passed, count(*) FILTER (issues <> '') AS failed, round(count(*) FILTER (issues = '') / count(*), 6) AS pass_rate, round(avg(preservation), 6) AS avg_preservation FROM v",
     "project_chunks": rf"""
-        WITH f AS MATERIALIZED (SELECT * FROM {_FILES}), t AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY file) AS n FROM f WHERE file LIKE '%.tex'),
+        WITH f AS MATERIALIZED (SELECT * FROM {FILES_SQL}), t AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY file) AS n FROM f WHERE file LIKE '%.tex'),
         pr AS (SELECT dir, last(split_part(dir, '/', -1)) AS project_name, bool_or(has) AS has_custom_class FROM (SELECT dir, file LIKE '%.cls' AS has FROM f) GROUP BY dir),
         ok AS (SELECT pr.* FROM pr JOIN (SELECT dir, count(*) AS n_tex, bool_or(n <= 3 AND regexp_matches(text, '\\myexternaldocument|\\input')) AS links FROM t GROUP BY dir) USING (dir) WHERE n_tex >= 3 AND (has_custom_class OR links)),
         ch AS (SELECT dir, file, CAST(nullif(regexp_extract(file, 'Ch(\d+)_.*\.tex', 1), '') AS INTEGER) AS number, nullif(regexp_extract(text, '\\chapter(?:\[[^\]]*\])?\{{([^}}]+)\}}', 1), '') AS title, contains(lower(file), 'app') AS is_appendix FROM f),

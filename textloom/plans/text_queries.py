@@ -38,6 +38,31 @@ LATEX_SQL = "(SELECT CAST(id AS INTEGER) AS id, text FROM " + values_sql(LATEX,
 MIXED_SQL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM {LATEX_SQL})"
 
 
+#: Markdown made of each document, LaTeX that may be broken, and files of a project for every five documents, in SQL that both engines read.
+_MD_EXPR = "concat('# D', CAST(doc_id AS STRING), {n}, replace(substr(text, 1, 120), {n}, ' '), {n}, '## S', CAST(doc_id % 4 AS STRING), {n}, 'x', {n}, CASE WHEN doc_id % 3 = 0 THEN concat('### Deep', {n}) ELSE '' END, 'y', {n}, '# Second', {n}, replace(substr(text, 121, 80), {n}, ' '))"
+_BROKEN_EXPR = "CASE doc_id % 4 WHEN 0 THEN concat(substr(text, 1, 60), '{{') WHEN 1 THEN concat({b}, 'begin{{align}}', substr(text, 1, 40)) WHEN 2 THEN concat({b}, 'left(', substr(text, 1, 30), '}}') ELSE substr(text, 1, 6000) END"
+MARKDOWN_SQL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {values_sql(MARKDOWN, 'id, text')} UNION ALL SELECT doc_id + 100, {_MD_EXPR.format(n='chr(10)')} FROM documents)"
+BROKEN_SQL = f"(SELECT CAST(id AS BIGINT) AS id, latex FROM {values_sql(BROKEN, 'id, latex')} UNION ALL SELECT doc_id + 100, {_BROKEN_EXPR.format(b='chr(92)')} FROM documents)"
+FILES_SQL = f"""(SELECT * FROM {values_sql(FILES, 'dir, file, text')} UNION ALL SELECT 'p' || (doc_id // 5), 'Ch' || (doc_id % 5 + 1) || '_x.tex', chr(92) || 'chapter{{T' || doc_id || '}} ' || chr(92) || 'input{{a}} ' || chr(92) || 'myexternaldocument{{Ch' || (doc_id % 3) || '}}' FROM documents)"""
+
+
+def _markdown(s: SparkSession, d: str) -> DataFrame:
+    return rows_df(s, MARKDOWN, "id long, text string").unionByName(_docs(s, d).select((F.col("doc_id") + 100).alias("id"), F.expr(_MD_EXPR.format(n="chr(10)")).alias("text")))
+
+
+def _broken(s: SparkSession, d: str) -> DataFrame:
+    return rows_df(s, BROKEN, "id long, latex string").unionByName(_docs(s, d).select((F.col("doc_id") + 100).alias("id"), F.expr(_BROKEN_EXPR.format(b="chr(92)")).alias("latex")))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    made = _docs(s, d).select(
+        F.concat(F.lit("p"), F.floor(F.col("doc_id") / 5).cast("string")).alias("dir"),
+        F.concat(F.lit("Ch"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("_x.tex")).alias("file"),
+        F.concat(F.lit("\\chapter{T"), F.col("doc_id").cast("string"), F.lit("} \\input{a} \\myexternaldocument{Ch"), (F.col("doc_id") % 3).cast("string"), F.lit("}")).alias("text"),
+    )
+    return rows_df(s, FILES, "dir string, file string, text string").unionByName(made)
+
+
 def _mixed(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select(F.col("doc_id").alias("id"), "text").unionByName(_latex(s).select((-F.col("id")).cast("long").alias("id"), "text"))
 
@@ -63,7 +88,7 @@ def latex_refs(s, d):
 
 
 def latex_to_markdown(s, d):
-    return _latex(s).select("id", T.to_markdown(F.col("text")).alias("markdown"))
+    return _mixed(s, d).select("id", F.md5(T.to_markdown(F.col("text"))).alias("digest"))
 
 
 def enrich_chunks(s, d):
@@ -72,19 +97,19 @@ def enrich_chunks(s, d):
 
 
 def latex_clean(s, d):
-    return D.clean_latex(rows_df(s, BROKEN, "id int, latex string"), "latex")
+    return D.clean_latex(_broken(s, d), "latex")
 
 
 def latex_validate(s, d):
-    return rows_df(s, BROKEN, "id int, latex string").select("id", T.latex_error(F.col("latex")).alias("error"))
+    return _broken(s, d).select("id", T.latex_error(F.col("latex")).alias("error"))
 
 
 def markdown_sections(s, d):
-    return D.sections(rows_df(s, MARKDOWN, "id int, text string"), "id", "text")
+    return D.sections(_markdown(s, d), "id", "text")
 
 
 def section_asof(s, d):
-    docs = rows_df(s, MARKDOWN, "id int, text string")
+    docs = _markdown(s, d)
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "row")).select("id", (F.col("at") + 1).cast("long").alias("line"), "row")
     out = D.section_of(D.sections(docs, "id", "text"), lines, "id", "line")
     return out.select("id", "line", F.array_join("section_path", " > ").alias("path"))
@@ -115,15 +140,15 @@ def parser_fallback(s, d):
 
 
 def project_detect(s, d):
-    return D.projects(rows_df(s, FILES, "dir string, file string, text string")).select("dir", "n_tex", "has_class", "has_links", "is_project")
+    return D.projects(_files(s, d)).select("dir", "n_tex", "has_class", "has_links", "is_project")
 
 
 def chapter_info(s, d):
-    return D.chapters(rows_df(s, FILES, "dir string, file string, text string"))
+    return D.chapters(_files(s, d))
 
 
 def xref_degrees(s, d):
-    edges = D.cross_references(rows_df(s, FILES, "dir string, file string, text string"))
+    edges = D.cross_references(_files(s, d))
     return edges.groupBy("dir", "src").agg(F.count("*").alias("out_degree"), F.array_join(F.array_sort(F.collect_list("dst")), "|").alias("targets"))
 
 
@@ -157,7 +182,26 @@ def _matches_sql(patterns: tuple[str, ...]) -> str:
     return " || ".join(out)
 
 
+def _markdown_sql() -> str:
+    """`to_markdown` in SQL."""
+    x = r"coalesce(nullif(regexp_extract(text, '(?s)\\begin\{document\}(.+?)\\end\{document\}', 1), ''), text)"
+    for name, marks in T.HEADINGS.items():
+        x = rf"regexp_replace({x}, '\\{name}(?:\[([^\]]+)\])?\{{([^}}]+)\}}', chr(10) || '{marks} \2' || chr(10), 'g')"
+    x = rf"regexp_replace({x}, '(?s)\\begin\{{equation\}}\s*(.+?)\s*\\end\{{equation\}}', chr(10) || '$$' || chr(10) || '\1' || chr(10) || '$$' || chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({x}, '\\label\{{[^}}]+\}}', '', 'g'), '\\[a-zA-Z]+\{{([^}}]+)\}}', '\1', 'g')"
+
+
+def _times(needle: str) -> str:
+    return f"(length(latex) - length(replace(latex, '{needle}', ''))) // {len(needle)}"
+
+
 ORACLES = {
+    "latex_to_markdown": f"SELECT id, md5({_markdown_sql()}) AS digest FROM {MIXED_SQL}",
+    "latex_validate": rf"""
+        WITH c AS (SELECT id, latex AS x, length(latex) - length(replace(latex, '{{', '')) AS o, length(latex) - length(replace(latex, '}}', '')) AS c, {', '.join(f"{_times(chr(92) + 'begin{' + e + '}')} AS b_{e}, {_times(chr(92) + 'end{' + e + '}')} AS e_{e}" for e in T.BALANCED)}, {_times(chr(92) + 'left')} AS l, {_times(chr(92) + 'right')} AS r FROM {BROKEN_SQL})
+        SELECT id, CASE WHEN x IS NULL OR x = '' THEN 'Empty or invalid input' WHEN o <> c THEN printf('Unbalanced braces: %d open, %d close', o, c) {' '.join(f"WHEN b_{e} <> e_{e} THEN printf('Unbalanced {e} environment: %d begin, %d end', b_{e}, e_{e})" for e in T.BALANCED)}
+            WHEN l <> r THEN printf('Unbalanced \left/\right: %d left, %d right', l, r) WHEN regexp_matches(x, '[_^\\]\s*$') THEN 'Incomplete command at end'
+            WHEN len(list_filter(list_distinct(string_split(x, '')), lambda v: contains(x, repeat(v, 101)))) > 0 THEN 'Excessive character repetition (possible infinite loop)' WHEN length(x) > 5000 THEN printf('LaTeX too long (%d chars, max 5000)', length(x)) END AS error FROM c""",
     "tokenize_counts": f"SELECT doc_id, len({TOKENS_SQL}) AS n_tokens, len(list_distinct({TOKENS_SQL})) AS n_distinct FROM documents",
     "normalize_whitespace": rf"""
         SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM {MIXED_SQL}""",
@@ -185,13 +229,13 @@ ORACLES = {
                len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS token_count
         FROM e""",
     "markdown_sections": rf"""
-        WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {values_sql(MARKDOWN, 'id, text')})
-        SELECT CAST(id AS INTEGER) AS id, CAST(line AS BIGINT) AS line, length(regexp_extract(row, '^(#{{1,6}})\s+', 1)) AS level, regexp_extract(row, '^#{{1,6}}\s+(.+)$', 1) AS title
+        WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {MARKDOWN_SQL})
+        SELECT id, CAST(line AS BIGINT) AS line, length(regexp_extract(row, '^(#{{1,6}})\s+', 1)) AS level, regexp_extract(row, '^#{{1,6}}\s+(.+)$', 1) AS title
         FROM l WHERE regexp_matches(row, '^#{{1,6}}\s+.+$')""",
     "section_asof": rf"""
-        WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {values_sql(MARKDOWN, 'id, text')}),
+        WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {MARKDOWN_SQL}),
         h AS (SELECT id, line, length(regexp_extract(row, '^(#{{1,6}})\s+', 1)) AS level, regexp_extract(row, '^#{{1,6}}\s+(.+)$', 1) AS title FROM l WHERE regexp_matches(row, '^#{{1,6}}\s+.+$'))
-        SELECT CAST(l.id AS INTEGER) AS id, CAST(l.line AS BIGINT) AS line, coalesce(string_agg(h.title, ' > ' ORDER BY h.level), '') AS path
+        SELECT l.id, CAST(l.line AS BIGINT) AS line, coalesce(string_agg(h.title, ' > ' ORDER BY h.level), '') AS path
         FROM l LEFT JOIN h ON h.id = l.id AND h.line <= l.line
           AND NOT EXISTS (SELECT 1 FROM h x WHERE x.id = h.id AND x.line > h.line AND x.line <= l.line AND x.level <= h.level)
         GROUP BY l.id, l.line""",
@@ -221,15 +265,15 @@ ORACLES = {
         WITH p AS (SELECT CAST(id AS INTEGER) AS id, CASE WHEN length(trim(a)) >= 100 THEN a WHEN length(trim(b)) >= 100 THEN b END AS content FROM {values_sql(PARSES, 'id, a, b')})
         SELECT id, length(content) AS n, content IS NULL AS failed FROM p""",
     "project_detect": rf"""
-        WITH f AS (SELECT *, file LIKE '%.tex' AS tex, row_number() OVER (PARTITION BY dir, file LIKE '%.tex' ORDER BY file) AS i FROM {values_sql(FILES, 'dir, file, text')}),
+        WITH f AS (SELECT *, file LIKE '%.tex' AS tex, row_number() OVER (PARTITION BY dir, file LIKE '%.tex' ORDER BY file) AS i FROM {FILES_SQL}),
         g AS (SELECT dir, count(*) FILTER (tex) AS n_tex, bool_or(file LIKE '%.cls') AS has_class, bool_or(tex AND i <= 3 AND regexp_matches(text, '\\myexternaldocument|\\input')) AS has_links FROM f GROUP BY dir)
         SELECT *, n_tex >= 3 AND (has_class OR has_links) AS is_project FROM g""",
     "chapter_info": rf"""
         SELECT dir, file, CAST(nullif(regexp_extract(file, 'Ch(\d+)_.*\.tex', 1), '') AS INTEGER) AS number, nullif(regexp_extract(text, '\\chapter(?:\[[^\]]*\])?\{{([^}}]+)\}}', 1), '') AS title,
                contains(lower(file), 'app') AS is_appendix, (length(text) - length(replace(text, '$', ''))) + (length(text) - length(replace(text, '\begin{{equation}}', ''))) // 16 > 10 AS has_equations
-        FROM {values_sql(FILES, 'dir, file, text')}""",
+        FROM {FILES_SQL}""",
     "xref_degrees": rf"""
-        WITH e AS (SELECT dir, file AS src, unnest(regexp_extract_all(text, '\\myexternaldocument\{{([^}}]+)\}}', 1)) AS dst FROM {values_sql(FILES, 'dir, file, text')})
+        WITH e AS (SELECT dir, file AS src, unnest(regexp_extract_all(text, '\\myexternaldocument\{{([^}}]+)\}}', 1)) AS dst FROM {FILES_SQL})
         SELECT dir, src, count(*) AS out_degree, string_agg(dst, '|' ORDER BY dst) AS targets FROM e GROUP BY dir, src""",
     "html_to_text": r"""
         WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
