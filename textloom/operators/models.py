@@ -49,14 +49,13 @@ def hashing_embedder(dims: int = 256) -> Embedder:
 def embed(rows: DataFrame, text: str, out: str = "vector", embedder: Embedder | None = None, dims: int | None = None) -> DataFrame:
     """Add a vector; `dims` keeps the first dimensions and normalises again."""
     run = embedder or hashing_embedder()
-    rows = spread(rows)
     column = F.pandas_udf(lambda s: pd.Series(run(s)), "array<float>")(F.col(text))
     return rows.withColumn(out, column if dims is None else V.truncate(column, dims))
 
 
 def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embedder: Embedder | None = None) -> DataFrame:
     """content_key, vector of each distinct text: from the cache where it has the key, else embedded once."""
-    keyed = rows.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    keyed = spread(rows).select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fresh = keyed.join(cache, "content_key", "left_anti").groupBy("content_key").agg(F.first("_text").alias("_text"))
     known = cache.join(keyed.select("content_key").distinct(), "content_key", "left_semi").select("content_key", "vector")
     return known.unionByName(embed(fresh, "_text", embedder=embedder).select("content_key", "vector"))
@@ -82,8 +81,8 @@ def embedded_batches(rows: DataFrame, done: DataFrame, text: str, key: str, atte
                     vectors = None
             yield pd.DataFrame({"key": pdf["key"], "vector": vectors or [None] * len(pdf), "attempts": tries, "failed": vectors is None})
 
-    todo = rows.join(done.select(F.col("key").alias(key)), key, "left_anti").select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return spread(todo).mapInPandas(batches, "key string, vector array<float>, attempts int, failed boolean")
+    todo = spread(rows).join(done.select(F.col("key").alias(key)), key, "left_anti").select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return todo.mapInPandas(batches, "key string, vector array<float>, attempts int, failed boolean")
 
 
 def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, embedder: Embedder | None = None) -> DataFrame:
@@ -94,7 +93,7 @@ def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100
     """
     weights = lexical.analyze(queries, "query").select("query_id", (1 - F.col("alpha")).alias("semantic_weight"))
     asked = embed(queries, "query", "q", embedder).select("query_id", "q")
-    texts = embed(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "text", "v", embedder).select("doc_id", "v")
+    texts = embed(spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text")), "text", "v", embedder).select("doc_id", "v")
     near = search.batch_top_k(asked.select(F.col("query_id"), "q"), texts.select(F.col("doc_id").alias("id"), "v"), depth, own=True).withColumnRenamed("id", "doc_id")
     both = lexical.rrf(near, lexical.bm25(queries, docs, depth), weights=weights, top=depth)
     candidates = both.select("query_id", "doc_id").join(texts, "doc_id").join(asked, "query_id")

@@ -11,7 +11,9 @@ MOST_BROADCAST = 1_000_000
 def spread(rows: DataFrame) -> DataFrame:
     """Deal rows out anew if their scan has fewer splits than the session has cores, as a small file of one row group has.
 
-    Large tables have more splits than cores and stay as they are.
+    Large tables have more splits than cores and stay as they are. `rows` should
+    be a scan with filters and projections; the number of splits of such a plan
+    is known without running it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
