@@ -94,4 +94,4 @@ def test_streams_equal_batches(spark, tmp_path):
         got = spark.read.parquet(str(tmp_path / name))
         batch = make(events)
         assert got.select("n").agg(F.sum("n")).first()[0] <= batch.agg(F.sum("n")).first()[0]
-        assert got.join(batch, [c for c in batch.columns if c not in ("mean_ms", "p95_ms")], "left_semi").count() >= 0.9 * got.count() > 0
+        assert got.join(batch, [c for c in batch.columns if c != "mean_ms"], "left_semi").count() >= 0.9 * got.count() > 0

@@ -248,6 +248,41 @@ def test_batches_that_fail_are_marked_and_taken_up_again(spark):
     assert models.embedded_batches(docs, done, "text", "doc_id").where("failed").count() == 0
 
 
+def test_generators_take_over_from_each_other(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "query_id long, prompt string").coalesce(1)
+
+    def broken(texts):
+        raise OSError("no model")
+
+    def picky(texts):
+        return [None if t == "b" else f"picky {t}" for t in texts]
+
+    got = {r["query_id"]: (r["answer"], r["provider"], r["attempts"], r["success"]) for r in models.generate(rows, {"x": broken, "y": picky, "z": lambda t: [f"last {v}" for v in t]}).collect()}
+    assert got == {1: ("picky a", "y", 5, True), 2: ("last b", "z", 5, True), 3: ("picky ", "y", 5, True)}
+    assert models.generate(rows, {"x": broken}, attempts=2).where("success OR answer IS NOT NULL OR attempts <> 2").count() == 0
+
+
+def test_texts_are_reranked_by_pooled_vectors(spark):
+    import pandas as pd
+
+    texts = ["beam load stress", "stress of a beam", "cooking pasta", "", None]
+    rows = spark.createDataFrame([(q, f"beam stress {q}", i, t) for q in (1, 2) for i, t in enumerate(texts)], "query_id int, query string, doc_id int, text string")
+    embed = models.hashing_embedder()
+    for q in (1, 2):
+        unit = np.array(embed(pd.Series([f"beam stress {q}"]))[0])
+        want = sorted(range(5), key=lambda i: (-round(float(np.array(embed(pd.Series([texts[i]]))[0]) @ unit), 6), i))[:3]
+        assert [r["doc_id"] for r in models.rerank_texts(rows, 3).where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
+def test_chunkers_check_their_options(spark):
+    docs = spark.createDataFrame([(1, "One two. Three four five. Six.")], "doc_id long, text string")
+    letters = lambda t: sum(c.isalpha() for c in t)
+    assert [(r["content"], r["token_count"]) for r in chunking.split(docs, "sentences", most=12, size=letters).collect()] == [("One two. ", 6), ("Three four five. ", 13), ("Six.", 3)]
+    for wrong in ({"most": 0}, {"most": 5, "overlap": 5}, {"overlap": -1}, {"words": 3}):
+        with pytest.raises(ValueError):
+            chunking.split(docs, "sliding", **wrong)
+
+
 def test_max_sim_by_hand(spark):
     rows = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 1.0], [1.0, 0.0]]), ([[3.0, 4.0]], [[0.0, 0.0]])], "q array<array<double>>, d array<array<double>>")
     assert [r["s"] for r in rows.select(models.max_sim(F.col("q"), F.col("d")).alias("s")).collect()] == [round(1 + 2**-0.5, 6), 0.0]

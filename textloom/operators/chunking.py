@@ -7,6 +7,7 @@ time. All kernels cover the whole text and always advance.
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,10 @@ def with_overlap(chunks: DataFrame, words: int = 50, doc_id: str = "doc_id") ->
 # --- kernels: text -> [(start, end)] ---------------------------------------------------
 
 
+def words_in(text: str) -> int:
+    return len(text.split())
+
+
 def _packed(text: str, cuts: list[int], size: Callable[[str], int], most: int) -> Iterator[tuple[int, int]]:
     """Greedy packing of the parts between cuts, each piece of at most `most` unless a part alone is larger."""
     start = 0
@@ -60,29 +65,25 @@ def _packed(text: str, cuts: list[int], size: Callable[[str], int], most: int) -
         yield start, at
 
 
-def words_in(text: str) -> int:
-    return len(text.split())
-
+def sentence_spans(text: str, most: int = 200, size: Callable[[str], int] = words_in) -> list[tuple[int, int]]:
+    """Sentences packed up to `most` words, or tokens if `size` counts those."""
+    return list(_packed(text, [m.end() for m in re.finditer(r"[.!?]+[\s\n]+", text)], size, most))
 
-def sentence_spans(text: str, most: int = 200) -> list[tuple[int, int]]:
-    """Sentences packed up to `most` words."""
-    return list(_packed(text, [m.end() for m in re.finditer(r"[.!?]+[\s\n]+", text)], words_in, most))
 
-
-def recursive_spans(text: str, most: int = 200, at: int = 0) -> list[tuple[int, int]]:
-    """Split at the coarsest break that helps (lines, sentences, clauses, words, halves) and pack up to `most` words."""
-    if words_in(text) <= most and len(text) <= 16 * most:
+def recursive_spans(text: str, most: int = 200, at: int = 0, size: Callable[[str], int] = words_in) -> list[tuple[int, int]]:
+    """Split at the coarsest break that helps (lines, sentences, clauses, words, halves) and pack up to `most` words, or tokens if `size` counts those."""
+    if size(text) <= most and len(text) <= 16 * most:
         return [(at, at + len(text))] if text else []
     for pattern in (r"\n+", r"[.!?]+\s+", r"[,;:]\s+", r"\s+"):
         cuts = [m.end() for m in re.finditer(pattern, text) if m.end() < len(text)]
         if cuts:
             out = []
-            for a, b in _packed(text, cuts, words_in, most):
-                out += [(at + a, at + b)] if (a, b) == (0, len(text)) else recursive_spans(text[a:b], most, at + a)
+            for a, b in _packed(text, cuts, size, most):
+                out += [(at + a, at + b)] if (a, b) == (0, len(text)) else recursive_spans(text[a:b], most, at + a, size)
             if len(out) > 1:
                 return out
     middle = len(text) // 2
-    return recursive_spans(text[:middle], most, at) + recursive_spans(text[middle:], most, at + middle)
+    return recursive_spans(text[:middle], most, at, size) + recursive_spans(text[middle:], most, at + middle, size)
 
 
 def paragraph_spans(text: str, most: int = 1000) -> list[tuple[int, int]]:
@@ -143,13 +144,22 @@ def headed_spans(text: str, most: int = 512) -> list[tuple[int, int, str]]:
 KERNELS = {"sliding_tail": sliding_tail_spans, "sentences": sentence_spans, "recursive": recursive_spans, "paragraphs": paragraph_spans, "structural": structural_spans, "sliding": sliding_spans}
 
 
-def split(docs: DataFrame, kernel: str | Callable[[str], list[tuple[int, int]]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The canonical chunk table by one of KERNELS or a function of a text; null and empty texts have no chunk."""
+def split(docs: DataFrame, kernel: str | Callable[[str], list[tuple[int, int]]], doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The canonical chunk table by one of KERNELS or a function of a text; null and empty texts have no chunk.
+
+    `options` are the kernel's: `most` (at least 1), `overlap` (at least 0 and
+    below `most`), `window`, and `size`, a function that counts a text's tokens.
+    """
     spans = KERNELS[kernel] if isinstance(kernel, str) else kernel
+    if options.get("most", 1) < 1 or not 0 <= options.get("overlap", 0) < options.get("most", 1000):
+        raise ValueError("most must be at least 1, overlap at least 0 and below most")
+    if unknown := set(options) - set(inspect.signature(spans).parameters):
+        raise ValueError(f"the kernel doesn't take {sorted(unknown)}")
+    count = options.get("size", words_in)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d, i, a, b, t[a:b], words_in(t[a:b])) for d, t in zip(pdf["doc_id"], pdf["_text"], strict=True) if t for i, (a, b) in enumerate(spans(t))]
+            rows = [(d, i, a, b, t[a:b], count(t[a:b])) for d, t in zip(pdf["doc_id"], pdf["_text"], strict=True) if t for i, (a, b) in enumerate(spans(t, **options))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content", "token_count"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInPandas(run, CHUNKS)

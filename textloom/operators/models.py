@@ -107,6 +107,47 @@ def rerank(candidates: DataFrame, k: int, query_vector: str = "q", vector: str =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+def rerank_texts(candidates: DataFrame, k: int, embedder: Embedder | None = None) -> DataFrame:
+    """Candidates (query_id, query, doc_id, text) by the cosine of their pooled text vectors; equal queries and texts are embedded once."""
+    sides = {}
+    for name in ("query", "text"):
+        one = spread(candidates.select(F.coalesce(name, F.lit("")).alias(name))).distinct()
+        sides[name] = embed(one, name, name[0] + "v", embedder)
+    rows = candidates.select("query_id", "doc_id", F.coalesce("query", F.lit("")).alias("query"), F.coalesce("text", F.lit("")).alias("text"))
+    return rerank(rows.join(sides["query"], "query").join(sides["text"], "text"), k, "qv", "tv")
+
+
+Generator = Callable[[pd.Series], list[str | None]]
+
+
+def generate(prompts: DataFrame, generators: dict[str, Generator], attempts: int = 3, key: str = "query_id", prompt: str = "prompt") -> DataFrame:
+    """key, answer, provider, attempts, success: each batch of prompts goes to the first generator, up to `attempts` times, then to the next.
+
+    An answer of null is a prompt that the generator refused; it goes on to the
+    next one alone. A prompt that none answers has success = false and no answer.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            answers, providers, tries = [None] * len(pdf), [None] * len(pdf), 0
+            for name, generator in generators.items():
+                left = [i for i, a in enumerate(answers) if a is None]
+                for _ in range(attempts if left else 0):
+                    tries += 1
+                    try:
+                        found = generator(pdf["prompt"].iloc[left])
+                    except Exception:  # a model may fail in any way
+                        continue
+                    for i, a in zip(left, found, strict=True):
+                        answers[i], providers[i] = a, name if a is not None else None
+                    break
+            yield pd.DataFrame({"key": pdf["key"], "answer": answers, "provider": providers, "attempts": tries, "success": [a is not None for a in answers]})
+
+    rows = prompts.select(F.col(key).alias("key"), F.coalesce(prompt, F.lit("")).alias("prompt"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInPandas(run, f"key {kind}, answer string, provider string, attempts int, success boolean").withColumnRenamed("key", key)
+
+
 def max_sim(query_tokens: Column, doc_tokens: Column) -> Column:
     """Late interaction: for each query token its best cosine with a document token, summed."""
     best = F.transform(query_tokens, lambda a: F.array_max(F.transform(doc_tokens, lambda b: V.cosine(a, b))))

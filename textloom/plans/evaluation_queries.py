@@ -181,6 +181,12 @@ def latest_versions(s, d):
     return R.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
+def term_frequencies(s, d):
+    """How often each document has each word of the passages' first five."""
+    terms = _asked(s, d).select(F.explode(F.slice(T.tokens(F.col("query")), 1, 5)).alias("term"))
+    return L.postings(_docs(s, d), terms=terms)
+
+
 # --- grouping -------------------------------------------------------------------------
 
 
@@ -209,7 +215,7 @@ def distinct_sketch(s, d):
     return found.select("day", "users", (F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.1)).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (monitoring_stats, monitoring_last_n, quality_scores, cache_miss_alerts, recent_errors, span_rows, traces_of_spans, usage_cost, keyword_coverage, answer_scores, answer_score_means, template_cases, synthetic_cases, synthetic_summary, indexing_summary, conversion_rollup, knowledge_base_stats, entity_counts, basic_metadata, ingestion_check, embed_resume, graph_reach_orders, latest_versions, cube_orders, grouping_sets_orders, pivot_events, distinct_sketch)}
+QUERIES = {f.__name__: f for f in (monitoring_stats, monitoring_last_n, quality_scores, cache_miss_alerts, recent_errors, span_rows, traces_of_spans, usage_cost, keyword_coverage, answer_scores, answer_score_means, template_cases, synthetic_cases, synthetic_summary, indexing_summary, conversion_rollup, knowledge_base_stats, entity_counts, basic_metadata, ingestion_check, embed_resume, graph_reach_orders, latest_versions, term_frequencies, cube_orders, grouping_sets_orders, pivot_events, distinct_sketch)}
 
 # --- SQL ------------------------------------------------------------------------------
 
@@ -269,6 +275,7 @@ ORACLES = {
         WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 50),
         w AS (SELECT src, dst, 1 AS depth FROM e WHERE src <> dst UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> a.dst AND a.src <> b.dst) SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY src, dst""",
     "latest_versions": "SELECT user_id, event_id, event_type AS payload FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "term_frequencies": f"WITH q AS (SELECT DISTINCT unnest(({TOKENS_SQL})[1:5]) AS term FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents), w AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t) SELECT doc_id, dl, term, count(*) AS tf FROM w JOIN q USING (term) GROUP BY doc_id, dl, term",
     "cube_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "pivot_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1",
