@@ -9,7 +9,7 @@ from ..operators import lexical as L
 from ..operators import models as N
 from ..operators import vectors as O
 from .common import rows_df, table, values_sql
-from .search_queries import COS, _asked
+from .search_queries import COS, _asked, _bm25_sql
 
 POINTS = [(1, "E = mc^2", "c1"), (2, "F = ma", "c2"), (3, "E = mc^2", "c3"), (4, "P = EI / L", "c4")]
 TOKENS = [(1, 1, [[1.0, 0.0], [0.0, 1.0]], [[1.0, 1.0], [1.0, 0.0]]), (1, 2, [[1.0, 0.0], [0.0, 1.0]], [[0.0, 2.0]]), (2, 1, [[3.0, 4.0]], [[0.0, 0.0]])]
@@ -63,7 +63,13 @@ def extractive_answer(s, d):
 
 QUERIES = {f.__name__: f for f in (match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
 
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+
 ORACLES = {
+    "extractive_answer": rf"""
+        WITH {_bm25_sql('m', 1)}, k AS (SELECT query_id, doc_id, benchmark.text AS question, regexp_extract_all(documents.text, '(?s).+?[.!?]\s+|.+') AS parts FROM mk JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id),
+        p AS (SELECT query_id, doc_id, i, trim(parts[i], ' ') AS answer, len(list_intersect({_WORDS.format('parts[i]')}, {_WORDS.format('question')})) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM k))
+        SELECT query_id, doc_id, regexp_replace(answer, '\s+$', '') AS answer FROM p WHERE trim(answer) <> '' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) = 1""",
     "maxsim_rerank": f"""
         WITH t AS (SELECT CAST(query_id AS INTEGER) AS query_id, CAST(doc_id AS INTEGER) AS doc_id, qt, dt FROM {values_sql(TOKENS, 'query_id, doc_id, qt, dt')}),
         n AS (SELECT query_id, doc_id, list_transform(qt, lambda a: list_max(list_transform(dt, lambda b: coalesce(list_inner_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[])), 0), 0)))) AS best FROM t)

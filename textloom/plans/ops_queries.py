@@ -256,7 +256,35 @@ _CITED = f"""
 _G = values_sql(GOLDEN, "id, category, difficulty, question, ground_truth")
 _E = values_sql(EDGES, "src, dst, kind")
 
+_CHUNK = r"doc_id, chunk_index, start_char, end_char, CAST(len(list_filter(regexp_split_to_array(content, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda w: w <> '')) AS INTEGER) AS token_count, md5(content) AS digest"
+
+
+#: Where a window of 1000 characters from {s} on ends: after the last sentence end or line end of its last 200 characters, if the text goes on.
+_WINDOW_END = """CASE WHEN {s} + 1000 >= length(text) THEN length(text) ELSE {s} + 1000 - coalesce(list_min(list_filter(list_transform(['.', '!', '?', chr(10)], lambda v: instr(reverse(substr(text, {s} + 801, 200)), v)), lambda k: k > 0)) - 1, 0) END"""
+
+
+def _packed_sql(parts: str, size: str, most: int) -> str:
+    """Chunks of greedily packed parts: a part begins a chunk if the chunk before has anything and would grow beyond `most`."""
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {parts} AS parts FROM documents WHERE text <> ''),
+        p AS MATERIALIZED (SELECT doc_id, i, parts[i] AS part, CAST({size} AS BIGINT) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)),
+        g AS (SELECT doc_id, i, 0 AS chunk, n AS held FROM p WHERE i = 1
+              UNION ALL SELECT p.doc_id, p.i, chunk + CASE WHEN held > 0 AND held + n > {most} THEN 1 ELSE 0 END, CASE WHEN held > 0 AND held + n > {most} THEN n ELSE held + n END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1),
+        c AS (SELECT g.doc_id, CAST(chunk AS INTEGER) AS chunk_index, string_agg(part, '' ORDER BY g.i) AS content FROM g JOIN p USING (doc_id, i) GROUP BY g.doc_id, chunk),
+        e AS (SELECT *, CAST(sum(length(content)) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS INTEGER) AS end_char FROM c)
+        SELECT {_CHUNK} FROM (SELECT *, CAST(end_char - length(content) AS INTEGER) AS start_char FROM e)"""
+
+
+_WORDS_OF = r"len(list_filter(regexp_split_to_array(parts[i], '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda w: w <> ''))"
+
 ORACLES = {
+    "chunk_sentences": _packed_sql(r"regexp_extract_all(text, '(?s).*?[.!?]+\s+|.+')", _WORDS_OF, 200),
+    "chunk_paragraphs": _packed_sql(r"CASE WHEN regexp_matches(text, '\n\s*\n') THEN regexp_extract_all(text, '(?s).*?\n\s*\n|.+') ELSE regexp_extract_all(text, '(?s).*?\n|.+') END", "length(parts[i])", 1000),
+    "chunk_sliding": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, text, 0 AS chunk_index, 0 AS start_char, {_WINDOW_END.format(s='0')} AS end_char FROM documents WHERE text <> ''
+            UNION ALL SELECT doc_id, text, chunk_index + 1, a, {_WINDOW_END.format(s='a')} FROM (SELECT *, greatest(end_char - 100, start_char + 1) AS a FROM w WHERE end_char < length(text)))
+        SELECT {_CHUNK} FROM (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, substr(text, start_char + 1, end_char - start_char) AS content FROM w)""",
     "chunk_fixed_stride": f"SELECT doc_id, chunk_index, start_char, start_char + length(content) AS end_char, md5(content) AS digest FROM {CHUNKS_SQL}",
     "chunk_overlap_lag": rf"""
         WITH b AS (SELECT *, list_filter(regexp_split_to_array(lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index), '\s+'), lambda w: w <> '') AS p FROM {PLAIN_SQL})
