@@ -275,16 +275,22 @@ def _packed_sql(parts: str, size: str, most: int) -> str:
         SELECT {_CHUNK} FROM (SELECT *, CAST(end_char - length(content) AS INTEGER) AS start_char FROM e)"""
 
 
+_SLIDING = rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, text, 0 AS chunk_index, 0 AS start_char, {_WINDOW_END.format(s='0')} AS end_char FROM documents WHERE text <> ''
+            UNION ALL SELECT doc_id, text, chunk_index + 1, a, {_WINDOW_END.format(s='a')} FROM (SELECT *, greatest(end_char - 100, start_char + 1) AS a FROM w WHERE end_char < length(text))),
+        s AS MATERIALIZED (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, substr(text, start_char + 1, end_char - start_char) AS content FROM w)"""
 _WORDS_OF = r"len(list_filter(regexp_split_to_array(parts[i], '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda w: w <> ''))"
 
 ORACLES = {
     "chunk_sentences": _packed_sql(r"regexp_extract_all(text, '(?s).*?[.!?]+\s+|.+')", _WORDS_OF, 200),
     "chunk_paragraphs": _packed_sql(r"CASE WHEN regexp_matches(text, '\n\s*\n') THEN regexp_extract_all(text, '(?s).*?\n\s*\n|.+') ELSE regexp_extract_all(text, '(?s).*?\n|.+') END", "length(parts[i])", 1000),
-    "chunk_sliding": rf"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id, text, 0 AS chunk_index, 0 AS start_char, {_WINDOW_END.format(s='0')} AS end_char FROM documents WHERE text <> ''
-            UNION ALL SELECT doc_id, text, chunk_index + 1, a, {_WINDOW_END.format(s='a')} FROM (SELECT *, greatest(end_char - 100, start_char + 1) AS a FROM w WHERE end_char < length(text)))
-        SELECT {_CHUNK} FROM (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, substr(text, start_char + 1, end_char - start_char) AS content FROM w)""",
+    "chunk_sliding": rf"""{_SLIDING}
+        SELECT {_CHUNK} FROM s""",
+    "chunk_sliding_tail": rf"""{_SLIDING},
+        l AS (SELECT doc_id, max(chunk_index) AS i, max(start_char) AS a FROM s GROUP BY doc_id HAVING count(*) > 1),
+        t AS (SELECT doc_id, CAST(i + 1 AS INTEGER) AS chunk_index, CAST(greatest(length(text) - 100, a + 1) AS INTEGER) AS start_char, CAST(length(text) AS INTEGER) AS end_char, substr(text, greatest(length(text) - 100, a + 1) + 1) AS content FROM l JOIN documents USING (doc_id) WHERE greatest(length(text) - 100, a + 1) < length(text))
+        SELECT {_CHUNK} FROM (SELECT * FROM s UNION ALL SELECT * FROM t)""",
     "chunk_fixed_stride": f"SELECT doc_id, chunk_index, start_char, start_char + length(content) AS end_char, md5(content) AS digest FROM {CHUNKS_SQL}",
     "chunk_overlap_lag": rf"""
         WITH b AS (SELECT *, list_filter(regexp_split_to_array(lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index), '\s+'), lambda w: w <> '') AS p FROM {PLAIN_SQL})
