@@ -608,6 +608,7 @@ def test_op10_archives(spark):
     pages = [
         (1, "http://a/ b\n", "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (9, "u", mark), (10, "u", "a" + mark * 3 + "\r\n\r\n" + mark),
         (11, "u", "ends\r\n\r\n"), (12, "u", "\r\n\r\n\r\n"), (13, "u", "a" * 500 + "\r\n\r\nWARC-Type: response\r\n\r\n"), (14, "u", big + "z"), (None, "u", "y" * 2000), (2, None, "x" * 1000),
+        (20, "http://a/" + "long" * 50_000, "z" * 1500), (21, "http://b\x85WARC-Type: revisit", "z" * 1500), *((30 + i, "hot", "h" * 1200) for i in range(200)),
     ]
     frame = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, record_type string")
     for compression in ("gzip", "none"):

@@ -24,6 +24,8 @@ from . import tokens
 from .storage import new_path
 
 SHARD = "part int, seq int, n_docs int, n_tokens long, ids_of binary, ends binary, planes array<binary>, block_ends array<binary>, block_ranks array<binary>, zeros array<long>"
+#: Ranges of doc_id at most, whose ends every task knows; beyond it ranges have more than `part_bytes` of text.
+MOST_PARTS = 10_000
 #: Bits of a block of a plane.
 BLOCK = 1 << 15
 
@@ -219,7 +221,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
     n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    parts = max(1, -(-n_bytes // part_bytes))
+    parts = min(MOST_PARTS, max(1, -(-n_bytes // part_bytes)))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [1.0], 100 * parts)).first()[0] or []
     bounds = sorted({int(c) for c in cuts}) if parts > 1 else []
 
