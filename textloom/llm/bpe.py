@@ -225,7 +225,7 @@ def encode_ids(docs: DataFrame, ranks: str, pattern: str, text: str = "text") ->
     def encode(batches):
         encoder = byte_bpe(ranks, pattern)
         for batch in batches:
-            for part in tokens.slices(batch, "_text"):
+            for part in tokens.slices(batch, "_text", tokens.QUEUE_SLICE):
                 ids, starts = encoder.encode(part["_text"])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part["doc_id"], lists], ["doc_id", "ids"])
@@ -240,7 +240,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text") ->
         encoder = byte_bpe(ranks, pattern)
         names = [str(i) for i in range(max(encoder.spelled) + 1)]
         for batch in batches:
-            for part in tokens.slices(batch, "_text"):
+            for part in tokens.slices(batch, "_text", tokens.QUEUE_SLICE):
                 ids, starts = encoder.encode(part["_text"])
                 rows = []
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -39,7 +39,7 @@ def _word_hash(pieces: list[str]) -> list[int]:
     return [hashed(w.encode()) | 1 if (w := p.lower().strip(_EDGE)) else 0 for p in pieces]
 
 
-_words = tokens.Memo(_word_hash)
+_words = tokens.Memo(_word_hash, 400_000, 24 << 20)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

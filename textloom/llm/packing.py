@@ -271,7 +271,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
         encoder = tokens.word_bpe(tokenizer)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for part in tokens.slices(batch, "_text"):
+            for part in tokens.slices(batch, "_text", tokens.ENCODER_SLICE):
                 ids, starts = encoder.encode(part["_text"])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 rows: list[tuple] = []

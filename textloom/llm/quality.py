@@ -38,7 +38,7 @@ def _describe(piece: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode()) >> 4 << 3 | shape
 
 
-_pieces = tokens.Memo(lambda pieces: list(map(_describe, pieces)))
+_pieces = tokens.Memo(lambda pieces: list(map(_describe, pieces)), 400_000, 24 << 20)
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", by: str
     def lengths(batches):
         encoder = tokens.word_bpe(tokenizer)
         for batch in batches:
-            for part in tokens.slices(batch, "_text"):
+            for part in tokens.slices(batch, "_text", tokens.ENCODER_SLICE):
                 _, starts = encoder.encode(part["_text"])
                 n = pa.array(np.diff(starts), pa.int64())
                 yield pa.record_batch([n, *([part["grp"]] if by else [])], ["n_tokens", *(["grp"] if by else [])])

@@ -193,7 +193,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], tex
         kind = np.dtype("<u2" if id_bits(encoder, end_id) <= 16 else "<u4")
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for piece in tokens.slices(batch, "_text"):
+            for piece in tokens.slices(batch, "_text", tokens.ENCODER_SLICE):
                 found, starts = encoder.encode(piece["_text"])
                 raw = memoryview(found.astype(kind).tobytes())
                 ids = [raw[a * kind.itemsize : b * kind.itemsize].tobytes() + end for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
