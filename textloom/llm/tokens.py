@@ -131,14 +131,14 @@ class WordBpe:
     library does; they hold no space, so they lie within a piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.stops = {s: self._ids(s) for s in (".", ",")}
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda pieces: list(map(self._piece, pieces)))
+        self.memo = Memo(lambda pieces: list(map(self._piece, pieces)), remembered, REMEMBERED_BYTES * remembered // REMEMBERED)
 
     def _ids(self, pre_token: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(pre_token)]).tobytes()
@@ -171,11 +171,11 @@ class WordBpe:
 _loaded: dict[tuple, object] = {}
 
 
-def word_bpe(path: str) -> WordBpe:
-    """The encoder for a tokenizer file, loaded once in each Python worker."""
-    if (WordBpe, path) not in _loaded:
-        _loaded[WordBpe, path] = WordBpe(path)
-    return _loaded[WordBpe, path]
+def word_bpe(path: str, remembered: int = REMEMBERED) -> WordBpe:
+    """The encoder for a tokenizer file, loaded once in each Python worker, which remembers so many pieces at most."""
+    if (WordBpe, path, remembered) not in _loaded:
+        _loaded[WordBpe, path, remembered] = WordBpe(path, remembered)
+    return _loaded[WordBpe, path, remembered]
 
 
 def tokenizer_path(name: str) -> str:
