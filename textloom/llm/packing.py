@@ -264,19 +264,19 @@ class Places:
 # --- pieces and their places ----------------------------------------------------------
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, text: str = "text", remembered: int = tokens.REMEMBERED) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, text: str = "text", remembered: int = tokens.REMEMBERED, slice_bytes: int = tokens.ENCODER_SLICE) -> DataFrame:
     """Encode whole texts, append `end_id` and cut what is longer than a sequence.
 
     A null text counts as empty and so has the end id only; repeated rows count
     each; other columns aren't read. `remembered` bounds the pieces whose ids a
-    Python worker keeps.
+    Python worker keeps, `slice_bytes` the text it works on at a time.
     """
 
     def pieces(batches):
         encoder = tokens.word_bpe(tokenizer, remembered)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for part in tokens.slices(batch, "_text", tokens.ENCODER_SLICE):
+            for part in tokens.slices(batch, "_text", slice_bytes):
                 ids, starts = encoder.encode(part["_text"])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 rows: list[tuple] = []
