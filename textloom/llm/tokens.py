@@ -23,7 +23,7 @@ REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
 #: Bytes of text that a task works on at a time; its arrays take some twenty times as much.
 SLICE = 1 << 21
 #: The same for encoders, which ask for the ids of a slice's distinct pieces together; the rank queue gains most from large slices.
-ENCODER_SLICE, QUEUE_SLICE = 1 << 24, 1 << 23
+ENCODER_SLICE, QUEUE_SLICE = 1 << 23, 1 << 23
 
 
 #: Byte-level vocabularies spell printable Latin-1 bytes as themselves and the other bytes as letters from U+0100 on.
