@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, bpe, exact_dedup, merkle, near_dedup, packing, quality, sharding, storage, token_lengths, tokens, url_rules, warc, wavelet
+from . import block_search, bpe, exact_dedup, merkle, near_dedup, packing, quality, sharding, storage, token_lengths, tokens, trie, url_rules, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_warc_chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
+def op11_radix_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 #: The rules that the query's contract lists.
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -84,7 +88,7 @@ def op13_merkle_traversal_manifest(spark: SparkSession, sf_dir: str) -> DataFram
     return merkle.manifest(_table(spark, sf_dir, "documents"), F.when(half, F.translate("text", "\n", "")).otherwise(F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op4_weighted_minhash_dedup, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records, op12_association_url_filter, op13_merkle_traversal_manifest)}
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op4_weighted_minhash_dedup, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records, op11_radix_conversation_trie, op12_association_url_filter, op13_merkle_traversal_manifest)}
 
 ORACLES = {
     "op1_size_tiered_shards": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes, md5(text) AS text_md5, 0::BIGINT AS shards_due FROM documents",
