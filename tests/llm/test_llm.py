@@ -175,6 +175,53 @@ def test_bin_completion_beats_best_fit_on_many_lengths():
     assert found.proved and found.sequences == 118 < sum(n for n, _ in packing.best_fit(counts, 2048))
 
 
+@pytest.mark.parametrize("short", [2500, 250_000])
+def test_thousands_of_one_token_pieces(short):
+    counts = {1: short, 248: 12, 305: 21, 766: 24, 629: 22}
+    found = packing.bin_completion(counts, 2048)
+    used = Counter()
+    for repeats, items in found.patterns:
+        assert sum(n * k for n, k in items) <= 2048
+        for n, k in items:
+            used[n] += repeats * k
+    assert used == counts and found.proved and found.sequences == found.bound == -(-sum(k * n for k, n in counts.items()) // 2048)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=12), st.integers(1, 25))
+def test_completions_are_the_undominated_fillings(lengths, room):
+    """All maximal fillings, one by one, of which each is kept or put into one that is."""
+    counts = Counter(lengths)
+    kinds = sorted(counts)
+    found, whole = packing.completions(room, kinds, counts, 10**6, 10**6)
+    assert whole
+    for times in itertools.product(*(range(counts[k] + 1) for k in kinds)):
+        left = room - sum(k * n for k, n in zip(kinds, times))
+        if left < 0 or any(n < counts[k] and k <= left for k, n in zip(kinds, times)):
+            continue
+        filling = tuple((k, n) for k, n in zip(kinds[::-1], times[::-1]) if n)
+        assert any(packing.fits_into(filling, other) for other in found)
+    for filling in found:
+        assert sum(k * n for k, n in filling) <= room and all(n <= counts[k] for k, n in filling)
+
+
+def test_fits_into_is_first_fit_decreasing():
+    def one_by_one(items, places):
+        room = [k for k, n in places for _ in range(n)]
+        for item in (k for k, n in items for _ in range(n)):
+            at = next((i for i, left in enumerate(room) if left >= item), None)
+            if at is None:
+                return False
+            room[at] -= item
+        return True
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        make = lambda most: tuple((k, rng.randint(1, 4)) for k in sorted(rng.sample(range(1, most), 3), reverse=True))
+        items, places = make(6), make(12)
+        assert packing.fits_into(items, places) == one_by_one(items, places)
+
+
 def test_unproved_search_says_so():
     r = random.Random(3)
     counts = Counter(r.randint(682, 1100) for _ in range(500))
@@ -183,7 +230,8 @@ def test_unproved_search_says_so():
 
 def test_op2_packs_every_piece(spark, reference_encoder):
     docs, rows = corpus(spark, ["word " * 9000])
-    got = packing.pack(packing.token_pieces(docs, PATH, 0, 2048)).collect()
+    got = packing.pack(packing.token_pieces(docs, PATH, 0, 2048), report=True).collect()
+    assert {(r["n_sequences"], r["proved_fewest"]) for r in got} == {(len({r["sequence_id"] for r in got}), True)} and got[0]["sequences_bound"] <= got[0]["n_sequences"]
     want = Counter()
     for doc_id, text, *_ in rows:
         ids = [*reference_encoder(text), 0]

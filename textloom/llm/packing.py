@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,65 +69,84 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
     return [(n, list(items)) for entries in open_bins.values() for n, items in entries]
 
 
-def fits_into(items: tuple[int, ...], places: tuple[int, ...]) -> bool:
+Filling = tuple[tuple[int, int], ...]  # (length, times), descending by length
+
+
+def fits_into(items: Filling, places: Filling) -> bool:
     """Whether first-fit decreasing puts all items into places of these sizes."""
-    room = sorted(places, reverse=True)
-    for item in sorted(items, reverse=True):
-        for i, left in enumerate(room):
-            if item <= left:
-                room[i] -= item
-                break
-        else:
-            return False
+    room = [list(p) for p in places]
+    for length, times in items:
+        at = 0
+        while times:
+            while at < len(room) and room[at][0] < length:
+                at += 1
+            if at == len(room):
+                return False
+            size, n = room[at]
+            each = size // length
+            full = min(n, times // each)
+            last = times - full * each if full < n else 0  # in one more place, which isn't filled up
+            parts = [[size - each * length, full], [size - last * length, int(last > 0)], [size, n - full - (last > 0)]]
+            room[at : at + 1] = [p for p in parts if p[1]]
+            times -= full * each + last
     return True
 
 
-def completions(residual: int, lengths: list[int], counts: dict[int, int], most: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
+def completions(residual: int, lengths: list[int], counts: dict[int, int], most: int, steps: int) -> tuple[list[Filling], bool]:
     """Undominated fillings of `residual`, the fullest first, and whether none was left out.
 
-    `lengths` ascend and have positive counts. Fillings are enumerated with
-    their items in descending order and are maximal: nothing left would fit. A
-    filling is dominated by one into whose items its own can be put: wherever
-    those items stand instead, its own could stand too. Branches whose waste
-    bound (the smaller items that could still be added) shows more waste than
-    the worst of `most` fillings are pruned; at most `steps` items are tried.
+    `lengths` ascend and have positive counts. Lengths are decided in
+    descending order, each taken as often as it fits and then less often.
+    Fillings are maximal: nothing left would fit. A filling is dominated by one
+    into whose items its own can be put: wherever those items stand instead,
+    its own could stand too. A branch is pruned by its waste bound, the room
+    that all smaller items together would leave, if that lets an item fit that
+    was passed over or is more than the waste of the worst of `most` fillings.
+    At most `steps` lengths are placed. The stack has an entry for each length
+    at most, however many items a filling has.
     """
-    found: list[tuple[int, int, tuple[int, ...]]] = []
+    found: list[tuple[int, int, Filling]] = []
     budget, whole = steps, True
-    volumes = np.cumsum([k * counts[k] for k in lengths]).tolist()
+    volumes = [0, *np.cumsum([k * counts[k] for k in lengths]).tolist()]  # of the first so many lengths
 
-    def keep(left: int, items: tuple[int, ...]) -> None:
+    def keep(left: int, items: Filling) -> None:
         nonlocal whole
         if any(left >= w and fits_into(items, other) for w, _, other in found):
             return
         found[:] = [f for f in found if not (f[0] >= left and fits_into(f[2], items))]
-        found.append((left, len(items), items))
+        found.append((left, sum(n for _, n in items), items))
         found.sort()
         whole = whole and len(found) <= most
         del found[most:]
 
-    def extend(left: int, top: int, items: tuple[int, ...]) -> None:
-        nonlocal budget, whole
-        at = bisect_right(lengths, min(left, top)) - 1
-        fits = False
-        while at >= 0:
-            length = lengths[at]
-            if len(found) >= most and left - volumes[at] > found[-1][0]:
-                whole = False
-                return
-            at -= 1
-            if items.count(length) >= counts[length]:
-                continue
-            fits = True
+    def choice(below: int, left: int, items: Filling, passed: int) -> None:
+        """Decide on the largest of the first `below` lengths that fits, if any; `passed` is the least length of which copies were passed over."""
+        at = bisect_right(lengths, left, 0, below)
+        if at:
+            stack.append((at, left, items, passed, min(counts[lengths[at - 1]], left // lengths[at - 1])))
+        elif left < passed:
+            keep(left, items)
+
+    stack: list[tuple[int, int, Filling, int, int]] = []
+    choice(len(lengths), residual, (), residual + 1)
+    while stack:
+        at, left, items, passed, times = stack.pop()
+        length = lengths[at - 1]
+        free = left - times * length
+        least = min(passed, length) if times < counts[length] else passed
+        waste = free - volumes[at - 1]
+        if waste >= least:
+            continue  # fewer copies waste more
+        if len(found) >= most and waste > found[-1][0]:
+            whole = False
+            continue
+        if times:
             if budget <= 0:
                 whole = False
-                return
+                break
             budget -= 1
-            extend(left - length, length, (*items, length))
-        if not fits:
-            keep(left, items)
-
-    extend(residual, residual, ())
+            stack.append((at, left, items, passed, times - 1))
+        choice(at - 1, free, (*items, (length, times)) if times else items, least)
     return [f[2] for f in found], whole
 
 
@@ -173,7 +191,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000, bra
     fillings are tried, the fullest first, each as often as the counts allow
     and then less often. The incumbent starts as best-fit decreasing and takes
     every better packing found; a branch is pruned when the sequences used plus
-    the volume bound of the rest can't beat it. The search ends at the bound of the
+    the bound of the rest, by volume and by waste, can't beat it. The search ends at the bound of the
     whole, when it is exhausted, or after `nodes` nodes; `branch` fillings of a
     node are followed, found in `steps` steps. Where one of these three limits
     was met and the bound wasn't, `proved` is false.
@@ -196,7 +214,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000, bra
 
         def tries():
             for items in found or [()]:
-                need = Counter((top, *items))
+                need = dict(items)
+                need[top] = need.get(top, 0) + 1
                 for repeats in range(min(left[k] // n for k, n in need.items()), 0, -1):
                     yield need, repeats
 
@@ -216,7 +235,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000, bra
         rest = {k: n for k, v in left.items() if (n := v - repeats * need.get(k, 0))}
         more = used + repeats
         now = volume - sum(k * n for k, n in need.items()) * repeats
-        if more + -(-now // capacity) >= best:
+        if more + -(-now // capacity) >= best or rest and more + lower_bound(rest, capacity) >= best:
             continue
         chain = ((repeats, sorted(need.items(), reverse=True)), path)
         if rest:
@@ -295,9 +314,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(pieces, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 65536) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 65536, report: bool = False) -> DataFrame:
     """Add sequence_id and offset to pieces with `doc_id, piece, length, ids_crc32`.
 
+    With `report`, each row also tells the number of sequences, the bound that
+    no packing can be below, and whether the number is proved to be the fewest.
+
     Ranks within a length are counted in buckets of hashed piece keys, so a
     length that a large share of the pieces has is spread over all buckets.
     Equal rows (repeated documents) are interchangeable and take different
@@ -314,7 +336,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 65536) -> Da
     keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64("_doc_id", "_piece", "_ids_crc32"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("_length", "_bucket").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = pieces.sparkSession.sparkContext.broadcast(Places.of(bin_completion(histogram, capacity).patterns))
+    plan = bin_completion(histogram, capacity)
+    places = pieces.sparkSession.sparkContext.broadcast(Places.of(plan.patterns))
     before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("_bucket", "_length").orderBy("_doc_id", "_piece", "_ids_crc32")
@@ -328,4 +351,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_bucket: int = 65536) -> Da
 
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, pieces.schema, strict=True)) + ", _sequence long, _offset long"
     found = ranked.select(*inner, "_length", (F.col("_first") + F.col("_rank")).alias("_rank")).mapInArrow(locate, schema)
-    return found.toDF(*names, free_name("sequence_id", names), free_name("offset", names))
+    found = found.toDF(*names, free_name("sequence_id", names), free_name("offset", names))
+    if not report:
+        return found
+    told = {"n_sequences": plan.sequences, "sequences_bound": plan.bound, "proved_fewest": plan.proved}
+    return found.withColumns({free_name(k, found.columns): F.lit(v) for k, v in told.items()})

@@ -25,7 +25,7 @@ def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokens.tokenizer_path(tokens.WORD_BPE), end_id=0, capacity=2048)
-    return packing.pack(pieces, capacity=2048)
+    return packing.pack(pieces, capacity=2048, report=True)
 
 
 def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
