@@ -28,19 +28,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6, own: bool = False) -> DataFrame:
-    """query_id, id, score, rank: the k rows of largest cosine for each of many queries, but for the query's own id unless `own`.
-
-    `queries` is (query_id, q) and `vectors` (id, v). Both are dealt to blocks
-    by hashed id and each pair of blocks is one matrix product in a task, so
-    neither side is broadcast or gathered; tiles return k rows per query. Rows
-    with a null vector are skipped; ties go to the smaller id.
-    """
-    queries, vectors = queries.where("q IS NOT NULL"), vectors.where("v IS NOT NULL")
-    n_q, n_v = queries.count(), vectors.count()
-    q_blocks, v_blocks = max(1, -(-n_q // block)), max(1, -(-n_v // block))
-    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), "query_id", "q")
-    right = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"), "id", "v")
+def tile_top_k(k: int, digits: int, own: bool):
+    """Function of two groups, queries (query_id, q) and vectors (id, v): each query's k vectors of largest cosine."""
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -58,7 +47,24 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 409
                     out.append(pd.DataFrame({"query_id": names[i + r], "id": ids[top], "score": row[top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
 
-    tiles = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(tile, "query_id long, id long, score double")
+    return tile
+
+
+def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6, own: bool = False) -> DataFrame:
+    """query_id, id, score, rank: the k rows of largest cosine for each of many queries, but for the query's own id unless `own`.
+
+    `queries` is (query_id, q) and `vectors` (id, v). Both are dealt to blocks
+    by hashed id and each pair of blocks is one matrix product in a task, so
+    neither side is broadcast or gathered; tiles return k rows per query. Rows
+    with a null vector are skipped; ties go to the smaller id.
+    """
+    queries, vectors = queries.where("q IS NOT NULL"), vectors.where("v IS NOT NULL")
+    n_q, n_v = queries.count(), vectors.count()
+    q_blocks, v_blocks = max(1, -(-n_q // block)), max(1, -(-n_v // block))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), "query_id", "q")
+    right = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"), "id", "v")
+
+    tiles = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(tile_top_k(k, digits, own), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return tiles.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
