@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,45 @@ def plain_clean(x, rounds=3):
     return x
 
 
+def latex_text(seed, n):
+    r = random.Random(seed)
+    bits = ["$a$", "$$ b. c $$", "$$x$$", "word. ", "So! ", "é ", "\n", "\\begin{equation}y. $z$\\end{equation}", "\\[ q \\]", "\\section{S}", "\\begin{align}u\\end{align}", "$", " "]
+    return "".join(r.choice(bits) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_spans_against_plain_loops(spark, seed):
+    texts = [latex_text(seed * 10 + i, 40) for i in range(6)] + ["", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in frame.select("id", latex.boundaries(F.col("text")).alias("b"), latex.equation_contexts(F.col("text")).alias("c"), latex.all_spans(F.col("text"), {"inline": latex.INLINE}).alias("i")).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i]["b"] is None and got[i]["c"] is None
+            continue
+        display = [m for p in latex.DISPLAY.values() for m in re.finditer(p, text)]
+        inline = [m for m in re.finditer(latex.INLINE, text) if not any(d.start() <= m.start() < d.end() for d in display)]
+        assert [(b["start"], b["stop"], b["kind"]) for b in got[i]["b"]] == sorted([(m.start(), m.end(), "display") for m in display] + [(m.start(), m.end(), "inline") for m in inline])
+        want = []
+        for m in display:
+            before, after = re.split(r"[.!?]+\s+", text[: m.start()])[-2:], re.split(r"[.!?]+\s+", text[m.end() :])[:2]
+            want.append((m.start(), m.end(), (" ".join(before) + " " + m[0] + " " + " ".join(after)).strip(" \t\n\x0b\f\r")))
+        assert sorted(tuple(c) for c in got[i]["c"]) == sorted(want)
+        assert [(s["start"], s["line"], s["before"], s["after"]) for s in got[i]["i"]] == [(m.start(), text.count("\n", 0, m.start()) + 1, text[max(0, m.start() - 100) : m.start()], text[m.end() : m.end() + 100]) for m in re.finditer(latex.INLINE, text)]
+
+
+def test_spans_of_a_long_text_take_time_in_proportion(spark):
+    def seconds(n):
+        frame = spark.createDataFrame([("See $$q = V$$ and $a$. It is so. \n" * n,)], "text string")
+        frame.select(F.size(latex.boundaries(F.col("text")))).collect()
+        began = time.perf_counter()
+        one = frame.select(F.size(latex.boundaries(F.col("text"))).alias("b"), F.size(latex.equation_contexts(F.col("text"))).alias("c"), F.size(latex.all_spans(F.col("text"), latex.DISPLAY)).alias("s")).first()
+        assert one["b"] > n and one["c"] == one["s"] == n
+        return time.perf_counter() - began
+
+    short, long = (min(seconds(n) for _ in range(2)) for n in (20_000, 40_000))
+    assert long < 2.5 * short + 0.5
+
+
 def test_latex_repair_equals_a_plain_function(spark):
     r = random.Random(2)
     bits = ["\\frac{1}{2}", "{", "}", "\\begin{array}", "\\end{align}", "\\left(", "\\right)", "x_", "y^", "\\", " ", "   ", "a" * 60, "\\frac{3}", "\\def\\q{\\q}", "b", "\\begin{equation}"]

@@ -1,11 +1,16 @@
 """Structure of LaTeX sources: headings, equations, figures and tables with their places, and what surrounds them.
 
-Places are found within a row, without a shuffle: a text is split at a
-pattern, and the lengths of what lies between and of the matches add up.
+Places are found within a row, without a shuffle, by small functions over Arrow
+batches that read a text once for each pattern; their work grows with the text,
+however many spans it has. All that follows is expressions and joins.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +32,12 @@ SOURCE_EQUATIONS = (r"\\begin\{equation\}", r"\\begin\{align\}", r"\\begin\{eqna
 PARSED_EQUATIONS = (r"\$\$[^$]+\$\$", r"\\begin\{equation\}", r"\\begin\{align\}")
 CUSTOM_CLASS = "AeroStructure"
 LABEL = r"\\label\{([^}]+)\}"
-SPAN = "array<struct<kind:string,start:int,stop:int,line:int,found:string>>"
+SPAN = "array<struct<kind:string,start:int,stop:int,line:int,found:string,before:string,after:string>>"
+#: Characters that are handed on from either side of a span.
+AROUND = 100
+#: What ends a sentence, and white space as a pattern's `\\s` has it.
+SENTENCE_END = re.compile(r"[.!?]+\s+", re.ASCII)
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -38,24 +48,43 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def spans(text: Column, kind: str, pattern: str) -> Column:
-    """All matches of a pattern with their places: from `start` (0-based) up to `stop`, on `line` (from 1)."""
-    found = T.matches(text, pattern)
-    parts = F.slice(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("p")), F.lit(1), F.size(found))
-    named = F.transform(parts, lambda z: F.struct(z["m"].alias("m"), z["p"].alias("p"), F.char_length(z["p"]).alias("gap"), T.occurrences(z["p"], "\n").alias("lines")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(SPAN).alias("out"))
+def _found(text: str, patterns: dict[str, re.Pattern]) -> list[tuple[str, int, int]]:
+    return [(kind, m.start(), m.end()) for kind, pattern in patterns.items() for m in pattern.finditer(text)]
+
+
+def _compiled(patterns: dict[str, str]) -> dict[str, re.Pattern]:
+    return {kind: re.compile(p, re.ASCII) for kind, p in patterns.items()}
 
-    def step(s: Column, z: Column) -> Column:
-        start, line = s["at"] + z["gap"], s["line"] + z["lines"]
-        stop = start + F.char_length(z["m"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), line.alias("line"), z["m"].alias("found"))).cast(SPAN)
-        return F.struct(stop.alias("at"), (line + T.occurrences(z["m"], "\n")).alias("line"), F.concat(s["out"], one).alias("out"))
 
-    return F.aggregate(named, zero, step, lambda s: s["out"])
+def _per_text(texts: pa.Array, rows_of, names: list[str], types: list[pa.DataType]) -> pa.Array:
+    """A list of structs for each text, from rows as tuples; null for a null text. Texts are taken one at a time."""
+    columns: list[list] = [[] for _ in names]
+    ends = [0]
+    for text in texts:
+        for row in rows_of(text.as_py()) if text.is_valid else ():
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        ends.append(len(columns[0]))
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(texts.is_null()))
 
 
 def all_spans(text: Column, patterns: dict[str, str]) -> Column:
-    return F.concat(*(spans(text, kind, pattern) for kind, pattern in patterns.items()))
+    """All matches of some patterns: kind, place from `start` (0-based, in characters) up to `stop`, `line` (from 1), what was found, and the AROUND characters before and after it.
+
+    One pass over the text for each pattern, and one over its line ends.
+    """
+    compiled = _compiled(patterns)
+
+    def rows(text: str):
+        found = _found(text, compiled)
+        breaks = [m.start() for m in re.finditer("\n", text)] if found else []
+        for kind, a, b in found:
+            yield kind, a, b, bisect_left(breaks, a) + 1, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]
+
+    names = ["kind", "start", "stop", "line", "found", "before", "after"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    return F.arrow_udf(lambda texts: _per_text(texts, rows, names, types), SPAN)(text)
 
 
 def front_matter(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -76,10 +105,9 @@ def front_matter(docs: DataFrame, key: str = "id", text: str = "text") -> DataFr
 def sections(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key, level, title, short_title, label (in the hundred characters after the heading), line."""
     patterns = {level: HEADING.format(level=level) for level in T.HEADINGS}
-    rows = docs.select(key, text, F.explode(all_spans(F.col(text), patterns)).alias("s"))
+    rows = docs.select(key, F.explode(all_spans(F.col(text), patterns)).alias("s"))
     one = HEADING.format(level="[a-z]+")
-    after = F.substring(F.col(text), F.col("s.stop") + 1, F.lit(100))
-    return rows.select(key, F.col("s.kind").alias("level"), _strip(F.regexp_extract("s.found", one, 2)).alias("title"), _first(F.col("s.found"), one).alias("short_title"), _first(after, LABEL).alias("label"), F.col("s.line").cast("long").alias("line"))
+    return rows.select(key, F.col("s.kind").alias("level"), _strip(F.regexp_extract("s.found", one, 2)).alias("title"), _first(F.col("s.found"), one).alias("short_title"), _first(F.col("s.after"), LABEL).alias("label"), F.col("s.line").cast("long").alias("line"))
 
 
 def equations(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -88,11 +116,9 @@ def equations(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     `$$x$$` is found as a display and as an inline equation; callers that want
     one of them filter by kind.
     """
-    t = F.col(text)
-    rows = docs.select(key, text, F.explode(all_spans(t, T.EQUATION_KINDS)).alias("s"))
+    rows = docs.select(key, F.explode(all_spans(F.col(text), T.EQUATION_KINDS)).alias("s"))
     inside = F.coalesce(*(F.when(F.col("s.kind") == kind, F.regexp_extract("s.found", pattern, 1)) for kind, pattern in T.EQUATION_KINDS.items()))
-    before = _strip(F.substring(t, F.greatest(F.col("s.start") - 99, F.lit(1)), F.least(F.col("s.start"), F.lit(100))))
-    after = _strip(F.substring(t, F.col("s.stop") + 1, F.lit(100)))
+    before, after = _strip(F.col("s.before")), _strip(F.col("s.after"))
     return rows.select(
         key, F.col("s.kind").alias("kind"), _strip(inside).alias("content"), _first(inside, LABEL).alias("label"), F.col("s.line").cast("long").alias("line"), F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"),
         F.when(F.char_length(before) > 50, F.substring(before, -50, 50)).otherwise(before).alias("context_before"), F.substring(after, 1, 50).alias("context_after"),
@@ -108,20 +134,44 @@ def figures(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
 
 def boundaries(text: Column) -> Column:
-    """Spans of display equations, and of inline ones that don't begin within one of those, in order of their start."""
-    display = F.transform(all_spans(text, DISPLAY), lambda s: s.withField("kind", F.lit("display")))
-    both = F.array(F.struct(display.alias("d"), spans(text, "inline", INLINE).alias("i")))  # computed once, whatever the inline ones are compared with
-    kept = F.transform(both, lambda x: F.concat(x["d"], F.filter(x["i"], lambda i: ~F.exists(x["d"], lambda d: (d["start"] <= i["start"]) & (i["start"] < d["stop"])))))
-    return F.array_sort(F.flatten(kept), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["stop"] - b["stop"]))
-
-
-def equation_context(text: Column, start: Column, stop: Column, sentences: int = 2) -> Column:
-    """A span with the last sentences before it and the first after it."""
-    before = F.split(F.substring(text, F.lit(1), start), r"[.!?]+\s+", -1)
-    after = F.split(F.substring(text, stop + 1, F.char_length(text)), r"[.!?]+\s+", -1)
-    last = F.slice(before, F.greatest(F.size(before) - sentences + 1, F.lit(1)), F.lit(sentences))
-    inside = F.substring(text, start + 1, stop - start)
-    return _strip(F.concat(F.array_join(last, " "), F.lit(" "), inside, F.lit(" "), F.array_join(F.slice(after, 1, sentences), " ")))
+    """Spans of display equations, and of inline ones that don't begin within one of those, in order of their start.
+
+    In that order an inline one begins within a display equation if the
+    furthest end of those before it lies behind its start.
+    """
+    display, inline = _compiled(DISPLAY), _compiled({"inline": INLINE})
+
+    def rows(text: str):
+        spans = sorted([(a, 0, b) for _, a, b in _found(text, display)] + [(a, 1, b) for _, a, b in _found(text, inline)])
+        kept, furthest = [], -1
+        for a, within, b in spans:
+            if not within:
+                furthest = max(furthest, b)
+            elif a < furthest:
+                continue
+            kept.append((a, b, "inline" if within else "display"))
+        return [(kind, a, b, text[a:b]) for a, b, kind in sorted(kept)]
+
+    names, types = ["kind", "start", "stop", "found"], [pa.string(), pa.int32(), pa.int32(), pa.string()]
+    return F.arrow_udf(lambda texts: _per_text(texts, rows, names, types), "array<struct<kind:string,start:int,stop:int,found:string>>")(text)
+
+
+def equation_contexts(text: Column, sentences: int = 2) -> Column:
+    """Each display equation (start, stop) with the last sentences before it and the first after it, as `context`."""
+    display = _compiled(DISPLAY)
+
+    def rows(text: str):
+        spans = sorted((a, b) for _, a, b in _found(text, display))
+        stops = [m.span() for m in SENTENCE_END.finditer(text)] if spans else []
+        starts, ends = [s[0] for s in stops], [s[1] for s in stops]
+        for a, b in spans:
+            i, k = bisect_right(ends, a), bisect_left(starts, b)  # sentence ends before it, and the first after it
+            before = [text[ends[j - 1] if j else 0 : starts[j]] for j in range(max(0, i - sentences + 1), i)] + [text[ends[i - 1] if i else 0 : a]]
+            after = [text[ends[j - 1] if j > k else b : starts[j] if j < len(starts) else len(text)] for j in range(k, min(k + sentences, len(starts) + 1))]
+            yield a, b, " ".join([*before, text[a:b], *after]).strip(BLANKS)
+
+    names, types = ["start", "stop", "context"], [pa.int32(), pa.int32(), pa.string()]
+    return F.arrow_udf(lambda texts: _per_text(texts, rows, names, types), "array<struct<start:int,stop:int,context:string>>")(text)
 
 
 def split_equations(text: Column) -> Column:

@@ -81,18 +81,18 @@ def usage_cost(s, d):
 
 
 def keyword_coverage(s, d):
-    """Of the first five distinct words of each passage, the share that its best document has."""
+    """Of the distinct words of each passage, the share that its best document has."""
     best = L.bm25(_asked(s, d), _docs(s, d), 1).join(_docs(s, d).select("doc_id", "text"), "doc_id").join(_asked(s, d), "query_id")
-    words = F.slice(F.array_distinct(T.tokens(F.col("query"))), 1, 5)
+    words = F.array_distinct(T.tokens(F.col("query")))
     return best.select("query_id", F.round(E.keyword_coverage(F.col("text"), words), 6).alias("coverage"))
 
 
 def _cases(s, d):
-    """Each passage as a question, its best document's first 300 characters as the answer, its three best documents as contexts."""
+    """Each passage as a question, its best document as the answer, its three best documents as contexts."""
     best = L.bm25(_asked(s, d), _docs(s, d), 3).select("query_id", "doc_id", "rank").join(_docs(s, d).select("doc_id", "text"), "doc_id")
     context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     rows = _asked(s, d).join(context, "query_id")
-    return rows.select(F.col("query_id").alias("id"), F.col("query").alias("question"), F.substring(F.col("c")[0]["text"], 1, 300).alias("answer"), F.transform("c", lambda x: F.substring(x["text"], 1, 400)).alias("contexts"), F.when(F.col("query_id") % 4 != 0, F.substring("query", 1, 60)).alias("ground_truth"))
+    return rows.select(F.col("query_id").alias("id"), F.col("query").alias("question"), F.col("c")[0]["text"].alias("answer"), F.transform("c", lambda x: x["text"]).alias("contexts"), F.when(F.col("query_id") % 4 != 0, F.col("query")).alias("ground_truth"))
 
 
 def answer_scores(s, d):
@@ -183,7 +183,7 @@ def latest_versions(s, d):
 
 def term_frequencies(s, d):
     """How often each document has each word of the passages' first five."""
-    terms = _asked(s, d).select(F.explode(F.slice(T.tokens(F.col("query")), 1, 5)).alias("term"))
+    terms = _asked(s, d).select(F.explode(T.tokens(F.col("query"))).alias("term"))
     return L.postings(_docs(s, d), terms=terms)
 
 
@@ -234,8 +234,8 @@ def _toks(of: str) -> str:
 _SHARE = lambda a, b: f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len(list_distinct({a})), 0), 0)"
 _SCORES = f"""
     {_bm25_sql('m', 3)},
-    c AS (SELECT query_id, list(substr(text, 1, 400) ORDER BY rank) AS contexts, first(substr(text, 1, 300) ORDER BY rank) AS answer FROM mk JOIN documents USING (doc_id) GROUP BY query_id),
-    k AS (SELECT query_id AS id, text AS question, answer, contexts, CASE WHEN item_id % 4 <> 0 THEN substr(text, 1, 60) ELSE '' END AS truth FROM benchmark JOIN c ON query_id = item_id),
+    c AS (SELECT query_id, list(text ORDER BY rank) AS contexts, first(text ORDER BY rank) AS answer FROM mk JOIN documents USING (doc_id) GROUP BY query_id),
+    k AS (SELECT query_id AS id, text AS question, answer, contexts, CASE WHEN item_id % 4 <> 0 THEN text ELSE '' END AS truth FROM benchmark JOIN c ON query_id = item_id),
     w AS (SELECT id, {_toks('question')} AS question, {_toks('answer')} AS answer, {_toks('truth')} AS truth, list_transform(contexts, lambda x: {_toks('x')}) AS contexts FROM k),
     g AS (SELECT *, flatten(contexts) AS seen, list_transform(contexts, lambda x: CASE WHEN {_SHARE('CASE WHEN len(truth) > 0 THEN truth ELSE question END', 'x')} >= 0.5 THEN 1 ELSE 0 END) AS good FROM w),
     e AS (SELECT id, round(coalesce(list_sum(list_transform(range(1, len(good) + 1), lambda i: CASE WHEN good[i] = 1 THEN list_sum(good[1:i])::DOUBLE / i ELSE 0 END)) / nullif(list_sum(good), 0), 0), 6) AS context_precision,
@@ -255,7 +255,7 @@ ORACLES = {
     "traces_of_spans": "SELECT event_id, round(value * 0.25::DOUBLE + value * 0.75::DOUBLE, 6) AS latency_ms, 2::BIGINT AS spans, CASE WHEN event_type = 'error' THEN 'generation' END AS failed_in FROM events",
     "usage_cost": """SELECT event_type, CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'unknown' END AS model, CAST(sum(event_id % 700) AS BIGINT) AS tokens_in, CAST(sum(event_id % 300) AS BIGINT) AS tokens_out,
         round(sum(CASE event_id % 3 WHEN 0 THEN ((event_id % 700) * 0.5::DOUBLE + (event_id % 300) * 1.5::DOUBLE) / 1000 WHEN 1 THEN ((event_id % 700) * 10.0::DOUBLE + (event_id % 300) * 30.0::DOUBLE) / 1000 ELSE 0 END), 6) AS cost_usd FROM events GROUP BY 1, 2""",
-    "keyword_coverage": f"""WITH {_bm25_sql('m', 1)}, k AS (SELECT query_id, documents.text AS body, list_distinct_ordered AS words FROM mk JOIN documents USING (doc_id) JOIN (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(t), lambda w: {{'p': list_position(t, w), 'w': w}}))[1:5], lambda x: x.w) AS list_distinct_ordered FROM (SELECT item_id, {TOKENS_SQL} AS t FROM benchmark)) ON item_id = query_id)
+    "keyword_coverage": f"""WITH {_bm25_sql('m', 1)}, k AS (SELECT query_id, documents.text AS body, list_distinct_ordered AS words FROM mk JOIN documents USING (doc_id) JOIN (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(t), lambda w: {{'p': list_position(t, w), 'w': w}})), lambda x: x.w) AS list_distinct_ordered FROM (SELECT item_id, {TOKENS_SQL} AS t FROM benchmark)) ON item_id = query_id)
         SELECT query_id, round(len(list_filter(words, lambda w: contains(lower(body), w)))::DOUBLE / len(words), 6) AS coverage FROM k""",
     "answer_scores": f"WITH {_SCORES} SELECT * FROM e",
     "answer_score_means": f"WITH {_SCORES}, a AS (SELECT count(*) AS n, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in E.THRESHOLDS) + " FROM e) SELECT n, " + ", ".join(f"round({m}, 4) AS {m}" for m in E.THRESHOLDS) + ", " + " AND ".join(f"({m} = 0 OR {m} >= {v})" for m, v in E.THRESHOLDS.items()) + " AS passed FROM a",
@@ -275,7 +275,7 @@ ORACLES = {
         WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 50),
         w AS (SELECT src, dst, 1 AS depth FROM e WHERE src <> dst UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> a.dst AND a.src <> b.dst) SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY src, dst""",
     "latest_versions": "SELECT user_id, event_id, event_type AS payload FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-    "term_frequencies": f"WITH q AS (SELECT DISTINCT unnest(({TOKENS_SQL})[1:5]) AS term FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents), w AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t) SELECT doc_id, dl, term, count(*) AS tf FROM w JOIN q USING (term) GROUP BY doc_id, dl, term",
+    "term_frequencies": f"WITH q AS (SELECT DISTINCT unnest({TOKENS_SQL}) AS term FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents), w AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t) SELECT doc_id, dl, term, count(*) AS tf FROM w JOIN q USING (term) GROUP BY doc_id, dl, term",
     "cube_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     "pivot_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1",

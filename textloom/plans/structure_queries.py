@@ -21,9 +21,9 @@ from .text_queries import FILES_SQL, LATEX, LATEX_SQL, TOKENS_SQL, _files
 #: A LaTeX source made of each document: plain pieces, and SQL that both engines read in brackets.
 BOOK = [
     "\\documentclass[11pt]{Aero", ("CASE WHEN doc_id % 3 = 0 THEN 'Structure' ELSE 'Book' END",), "}\n\\title{ Document ", ("CAST(doc_id AS STRING)",), " }\n\\author{", ("source",), "}\n\\begin{document}\n\\chapter[Ch ",
-    ("CAST(doc_id % 12 AS STRING)",), "]{Chapter ", ("CAST(doc_id % 12 AS STRING)",), "}\n\\label{ch:", ("CAST(doc_id % 12 AS STRING)",), "}\n", ("substr(text, 1, 300)",), "\n\\section{Loads}\nFirst. Second one! Third? See \\ref{eq:",
+    ("CAST(doc_id % 12 AS STRING)",), "]{Chapter ", ("CAST(doc_id % 12 AS STRING)",), "}\n\\label{ch:", ("CAST(doc_id % 12 AS STRING)",), "}\n", ("text",), "\n\\section{Loads}\nFirst. Second one! Third? See \\ref{eq:",
     ("CAST(doc_id AS STRING)",), "} $x_{", ("CAST(doc_id AS STRING)",), "}$ and $$q = VQ/I$$ here. Fourth.\n\\begin{equation}\n\\label{eq:", ("CAST(doc_id AS STRING)",), "}\nP = \\frac{a}{", ("CAST(doc_id AS STRING)",), "}\n\\end{equation}\n",
-    ("CASE WHEN doc_id % 4 = 0 THEN substr(text, 301, 2000) ELSE '' END",), "\n\\subsection{Shear}\\label{sec:s}\n\\begin{align}\nu &= $v$ \\\\ w\n\\end{align} After it.\n\\begin{figure}\n\\includegraphics{f.png}\n\\caption{Figure of ",
+    ("CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END",), "\n\\subsection{Shear}\\label{sec:s}\n\\begin{align}\nu &= $v$ \\\\ w\n\\end{align} After it.\n\\begin{figure}\n\\includegraphics{f.png}\n\\caption{Figure of ",
     ("lang",), "}\n\\label{fig:", ("CAST(doc_id AS STRING)",), "}\n\\end{figure}\n\\begin{table}no caption\\end{table}\n\\[ z = 1 \\]\n", ("CASE WHEN doc_id % 5 = 0 THEN '$$ odd { $$' ELSE '' END",), "\\end{document}",
 ]
 
@@ -64,8 +64,8 @@ def equation_boundaries(s, d):
 
 
 def equation_contexts(s, d):
-    rows = _books(s, d).select("id", "text", F.explode(X.boundaries(F.col("text"))).alias("s")).where("s.kind = 'display'")
-    return rows.select("id", F.col("s.start").cast("long").alias("start"), X.equation_context(F.col("text"), F.col("s.start"), F.col("s.stop")).alias("context"))
+    rows = _books(s, d).select("id", F.explode(X.equation_contexts(F.col("text"))).alias("s"))
+    return rows.select("id", F.col("s.start").cast("long").alias("start"), F.col("s.context").alias("context"))
 
 
 def chunk_equation_check(s, d):
@@ -85,12 +85,12 @@ def equations_in_chunks(s, d):
 
 
 def parser_validation(s, d):
-    checked = X.validated(_books(s, d).select("id", F.col("text").alias("source"), F.when(F.col("id") % 10 == 3, F.substring("text", 1, 700)).when(F.col("id") % 10 != 7, F.col("text")).alias("markdown")))
+    checked = X.validated(_books(s, d).select("id", F.col("text").alias("source"), F.when(F.col("id") % 10 == 3, F.replace("text", F.lit("$$"), F.lit(""))).when(F.col("id") % 10 != 7, F.col("text")).alias("markdown")))
     return checked.select("id", "original", "kept", F.round("preservation", 6).alias("preservation"), "syntax_valid", "passed", F.array_join("issues", "|").alias("issues"))
 
 
 def parser_report(s, d):
-    return X.validation_report(X.validated(_books(s, d).select("id", F.col("text").alias("source"), F.when(F.col("id") % 10 == 3, F.substring("text", 1, 700)).when(F.col("id") % 10 != 7, F.col("text")).alias("markdown"))))
+    return X.validation_report(X.validated(_books(s, d).select("id", F.col("text").alias("source"), F.when(F.col("id") % 10 == 3, F.replace("text", F.lit("$$"), F.lit(""))).when(F.col("id") % 10 != 7, F.col("text")).alias("markdown"))))
 
 
 def project_chunks(s, d):
@@ -137,8 +137,8 @@ def json_contains(s, d):
 
 
 def all_terms_match(s, d):
-    """The first two words of each passage as a query: how many documents have both."""
-    asked = _asked(s, d).select("query_id", F.slice(T.tokens(F.col("query")), 1, 2).alias("terms"))
+    """The words of each passage as a query: how many documents have all of them."""
+    asked = _asked(s, d).select("query_id", T.tokens(F.col("query")).alias("terms"))
     return L.all_terms(asked, table(s, d, "documents")).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -156,7 +156,7 @@ def score_clamp(s, d):
 def prompt_kinds(s, d):
     """The five kinds of prompt over each passage's three best documents."""
     best = L.bm25(_asked(s, d), table(s, d, "documents"), 3).select("query_id", "doc_id", "rank").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 200).alias("text")))).alias("c"))
+    context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     rows = _asked(s, d).join(context, "query_id").select("query_id", "query", F.transform("c", lambda x: x["text"]).alias("c"))
     q, c = F.col("query"), F.col("c")
     asked = {
@@ -264,7 +264,7 @@ _BOUNDS = f"""
 _B = f"WITH b AS MATERIALIZED (SELECT * FROM {BOOK_SQL})"
 _COUNT = lambda t, ps: " + ".join(f"len(regexp_extract_all({t}, {_q(p)}))" for p in ps)
 _CHECKED = f"""{_B},
-    p AS (SELECT id, text AS source, CASE WHEN id % 10 = 3 THEN substr(text, 1, 700) WHEN id % 10 <> 7 THEN text END AS markdown FROM b),
+    p AS (SELECT id, text AS source, CASE WHEN id % 10 = 3 THEN replace(text, '$$', '') WHEN id % 10 <> 7 THEN text END AS markdown FROM b),
     c AS (SELECT *, {_COUNT('source', X.SOURCE_EQUATIONS)} AS original, coalesce({_COUNT('markdown', X.PARSED_EQUATIONS)}, 0) AS kept,
           coalesce(len(list_filter(regexp_extract_all(markdown, '\\$\\$([^$]+)\\$\\$', 1), lambda e: length(replace(e, '{{', '')) <> length(replace(e, '}}', '')) OR length(replace(e, '[', '')) <> length(replace(e, ']', '')))) = 0, false) AS syntax_valid FROM p),
     r AS (SELECT *, CASE WHEN markdown IS NULL THEN 0.0::DOUBLE WHEN original > 0 THEN kept / original ELSE 1.0::DOUBLE END AS preservation FROM c),
@@ -320,12 +320,12 @@ ORACLES = {
     "dict_filters": "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 200 AND n_chars < 5000",
     "json_contains": "SELECT event_id FROM events WHERE props::JSON ->> 'k' = '7'",
     "all_terms_match": f"""
-        WITH q AS (SELECT item_id AS query_id, list_distinct(({TOKENS_SQL})[1:2]) AS terms FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents)
+        WITH q AS (SELECT item_id AS query_id, list_distinct({TOKENS_SQL}) AS terms FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents)
         SELECT query_id, count(*) AS n FROM q, t WHERE len(list_intersect(terms, toks)) = len(terms) GROUP BY query_id""",
     "terms_predicate": f"SELECT doc_id FROM (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents) WHERE list_contains(toks, 'de') AND list_contains(toks, 'la')",
     "score_clamp": "SELECT vec_id, round(greatest(0, least(1, embedding[1]::DOUBLE * 5)), 6) AS score FROM embeddings",
     "prompt_kinds": f"""
-        WITH {_bm25_sql('m', 3)}, c AS (SELECT query_id, string_agg('[Context ' || rank || ']' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM mk JOIN documents USING (doc_id) GROUP BY query_id),
+        WITH {_bm25_sql('m', 3)}, c AS (SELECT query_id, string_agg('[Context ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM mk JOIN documents USING (doc_id) GROUP BY query_id),
         r AS (SELECT query_id, text AS query, context FROM benchmark JOIN c ON query_id = item_id)
         {' UNION ALL '.join(f"SELECT query_id, {_q(k)} AS kind, md5({literal(P.SYSTEM[k])}) AS system, md5({_PROMPTS[k]}) AS user FROM r" for k in QUERIES_OF_KINDS)}""",
     "answer_sources": _CITED + r""",

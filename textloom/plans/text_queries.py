@@ -39,11 +39,11 @@ MIXED_SQL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, te
 
 
 #: Markdown made of each document, LaTeX that may be broken, and files of a project for every five documents, in SQL that both engines read.
-_MD_EXPR = "concat('# D', CAST(doc_id AS STRING), {n}, replace(substr(text, 1, 120), {n}, ' '), {n}, '## S', CAST(doc_id % 4 AS STRING), {n}, 'x', {n}, CASE WHEN doc_id % 3 = 0 THEN concat('### Deep', {n}) ELSE '' END, 'y', {n}, '# Second', {n}, replace(substr(text, 121, 80), {n}, ' '))"
-_BROKEN_EXPR = "CASE doc_id % 4 WHEN 0 THEN concat(substr(text, 1, 60), '{{') WHEN 1 THEN concat({b}, 'begin{{align}}', substr(text, 1, 40)) WHEN 2 THEN concat({b}, 'left(', substr(text, 1, 30), '}}') ELSE substr(text, 1, 6000) END"
+_MD_EXPR = "concat('# D', CAST(doc_id AS STRING), {n}, text, {n}, '## S', CAST(doc_id % 4 AS STRING), {n}, 'x', {n}, CASE WHEN doc_id % 3 = 0 THEN concat('### Deep', {n}) ELSE '' END, 'y', {n}, '# Second', {n}, replace(text, {n}, ' '))"
+_BROKEN_EXPR = "CASE doc_id % 4 WHEN 0 THEN concat(text, '{{') WHEN 1 THEN concat({b}, 'begin{{align}}', text) WHEN 2 THEN concat({b}, 'left(', text, '}}') ELSE text END"
 MARKDOWN_SQL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {values_sql(MARKDOWN, 'id, text')} UNION ALL SELECT doc_id + 100, {_MD_EXPR.format(n='chr(10)')} FROM documents)"
 BROKEN_SQL = f"(SELECT CAST(id AS BIGINT) AS id, latex FROM {values_sql(BROKEN, 'id, latex')} UNION ALL SELECT doc_id + 100, {_BROKEN_EXPR.format(b='chr(92)')} FROM documents)"
-FILES_SQL = f"""(SELECT * FROM {values_sql(FILES, 'dir, file, text')} UNION ALL SELECT 'p' || (doc_id // 5), 'Ch' || (doc_id % 5 + 1) || '_x.tex', chr(92) || 'chapter{{T' || doc_id || '}} ' || chr(92) || 'input{{a}} ' || chr(92) || 'myexternaldocument{{Ch' || (doc_id % 3) || '}}' FROM documents)"""
+FILES_SQL = f"""(SELECT * FROM {values_sql(FILES, 'dir, file, text')} UNION ALL SELECT 'p' || (doc_id // 5), 'Ch' || (doc_id % 5 + 1) || '_x.tex', chr(92) || 'chapter{{T' || doc_id || '}} ' || chr(92) || 'input{{a}} ' || chr(92) || 'myexternaldocument{{Ch' || (doc_id % 3) || '}} ' || text FROM documents)"""
 
 
 def _markdown(s: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     made = _docs(s, d).select(
         F.concat(F.lit("p"), F.floor(F.col("doc_id") / 5).cast("string")).alias("dir"),
         F.concat(F.lit("Ch"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("_x.tex")).alias("file"),
-        F.concat(F.lit("\\chapter{T"), F.col("doc_id").cast("string"), F.lit("} \\input{a} \\myexternaldocument{Ch"), (F.col("doc_id") % 3).cast("string"), F.lit("}")).alias("text"),
+        F.concat(F.lit("\\chapter{T"), F.col("doc_id").cast("string"), F.lit("} \\input{a} \\myexternaldocument{Ch"), (F.col("doc_id") % 3).cast("string"), F.lit("} "), F.col("text")).alias("text"),
     )
     return rows_df(s, FILES, "dir string, file string, text string").unionByName(made)
 
