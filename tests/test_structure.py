@@ -221,32 +221,43 @@ def test_holding_equals_a_search_of_all_texts(spark):
     assert got == {(i, d) for i, q in asked if q is not None for d, t in texts if q in t}
 
 
-def test_two_stage_equals_a_plain_version(spark):
+@pytest.mark.parametrize("filtered", [False, True])
+def test_two_stage_equals_a_plain_version(spark, filtered):
+    import pandas as pd
+
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("doc_id < 90")
     asked = spark.read.parquet(f"{SMALL}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).limit(8)
-    asked = asked.unionByName(spark.createDataFrame([(900, "explain the concept"), (901, "FEM stress beam equation")], "query_id long, query string"))
+    asked = asked.unionByName(spark.createDataFrame([(900, "explain the concept in chapter 2"), (901, "FEM stress beam equation on pages 10-20 with equations"), (902, "beam of page 16"), (903, "with figures")], "query_id long, query string"))
+    given = spark.createDataFrame([(900, "chapter_3", None), (902, None, True)], "query_id long, document_id string, has_equations boolean")
+    about = {}
+    if filtered:
+        docs = docs.withColumns({"document_id": F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("chapter_"), (F.col("doc_id") % 4).cast("string"))), "has_equations": F.col("doc_id") % 2 == 0, "page_number": (F.col("doc_id") % 30).cast("int")})
+        about = {r["doc_id"]: r for r in docs.collect()}
+    limits = {900: lambda r: r["document_id"] == "chapter_3", 901: lambda r: r["has_equations"] and 10 <= r["page_number"] <= 20, 902: lambda r: r["has_equations"] and r["page_number"] == 16}
     embed, depth = models.hashing_embedder(), 20
-    import pandas as pd
-
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     unit = {d: np.array(v) for d, v in zip(texts, embed(pd.Series(list(texts.values()))), strict=True)}
-    alpha = {r["query_id"]: r["alpha"] for r in lexical.analyze(asked, "query").collect()}
-    lexical_ranks: dict = {}
-    for r in lexical.bm25(asked, docs, depth).collect():
-        lexical_ranks.setdefault(r["query_id"], {})[r["doc_id"]] = r["rank"]
+    told = {r["query_id"]: r for r in lexical.analyze(asked, "query").collect()}
+    lexical_order: dict = {}
+    for r in lexical.bm25(asked, docs, None).orderBy("rank").collect():
+        lexical_order.setdefault(r["query_id"], []).append(r["doc_id"])
     want = {}
     for r in asked.collect():
-        q = np.array(embed(pd.Series([r["query"]]))[0])
-        cosine = {d: round(float(v @ q), 6) for d, v in unit.items()}
-        near = {d: i + 1 for i, d in enumerate(sorted(cosine, key=lambda d: (-cosine[d], d))[:depth])}
-        own, w = lexical_ranks.get(r["query_id"], {}), 1 - alpha[r["query_id"]]
+        i = r["query_id"]
+        passes = lambda d: not filtered or i not in limits or bool(limits[i](about[d]))  # noqa: B023, E731
+        vectors = [np.array(v) for v in embed(pd.Series([told[i]["expanded_query"], r["query"]]))]
+        wide, cosine = ({d: round(float(v @ q), 6) for d, v in unit.items() if passes(d)} for q in vectors)
+        near = {d: n + 1 for n, d in enumerate(sorted(wide, key=lambda d: (-wide[d], d))[:depth])}
+        own = {d: n + 1 for n, d in enumerate([d for d in lexical_order.get(i, []) if passes(d)][:depth])}
+        w = 1 - told[i]["alpha"]
         fused = {d: round((w / (60 + near[d]) if d in near else 0) + ((1 - w) / (60 + own[d]) if d in own else 0), 9) for d in {*near, *own}}
         chosen = sorted(fused, key=lambda d: (-fused[d], d))[:depth]
-        want[r["query_id"]] = sorted(chosen, key=lambda d: (-cosine[d], d))[:10]
+        if chosen:
+            want[i] = sorted(chosen, key=lambda d: (-cosine[d], d))[:10]
     got: dict = {}
-    for r in models.two_stage(asked, docs, depth=depth).orderBy("rank").collect():
+    for r in models.two_stage(asked, docs, depth=depth, given=given).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
-    assert got == want
+    assert got == want and (not filtered or {900, 901, 902} <= set(got))
 
 
 def test_best_sentence_equals_a_plain_loop(spark):

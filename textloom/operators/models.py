@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.stored import stored
 from . import lexical
 from . import vectors as search
 from .parallel import spread
@@ -85,18 +87,68 @@ def embedded_batches(rows: DataFrame, done: DataFrame, text: str, key: str, atte
     return todo.mapInPandas(batches, "key string, vector array<float>, attempts int, failed boolean")
 
 
-def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, embedder: Embedder | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank: BM25's and the vectors' best `depth` of all documents, fused by the query's weight, the best `depth` of them reranked by cosine.
+#: Filters of an analysed query, the column of the documents each is about, and how they compare.
+FILTERS = {"document_id": ("document_id", "eq"), "has_equations": ("has_equations", "eq"), "has_figures": ("has_figures", "eq"), "page_gte": ("page_number", "ge"), "page_lte": ("page_number", "le")}
+
+
+def merged_filters(queries: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """query_id, expanded_query, alpha and the filters of each query: what its text names, or what `given` (query_id, some of FILTERS) has instead; null where neither says anything."""
+    found = lexical.analyze(queries, "query")
+    named = {f: F.when(F.col(f), True) if how == "eq" and f.startswith("has_") else F.col(f) for f, (_, how) in FILTERS.items()}
+    out = found.select("query_id", "expanded_query", "alpha", *(c.alias(f) for f, c in named.items()))
+    if given is not None:
+        own = [f for f in FILTERS if f in given.columns]
+        more = given.select("query_id", *(F.col(f).alias(f"_{f}") for f in own))
+        out = out.join(more, "query_id", "left").withColumns({f: F.coalesce(f"_{f}", f) for f in own}).drop(*(f"_{f}" for f in own))
+    return out
+
+
+def _passes(used: list[str]) -> Column:
+    """Whether a row with filters and the columns they are about passes all filters that are set."""
+    tests = {"eq": lambda c, v: c == v, "ge": lambda c, v: c >= v, "le": lambda c, v: c <= v}
+    return reduce(lambda a, b: a & b, (F.col(f).isNull() | F.coalesce(tests[FILTERS[f][1]](F.col("_" + FILTERS[f][0]), F.col(f)), F.lit(False)) for f in used), F.lit(True))
+
+
+def _kept(used: list[str]) -> search.Keep:
+    """The same over groups of queries and documents, as a matrix."""
+    tests = {"eq": np.equal, "ge": np.greater_equal, "le": np.less_equal}
+
+    def keep(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        out = np.ones((len(a), len(b)), bool)
+        for f in used:
+            column, how = FILTERS[f]
+            for i in np.flatnonzero(a[f].notna().to_numpy()):
+                value, held = a[f].iloc[i], b["_" + column]
+                known = held.notna().to_numpy()
+                out[i, ~known] = False
+                out[i, known] &= tests[how](held[known].to_numpy(), value).astype(bool)
+        return out
+
+    return keep
+
+
+def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, embedder: Embedder | None = None, given: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: BM25's and the vectors' best `depth` of the documents that pass a query's filters, fused by the query's weight, the best `depth` of them reranked by cosine.
 
     `queries` is (query_id, query). Analysis gives each query its weight of
-    lexical search; the vectors' side has the rest.
+    lexical search, an expansion that the vectors' side looks for, and filters,
+    of which those of `given` count before the ones found in the text. Filters
+    about columns that the documents don't have are not applied. Every text is
+    embedded once, into a table of the shared folder.
     """
-    weights = lexical.analyze(queries, "query").select("query_id", (1 - F.col("alpha")).alias("semantic_weight"))
-    asked = embed(queries, "query", "q", embedder).select("query_id", "q")
-    texts = embed(spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text")), "text", "v", embedder).select("doc_id", "v")
-    near = search.batch_top_k(asked.select(F.col("query_id"), "q"), texts.select(F.col("doc_id").alias("id"), "v"), depth, own=True).withColumnRenamed("id", "doc_id")
-    both = lexical.rrf(near, lexical.bm25(queries, docs, depth), weights=weights, top=depth)
-    candidates = both.select("query_id", "doc_id").join(texts, "doc_id").join(asked, "query_id")
+    used = [f for f, (column, _) in FILTERS.items() if column in docs.columns]
+    about = [F.col(c).alias("_" + c) for c in dict.fromkeys(FILTERS[f][0] for f in used)]
+    asked = merged_filters(queries, given).join(queries.select("query_id", "query"), "query_id")
+    asked = stored(embed(embed(asked, "expanded_query", "eq", embedder), "query", "q", embedder).select("query_id", "alpha", "q", "eq", *used), "asked")
+    texts = stored(embed(spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text", *about)), "text", "v", embedder).drop("text"), "embedded-texts")
+    near = search.batch_top_k(asked.select("query_id", F.col("eq").alias("q"), *used), texts.withColumnRenamed("doc_id", "id"), depth, own=True, keep=_kept(used) if used else None).withColumnRenamed("id", "doc_id")
+    found = lexical.bm25(queries, docs, None if used else depth)
+    if used:
+        found = found.join(texts.drop("v"), "doc_id").join(asked.select("query_id", *used), "query_id").where(_passes(used)).select("query_id", "doc_id", "score")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth)
+    both = lexical.rrf(near, found, weights=asked.select("query_id", (1 - F.col("alpha")).alias("semantic_weight")), top=depth)
+    candidates = both.select("query_id", "doc_id").join(texts.select("doc_id", "v"), "doc_id").join(asked.select("query_id", "q"), "query_id")
     return rerank(candidates, k)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +30,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def tile_top_k(k: int, digits: int, own: bool):
-    """Function of two groups, queries (query_id, q) and vectors (id, v): each query's k vectors of largest cosine."""
+#: Tells for groups of queries and of vectors which pairs count: a boolean matrix.
+Keep = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+
+
+def tile_top_k(k: int, digits: int, own: bool, keep: Keep | None = None):
+    """Function of two groups, queries (query_id, q) and vectors (id, v): each query's k vectors of largest cosine among those that `keep` has for it."""
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -39,6 +45,8 @@ def tile_top_k(k: int, digits: int, own: bool):
             asks, names = _unit(np.array(a["q"].tolist(), np.float64)), a["query_id"].to_numpy(np.int64)
             for i in range(0, len(asks), 256):
                 score = np.round(asks[i : i + 256] @ cand.T, digits)
+                if keep is not None:
+                    score[~keep(a.iloc[i : i + 256], b)] = -np.inf
                 if not own:
                     score[names[i : i + 256, None] == ids[None, :]] = -np.inf
                 for r, row in enumerate(score):
@@ -50,21 +58,21 @@ def tile_top_k(k: int, digits: int, own: bool):
     return tile
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6, own: bool = False) -> DataFrame:
+def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, digits: int = 6, own: bool = False, keep: Keep | None = None) -> DataFrame:
     """query_id, id, score, rank: the k rows of largest cosine for each of many queries, but for the query's own id unless `own`.
 
     `queries` is (query_id, q) and `vectors` (id, v). Both are dealt to blocks
     by hashed id and each pair of blocks is one matrix product in a task, so
     neither side is broadcast or gathered; tiles return k rows per query. Rows
-    with a null vector are skipped; ties go to the smaller id.
+    with a null vector are skipped; ties go to the smaller id. Either side may
+    have more columns, which `keep` can tell from which pairs count.
     """
     queries, vectors = queries.where("q IS NOT NULL"), vectors.where("v IS NOT NULL")
     n_q, n_v = queries.count(), vectors.count()
     q_blocks, v_blocks = max(1, -(-n_q // block)), max(1, -(-n_v // block))
-    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), "query_id", "q")
-    right = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"), "id", "v")
-
-    tiles = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(tile_top_k(k, digits, own), "query_id long, id long, score double")
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), *queries.columns)
+    right = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"), *vectors.columns)
+    tiles = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(tile_top_k(k, digits, own, keep), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return tiles.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
