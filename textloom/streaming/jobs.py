@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,22 +13,17 @@ LATENESS = "10 minutes"
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str) -> StreamingQuery:
     """Append new files of `source` to the Parquet table `target`, each key once; restarts go on from the checkpoint.
 
-    A key that an earlier batch has written is left out, also where it comes
-    again in a later run. A batch that runs again after a failure overwrites
-    its own folder, so no row is written twice. Rows without a key are left out.
+    The keys seen are the stream's state, held by the tasks that own them, so a
+    batch looks only its own keys up and nothing that was written is read. A
+    batch that runs again after a failure overwrites its own folder, so no row
+    is written twice. Rows without a key are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        order = Window.partitionBy(key).orderBy(F.lit(0))
-        one = batch.where(F.col(key).isNotNull()).withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
-        folder = own.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if folder.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            stored = own.read.schema(f"{schema}, batch long").parquet(target).where(F.col("batch") != number)
-            one = one.join(stored.select(key), key, "left_anti").select(*batch.columns)
-        one.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    rows = spark.readStream.schema(schema).parquet(source).where(F.col(key).isNotNull()).dropDuplicates([key])
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def timed(traces: DataFrame) -> DataFrame:
