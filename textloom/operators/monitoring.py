@@ -9,23 +9,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import relational
+from . import relational, sketches
 
 
 def trace_stats(traces: DataFrame, *by: str) -> DataFrame:
-    """Count, failures, mean, exact p50/p95/p99, population deviation and throughput of `latency_ms`, `failed` rows."""
-    p = lambda q: F.round(F.percentile("latency_ms", q), 6)
-    return traces.groupBy(*by).agg(
+    """Count, failures, mean, exact p50/p95/p99, population deviation and throughput of `latency_ms`, `failed` rows.
+
+    Percentiles are exact and no group's values are gathered (see `sketches`).
+    """
+    stats = traces.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count_if("failed").alias("failures"),
         F.round(F.try_divide(F.count_if("failed") * 100.0, F.count("*")), 6).alias("error_pct"),
         F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-        p(0.5).alias("p50_ms"),
-        p(0.95).alias("p95_ms"),
-        p(0.99).alias("p99_ms"),
         F.round(F.stddev_pop("latency_ms"), 6).alias("std_ms"),
         F.round(F.try_divide(F.lit(1000.0), F.avg("latency_ms")), 6).alias("per_second"),
     )
+    shares = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    ranks = sketches.exact_percentiles(traces, "latency_ms", shares, *by)
+    joined = stats.join(F.broadcast(ranks)) if not by else sketches.paired(stats, ranks, list(by))  # a row each without groups
+    return joined.select(*by, "n", "failures", "error_pct", "mean_ms", *(F.round(p, 6).alias(p) for p in shares), "std_ms", "per_second")
 
 
 def monitoring_stats(traces: DataFrame, last_n: int | None = None) -> DataFrame:
