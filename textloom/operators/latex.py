@@ -52,10 +52,18 @@ def _found(text: str, patterns: dict[str, re.Pattern]) -> list[tuple[str, int, i
     return [(kind, m.start(), m.end()) for kind, pattern in patterns.items() for m in pattern.finditer(text)]
 
 
-def _compiled(patterns: dict[str, str]) -> dict[str, re.Pattern]:
+def compiled(patterns: dict[str, str]) -> dict[str, re.Pattern]:
     return {kind: re.compile(p, re.ASCII) for kind, p in patterns.items()}
 
 
+def span_rows(text: str, patterns: dict[str, re.Pattern]):
+    """(kind, start, stop, line, found, before, after) of all matches."""
+    found = _found(text, patterns)
+    breaks = [m.start() for m in re.finditer("\n", text)] if found else []
+    for kind, a, b in found:
+        yield kind, a, b, bisect_left(breaks, a) + 1, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]
+
+
 def _per_text(texts: pa.Array, rows_of, names: list[str], types: list[pa.DataType]) -> pa.Array:
     """A list of structs for each text, from rows as tuples; null for a null text. Texts are taken one at a time."""
     columns: list[list] = [[] for _ in names]
@@ -74,17 +82,10 @@ def all_spans(text: Column, patterns: dict[str, str]) -> Column:
 
     One pass over the text for each pattern, and one over its line ends.
     """
-    compiled = _compiled(patterns)
-
-    def rows(text: str):
-        found = _found(text, compiled)
-        breaks = [m.start() for m in re.finditer("\n", text)] if found else []
-        for kind, a, b in found:
-            yield kind, a, b, bisect_left(breaks, a) + 1, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]
-
+    ready = compiled(patterns)
     names = ["kind", "start", "stop", "line", "found", "before", "after"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return F.arrow_udf(lambda texts: _per_text(texts, rows, names, types), SPAN)(text)
+    return F.arrow_udf(lambda texts: _per_text(texts, lambda t: span_rows(t, ready), names, types), SPAN)(text)
 
 
 def front_matter(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -139,7 +140,7 @@ def boundaries(text: Column) -> Column:
     In that order an inline one begins within a display equation if the
     furthest end of those before it lies behind its start.
     """
-    display, inline = _compiled(DISPLAY), _compiled({"inline": INLINE})
+    display, inline = compiled(DISPLAY), compiled({"inline": INLINE})
 
     def rows(text: str):
         spans = sorted([(a, 0, b) for _, a, b in _found(text, display)] + [(a, 1, b) for _, a, b in _found(text, inline)])
@@ -158,7 +159,7 @@ def boundaries(text: Column) -> Column:
 
 def equation_contexts(text: Column, sentences: int = 2) -> Column:
     """Each display equation (start, stop) with the last sentences before it and the first after it, as `context`."""
-    display = _compiled(DISPLAY)
+    display = compiled(DISPLAY)
 
     def rows(text: str):
         spans = sorted((a, b) for _, a, b in _found(text, display))

@@ -216,5 +216,5 @@ def weighted(semantic: DataFrame, lexical: DataFrame, text_weight: float = 0.3,
     a = semantic.select("query_id", "doc_id", F.col("score").alias("vector_score"))
     b = lexical.select("query_id", "doc_id", F.col("score").alias("text_score"))
     both = a.join(b, ["query_id", "doc_id"], "full_outer").na.fill(0.0, ["vector_score", "text_score"])
-    both = both.withColumn("score", F.round(F.col("vector_score") * (1 - text_weight) + F.col("text_score") * text_weight, 6))
+    both = both.withColumn("score", F.round(F.col("vector_score") * (1 - text_weight) + F.col("text_score") * text_weight, 9))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= top)

@@ -28,3 +28,35 @@ def values_sql(rows: list[tuple], columns: str) -> str:
 
 def rows_df(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+_TYPES = {"int": "INTEGER", "long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+
+
+class Derived:
+    """Literal rows united with rows made from tables, by expressions that both engines read.
+
+    `schema` is like "id int, text string"; `made` has for a table an expression
+    per column, and may have a condition as its last one.
+    """
+
+    def __init__(self, rows: list[tuple], schema: str, *made: tuple):
+        self.rows, self.schema, self.made = rows, schema, made
+        self.fields = [f.split() for f in schema.split(", ")]
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = rows_df(spark, self.rows, self.schema)
+        for name, *found in self.made:
+            frame = table(spark, sf_dir, name)
+            if len(found) > len(self.fields):
+                frame = frame.where(found[-1])
+            out = out.unionByName(frame.selectExpr(*(f"CAST({e} AS {'bigint' if t == 'long' else t}) AS `{c}`" for (c, t), e in zip(self.fields, found))))
+        return out
+
+    def sql(self) -> str:
+        names = ", ".join(f'"{c}"' for c, _ in self.fields)
+        parts = ["SELECT " + ", ".join(f'CAST("{c}" AS {_TYPES[t]}) AS "{c}"' for c, t in self.fields) + f" FROM {values_sql(self.rows, names)}"]
+        for name, *found in self.made:
+            where = f" WHERE {found[-1]}" if len(found) > len(self.fields) else ""
+            parts.append("SELECT " + ", ".join(f'CAST({e} AS {_TYPES[t]}) AS "{c}"' for (c, t), e in zip(self.fields, found)) + f" FROM {name}{where}")
+        return "(" + " UNION ALL ".join(parts) + ")"

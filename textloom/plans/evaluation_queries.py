@@ -13,7 +13,7 @@ from ..operators import models as N
 from ..operators import monitoring as M
 from ..operators import relational as R
 from .common import rows_df, table, values_sql
-from .ops_queries import CHUNKS_SQL, GOLDEN, TARGETS
+from .ops_queries import CASES, CHUNKS_SQL, TARGETS
 from .search_queries import _asked, _bm25_sql
 from .text_queries import TOKENS_SQL
 
@@ -105,8 +105,7 @@ def answer_score_means(s, d):
 
 
 def template_cases(s, d):
-    golden = rows_df(s, GOLDEN, "id string, category string, difficulty string, question string, ground_truth string")
-    return E.templates(golden, rows_df(s, TARGETS, "category string, target long"))
+    return E.templates(CASES.df(s, d), rows_df(s, TARGETS, "category string, target long"))
 
 
 def synthetic_cases(s, d):
@@ -259,7 +258,7 @@ ORACLES = {
         SELECT query_id, round(len(list_filter(words, lambda w: contains(lower(body), w)))::DOUBLE / len(words), 6) AS coverage FROM k""",
     "answer_scores": f"WITH {_SCORES} SELECT * FROM e",
     "answer_score_means": f"WITH {_SCORES}, a AS (SELECT count(*) AS n, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in E.THRESHOLDS) + " FROM e) SELECT n, " + ", ".join(f"round({m}, 4) AS {m}" for m in E.THRESHOLDS) + ", " + " AND ".join(f"({m} = 0 OR {m} >= {v})" for m, v in E.THRESHOLDS.items()) + " AS passed FROM a",
-    "template_cases": f"""WITH g AS (SELECT category, count(*) AS n FROM {values_sql(GOLDEN, 'id, category, difficulty, question, ground_truth')} GROUP BY category), n AS (SELECT t.category, unnest(range(1, target - coalesce(g.n, 0) + 1)) AS i FROM {values_sql(TARGETS, 'category, target').replace('AS v', 'AS t')} LEFT JOIN g USING (category))
+    "template_cases": f"""WITH g AS (SELECT category, count(*) AS n FROM {CASES.sql()} GROUP BY category), n AS (SELECT t.category, unnest(range(1, target - coalesce(g.n, 0) + 1)) AS i FROM {values_sql(TARGETS, 'category, target').replace('AS v', 'AS t')} LEFT JOIN g USING (category))
         SELECT substr(category, 1, 4) || '-' || lpad(i::VARCHAR, 3, '0') AS id, category, 'medium' AS difficulty, '[TODO: Add ' || category || ' question ' || i || ']' AS question, '[TODO: Add ground truth answer]' AS ground_truth, 'Template for ' || category || ' case ' || i AS notes FROM n""",
     "synthetic_cases": f"SELECT * FROM {_SYNTH}",
     "synthetic_summary": f"SELECT complexity, count(doc_id) AS n FROM (SELECT unnest(['simple', 'reasoning', 'multi_context', 'conditional']) AS complexity) LEFT JOIN {_SYNTH} USING (complexity) GROUP BY complexity",

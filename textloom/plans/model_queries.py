@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import latex as X
 from ..operators import lexical as L
 from ..operators import models as N
 from ..operators import vectors as O
 from .common import rows_df, table, values_sql
 from .search_queries import COS, _asked, _bm25_sql
+from .structure_queries import _B, _INSIDE, _KINDS, _STRIP, _books, _spans_sql
 
-POINTS = [(1, "E = mc^2", "c1"), (2, "F = ma", "c2"), (3, "E = mc^2", "c3"), (4, "P = EI / L", "c4")]
 TOKENS = [(1, 1, [[1.0, 0.0], [0.0, 1.0]], [[1.0, 1.0], [1.0, 0.0]]), (1, 2, [[1.0, 0.0], [0.0, 1.0]], [[0.0, 2.0]]), (2, 1, [[3.0, 4.0]], [[0.0, 0.0]])]
 
 _emb = lambda s, d: table(s, d, "embeddings")
@@ -25,8 +26,9 @@ def match_chunks(s, d):
 
 
 def equation_exact_match(s, d):
-    rows = rows_df(s, POINTS, "equation_id int, latex string, chunk_id string")
-    return rows.where(F.replace("latex", F.lit(" "), F.lit("")) == "E=mc^2").select("equation_id", "chunk_id")
+    """Equations of all books that are the query but for spaces."""
+    rows = X.equations(_books(s, d)).where(F.replace("content", F.lit(" "), F.lit("")) == "q=VQ/I")
+    return rows.select("id", "kind", "start")
 
 
 def rerank_pooled(s, d):
@@ -39,7 +41,11 @@ def rerank_pooled(s, d):
 
 
 def maxsim_rerank(s, d):
-    rows = rows_df(s, TOKENS, "query_id int, doc_id int, qt array<array<double>>, dt array<array<double>>")
+    """Eight neighbouring vectors are a text's tokens; every tenth text's tokens ask for it and the three texts after it. A few literal cases beside them."""
+    e = _emb(s, d).select(F.expr("CAST(vec_id div 8 AS INT)").alias("doc_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    texts = e.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("dt"))
+    asked = texts.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.col("dt").alias("qt"), F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 3)).alias("doc_id"))
+    rows = asked.join(texts, "doc_id").select((F.col("query_id") + 10).alias("query_id"), "doc_id", "qt", "dt").unionByName(rows_df(s, TOKENS, "query_id int, doc_id int, qt array<array<double>>, dt array<array<double>>"))
     return rows.select("query_id", "doc_id", N.max_sim(F.col("qt"), F.col("dt")).alias("score"))
 
 
@@ -75,11 +81,13 @@ ORACLES = {
         p AS (SELECT query_id, doc_id, i, trim(parts[i], ' ') AS answer, len(list_intersect({_WORDS.format('parts[i]')}, {_WORDS.format('question')})) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM k))
         SELECT query_id, doc_id, regexp_replace(answer, '\s+$', '') AS answer FROM p WHERE trim(answer) <> '' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) = 1""",
     "maxsim_rerank": f"""
-        WITH t AS (SELECT CAST(query_id AS INTEGER) AS query_id, CAST(doc_id AS INTEGER) AS doc_id, qt, dt FROM {values_sql(TOKENS, 'query_id, doc_id, qt, dt')}),
+        WITH g AS (SELECT CAST(vec_id // 8 AS INTEGER) AS doc_id, list(embedding::DOUBLE[] ORDER BY vec_id) AS dt FROM embeddings GROUP BY 1),
+        t AS (SELECT CAST(query_id AS INTEGER) AS query_id, CAST(doc_id AS INTEGER) AS doc_id, qt::DOUBLE[][] AS qt, dt::DOUBLE[][] AS dt FROM {values_sql(TOKENS, 'query_id, doc_id, qt, dt')}
+              UNION ALL SELECT q.doc_id + 10, d.doc_id, q.dt, d.dt FROM g q JOIN g d ON q.doc_id % 10 = 0 AND d.doc_id BETWEEN q.doc_id AND q.doc_id + 3),
         n AS (SELECT query_id, doc_id, list_transform(qt, lambda a: list_max(list_transform(dt, lambda b: coalesce(list_inner_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[])), 0), 0)))) AS best FROM t)
         SELECT query_id, doc_id, round(list_sum(best), 6) AS score FROM n""",
     "match_chunks": f"WITH n AS (SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10) SELECT n.vec_id, score, source, lang FROM n JOIN documents ON doc_id = vec_id",
-    "equation_exact_match": f"SELECT CAST(equation_id AS INTEGER) AS equation_id, chunk_id FROM {values_sql(POINTS, 'equation_id, latex, chunk_id')} WHERE replace(latex, ' ', '') = 'E=mc^2'",
+    "equation_exact_match": f"{_B}, e AS (SELECT id, kind, start, {_STRIP(_INSIDE)} AS content FROM {_spans_sql(_KINDS)}) SELECT id, kind, start FROM e WHERE replace(content, ' ', '') = 'q=VQ/I'",
     "rerank_pooled": f"""
         WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
         n AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r

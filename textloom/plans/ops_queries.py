@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
@@ -9,7 +10,7 @@ from ..operators import citations as G
 from ..operators import lexical as L
 from ..operators import monitoring as M
 from ..operators import relational as R
-from .common import rows_df, table, values_sql
+from .common import Derived, rows_df, table, values_sql
 from .search_queries import _asked, _bm25_sql
 
 EDGES = [("acme", "foo", "owns"), ("foo", "bar", "uses"), ("bar", "acme", "knows"), ("bar", "baz", "uses"), ("baz", "end", "uses"), ("x", "y", "owns")]
@@ -23,11 +24,21 @@ SOURCES = [(1, "a", "P=EI holds", 1), (1, "b", "where x is", 2), (1, "c", "P = E
 GOLDEN = [
     ("t1", "factual", "easy", "What is a beam?", "A beam is a long member that carries load across its axis."), ("t2", "weird", "easy", "Short?", "Too short"), ("t3", "equation", "hard", "", None), ("t1", "factual", "medium", "A duplicate of an id?", "It has the id of the first case in this list."),
 ]
-TARGETS = [("factual", 4), ("equation", 3), ("procedural", 2)]
+TARGETS = [("factual", 400), ("equation", 3), ("procedural", 2), ("comparative", 20)]
 SCORES = [("faithfulness", 0.76, 0.80), ("recall", 0.84, 0.90), ("precision", 0.95, 0.90)]
 POINTS = [(1, "old", 1), (2, "old", 5), (None, "lost", 1)]
 NEWER = [(1, "new", 2), (2, "stale", 4), (3, "added", 1), (3, "added again", 1 + 1)]
 
+#: The literal cases united with rows made from the tables.
+CASES = Derived(GOLDEN, "id string, category string, difficulty string, question string, ground_truth string", ("benchmark", "concat('b', CAST(item_id % 37 AS STRING))", "CASE item_id % 5 WHEN 0 THEN 'factual' WHEN 1 THEN 'equation' WHEN 2 THEN 'procedural' WHEN 3 THEN 'other' ELSE 'conceptual' END", "CASE item_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'unknown' END", "CASE WHEN item_id % 11 = 0 THEN 'short' ELSE text END", "CASE WHEN item_id % 3 = 0 THEN NULL ELSE text END"))
+GRAPH = Derived(EDGES, "src string, dst string, kind string", ("supplier", "concat('s', CAST(s_suppkey AS STRING))", "concat('n', CAST(s_nationkey AS STRING))", "'in'"), ("nation", "concat('n', CAST(n_nationkey AS STRING))", "concat('r', CAST(n_regionkey AS STRING))", "'in'"))
+HISTORY = Derived(FACTS, "entity string, fact string, valid_at string, invalid_at string", ("events", "concat('user ', CAST(user_id AS STRING))", "concat(event_type, ' ', CAST(event_id AS STRING))", "CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS STRING) END", "CASE event_id % 3 WHEN 0 THEN CAST(CAST(ts AS DATE) AS STRING) WHEN 1 THEN '2009-12-31' END"))
+OLDER = Derived(POINTS, "id int, payload string, version int", ("labels", "doc_id + 10", "concat('quality ', CAST(quality AS STRING))", "doc_id % 5"))
+NEWEST = Derived(NEWER, "id int, payload string, version int", ("documents", "doc_id + 10", "lang", "n_chars % 7", "doc_id % 2 = 0"))
+CITED = Derived(META, "rank int, chunk_id string, meta string", ("documents", "doc_id % 9 + 1", "concat('d', CAST(doc_id AS STRING))", "concat('document=Doc ', lang, CASE WHEN doc_id % 2 = 0 THEN concat('|section=', CAST(doc_id % 7 AS STRING)) ELSE '' END, '|page=', CAST(n_chars % 50 AS STRING), CASE WHEN doc_id % 3 = 0 THEN concat('|url=http://x/', CAST(doc_id AS STRING)) WHEN doc_id % 3 = 1 THEN '|document_path=/p/d.pdf' ELSE '' END)"))
+ANSWERED = Derived(ANSWERS, "answer_id int, answer string", ("documents", "doc_id + 100", "concat('By $a_{', CAST(doc_id AS STRING), '}$ and $$ b = ', CAST(doc_id % 3 AS STRING), ' $$ and $none$.')"))
+HELD = Derived(SOURCES, "answer_id int, chunk_id string, content string, use int", ("documents", "doc_id + 100", "concat('k', CAST(doc_id AS STRING))", "concat('a_{', CAST(doc_id AS STRING), '} ', text)", "2"), ("documents", "doc_id + 100", "concat('l', CAST(doc_id AS STRING))", "concat(text, ' b=', CAST(doc_id % 2 AS STRING), ' a_{', CAST(doc_id AS STRING), '}')", "3"))
+
 _docs = lambda s, d: table(s, d, "documents")
 _chunks = lambda s, d: C.fixed_windows(_docs(s, d))
 
@@ -91,8 +102,7 @@ def metadata_merge(s, d):
 
 
 def upsert_latest(s, d):
-    schema = "id int, payload string, version int"
-    return R.upsert(rows_df(s, POINTS, schema), rows_df(s, NEWER, schema), "id", "version")
+    return R.upsert(OLDER.df(s, d), NEWEST.df(s, d), "id", "version")
 
 
 def delete_points_anti(s, d):
@@ -113,12 +123,14 @@ def scroll_page(s, d):
 
 
 def graph_reach_recursive(s, d):
-    return R.reach(rows_df(s, EDGES, "src string, dst string, kind string"), 3)
+    return R.reach(GRAPH.df(s, d), 3)
 
 
 def timeline(s, d):
-    facts = rows_df(s, FACTS, "entity string, fact string, valid_at string, invalid_at string")
-    return facts.where("entity = 'acme' AND (invalid_at IS NULL OR CAST(invalid_at AS DATE) > DATE'2011-01-01')").orderBy(F.desc_nulls_last("valid_at")).select("fact", "valid_at")
+    """Each entity's facts that hold after a day, the newest first by `place`."""
+    facts = HISTORY.df(s, d).where("invalid_at IS NULL OR CAST(invalid_at AS DATE) > DATE'2011-01-01'")
+    order = Window.partitionBy("entity").orderBy(F.desc_nulls_last("valid_at"), "fact")
+    return facts.select("entity", "fact", "valid_at", F.row_number().over(order).cast("long").alias("place"))
 
 
 def rerank_cache_key(s, d):
@@ -166,7 +178,7 @@ def ingestion_report(s, d):
 
 
 def golden_validate(s, d):
-    g = rows_df(s, GOLDEN, "id string, category string, difficulty string, question string, ground_truth string")
+    g = CASES.df(s, d)
     errors = F.array_compact(F.array(
         F.when(~F.col("category").isin("factual", "equation", "procedural", "conceptual", "comparative"), "category"),
         F.when(~F.col("difficulty").isin("easy", "medium", "hard"), "difficulty"),
@@ -177,11 +189,11 @@ def golden_validate(s, d):
 
 
 def duplicate_ids(s, d):
-    return rows_df(s, GOLDEN, "id string, category string, difficulty string, question string, ground_truth string").groupBy("id").count().where("count > 1").select("id", F.col("count").alias("n"))
+    return CASES.df(s, d).groupBy("id").count().where("count > 1").select("id", F.col("count").alias("n"))
 
 
 def category_progress(s, d):
-    g = rows_df(s, GOLDEN, "id string, category string, difficulty string, question string, ground_truth string").groupBy("category").agg(F.count("*").alias("n"))
+    g = CASES.df(s, d).groupBy("category").agg(F.count("*").alias("n"))
     t = rows_df(s, TARGETS, "category string, target long")
     return t.join(g, "category", "left").select("category", "target", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("n", F.lit(0)) * 100.0 / F.col("target"), 6).alias("progress"))
 
@@ -196,7 +208,9 @@ def retrieval_quality(s, d):
 
 
 def degradation_gate(s, d):
-    rows = rows_df(s, SCORES, "metric string, score double, baseline double")
+    """The literal scores, and the labels' quality in each language against how many of them aren't toxic."""
+    labelled = table(s, d, "labels").join(_docs(s, d).select("doc_id", "lang"), "doc_id").groupBy("lang")
+    rows = rows_df(s, SCORES, "metric string, score double, baseline double").unionByName(labelled.agg(F.avg("quality").alias("score"), F.avg(1 - F.col("toxic")).alias("baseline")).withColumnRenamed("lang", "metric"))
     return M.degraded(rows.select("metric", "score"), rows.select("metric", "baseline"))
 
 
@@ -209,13 +223,13 @@ def citation_confidence(s, d):
 
 
 def citation_format(s, d):
-    m = rows_df(s, META, "rank int, chunk_id string, meta string").withColumn("meta", F.expr("str_to_map(meta, '[|]', '=')"))
+    m = CITED.df(s, d).withColumn("meta", F.expr("str_to_map(meta, '[|]', '=')"))
     info = G.source_info(F.col("meta"), F.col("chunk_id"))
     return m.select("chunk_id", info.alias("info"), G.source_link(F.col("meta")).alias("link"), *(G.citation_text(k, F.col("rank"), info).alias(k) for k in ("ieee", "numeric", "inline", "apa")))
 
 
 def link_equations(s, d):
-    return G.linked_equations(rows_df(s, ANSWERS, "answer_id int, answer string"), rows_df(s, SOURCES, "answer_id int, chunk_id string, content string, use int")).select("answer_id", "equation", "chunk_id")
+    return G.linked_equations(ANSWERED.df(s, d), HELD.df(s, d)).select("answer_id", "equation", "chunk_id")
 
 
 def qa_prompt(s, d):
@@ -253,8 +267,8 @@ _CITED = f"""
     WITH u AS (SELECT CAST(answer_id AS INTEGER) AS answer_id, chunk_id, arg_min(relevance, use)::DOUBLE AS relevance, arg_min(confidence, use)::DOUBLE AS confidence, count(*) AS usage_count
                FROM (SELECT * FROM {values_sql(USES, 'answer_id, chunk_id, relevance, confidence, use')} UNION ALL SELECT user_id + 1000, 'c' || (event_id % 20), (event_id * 37 % 101) / 100.0::DOUBLE, (event_id * 53 % 101) / 100.0::DOUBLE, event_id FROM events) GROUP BY answer_id, chunk_id),
     c AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY relevance DESC, usage_count DESC, chunk_id) AS rank FROM u WHERE relevance >= 0.5 AND confidence >= 0.5)"""
-_G = values_sql(GOLDEN, "id, category, difficulty, question, ground_truth")
-_E = values_sql(EDGES, "src, dst, kind")
+_G = CASES.sql()
+_E = GRAPH.sql()
 
 _CHUNK = r"doc_id, chunk_index, start_char, end_char, CAST(len(list_filter(regexp_split_to_array(content, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda w: w <> '')) AS INTEGER) AS token_count, md5(content) AS digest"
 
@@ -301,15 +315,15 @@ ORACLES = {
     "session_summary": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
     "session_active": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTES > (SELECT max(ts) FROM events)",
     "metadata_merge": "SELECT event_id, 'k=' || (props::JSON ->> 'k') || ',source=7' AS merged FROM events",
-    "upsert_latest": f"SELECT CAST(id AS INTEGER) AS id, payload, CAST(version AS INTEGER) AS version FROM (SELECT *, 0 AS n FROM {values_sql(POINTS, 'id, payload, version')} UNION ALL SELECT *, 1 FROM {values_sql(NEWER, 'id, payload, version')}) WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, n DESC) = 1",
+    "upsert_latest": f"SELECT id, payload, version FROM (SELECT *, 0 AS n FROM {OLDER.sql()} UNION ALL SELECT *, 1 FROM {NEWEST.sql()}) WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, n DESC) = 1",
     "delete_points_anti": "SELECT vec_id FROM embeddings ANTI JOIN (SELECT doc_id AS vec_id FROM labels) USING (vec_id)",
     "resume_pending_anti": "SELECT doc_id, sha256(text) AS content_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "semi_labelled": "SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source",
     "scroll_page": "SELECT vec_id, label FROM embeddings WHERE vec_id >= 100 ORDER BY vec_id LIMIT 26",
     "graph_reach_recursive": f"""
-        WITH RECURSIVE w AS (SELECT DISTINCT src, dst, 1 AS depth FROM {_E} WHERE src <> dst UNION SELECT w.src, e.dst, depth + 1 FROM w JOIN {_E.replace('AS v', 'AS e')} ON e.src = w.dst WHERE depth < 3 AND w.src <> e.dst)
+        WITH RECURSIVE w AS (SELECT DISTINCT src, dst, 1 AS depth FROM {_E} WHERE src <> dst UNION SELECT w.src, e.dst, depth + 1 FROM w JOIN {_E} AS e ON e.src = w.dst WHERE depth < 3 AND w.src <> e.dst)
         SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY src, dst""",
-    "timeline": f"SELECT fact, valid_at FROM {values_sql(FACTS, 'entity, fact, valid_at, invalid_at')} WHERE entity = 'acme' AND (invalid_at IS NULL OR invalid_at > '2011-01-01')",
+    "timeline": f"SELECT entity, fact, valid_at, row_number() OVER (PARTITION BY entity ORDER BY valid_at DESC NULLS LAST, fact) AS place FROM {HISTORY.sql()} WHERE invalid_at IS NULL OR invalid_at > '2011-01-01'",
     "rerank_cache_key": "SELECT source, sha256('reranking:' || source || ':' || string_agg(DISTINCT md5(text), ',' ORDER BY md5(text))) AS cache_key FROM documents GROUP BY source",
     "monitor_stats": f"SELECT {_STATS} FROM events",
     "component_latency": f"SELECT event_type AS component, {_STATS} FROM events GROUP BY event_type",
@@ -340,16 +354,17 @@ ORACLES = {
         q AS (SELECT query_id, count(*) AS n, count(*) FILTER (rank <= 10) AS hits, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM rel GROUP BY query_id)
         SELECT query_id, round(hits / 10.0::DOUBLE, 6) AS precision, round(hits / n::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank,
                round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM q""",
-    "degradation_gate": f"SELECT metric, score::DOUBLE AS score, baseline::DOUBLE AS baseline, score >= baseline - 0.05 AS passed FROM {values_sql(SCORES, 'metric, score, baseline')}",
+    "degradation_gate": f"""WITH r AS (SELECT metric, score::DOUBLE AS score, baseline::DOUBLE AS baseline FROM {values_sql(SCORES, 'metric, score, baseline')} UNION ALL SELECT lang, avg(quality), avg(1 - toxic) FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+        SELECT metric, score, baseline, round(score - (baseline - 0.05), 9) >= 0 AS passed FROM r""",
     "citation_rank": _CITED + " SELECT * FROM c",
     "citation_confidence": _CITED + " SELECT answer_id, round(avg(relevance) * 0.6 + avg(confidence) * 0.4, 6) AS overall, round(avg(relevance), 6) AS avg_relevance, round(avg(confidence), 6) AS avg_confidence, count(*) AS sources, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence < 0.5) AS low FROM c GROUP BY answer_id",
     "citation_format": r"""
-        WITH m AS (SELECT rank, chunk_id, """ + ", ".join(rf"nullif(regexp_extract(meta, '(?:^|\|){k}=([^|]*)', 1), '') AS {k}" for k in ("document", "section", "chapter", "page", "figure", "table", "url", "document_path")).replace("AS table", 'AS "table"') + f" FROM {values_sql(META, 'rank, chunk_id, meta')})," + """
+        WITH m AS (SELECT rank, chunk_id, """ + ", ".join(rf"nullif(regexp_extract(meta, '(?:^|\|){k}=([^|]*)', 1), '') AS {k}" for k in ("document", "section", "chapter", "page", "figure", "table", "url", "document_path")).replace("AS table", 'AS "table"') + f" FROM {CITED.sql()})," + """
         i AS (SELECT *, coalesce(nullif(concat_ws(', ', document, coalesce('Section ' || section, 'Chapter ' || chapter), 'p. ' || page, coalesce('Figure ' || figure, 'Table ' || "table")), ''), 'Source ' || chunk_id) AS info FROM m)
         SELECT chunk_id, info, coalesce(url, 'file://' || document_path || '#page=' || page) AS link, '[' || rank || ']' AS ieee, '[Source ' || rank || ']' AS numeric, '(' || info || ')' AS inline, '(Source ' || rank || ')' AS apa FROM i""",
     "link_equations": rf"""
-        WITH e AS (SELECT answer_id, unnest(regexp_extract_all(answer, '(?s)\$\$?(.*?)\$\$?', 1)) AS e, generate_subscripts(regexp_extract_all(answer, '(?s)\$\$?(.*?)\$\$?', 1), 1) AS i FROM {values_sql(ANSWERS, 'answer_id, answer')})
-        SELECT CAST(e.answer_id AS INTEGER) AS answer_id, trim(e) AS equation, arg_min(chunk_id, use) AS chunk_id FROM e JOIN {values_sql(SOURCES, 'answer_id, chunk_id, content, use').replace('AS v', 'AS c')} ON c.answer_id = e.answer_id
+        WITH e AS (SELECT answer_id, unnest(regexp_extract_all(answer, '(?s)\$\$?(.*?)\$\$?', 1)) AS e, generate_subscripts(regexp_extract_all(answer, '(?s)\$\$?(.*?)\$\$?', 1), 1) AS i FROM {ANSWERED.sql()})
+        SELECT CAST(e.answer_id AS INTEGER) AS answer_id, trim(e) AS equation, arg_min(chunk_id, use) AS chunk_id FROM e JOIN {HELD.sql()} AS c ON c.answer_id = e.answer_id
         WHERE contains(replace(replace(content, ' ', ''), '\\', '\'), replace(replace(trim(e), ' ', ''), '\\', '\')) GROUP BY e.answer_id, i, e""",
     "qa_prompt": f"""
         WITH {_bm25_sql('m', 5)},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import lexical as L
 from ..operators import vectors as O
-from .common import rows_df, table, values_sql
+from .common import Derived, table
 from .text_queries import TOKENS_SQL
 
 QUESTIONS = [
@@ -15,12 +15,11 @@ QUESTIONS = [
     (5, "Overview of aerospace structures in chapter 3"), (6, "Euler buckling in chapter 10"), (7, "stress analysis with equations"), (8, "deflection formulas on page 50 to 60"),
     (9, "material properties from chapter 3 with equations, pages 4-9"), (10, "HNSW and CFD diagrams on page 7 of Section 12"), (11, "the ann algorithm, dof"), (12, ""),
 ]
-SEMANTIC = [("doc_1", 0.95, 1), ("doc_2", 0.90, 2), ("doc_3", 0.85, 3), ("doc_5", 0.80, 4)]
-LEXICAL = [("doc_2", 45.5, 1), ("doc_4", 42.3, 2), ("doc_1", 40.1, 3), ("doc_6", 38.2, 4)]
+#: The literal questions, and every passage with words that name filters.
+ASKED = Derived(QUESTIONS, "id int, query string", ("benchmark", "item_id + 100", "concat(text, CASE item_id % 7 WHEN 1 THEN ' in chapter 3 with equations' WHEN 2 THEN ' pages 4-9' WHEN 3 THEN ' explain the FEM stress of a beam equation' WHEN 4 THEN ' from chapter 12 on pages 7 to 30' WHEN 5 THEN ' overview with diagrams of HNSW' WHEN 6 THEN ' page 5, containing a formula' ELSE '' END)"))
 
 _emb = lambda s, d: table(s, d, "embeddings")
 _q = lambda s, d: _emb(s, d).where("vec_id = 0").select(F.col("embedding").alias("q"))
-_questions = lambda s: rows_df(s, QUESTIONS, "id int, query string")
 
 
 def vector_topk(s, d):
@@ -117,25 +116,29 @@ def bm25_filtered(s, d):
 
 
 def query_analyze(s, d):
-    return L.analyze(_questions(s))
+    return L.analyze(ASKED.df(s, d))
 
 
 def query_filters_v2(s, d):
-    return _questions(s).select("id", *(c.alias(k) for k, c in L.filters_v2(F.col("query")).items()))
+    return ASKED.df(s, d).select("id", *(c.alias(k) for k, c in L.filters_v2(F.col("query")).items()))
 
 
 def query_preprocess(s, d):
-    return _questions(s).select("id", L.preprocess_query(F.col("query")).alias("processed"))
+    return ASKED.df(s, d).select("id", L.preprocess_query(F.col("query")).alias("processed"))
 
 
-def _ranked(s, rows):
-    return rows_df(s, rows, "doc_id string, score double, rank int").withColumn("query_id", F.lit(1))
+def _two_lists(s, d):
+    """The ten nearest rows of each query by whole vectors and by their first sixteen dimensions."""
+    short = _emb(s, d).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 16).alias("v"))
+    near = O.batch_top_k(short.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), short, 10)
+    return tuple(x.withColumnRenamed("id", "doc_id") for x in (_batches(s, d), near))
 
 
 def rrf_fuse(s, d):
     out = None
+    whole, short = _two_lists(s, d)
     for a in (0.3, 0.5, 0.7):
-        part = L.rrf(_ranked(s, SEMANTIC), _ranked(s, LEXICAL), a).select(F.lit(a).alias("alpha"), "doc_id", "score", F.col("rank").cast("long"))
+        part = L.rrf(whole, short, a).select(F.lit(a).alias("alpha"), "query_id", "doc_id", "score", F.col("rank").cast("long"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -149,7 +152,7 @@ def hybrid_rrf(s, d):
 
 
 def weighted_hybrid(s, d):
-    return L.weighted(_ranked(s, SEMANTIC), _ranked(s, LEXICAL)).select("doc_id", "vector_score", "text_score", "score", F.col("rank").cast("long"))
+    return L.weighted(*_two_lists(s, d)).select("query_id", "doc_id", "vector_score", "text_score", "score", F.col("rank").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_batch_topk, vector_normalize, matryoshka_truncate, binary_quantize, binary_dequantize, int8_quantize, int8_roundtrip_error, hamming_topk, accuracy_retention, centroids_by_label, intra_inter_similarity, storage_estimate, idf_table, bm25_topk, bm25_filtered, query_analyze, query_filters_v2, query_preprocess, rrf_fuse, hybrid_rrf, weighted_hybrid)}
@@ -179,13 +182,18 @@ def _bm25_sql(p: str, k: int, where: str = "") -> str:
 
 
 _WORDS = lambda words: "(" + " OR ".join(f"contains(lower(query), '{w}')" for w in words) + ")"
-_QUESTIONS_SQL = values_sql(QUESTIONS, "id, query")
+_QUESTIONS_SQL = ASKED.sql()
 _KIND = f"CASE WHEN {_WORDS(L.EQUATION_WORDS)} THEN 'equation' WHEN {_WORDS(L.PROCEDURAL_WORDS)} THEN 'procedural' WHEN {_WORDS(L.EXPLORATORY_WORDS)} THEN 'exploratory' WHEN {_WORDS(L.CONCEPTUAL_WORDS)} THEN 'conceptual' ELSE 'factual' END"
 _SPELLED = "lower(query)"
 for _k, _v in L.ABBREVIATIONS.items():
     _SPELLED = rf"regexp_replace({_SPELLED}, '\b{_k}\b', '{_v}', 'g')"
 _TERMS = "len(list_filter([" + ", ".join(f"'{t.lower()}'" for t in L.TECHNICAL_TERMS) + "], lambda t: contains(lower(query), t)))"
 
+_LISTS = f"""
+    e AS (SELECT vec_id, embedding[1:16] AS embedding FROM embeddings), {BATCH.format(name='s', cos=COS, source='embeddings')},
+    b AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+          FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, round({COS}, 6) AS score FROM e q JOIN e a ON q.vec_id % 20 = 0 AND a.vec_id <> q.vec_id) QUALIFY rank <= 10)"""
+
 ORACLES = {
     "vector_topk": f"SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10",
     "vector_topk_filtered": f"SELECT * FROM (SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE a.label IN (1, 2, 3)) WHERE score >= 0.05 ORDER BY score DESC, vec_id LIMIT 10",
@@ -231,9 +239,9 @@ ORACLES = {
         FROM {_QUESTIONS_SQL}""",
     "query_preprocess": rf"SELECT CAST(id AS INTEGER) AS id, trim(regexp_replace(regexp_replace({_SPELLED}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS processed FROM {_QUESTIONS_SQL}",
     "rrf_fuse": f"""
-        WITH s AS (SELECT * FROM {values_sql(SEMANTIC, 'doc_id, score, rank')}), b AS (SELECT * FROM {values_sql(LEXICAL, 'doc_id, score, rank')}), w AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS alpha),
-        f AS (SELECT alpha, coalesce(s.doc_id, b.doc_id) AS doc_id, round(coalesce(alpha / (60 + s.rank), 0) + coalesce((1 - alpha) / (60 + b.rank), 0), 9) AS score FROM (s FULL JOIN b ON s.doc_id = b.doc_id), w)
-        SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, doc_id) AS rank FROM f""",
+        WITH {_LISTS}, w AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS alpha),
+        f AS (SELECT alpha, coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.id, b.id) AS doc_id, round(coalesce(alpha / (60 + s.rank), 0) + coalesce((1 - alpha) / (60 + b.rank), 0), 9) AS score FROM (s FULL JOIN b ON s.query_id = b.query_id AND s.id = b.id), w)
+        SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM f""",
     "hybrid_rrf": f"""
         WITH {_bm25_sql('m', 20)}, nk AS (
             SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
@@ -242,7 +250,6 @@ ORACLES = {
               FROM mk FULL JOIN nk ON mk.query_id = nk.query_id AND mk.doc_id = nk.doc_id)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
     "weighted_hybrid": f"""
-        SELECT coalesce(s.doc_id, b.doc_id) AS doc_id, coalesce(s.score, 0)::DOUBLE AS vector_score, coalesce(b.score, 0)::DOUBLE AS text_score, round(coalesce(s.score, 0)::DOUBLE * 0.7::DOUBLE + coalesce(b.score, 0)::DOUBLE * 0.3::DOUBLE, 6) AS score,
-               row_number() OVER (ORDER BY round(coalesce(s.score, 0)::DOUBLE * 0.7::DOUBLE + coalesce(b.score, 0)::DOUBLE * 0.3::DOUBLE, 6) DESC, coalesce(s.doc_id, b.doc_id)) AS rank
-        FROM {values_sql(SEMANTIC, 'doc_id, score, rank').replace('AS v', 'AS s')} FULL JOIN {values_sql(LEXICAL, 'doc_id, score, rank').replace('AS v', 'AS b')} ON s.doc_id = b.doc_id""",
+        WITH {_LISTS}, f AS (SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.id, b.id) AS doc_id, coalesce(s.score, 0)::DOUBLE AS vector_score, coalesce(b.score, 0)::DOUBLE AS text_score FROM s FULL JOIN b ON s.query_id = b.query_id AND s.id = b.id)
+        SELECT query_id, doc_id, vector_score, text_score, round(vector_score * 0.7::DOUBLE + text_score * 0.3::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score * 0.7::DOUBLE + text_score * 0.3::DOUBLE, 9) DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
 }

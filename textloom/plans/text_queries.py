@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
-from .common import rows_df, table, values_sql
+from .common import Derived, rows_df, table, values_sql
 
 LATEX = [
     (1, "\\documentclass{book}\n\\title{Beams}\n% a comment\n\\begin{document}\n\\chapter{Loads}\n\\label{ch:loads}\nSee Figure 2-1 and fig. 3 in \\ref{eq:a}, \\ref{eq:b} \\cite{x, y} \\cite{x}. 5\\% of $E$ % tail\n\\begin{equation}\nP = \\frac{a}{b}\n\\end{equation}\n\\section[short]{Shear flow}\nInline $I$ and $$q = VQ/I$$ end.\n\\end{document}"),
@@ -31,6 +31,11 @@ FRONT = [(1, "---\ntitle: X\n---\nBody text\n# Late", "one.md"), (2, "\n\n# Seco
 PARSES = [(1, "x" * 120, "fallback"), (2, " " * 120 + "short", "y" * 150), (3, None, "z" * 99), (4, None, None)]
 SIZES = [(0,), (512,), (1536,), (1048576,), (5 * 1024**3,), (3 * 1024**4,)]
 
+#: The literal cases united with what is made of every document.
+FRONTS = Derived(FRONT, "id int, text string, file string", ("documents", "doc_id + 1000", "CASE doc_id % 3 WHEN 0 THEN concat('---', chr(10), 'title: D', CAST(doc_id AS STRING), chr(10), '---', chr(10), text) WHEN 1 THEN concat(chr(10), '# Head ', CAST(doc_id AS STRING), chr(10), text) ELSE text END", "concat('doc', CAST(doc_id AS STRING), '.md')"))
+PARSED = Derived(PARSES, "id int, a string, b string", ("documents", "doc_id + 1000", "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '   short ' ELSE text END", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat(text, ' b') END"))
+SIZED = Derived(SIZES, "n long", ("documents", "n_chars * n_chars * (doc_id + 1) * 100 + 7"), ("orders", "o_orderkey * 100 + 7"))
+
 _docs = lambda s, d: table(s, d, "documents")
 _latex = lambda s: rows_df(s, LATEX, "id int, text string")
 LATEX_SQL = "(SELECT CAST(id AS INTEGER) AS id, text FROM " + values_sql(LATEX, "id, text") + ")"
@@ -131,12 +136,12 @@ def episode_truncate(s, d):
 
 
 def title_frontmatter(s, d):
-    rows = rows_df(s, FRONT, "id int, text string, file string")
+    rows = FRONTS.df(s, d)
     return rows.select("id", T.title(F.col("text"), F.regexp_replace("file", r"\.[^.]*$", "")).alias("title"), T.frontmatter(F.col("text")).alias("frontmatter"), F.size(F.split("text", "\n")).cast("long").alias("line_count"))
 
 
 def parser_fallback(s, d):
-    return D.with_parsers(rows_df(s, PARSES, "id int, a string, b string"), "a", "b").select("id", F.char_length("content").cast("long").alias("n"), F.col("content").isNull().alias("failed"))
+    return D.with_parsers(PARSED.df(s, d), "a", "b").select("id", F.char_length("content").cast("long").alias("n"), F.col("content").isNull().alias("failed"))
 
 
 def project_detect(s, d):
@@ -157,7 +162,7 @@ def html_to_text(s, d):
 
 
 def format_sizes(s, d):
-    return rows_df(s, SIZES, "n long").select("n", T.format_size(F.col("n")).alias("size"), T.format_millis(F.col("n")).alias("time"))
+    return SIZED.df(s, d).distinct().select("n", T.format_size(F.col("n")).alias("size"), T.format_millis(F.col("n")).alias("time"))
 
 
 def token_estimate(s, d):
@@ -260,9 +265,9 @@ ORACLES = {
     "title_frontmatter": rf"""
         SELECT CAST(id AS INTEGER) AS id, coalesce(trim(substr(trim(list_filter(string_split(text, chr(10))[1:10], lambda x: starts_with(trim(x), '# '))[1]), 3)), regexp_replace(file, '\.[^.]*$', '')) AS title,
                nullif(regexp_extract(text, '(?s)^---\n(.*?)\n---\n', 1), '') AS frontmatter, len(string_split(text, chr(10))) AS line_count
-        FROM {values_sql(FRONT, 'id, text, file')}""",
+        FROM {FRONTS.sql()}""",
     "parser_fallback": rf"""
-        WITH p AS (SELECT CAST(id AS INTEGER) AS id, CASE WHEN length(trim(a)) >= 100 THEN a WHEN length(trim(b)) >= 100 THEN b END AS content FROM {values_sql(PARSES, 'id, a, b')})
+        WITH p AS (SELECT CAST(id AS INTEGER) AS id, CASE WHEN length(trim(a)) >= 100 THEN a WHEN length(trim(b)) >= 100 THEN b END AS content FROM {PARSED.sql()})
         SELECT id, length(content) AS n, content IS NULL AS failed FROM p""",
     "project_detect": rf"""
         WITH f AS (SELECT *, file LIKE '%.tex' AS tex, row_number() OVER (PARTITION BY dir, file LIKE '%.tex' ORDER BY file) AS i FROM {FILES_SQL}),
@@ -284,6 +289,6 @@ ORACLES = {
                CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE)
                     WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', n / 1099511627776.0::DOUBLE) END AS size,
                CASE WHEN n < 1000 THEN printf('%.0fms', n::DOUBLE) WHEN n < 60000 THEN printf('%.1fs', n / 1000.0::DOUBLE) ELSE printf('%.1fmin', n / 60000.0::DOUBLE) END AS time
-        FROM {values_sql(SIZES, 'n')}""",
+        FROM (SELECT DISTINCT n FROM {SIZED.sql()})""",
     "token_estimate": "SELECT lang, count(*) AS n_docs, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, round(avg(length(text) // 4), 6) AS avg_tokens FROM documents GROUP BY lang",
 }
