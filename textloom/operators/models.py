@@ -21,6 +21,7 @@ from ..functions import vectors as V
 from ..sources.stored import stored
 from . import lexical
 from . import vectors as search
+from .keyed_store import KeyedStore
 from .parallel import spread
 
 Embedder = Callable[[pd.Series], list[list[float] | None]]
@@ -169,6 +170,33 @@ def rerank_texts(candidates: DataFrame, k: int, embedder: Embedder | None = None
     return rerank(rows.join(sides["query"], "query").join(sides["text"], "text"), k, "qv", "tv")
 
 
+def cache_key(query: Column, ids: Column) -> Column:
+    """The key of a query with a list of candidates, whatever the order of these."""
+    return F.sha2(F.concat(F.lit("reranking:"), F.coalesce(query, F.lit("")), F.lit(":"), F.array_join(F.array_sort(ids.cast("array<string>")), ",")), 256)
+
+
+def rerank_cached(candidates: DataFrame, cache: KeyedStore, k: int, now: int) -> DataFrame:
+    """`rerank` of candidates (query_id, query, doc_id, q, v), from a store where it has a query with the same candidates; what it hasn't is reranked and put there.
+
+    Gives query_id, doc_id, score, rank and whether they came from the store.
+    The store's rows are (cache_key, used, doc_ids, scores); `now`, the version
+    of what is written, orders writes of the same key. A list of candidates is
+    as long as the search before was deep, so it fits a row.
+    """
+    lists = candidates.groupBy("query_id").agg(F.first("query").alias("query"), F.collect_list("doc_id").alias("ids"))
+    keyed = stored(lists.select("query_id", cache_key(F.col("query"), F.col("ids")).alias("cache_key")), "rerank-keys")
+    hits = stored(keyed.join(cache.get(keyed.select("cache_key")), "cache_key").select("query_id", "doc_ids", "scores"), "rerank-hits")
+    missed = keyed.join(hits.select("query_id"), "query_id", "left_anti")
+    fresh = stored(rerank(candidates.join(missed.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "q", "v"), k), "reranked")
+    rows = fresh.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("r")).join(missed, "query_id")
+    cache.upsert(rows.groupBy("cache_key").agg(F.lit(now).cast("long").alias("used"), F.first("r.doc_id").alias("doc_ids"), F.first("r.score").alias("scores")))
+    back = hits.select("query_id", F.posexplode(F.arrays_zip("doc_ids", "scores")).alias("rank", "r")).where(F.col("rank") < k)
+    return fresh.withColumn("cached", F.lit(False)).unionByName(back.select("query_id", F.col("r.doc_ids").alias("doc_id"), F.col("r.scores").alias("score"), (F.col("rank") + 1).alias("rank"), F.lit(True).alias("cached")))
+
+
+#: Schema of the store of reranked lists.
+RERANKED = "cache_key string, used long, doc_ids array<long>, scores array<double>"
+
 Generator = Callable[[pd.Series], list[str | None]]
 
 

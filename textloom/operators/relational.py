@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,17 +51,36 @@ def contains_all_terms(tokens: Column, terms: Column) -> Column:
     return (F.size(terms) > 0) & (F.size(F.array_except(terms, tokens)) == 0)
 
 
-def contains_json(document: Column, wanted: dict, at: str = "$") -> Column:
-    """Whether a JSON text has all fields of `wanted` with these values, nested ones too."""
-    tests = []
-    for name, value in wanted.items():
-        path = f"{at}.{name}"
-        if isinstance(value, dict):
-            tests.append(contains_json(document, value, path))
-        else:
-            told = str(value).lower() if isinstance(value, bool) else str(value)
-            tests.append(F.coalesce(F.get_json_object(document, path) == told, F.lit(False)))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+def contains_json(document: Column, wanted: object) -> Column:
+    """Whether a JSON text contains `wanted`: an object some of its fields, an array some of its elements in any place, a scalar its equal.
+
+    Types count: "7" isn't 7, and true isn't "true"; 7 and 7.0 are equal. A text
+    that is null or no JSON contains nothing.
+    """
+    return F.coalesce(contains_variant(F.try_parse_json(document), wanted), F.lit(False))
+
+
+def _held_in(wanted: object):
+    return lambda x: F.coalesce(contains_variant(x, wanted), F.lit(False))
+
+
+def contains_variant(value: Column, wanted: object) -> Column:
+    """The same for a VARIANT, which is parsed once whatever it is compared with."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        fields = (contains_variant(F.try_variant_get(value, "$[" + json.dumps(k) + "]", "variant"), v) for k, v in wanted.items())
+        return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), fields, F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
+    if isinstance(wanted, (list, tuple)):
+        held = F.try_variant_get(value, "$", "array<variant>")
+        each = (F.coalesce(F.exists(held, _held_in(w)), F.lit(False)) for w in wanted)
+        return reduce(lambda a, b: a & b, each, F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)))
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == wanted)
+    if isinstance(wanted, (int, float)):
+        return F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")) & (F.try_variant_get(value, "$", "double") == float(wanted))
+    return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == str(wanted))
 
 
 def checked_limit(limit: int, most: int = 50) -> int:

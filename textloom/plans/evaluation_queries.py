@@ -8,10 +8,12 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import documents as D
 from ..operators import evaluation as E
+from ..operators import ingestion as W
 from ..operators import lexical as L
 from ..operators import models as N
 from ..operators import monitoring as M
 from ..operators import relational as R
+from ..sources import stored as S
 from .common import rows_df, table, values_sql
 from .ops_queries import CASES, CHUNKS_SQL, TARGETS
 from .search_queries import _asked, _bm25_sql
@@ -152,11 +154,27 @@ def basic_metadata(s, d):
     return _docs(s, d).select("doc_id", lines.cast("long").alias("line_count"), F.size(F.array_remove(F.split(text, r"[ \t\n\r\f]+"), "")).cast("long").alias("word_count"), F.octet_length(text).cast("long").alias("file_size"))
 
 
+def _ingested(s, d):
+    """Chunks of all documents in four batches and one that can't be written; short chunks are rejected."""
+    chunks = C.fixed_windows(_docs(s, d)).select("doc_id", "chunk_index", "content")
+    batches = [(f"part{i}", chunks.where(F.col("doc_id") % 4 == i)) for i in range(4)]
+    broken = chunks.withColumn("content", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("the parser failed")).cast("string")))
+    path = S.new_path(s, "ingested")
+    return path, W.ingest_batches(s, [*batches, ("broken", broken)], path, valid=F.char_length("content") >= 100, attempts=2)
+
+
 def ingestion_check(s, d):
-    """Chunks counted where they are made and where they are stored: success and failure rates by batches of ten documents."""
-    chunks = C.fixed_windows(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if(F.char_length("content") >= 100).alias("stored"))
-    rows = chunks.groupBy(F.floor(F.col("doc_id") / 10).alias("batch")).agg(F.sum("made").alias("made"), F.sum("stored").alias("stored"))
-    return rows.agg(F.sum("made").alias("chunks"), F.sum("stored").alias("verified"), F.round(F.sum("stored") * 100.0 / F.sum("made"), 6).alias("success_rate"), F.count("*").alias("batches"), F.round(F.count_if(F.col("made") != F.col("stored")) * 100.0 / F.count("*"), 6).alias("batch_failure_rate"))
+    """Counters of the writes themselves beside what was counted afterwards."""
+    return W.summary(_ingested(s, d)[1])
+
+
+def ingestion_batches(s, d):
+    return _ingested(s, d)[1].select("batch", "rows", "rejected", "chars", "written", F.col("attempts").cast("long").alias("attempts"), F.col("error").isNotNull().alias("failed"))
+
+
+def ingestion_rows(s, d):
+    """What the batches have stored, read back."""
+    return s.read.parquet(f"{_ingested(s, d)[0]}/rows").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min("batch").alias("batch"))
 
 
 def embed_resume(s, d):
@@ -214,7 +232,7 @@ def distinct_sketch(s, d):
     return found.select("day", "users", (F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.1)).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (monitoring_stats, monitoring_last_n, quality_scores, cache_miss_alerts, recent_errors, span_rows, traces_of_spans, usage_cost, keyword_coverage, answer_scores, answer_score_means, template_cases, synthetic_cases, synthetic_summary, indexing_summary, conversion_rollup, knowledge_base_stats, entity_counts, basic_metadata, ingestion_check, embed_resume, graph_reach_orders, latest_versions, term_frequencies, cube_orders, grouping_sets_orders, pivot_events, distinct_sketch)}
+QUERIES = {f.__name__: f for f in (monitoring_stats, monitoring_last_n, quality_scores, cache_miss_alerts, recent_errors, span_rows, traces_of_spans, usage_cost, keyword_coverage, answer_scores, answer_score_means, template_cases, synthetic_cases, synthetic_summary, indexing_summary, conversion_rollup, knowledge_base_stats, entity_counts, basic_metadata, ingestion_check, ingestion_batches, ingestion_rows, embed_resume, graph_reach_orders, latest_versions, term_frequencies, cube_orders, grouping_sets_orders, pivot_events, distinct_sketch)}
 
 # --- SQL ------------------------------------------------------------------------------
 
@@ -268,7 +286,9 @@ ORACLES = {
     "knowledge_base_stats": f"SELECT count(*) AS documents, count(DISTINCT lang) AS languages, (SELECT count(*) FROM {CHUNKS_SQL}) AS chunks FROM documents",
     "entity_counts": f"WITH f AS (SELECT lang, {_ENTITY(D.COMPANIES, _COMPANY)} AS companies, {_ENTITY(D.TECHNOLOGIES, 'contains(lower(text), lower(n))')} AS technologies, {_ENTITY(D.PEOPLE, 'contains(text, n)')} AS people, {_ENTITY(D.LOCATIONS, 'contains(text, n)')} AS locations FROM documents) SELECT lang, CAST(sum(companies) AS BIGINT) AS companies, CAST(sum(technologies) AS BIGINT) AS technologies, CAST(sum(people) AS BIGINT) AS people, CAST(sum(locations) AS BIGINT) AS locations, CAST(sum(companies + technologies + people + locations) AS BIGINT) AS total FROM f GROUP BY lang",
     "basic_metadata": r"SELECT doc_id, len(string_split(text, chr(10))) AS line_count, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda w: w <> '')) AS word_count, octet_length(encode(text)) AS file_size FROM documents",
-    "ingestion_check": f"WITH c AS (SELECT doc_id // 10 AS batch, count(*) AS made, count(*) FILTER (length(content) >= 100) AS stored FROM {CHUNKS_SQL} GROUP BY 1) SELECT CAST(sum(made) AS BIGINT) AS chunks, CAST(sum(stored) AS BIGINT) AS verified, round(sum(stored) * 100.0::DOUBLE / sum(made), 6) AS success_rate, count(*) AS batches, round(count(*) FILTER (made <> stored) * 100.0::DOUBLE / count(*), 6) AS batch_failure_rate FROM c",
+    "ingestion_check": f"WITH c AS (SELECT count(*) AS n, count(*) FILTER (length(content) >= 100) AS w FROM {CHUNKS_SQL}) SELECT 5::BIGINT AS batches, 1::BIGINT AS failed_batches, w AS rows, w AS written, round(w * 100.0 / n, 6)::DOUBLE AS success_rate, 20.0::DOUBLE AS batch_failure_rate, true AS verified FROM c",
+    "ingestion_batches": f"SELECT 'part' || doc_id % 4 AS batch, count(*) FILTER (length(content) >= 100) AS rows, count(*) FILTER (length(content) < 100) AS rejected, CAST(sum(length(content)) FILTER (length(content) >= 100) AS BIGINT) AS chars, count(*) FILTER (length(content) >= 100) AS written, 1::BIGINT AS attempts, false AS failed FROM {CHUNKS_SQL} GROUP BY 1 UNION ALL SELECT 'broken', 0, 0, 0, 0, 2, true",
+    "ingestion_rows": f"SELECT doc_id, count(*) AS chunks, 'part' || doc_id % 4 AS batch FROM {CHUNKS_SQL} WHERE length(content) >= 100 GROUP BY doc_id",
     "embed_resume": "SELECT doc_id, 256::BIGINT AS dims, 1::BIGINT AS attempts, false AS failed FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "graph_reach_orders": """
         WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 50),

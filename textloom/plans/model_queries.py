@@ -9,6 +9,8 @@ from ..operators import latex as X
 from ..operators import lexical as L
 from ..operators import models as N
 from ..operators import vectors as O
+from ..operators.keyed_store import KeyedStore
+from ..sources.stored import new_path, stored
 from .common import rows_df, table, values_sql
 from .search_queries import COS, _asked, _bm25_sql
 from .structure_queries import _B, _INSIDE, _KINDS, _STRIP, _books, _spans_sql
@@ -31,13 +33,25 @@ def equation_exact_match(s, d):
     return rows.select("id", "kind", "start")
 
 
-def rerank_pooled(s, d):
-    """Twenty candidates by the first 16 dimensions, the best five of them by the whole vectors."""
+def _pooled_pairs(s, d):
+    """Twenty candidates of each query by the first 16 dimensions, with whole vectors."""
     e = _emb(s, d)
     short = e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 16).alias("v"))
     near = O.batch_top_k(short.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), short, 20)
-    pairs = near.select("query_id", F.col("id").alias("doc_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id")
-    return N.rerank(pairs, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    return near.select("query_id", F.col("id").alias("doc_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id")
+
+
+def rerank_pooled(s, d):
+    """Candidates by the first 16 dimensions, the best five of them by the whole vectors."""
+    return N.rerank(_pooled_pairs(s, d), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+def rerank_through_cache(s, d):
+    """The same through a store that has the lists of every second query from an earlier run."""
+    pairs = stored(_pooled_pairs(s, d).withColumn("query", F.concat(F.lit("q"), F.col("query_id").cast("string"))), "pairs")
+    cache = KeyedStore.create(s, new_path(s, "rerank-cache"), N.RERANKED, "cache_key", "used", buckets=8)
+    N.rerank_cached(pairs.where("query_id % 40 = 0"), cache, 5, 1)
+    return N.rerank_cached(pairs, cache, 5, 2).select("query_id", "doc_id", "score", F.col("rank").cast("long"), "cached")
 
 
 def maxsim_rerank(s, d):
@@ -71,10 +85,17 @@ def extractive_answer(s, d):
     return best.select("query_id", "doc_id", N.best_sentence(F.col("query"), F.col("text")).alias("answer"))
 
 
-QUERIES = {f.__name__: f for f in (match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
+QUERIES = {f.__name__: f for f in (rerank_through_cache, match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
 
+_POOLED = f"""
+        WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+        n AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r
+              FROM (SELECT query_id, a.vec_id, round({COS.replace('a.embedding', 'a.embedding[1:16]').replace('q.embedding', 'q.embedding[1:16]')}, 6) AS score FROM q JOIN embeddings a ON a.vec_id <> query_id) QUALIFY r <= 20)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+        FROM (SELECT n.query_id, n.vec_id AS doc_id, round({COS}, 6) AS score FROM n JOIN q USING (query_id) JOIN embeddings a ON a.vec_id = n.vec_id) QUALIFY rank <= 5"""
+
 ORACLES = {
     "extractive_answer": rf"""
         WITH {_bm25_sql('m', 1)}, k AS (SELECT query_id, doc_id, benchmark.text AS question, regexp_extract_all(documents.text, '(?s).+?[.!?]\s+|.+') AS parts FROM mk JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id),
@@ -88,11 +109,7 @@ ORACLES = {
         SELECT query_id, doc_id, round(list_sum(best), 6) AS score FROM n""",
     "match_chunks": f"WITH n AS (SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10) SELECT n.vec_id, score, source, lang FROM n JOIN documents ON doc_id = vec_id",
     "equation_exact_match": f"{_B}, e AS (SELECT id, kind, start, {_STRIP(_INSIDE)} AS content FROM {_spans_sql(_KINDS)}) SELECT id, kind, start FROM e WHERE replace(content, ' ', '') = 'q=VQ/I'",
-    "rerank_pooled": f"""
-        WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
-        n AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r
-              FROM (SELECT query_id, a.vec_id, round({COS.replace('a.embedding', 'a.embedding[1:16]').replace('q.embedding', 'q.embedding[1:16]')}, 6) AS score FROM q JOIN embeddings a ON a.vec_id <> query_id) QUALIFY r <= 20)
-        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-        FROM (SELECT n.query_id, n.vec_id AS doc_id, round({COS}, 6) AS score FROM n JOIN q USING (query_id) JOIN embeddings a ON a.vec_id = n.vec_id) QUALIFY rank <= 5""",
+    "rerank_pooled": _POOLED,
+    "rerank_through_cache": f"SELECT *, query_id % 40 = 0 AS cached FROM ({_POOLED})",
     "embed_cache": "SELECT DISTINCT sha256(text) AS content_key, 256::BIGINT AS dims, 1.0::DOUBLE AS norm FROM documents",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as C
 from ..operators import citations as G
 from ..operators import lexical as L
+from ..operators import models as N
 from ..operators import monitoring as M
 from ..operators import relational as R
 from .common import Derived, rows_df, table, values_sql
@@ -134,8 +135,9 @@ def timeline(s, d):
 
 
 def rerank_cache_key(s, d):
-    ids = _docs(s, d).groupBy("source").agg(F.array_sort(F.collect_set(F.md5("text"))).alias("ids"))
-    return ids.select("source", F.sha2(F.concat(F.lit("reranking:"), "source", F.lit(":"), F.array_join("ids", ",")), 256).alias("cache_key"))
+    """The key of each passage with its ten best documents."""
+    best = L.bm25(_asked(s, d), _docs(s, d), 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("ids")).join(_asked(s, d), "query_id")
+    return best.select("query_id", N.cache_key(F.col("query"), F.col("ids")).alias("cache_key"))
 
 
 def monitor_stats(s, d):
@@ -324,7 +326,7 @@ ORACLES = {
         WITH RECURSIVE w AS (SELECT DISTINCT src, dst, 1 AS depth FROM {_E} WHERE src <> dst UNION SELECT w.src, e.dst, depth + 1 FROM w JOIN {_E} AS e ON e.src = w.dst WHERE depth < 3 AND w.src <> e.dst)
         SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY src, dst""",
     "timeline": f"SELECT entity, fact, valid_at, row_number() OVER (PARTITION BY entity ORDER BY valid_at DESC NULLS LAST, fact) AS place FROM {HISTORY.sql()} WHERE invalid_at IS NULL OR invalid_at > '2011-01-01'",
-    "rerank_cache_key": "SELECT source, sha256('reranking:' || source || ':' || string_agg(DISTINCT md5(text), ',' ORDER BY md5(text))) AS cache_key FROM documents GROUP BY source",
+    "rerank_cache_key": f"WITH {_bm25_sql('m', 10)} SELECT query_id, sha256('reranking:' || any_value(text) || ':' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS cache_key FROM mk JOIN benchmark ON item_id = query_id GROUP BY query_id",
     "monitor_stats": f"SELECT {_STATS} FROM events",
     "component_latency": f"SELECT event_type AS component, {_STATS} FROM events GROUP BY event_type",
     "rolling_p95": _ROLL,

@@ -136,6 +136,14 @@ def json_contains(s, d):
     return table(s, d, "events").where(R.contains_json(F.col("props"), {"k": 7})).select("event_id")
 
 
+def json_contains_nested(s, d):
+    """Conversations as JSON of a header and an array of turns: those that contain some turns, typed."""
+    c = table(s, d, "conversations")
+    turns = c.groupBy("conv_id").agg(F.to_json(F.struct(F.struct(F.lit("chat").alias("kind"), F.count("*").alias("n")).alias("head"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))).alias("j"))
+    asked = {"first_user": {"turns": [{"turn": 0, "role": "user"}]}, "both_sides": {"turns": [{"role": "assistant", "turn": 3}, {"role": "user"}]}, "five": {"head": {"n": 5.0}}, "text_five": {"head": {"n": "5"}}}
+    return turns.select("conv_id", *(R.contains_json(F.col("j"), w).alias(k) for k, w in asked.items()))
+
+
 def all_terms_match(s, d):
     """The words of each passage as a query: how many documents have all of them."""
     asked = _asked(s, d).select("query_id", T.tokens(F.col("query")).alias("terms"))
@@ -233,7 +241,7 @@ def captured_parse(s, d):
     return R.captured(rows, "id", F.char_length("e").cast("long"), T.latex_error(F.col("e")))
 
 
-QUERIES = {f.__name__: f for f in (latex_front_matter, latex_sections, latex_equations, latex_figures, equation_boundaries, equation_contexts, chunk_equation_check, equations_in_chunks, parser_validation, parser_report, project_chunks, retrieve_with_equations, equation_parent, equation_text_match, dict_filters, json_contains, all_terms_match, terms_predicate, score_clamp, prompt_kinds, answer_sources, citation_summary, rendered_results, context_summary, masked_pooling, quantise_metrics, chunk_points, comprehensive_search, remaining_rows, captured_parse)}
+QUERIES = {f.__name__: f for f in (latex_front_matter, latex_sections, latex_equations, latex_figures, equation_boundaries, equation_contexts, chunk_equation_check, equations_in_chunks, parser_validation, parser_report, project_chunks, retrieve_with_equations, equation_parent, equation_text_match, dict_filters, json_contains, json_contains_nested, all_terms_match, terms_predicate, score_clamp, prompt_kinds, answer_sources, citation_summary, rendered_results, context_summary, masked_pooling, quantise_metrics, chunk_points, comprehensive_search, remaining_rows, captured_parse)}
 
 # --- SQL ------------------------------------------------------------------------------
 
@@ -319,6 +327,7 @@ ORACLES = {
     "equation_text_match": rf"{_B}, {_POINTS} SELECT context_chunk_id, count(*) AS n FROM p WHERE contains(content, 'P') AND contains(content, '=') AND contains(content, '\frac{{a}}') GROUP BY 1",
     "dict_filters": "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 200 AND n_chars < 5000",
     "json_contains": "SELECT event_id FROM events WHERE props::JSON ->> 'k' = '7'",
+    "json_contains_nested": "SELECT conv_id, bool_or(turn = 0 AND role = 'user') AS first_user, bool_or(turn = 3 AND role = 'assistant') AND bool_or(role = 'user') AS both_sides, count(*) = 5 AS five, false AS text_five FROM conversations GROUP BY conv_id",
     "all_terms_match": f"""
         WITH q AS (SELECT item_id AS query_id, list_distinct({TOKENS_SQL}) AS terms FROM benchmark), t AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents)
         SELECT query_id, count(*) AS n FROM q, t WHERE len(list_intersect(terms, toks)) = len(terms) GROUP BY query_id""",
