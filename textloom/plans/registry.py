@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, index_queries, model_queries, ops_queries, search_queries, sketch_queries, sql_queries, stream_queries, structure_queries, text_queries
+from . import evaluation_queries, file_queries, index_queries, model_queries, ops_queries, search_queries, sketch_queries, sql_queries, stream_queries, structure_queries, text_queries
 
-_MODULES = (text_queries, search_queries, ops_queries, model_queries, structure_queries, evaluation_queries, index_queries, stream_queries, sketch_queries, sql_queries)
+_MODULES = (text_queries, search_queries, ops_queries, model_queries, structure_queries, evaluation_queries, index_queries, stream_queries, sketch_queries, sql_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
