@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from textloom.operators import keyed_store, postings, trigrams, vector_index
+from textloom.operators import keyed_store, late_interaction, postings, trigrams, vector_index
 from textloom.operators import vectors as O
 from textloom.plans import index_queries
 from textloom.sources import stored
@@ -232,3 +232,26 @@ def test_failed_batches_and_conflicts_are_reported(spark, store, monkeypatch):
 def test_probed_query(spark):
     exact, near = (pairs(index_queries.QUERIES[q](spark, SMALL).collect()) for q in ("ivf_all_lists", "ivf_probed"))
     assert len(exact & near) / len(exact) >= 0.9
+
+
+# --- late interaction -----------------------------------------------------------------
+
+
+def test_late_interaction_below_full_probing(spark):
+    exact, near = (index_queries.QUERIES[q](spark, SMALL).select("query_id", F.col("doc_id").alias("id")).collect() for q in ("late_interaction", "late_interaction_probed"))
+    exact, near = pairs(exact), pairs(near)
+    assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_late_interaction_of_long_and_odd_documents(spark):
+    rng = np.random.default_rng(8)
+    texts = {1: rng.normal(size=(300, 5)), 2: rng.normal(size=(1, 5)), 3: rng.normal(size=(140, 5)), 4: np.repeat(rng.normal(size=(1, 5)), 3, axis=0)}
+    rows = [(d, i, v.tolist()) for d, m in texts.items() for i, v in enumerate(m)] + [(5, 0, None), (6, 0, [0.0] * 5), (3, 900, None)]
+    index = late_interaction.TokenIndex.build(spark.createDataFrame(rows, "doc_id long, place long, v array<double>"), stored.new_path(spark, "tokens"), lists=4)
+    asked = {10: rng.normal(size=(3, 5)), 11: rng.normal(size=(1, 5))}
+    queries = spark.createDataFrame([(q, i, v.tolist()) for q, m in asked.items() for i, v in enumerate(m)] + [(11, 5, [0.0] * 5), (12, 0, None)], "query_id long, place long, q array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(q, d): round(float((unit(m) @ unit(t).T).max(axis=1).sum()), 6) for q, m in asked.items() for d, t in texts.items()}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in index.search(queries, 10).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    assert index.search(queries, 1, probes=2, nearest=20, depth=2).count() == 2

@@ -418,3 +418,18 @@ def test_alerts_before_any_cache_lookup(spark):
     got = {r["event_id"]: r["miss_pct"] for r in monitoring.with_cache_misses(rows).collect()}
     assert got == {1: 100.0, 2: 0.0, 3: 50.0}
     assert [r["event_id"] for r in monitoring.recent_alerts(monitoring.alerts(monitoring.with_cache_misses(rows), miss_pct=40.0), "INFO", 1).collect()] == [3]
+
+
+def test_one_bad_text_costs_no_other_its_vector(spark):
+    plain = models.hashing_embedder()
+
+    def picky(texts):
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("no")
+        return plain(texts)
+
+    docs = spark.createDataFrame([(i, "bad" if i == 3 else f"text {i}") for i in range(6)], "doc_id long, text string").coalesce(1)
+    done = spark.createDataFrame([("5",)], "key string")
+    got = {r["key"]: r for r in models.embedded_batches(docs, done, "text", "doc_id", attempts=2, embedder=picky, backoff=0.01).collect()}
+    assert sorted(got) == ["0", "1", "2", "3", "4"] and [k for k, r in got.items() if r["failed"]] == ["3"] and got["3"]["vector"] is None
+    assert all(r["vector"] is not None for k, r in got.items() if k != "3")

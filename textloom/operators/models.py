@@ -6,6 +6,7 @@ a neural one can be put in without touching the plans around it.
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable
 from functools import reduce
@@ -64,25 +65,35 @@ def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embedder: Embedd
     return known.unionByName(embed(fresh, "_text", embedder=embedder).select("content_key", "vector"))
 
 
-def embedded_batches(rows: DataFrame, done: DataFrame, text: str, key: str, attempts: int = 3, embedder: Embedder | None = None) -> DataFrame:
-    """key, vector, attempts, failed: rows whose key `done` lacks are embedded, each batch tried up to `attempts` times.
+def embedded_batches(rows: DataFrame, done: DataFrame, text: str, key: str, attempts: int = 3, embedder: Embedder | None = None, backoff: float = 0.0) -> DataFrame:
+    """key, vector, attempts (of the batch), failed: rows whose key `done` lacks are embedded, each batch tried up to `attempts` times, then row by row.
 
-    A batch whose last try fails is marked, not raised, so a job goes on; what
-    failed has no vector and is taken up again by the next run, as `done` holds
-    the keys that have one.
+    Before a try after the first the task waits `backoff` seconds, doubled each
+    time. A batch that fails for good is embedded a row at a time, so that one
+    bad text doesn't cost the others their vectors; a row that fails then is
+    marked, not raised, and is taken up again by the next run, as `done` holds
+    the keys that have a vector.
     """
     run = embedder or hashing_embedder()
 
+    def tried(texts: pd.Series, most: int) -> tuple[list | None, int]:
+        for n in range(1, most + 1):
+            if n > 1 and backoff:
+                time.sleep(backoff * 2 ** (n - 2))
+            try:
+                return list(run(texts)), n
+            except Exception:  # a model may fail in any way
+                continue
+        return None, most
+
     def batches(frames):
         for pdf in frames:
-            vectors, tries = None, 0
-            while vectors is None and tries < attempts:
-                tries += 1
-                try:
-                    vectors = run(pdf["_text"])
-                except Exception:  # a model may fail in any way
-                    vectors = None
-            yield pd.DataFrame({"key": pdf["key"], "vector": vectors or [None] * len(pdf), "attempts": tries, "failed": vectors is None})
+            vectors, tries = tried(pdf["_text"], attempts)
+            failed = [False] * len(pdf)
+            if vectors is None:
+                alone = [tried(pdf["_text"].iloc[i : i + 1], 1)[0] for i in range(len(pdf))]
+                vectors, failed = [a[0] if a else None for a in alone], [a is None for a in alone]
+            yield pd.DataFrame({"key": pdf["key"], "vector": vectors, "attempts": tries, "failed": failed})
 
     todo = spread(rows).join(done.select(F.col("key").alias(key)), key, "left_anti").select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return todo.mapInPandas(batches, "key string, vector array<float>, attempts int, failed boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import keyed_store as K
+from ..operators import late_interaction as M
 from ..operators import postings as P
 from ..operators import trigrams as G
 from ..operators import vector_index as I
@@ -75,6 +76,32 @@ def similar_words(s, d):
     return G.similar(asked, words, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
+# --- many vectors for a text ----------------------------------------------------------
+
+
+def _tokens(s, d):
+    """Eight neighbouring vectors are a text's tokens."""
+    return table(s, d, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), (F.col("vec_id") % 8).alias("place"), F.col("embedding").alias("v"))
+
+
+def _token_queries(s, d):
+    """Every fifth text asks with every second of its tokens."""
+    return _tokens(s, d).where("doc_id % 5 = 0 AND place % 2 = 0").select(F.col("doc_id").alias("query_id"), "place", F.col("v").alias("q"))
+
+
+def late_interaction(s, d):
+    return M.TokenIndex.build(_tokens(s, d), S.new_path(s, "tokens")).search(_token_queries(s, d), 10)
+
+
+def late_interaction_probed(s, d):
+    """Each token's nearest fifth of the tokens in two thirds of the lists, and the best third of the texts that have them."""
+    tokens = _tokens(s, d)
+    n = tokens.count()
+    lists = max(3, round(n**0.5))
+    index = M.TokenIndex.build(tokens, S.new_path(s, "tokens"), lists=lists)
+    return index.search(_token_queries(s, d), 10, probes=2 * lists // 3, nearest=n // 5, depth=max(25, n // 24))
+
+
 # --- a store with a key ---------------------------------------------------------------
 
 
@@ -100,7 +127,7 @@ def store_info(s, d):
     return _store(s, d).info().agg(F.sum("rows").alias("rows"), F.sum("tombstones").alias("tombstones"))
 
 
-QUERIES = {f.__name__: f for f in (ivf_all_lists, ivf_filtered, ivf_probed, bm25_from_postings, cover_density, cover_density_pairs, similar_words, store_after_batches, store_lookup, store_info)}
+QUERIES = {f.__name__: f for f in (ivf_all_lists, ivf_filtered, ivf_probed, bm25_from_postings, cover_density, cover_density_pairs, similar_words, late_interaction, late_interaction_probed, store_after_batches, store_lookup, store_info)}
 
 _NEAR = f"SELECT q.vec_id AS query_id, a.vec_id AS id, a.label, round({COS}, 6) AS score FROM embeddings q JOIN embeddings a ON q.vec_id % 20 = 0 AND a.vec_id <> q.vec_id"
 _GRAMS = "list_distinct(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))"
@@ -141,6 +168,12 @@ ORACLES = {
         x AS (SELECT w, {_GRAMS} AS g FROM a), y AS (SELECT w, {_GRAMS} AS g FROM b),
         p AS (SELECT x.w AS a, y.w AS b, len(list_intersect(x.g, y.g)) AS n, len(x.g) AS nx, len(y.g) AS ny FROM x JOIN y ON len(x.g) >= 0.5 * len(y.g) AND len(y.g) >= 0.5 * len(x.g))
         SELECT a, b, round(n / (nx + ny - n), 6) AS similarity FROM p WHERE n / (nx + ny - n) >= 0.5""",
+    "late_interaction": """
+        WITH t AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS place, embedding::DOUBLE[] AS v FROM embeddings),
+        u AS (SELECT doc_id, place, v, sqrt(list_inner_product(v, v)) AS n FROM t),
+        b AS (SELECT q.doc_id AS query_id, q.place, d.doc_id, max(list_inner_product(q.v, d.v) / (q.n * d.n)) AS best FROM u q JOIN u d ON q.doc_id % 5 = 0 AND q.place % 2 = 0 GROUP BY ALL),
+        r AS (SELECT query_id, doc_id, round(sum(best), 6) AS score FROM b GROUP BY ALL)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 10""",
     "store_after_batches": f"WITH {_STORED} SELECT k.user_id, k.event_id, event_type, round(value, 6) AS value FROM k JOIN events USING (event_id) WHERE NOT gone",
     "store_lookup": f"WITH {_STORED} SELECT user_id, event_id FROM k WHERE NOT gone AND user_id IN (SELECT c_custkey FROM customer)",
     "store_info": f"WITH {_STORED} SELECT CAST(count(*) FILTER (NOT gone) AS BIGINT) AS rows, CAST(count(*) FILTER (gone) AS BIGINT) AS tombstones FROM k",
