@@ -234,7 +234,12 @@ def encode_ids(docs: DataFrame, ranks: str, pattern: str, text: str = "text") ->
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again in one pass.
+
+    A null text is an empty one and has no ids; repeated rows and null ids give
+    a row each; very long texts and pre-tokens are encoded whole; other
+    columns, whatever their names, aren't read; an empty table has no rows.
+    """
 
     def both(batches):
         encoder = byte_bpe(ranks, pattern)

@@ -157,7 +157,9 @@ def exact_duplicates(docs: DataFrame, is_history=None, text: str = "text", per_b
     equal texts the largest doc_id stays; if all are null, keep_id is null and
     one of them stays. Of rows that repeat both id and text one is kept. Rows
     are counted per (digest, doc_id) and per digest before any shuffle, so
-    copies, however many, travel as one row per task.
+    copies, however many, travel as one row per task. Texts of any length are
+    hashed whole; other columns, whatever their names, aren't read; an empty
+    table has no rows.
     """
     keys = staged(text_digests(docs, text).groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "digests")
     if is_history is None:

@@ -181,8 +181,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 1
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every row with expected_grade and tail (P of the highest grade).
 
-    A null text is scored as an empty one; repeated rows are scored alike. If
-    the text is among the columns kept it passes through the same Arrow batch,
+    A null text is scored as an empty one; repeated rows are scored alike; very
+    long texts are hashed whole; an empty table has no scores. If the text is among the columns kept it passes through the same Arrow batch,
     not a second copy. A kept column may not be called expected_grade or tail.
     """
     if {"expected_grade", "tail"} & {*keep}:
@@ -194,7 +194,8 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[
 def select(docs: DataFrame, model: OrdinalModel, least_tail: float, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose chance of the highest grade is `least_tail` or more.
 
-    Columns may have any names; nulls, empty texts and repeated rows are as in `score`.
+    Columns may have any names; nulls, empty and very long texts, repeated rows
+    and empty tables are as in `score`.
     """
     rated, kept = _rated(docs, model, text, tuple(docs.columns), least_tail)
     return rated.select(*kept)

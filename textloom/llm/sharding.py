@@ -40,6 +40,8 @@ class ShardStore:
     null or empty text has no bytes. Later arrivals may bring new columns, which
     older rows then have as nulls. An empty arrival makes a version without new
     shards, and an empty store reads as no rows.
+
+    A text larger than the target size is never split; its row fills a shard.
     """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, column: str = "text"):

@@ -30,7 +30,9 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", by: str
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", by: str | None = None) -> DataFrame:
     """Documents per encoded length; partial counts are combined before the shuffle.
 
-    A null text counts as empty and so has length 0; repeated rows count each.
+    A null text counts as empty and so has length 0; repeated rows count each;
+    very long texts are encoded whole; other columns, whatever their names,
+    aren't read; an empty table has no lengths.
     """
     keys = ["grp", "n_tokens"] if by else ["n_tokens"]
     return encoded_lengths(docs, tokenizer, text, by).groupBy(*keys).agg(F.count("*").alias("n_docs"))

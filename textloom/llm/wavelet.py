@@ -185,20 +185,28 @@ def _packed(ids: np.ndarray, doc_ids: pa.Array, ends: np.ndarray, part: int, seq
     return pa.RecordBatch.from_pydict(row)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], text: str = "text") -> DataFrame:
-    """part, doc_id, ids (little-endian, 2 or 4 bytes each) of whole texts; part tells between which bounds the doc_id lies, nulls before all."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], text: str = "text", null_parts: int = 1) -> DataFrame:
+    """part, doc_id, ids (little-endian, 2 or 4 bytes each) of whole texts; part tells between which bounds the doc_id lies, nulls in the first `null_parts`.
+
+    A doc_id that is several bounds in a row has as many parts more, and its
+    rows are dealt to these in turn, as those without id are to theirs.
+    """
 
     def encode(batches):
         encoder = tokens.word_bpe(tokenizer)
         kind = np.dtype("<u2" if id_bits(encoder, end_id) <= 16 else "<u4")
         end = np.array([end_id], kind).tobytes()
+        dealt = 0
         for batch in batches:
             for piece in tokens.slices(batch, "_text", tokens.ENCODER_SLICE):
                 found, starts = encoder.encode(piece["_text"])
                 raw = memoryview(found.astype(kind).tobytes())
                 ids = [raw[a * kind.itemsize : b * kind.itemsize].tobytes() + end for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 known = np.asarray(piece["doc_id"].is_valid())
-                part = np.where(known, np.searchsorted(bounds, piece["doc_id"].fill_null(0).to_numpy(), "right") + 1, 0)
+                own = piece["doc_id"].fill_null(0).to_numpy()
+                low, high = (np.where(known, np.searchsorted(bounds, own, side) + null_parts, end_part) for side, end_part in (("left", 0), ("right", null_parts - 1)))
+                part = low + np.arange(dealt, dealt + len(own)) % (high - low + 1)
+                dealt += len(own)
                 yield pa.record_batch([pa.array(part.astype(np.int32)), piece["doc_id"], pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_text")).mapInArrow(encode, "part int, doc_id long, ids binary")
@@ -214,16 +222,20 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "
     Documents are dealt by ranges of doc_id (nulls first) of about `part_bytes`
     of text and sorted within each range, so the order of (part, seq) is the
     order of doc_id; ids travel, not texts. Rows of a repeated id stay next to
-    each other, in any order. A null or empty text has the end id only. A shard
+    each other, in any order; an id, or rows without one, that fill more than a
+    range are dealt to several. A null or empty text has the end id only, very
+    long texts are encoded whole, an empty table makes an empty folder. A shard
     closes at `shard_tokens` ids or where its range ends; a document is never
     split, so a longer one makes a longer shard. Other columns aren't read.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
-    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    sums = docs.agg(F.sum(F.octet_length(text).cast("long")), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n_bytes, n_rows, n_null = (x or 0 for x in sums)
     parts = min(MOST_PARTS, max(1, -(-n_bytes // part_bytes)))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [1.0], 100 * parts)).first()[0] or []
-    bounds = sorted({int(c) for c in cuts}) if parts > 1 else []
+    bounds = sorted(int(c) for c in cuts) if parts > 1 else []
+    null_parts = max(1, parts * n_null // max(1, n_rows))
 
     def shards(batches):
         encoder = tokens.word_bpe(tokenizer)
@@ -258,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "
         if held:
             yield closed()
 
-    ids = encoded(docs, tokenizer, end_id, bounds, text)
+    ids = encoded(docs, tokenizer, end_id, bounds, text, null_parts)
     ordered = ids.repartition("part").sortWithinPartitions("part", "doc_id")
     ordered.mapInArrow(shards, SHARD).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
     return path
