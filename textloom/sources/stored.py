@@ -66,8 +66,15 @@ def commit_text(spark: SparkSession, path: str, text: str) -> bool:
     out = fs.create(draft, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target) or not fs.rename(draft, target):
+    context = spark.sparkContext
+    options = context._gateway.new_array(getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # without overwriting
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), context._jsc.hadoopConfiguration())
+    try:
+        files.rename(draft, target, options)
+    except Exception:
         fs.delete(draft, False)
+        if not fs.exists(target):
+            raise
         return False
     return True
 
