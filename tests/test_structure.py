@@ -241,19 +241,24 @@ def test_two_stage_equals_a_plain_version(spark, filtered):
     lexical_order: dict = {}
     for r in lexical.bm25(asked, docs, None).orderBy("rank").collect():
         lexical_order.setdefault(r["query_id"], []).append(r["doc_id"])
-    want = {}
+    want, wide_orders = {}, {}
     for r in asked.collect():
         i = r["query_id"]
         passes = lambda d: not filtered or i not in limits or bool(limits[i](about[d]))  # noqa: B023, E731
         vectors = [np.array(v) for v in embed(pd.Series([told[i]["expanded_query"], r["query"]]))]
         wide, cosine = ({d: round(float(v @ q), 6) for d, v in unit.items() if passes(d)} for q in vectors)
-        near = {d: n + 1 for n, d in enumerate(sorted(wide, key=lambda d: (-wide[d], d))[:depth])}
+        wide_orders[i] = sorted(wide, key=lambda d: (-wide[d], d))[:depth]
+        near = {d: n + 1 for n, d in enumerate(wide_orders[i])}
         own = {d: n + 1 for n, d in enumerate([d for d in lexical_order.get(i, []) if passes(d)][:depth])}
         w = 1 - told[i]["alpha"]
         fused = {d: round((w / (60 + near[d]) if d in near else 0) + ((1 - w) / (60 + own[d]) if d in own else 0), 9) for d in {*near, *own}}
         chosen = sorted(fused, key=lambda d: (-fused[d], d))[:depth]
         if chosen:
             want[i] = sorted(chosen, key=lambda d: (-cosine[d], d))[:10]
+    near = {}
+    for r in models.semantic_search(asked, docs, k=depth, given=given).orderBy("rank").collect():
+        near.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert near == {i: order for i, order in wide_orders.items() if order}
     got: dict = {}
     for r in models.two_stage(asked, docs, depth=depth, given=given).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])

@@ -139,6 +139,16 @@ def _kept(used: list[str]) -> search.Keep:
     return keep
 
 
+def semantic_search(queries: DataFrame, docs: DataFrame, k: int = 10, embedder: Embedder | None = None, given: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: each query's k nearest documents by vectors of its expanded text, among those that pass the filters it names or is given (see `merged_filters`)."""
+    used = [f for f, (column, _) in FILTERS.items() if column in docs.columns]
+    about = [F.col(c).alias("_" + c) for c in dict.fromkeys(FILTERS[f][0] for f in used)]
+    asked = stored(embed(merged_filters(queries, given), "expanded_query", "q", embedder).select("query_id", "q", *used), "asked")
+    texts = stored(embed(spread(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", *about)), "text", "v", embedder).drop("text"), "embedded-texts")
+    found = search.batch_top_k(asked, texts, k, own=True, keep=_kept(used) if used else None)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def two_stage(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, embedder: Embedder | None = None, given: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: BM25's and the vectors' best `depth` of the documents that pass a query's filters, fused by the query's weight, the best `depth` of them reranked by cosine.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +83,11 @@ def contains_variant(value: Column, wanted: object) -> Column:
     return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == str(wanted))
 
 
+def unexpired(expires_at: Column, now: Column) -> Column:
+    """Whether something with an expiry is still valid; without one it always is."""
+    return expires_at.isNull() | (expires_at > now)
+
+
 def checked_limit(limit: int, most: int = 50) -> int:
     """A result limit from 1 to `most`; larger ones count as `most`, smaller ones are an error."""
     if limit < 1:

@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..operators import latex as X
 from ..operators import lexical as L
 from ..operators import models as N
+from ..operators import monitoring as M
 from ..operators import vectors as O
 from ..operators.keyed_store import KeyedStore
 from ..sources.stored import new_path, stored
@@ -63,13 +64,28 @@ def maxsim_rerank(s, d):
     return rows.select("query_id", "doc_id", N.max_sim(F.col("qt"), F.col("dt")).alias("score"))
 
 
-def two_stage(s, d):
-    """The hundred best documents of each passage by BM25 and by hashed-word vectors, fused by the passage's own weight and reranked to ten; half of the questions name a chapter, equations or pages."""
+def _filtered(s, d):
+    """Passages of which half name a chapter, equations or pages, and documents that have them."""
     n = F.col("query_id") % 8
     named = F.when(n == 1, " in chapter 3").when(n == 3, " with equations").when(n == 5, " on pages 10-60").when(n == 7, " from section 5 with equations").otherwise("")
-    asked = _asked(s, d).select("query_id", F.concat("query", named).alias("query"))
     about = {"document_id": F.concat(F.lit("chapter_"), (F.col("doc_id") % 12).cast("string")), "has_equations": F.contains("text", F.lit("$")), "page_number": (F.col("n_chars") % 100).cast("int")}
-    return N.two_stage(asked, _docs(s, d).withColumns(about)).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    return _asked(s, d).select("query_id", F.concat("query", named).alias("query")), _docs(s, d).withColumns(about)
+
+
+def semantic_search(s, d):
+    """The ten nearest documents of each passage by hashed-word vectors, filtered by what the question names."""
+    return N.semantic_search(*_filtered(s, d)).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+def two_stage(s, d):
+    """The hundred best documents of each passage by BM25 and by hashed-word vectors, filtered by what the question names, fused by the passage's own weight and reranked to ten."""
+    return N.two_stage(*_filtered(s, d)).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+def rerank_cache_stats(s, d):
+    """Lookups, hits and hit rate of the store of reranked lists, by whether a query was in the earlier run."""
+    found = rerank_through_cache(s, d).groupBy("query_id").agg(F.bool_or("cached").alias("hit"))
+    return M.cache_stats(found, (F.col("query_id") % 40 == 0).alias("seen_before"))
 
 
 def embed_cache(s, d):
@@ -85,7 +101,7 @@ def extractive_answer(s, d):
     return best.select("query_id", "doc_id", N.best_sentence(F.col("query"), F.col("text")).alias("answer"))
 
 
-QUERIES = {f.__name__: f for f in (rerank_through_cache, match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
+QUERIES = {f.__name__: f for f in (rerank_through_cache, rerank_cache_stats, semantic_search, match_chunks, equation_exact_match, rerank_pooled, maxsim_rerank, two_stage, embed_cache, extractive_answer)}
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
 
@@ -110,6 +126,7 @@ ORACLES = {
     "match_chunks": f"WITH n AS (SELECT a.vec_id, round({COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10) SELECT n.vec_id, score, source, lang FROM n JOIN documents ON doc_id = vec_id",
     "equation_exact_match": f"{_B}, e AS (SELECT id, kind, start, {_STRIP(_INSIDE)} AS content FROM {_spans_sql(_KINDS)}) SELECT id, kind, start FROM e WHERE replace(content, ' ', '') = 'q=VQ/I'",
     "rerank_pooled": _POOLED,
+    "rerank_cache_stats": "SELECT vec_id % 40 = 0 AS seen_before, count(*) AS lookups, count(*) FILTER (vec_id % 40 = 0) AS hits, count(*) FILTER (vec_id % 40 <> 0) AS misses, CASE WHEN vec_id % 40 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS hit_rate FROM embeddings WHERE vec_id % 20 = 0 GROUP BY ALL",
     "rerank_through_cache": f"SELECT *, query_id % 40 = 0 AS cached FROM ({_POOLED})",
     "embed_cache": "SELECT DISTINCT sha256(text) AS content_key, 256::BIGINT AS dims, 1.0::DOUBLE AS norm FROM documents",
 }

@@ -96,6 +96,15 @@ def session_active(s, d):
     return last.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("seen") + F.expr("INTERVAL 60 MINUTES") > F.col("now")).select("user_id")
 
 
+def session_expiry(s, d):
+    """Sessions of users with an expiry, a day after their last event, or with none for every fourth: those that are valid at the last event of all."""
+    e = table(s, d, "events").select("user_id", "ts")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("seen"))
+    expires = F.when(F.col("user_id") % 4 != 0, F.col("seen") + F.expr("INTERVAL 1 DAY"))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))
+    return last.withColumn("expires_at", expires).join(now).where(R.unexpired(F.col("expires_at"), F.col("now"))).select("user_id", F.col("expires_at").isNull().alias("forever"))
+
+
 def metadata_merge(s, d):
     e = table(s, d, "events").select("event_id", F.from_json("props", "map<string,int>").alias("m"))
     merged = F.map_concat(F.map_filter("m", lambda k, v: k != "source"), F.create_map(F.lit("source"), F.lit(7)))
@@ -254,7 +263,7 @@ def order_revenue(s, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed_stride, chunk_overlap_lag, document_summaries, list_documents_page, session_messages_recent, session_summary, session_active, metadata_merge, upsert_latest, delete_points_anti, resume_pending_anti, semi_labelled, scroll_page, graph_reach_recursive, timeline, rerank_cache_key, monitor_stats, component_latency, rolling_p95, alerts, ttl_simulate, lru_simulate, cache_hit_rate, ingestion_report, golden_validate, duplicate_ids, category_progress, retrieval_quality, degradation_gate, citation_rank, citation_confidence, citation_format, link_equations, qa_prompt, order_revenue)} | {f"chunk_{k}": _split(k) for k in C.KERNELS}
+QUERIES = {f.__name__: f for f in (chunk_fixed_stride, chunk_overlap_lag, document_summaries, list_documents_page, session_messages_recent, session_summary, session_active, session_expiry, metadata_merge, upsert_latest, delete_points_anti, resume_pending_anti, semi_labelled, scroll_page, graph_reach_recursive, timeline, rerank_cache_key, monitor_stats, component_latency, rolling_p95, alerts, ttl_simulate, lru_simulate, cache_hit_rate, ingestion_report, golden_validate, duplicate_ids, category_progress, retrieval_quality, degradation_gate, citation_rank, citation_confidence, citation_format, link_equations, qa_prompt, order_revenue)} | {f"chunk_{k}": _split(k) for k in C.KERNELS}
 
 CHUNKS_SQL = """(SELECT doc_id, i AS chunk_index, i * 800 AS start_char, substr(text, i * 800 + 1, 1000) AS content
     FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 200) / 800.0) AS BIGINT)))) AS i FROM documents))"""
@@ -317,6 +326,7 @@ ORACLES = {
     "session_summary": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
     "session_active": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTES > (SELECT max(ts) FROM events)",
     "metadata_merge": "SELECT event_id, 'k=' || (props::JSON ->> 'k') || ',source=7' AS merged FROM events",
+    "session_expiry": "WITH l AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id) SELECT user_id, user_id % 4 = 0 AS forever FROM l WHERE user_id % 4 = 0 OR seen + INTERVAL 1 DAY > (SELECT max(ts) FROM events)",
     "upsert_latest": f"SELECT id, payload, version FROM (SELECT *, 0 AS n FROM {OLDER.sql()} UNION ALL SELECT *, 1 FROM {NEWEST.sql()}) WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, n DESC) = 1",
     "delete_points_anti": "SELECT vec_id FROM embeddings ANTI JOIN (SELECT doc_id AS vec_id FROM labels) USING (vec_id)",
     "resume_pending_anti": "SELECT doc_id, sha256(text) AS content_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
