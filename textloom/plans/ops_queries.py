@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bitemporal as B
 from ..operators import chunking as C
 from ..operators import citations as G
 from ..operators import lexical as L
@@ -143,6 +144,27 @@ def timeline(s, d):
     return facts.select("entity", "fact", "valid_at", F.row_number().over(order).cast("long").alias("place"))
 
 
+def _versions(s, d):
+    """What each user last did, as it was known: events tell of a day up to four before they came."""
+    e = table(s, d, "events")
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = 86_400_000_000
+    return e.select(F.col("user_id").cast("string").alias("key"), (F.floor(ts / day) * day - F.col("event_id") % 5 * day).cast("long").alias("valid_from"), ts.alias("known_from"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("value"))
+
+
+def facts_as_of(s, d):
+    """For every seventh event: what was known of its user a day before, about three days before."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = 86_400_000_000
+    asked = table(s, d, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("query_id"), F.col("user_id").cast("string").alias("key"), (ts - 3 * day).alias("valid_at"), (ts - day).alias("known_at"))
+    return B.as_of(_versions(s, d), asked, per_block=2000)
+
+
+def fact_intervals(s, d):
+    """Validity and transaction intervals of the same versions."""
+    return B.intervals(_versions(s, d), "key").select("key", "value", "valid_from", "valid_to", "known_from", "known_to")
+
+
 def rerank_cache_key(s, d):
     """The key of each passage with its ten best documents."""
     best = L.bm25(_asked(s, d), _docs(s, d), 10).groupBy("query_id").agg(F.collect_list("doc_id").alias("ids")).join(_asked(s, d), "query_id")
@@ -263,7 +285,7 @@ def order_revenue(s, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed_stride, chunk_overlap_lag, document_summaries, list_documents_page, session_messages_recent, session_summary, session_active, session_expiry, metadata_merge, upsert_latest, delete_points_anti, resume_pending_anti, semi_labelled, scroll_page, graph_reach_recursive, timeline, rerank_cache_key, monitor_stats, component_latency, rolling_p95, alerts, ttl_simulate, lru_simulate, cache_hit_rate, ingestion_report, golden_validate, duplicate_ids, category_progress, retrieval_quality, degradation_gate, citation_rank, citation_confidence, citation_format, link_equations, qa_prompt, order_revenue)} | {f"chunk_{k}": _split(k) for k in C.KERNELS}
+QUERIES = {f.__name__: f for f in (chunk_fixed_stride, chunk_overlap_lag, document_summaries, list_documents_page, session_messages_recent, session_summary, session_active, session_expiry, metadata_merge, upsert_latest, delete_points_anti, resume_pending_anti, semi_labelled, scroll_page, graph_reach_recursive, timeline, facts_as_of, fact_intervals, rerank_cache_key, monitor_stats, component_latency, rolling_p95, alerts, ttl_simulate, lru_simulate, cache_hit_rate, ingestion_report, golden_validate, duplicate_ids, category_progress, retrieval_quality, degradation_gate, citation_rank, citation_confidence, citation_format, link_equations, qa_prompt, order_revenue)} | {f"chunk_{k}": _split(k) for k in C.KERNELS}
 
 CHUNKS_SQL = """(SELECT doc_id, i AS chunk_index, i * 800 AS start_char, substr(text, i * 800 + 1, 1000) AS content
     FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 200) / 800.0) AS BIGINT)))) AS i FROM documents))"""
@@ -278,6 +300,7 @@ _CITED = f"""
     WITH u AS (SELECT CAST(answer_id AS INTEGER) AS answer_id, chunk_id, arg_min(relevance, use)::DOUBLE AS relevance, arg_min(confidence, use)::DOUBLE AS confidence, count(*) AS usage_count
                FROM (SELECT * FROM {values_sql(USES, 'answer_id, chunk_id, relevance, confidence, use')} UNION ALL SELECT user_id + 1000, 'c' || (event_id % 20), (event_id * 37 % 101) / 100.0::DOUBLE, (event_id * 53 % 101) / 100.0::DOUBLE, event_id FROM events) GROUP BY answer_id, chunk_id),
     c AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY relevance DESC, usage_count DESC, chunk_id) AS rank FROM u WHERE relevance >= 0.5 AND confidence >= 0.5)"""
+_VERSIONS = "WITH v AS (SELECT user_id::VARCHAR AS key, CAST(epoch_us(ts) // 86400000000 * 86400000000 - event_id % 5 * 86400000000 AS BIGINT) AS valid_from, epoch_us(ts) AS known_from, event_type || ' ' || event_id AS value FROM events)"
 _G = CASES.sql()
 _E = GRAPH.sql()
 
@@ -336,6 +359,12 @@ ORACLES = {
         WITH RECURSIVE w AS (SELECT DISTINCT src, dst, 1 AS depth FROM {_E} WHERE src <> dst UNION SELECT w.src, e.dst, depth + 1 FROM w JOIN {_E} AS e ON e.src = w.dst WHERE depth < 3 AND w.src <> e.dst)
         SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY src, dst""",
     "timeline": f"SELECT entity, fact, valid_at, row_number() OVER (PARTITION BY entity ORDER BY valid_at DESC NULLS LAST, fact) AS place FROM {HISTORY.sql()} WHERE invalid_at IS NULL OR invalid_at > '2011-01-01'",
+    "facts_as_of": f"""{_VERSIONS},
+        q AS (SELECT event_id AS query_id, user_id::VARCHAR AS key, epoch_us(ts) - 259200000000 AS valid_at, epoch_us(ts) - 86400000000 AS known_at FROM events WHERE event_id % 7 = 0),
+        m AS (SELECT query_id, v.*, row_number() OVER (PARTITION BY query_id ORDER BY valid_from DESC, known_from DESC, value DESC) AS i FROM q JOIN v ON v.key = q.key AND valid_from <= valid_at AND known_from <= known_at QUALIFY i = 1)
+        SELECT q.query_id, value, valid_from, known_from FROM q LEFT JOIN m USING (query_id)""",
+    "fact_intervals": f"""{_VERSIONS}, k AS (SELECT *, lead(known_from) OVER (PARTITION BY key, valid_from ORDER BY known_from) AS known_to FROM v)
+        SELECT key, value, valid_from, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to, known_from, known_to FROM k WHERE known_to IS NULL UNION ALL SELECT key, value, valid_from, NULL, known_from, known_to FROM k WHERE known_to IS NOT NULL""",
     "rerank_cache_key": f"WITH {_bm25_sql('m', 10)} SELECT query_id, sha256('reranking:' || any_value(text) || ':' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS cache_key FROM mk JOIN benchmark ON item_id = query_id GROUP BY query_id",
     "monitor_stats": f"SELECT {_STATS} FROM events",
     "component_latency": f"SELECT event_type AS component, {_STATS} FROM events GROUP BY event_type",
