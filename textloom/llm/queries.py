@@ -90,7 +90,51 @@ def op13_merkle_traversal_manifest(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, op2_bin_completion_packing, op3_token_length_histogram, op4_weighted_minhash_dedup, op5_block_matrix_search, op6_ordinal_quality, op7_perfect_hash_dedup, op8_rank_queue_bpe, op9_wavelet_token_shards, op10_warc_chunk_records, op11_radix_conversation_trie, op12_association_url_filter, op13_merkle_traversal_manifest)}
 
+#: CRC-32 of a decimal number's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+_LEAF = "sha256(" + " || ".join("CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END".format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || CASE WHEN {text} IS NULL THEN '-' ELSE octet_length(encode({text})) || ':' || {text} END)"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """All levels of the ternary trees over leaves (tree, pos, h), and each tree's height and root."""
+    return f"""
+        {name} AS (
+            SELECT tree, 0 AS lvl, pos, h FROM {leaves}
+            UNION ALL
+            SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS width FROM {name}) WHERE width > 1 GROUP BY tree, lvl, pos // 3),
+        {name}_top AS (SELECT tree, max(lvl) AS height, arg_max(h, lvl) AS root FROM {name} GROUP BY tree),
+        {name}_path AS (
+            SELECT f.tree, f.pos, up.lvl, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < f.pos // CAST(pow(3, up.lvl) AS BIGINT)), '') AS before, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > f.pos // CAST(pow(3, up.lvl) AS BIGINT)), '') AS after
+            FROM {leaves} f JOIN {name}_top USING (tree) JOIN (SELECT unnest(range(0, 40)) AS lvl) up ON up.lvl < height
+            JOIN {name} n ON n.tree = f.tree AND n.lvl = up.lvl AND n.pos // 3 = f.pos // CAST(pow(3, up.lvl + 1) AS BIGINT) GROUP BY f.tree, f.pos, up.lvl)"""
+
+
 ORACLES = {
+    "op11_radix_conversation_trie": f"""
+        WITH t AS (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS u, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT conv_id, list(u ORDER BY turn NULLS FIRST, u) AS us, list(w ORDER BY turn NULLS FIRST, u) AS ws FROM t GROUP BY conv_id),
+        k AS (SELECT *, {_CRC.format(s='conv_id::VARCHAR')} % 4 AS h FROM s),
+        b AS (SELECT k.conv_id, list_concat(coalesce(o.us, [])[1:h], k.us[h + 1:]) AS us, list_concat(coalesce(o.ws, [])[1:h], k.ws[h + 1:]) AS ws FROM k LEFT JOIN s o ON o.conv_id = k.conv_id - k.conv_id % 20),
+        m AS (SELECT conv_id, d, len(us) AS n, array_to_string(us[1:d], '') AS p, array_to_string(us[1:d - 1], '') AS up, coalesce(ws[d], 0) AS w FROM (SELECT *, unnest(range(0, len(us) + 1)) AS d FROM b)),
+        n AS (SELECT p, any_value(up) AS up, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY p, d),
+        c AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+        z AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.p)
+        SELECT a.conv_id, a.depth, any_value(q.conv_id) AS parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum(b.own) AS BIGINT) AS saved_tokens, a.ends_sha256
+        FROM z a JOIN z b ON starts_with(b.p, a.p) LEFT JOIN n q ON a.depth > 0 AND q.p = a.up GROUP BY a.p, a.conv_id, a.depth, a.n_convs, a.n_children, a.ends_sha256""",
+    "op13_merkle_traversal_manifest": f"""
+        WITH RECURSIVE d AS (SELECT *, {_LEAF.format(text='text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC.format(s='doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other, coalesce('s' || source, '-') AS tree FROM documents),
+        f AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, doc_id, {_LEAF.format(text='other')} AS tampered FROM d),
+        {_levels('a', 'f')},
+        g AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, root AS h, tree AS source FROM a_top),
+        {_levels('b', 'g')},
+        p AS (SELECT tree, pos, lvl AS step, before, after FROM a_path UNION ALL SELECT f.tree, f.pos, 100 + lvl, before, after FROM f JOIN g ON g.source = f.tree JOIN b_path ON b_path.pos = g.pos),
+        k AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY step) AS i FROM p),
+        r AS (SELECT tree, pos, 0 AS i, tampered AS h FROM f UNION ALL SELECT r.tree, r.pos, k.i, sha256(k.before || r.h || k.after) FROM r JOIN k ON k.tree = r.tree AND k.pos = r.pos AND k.i = r.i + 1),
+        e AS (SELECT tree, pos, arg_max(h, i) AS folded FROM r GROUP BY tree, pos),
+        s AS (SELECT tree, pos, string_agg(before || after, '' ORDER BY step) AS proof FROM p GROUP BY tree, pos)
+        SELECT f.doc_id, f.h AS leaf, a_top.root AS subroot, b_top.root AS root, sha256(coalesce(s.proof, '')) AS proof_sha256, e.folded AS folded_root, e.folded = b_top.root AS verified
+        FROM f JOIN a_top USING (tree) JOIN b_top ON b_top.tree = '' JOIN e ON e.tree = f.tree AND e.pos = f.pos LEFT JOIN s ON s.tree = f.tree AND s.pos = f.pos""",
     "op1_size_tiered_shards": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes, md5(text) AS text_md5, 0::BIGINT AS shards_due FROM documents",
     "op5_block_matrix_search": """
         WITH c AS (
