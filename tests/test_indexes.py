@@ -126,8 +126,9 @@ def gram_set(word, n=3):
     return {padded[i : i + n] for i in range(len(padded) - n + 1)} if word else set()
 
 
-@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
-def test_similar_words(spark, least):
+@pytest.mark.parametrize(("least", "most"), [(0.3, 10**5), (0.5, 10**5), (0.8, 10**5), (1.0, 10**5), (0.3, 5), (0.8, 5)])
+def test_similar_words(spark, least, most, monkeypatch):
+    monkeypatch.setattr(trigrams, "MOST_GRAMS", most)
     rng = random.Random(4)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(120)] + ["É", "éa", "Abc", "a" * 3000]
     left, right = words[:60] + [None, ""], words[50:] + ["abc", None, ""]

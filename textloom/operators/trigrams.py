@@ -9,8 +9,17 @@ that shares none of them.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from ..sources.stored import stored
+
+#: Grams of the left words that every task may hold.
+MOST_GRAMS = 200_000
 
 
 def grams(word: Column, n: int = 3) -> Column:
@@ -26,26 +35,54 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
+def prefix_size(size: Column, least: float) -> Column:
+    """How many of a word's rarest grams must hold one of every word as similar as `least`."""
+    return (size - F.ceil(F.lit(least) * size - 1e-9) + 1).cast("int")
+
+
+def _known_prefixes(words: DataFrame, frequency: dict[str, int], least: float, n: int) -> DataFrame:
+    """word, grams and the grams of its prefix that `frequency` has, for words that may be similar to one of those it was counted on.
+
+    Grams that don't occur there are the rarest of all and match nothing.
+    """
+    order = {g: i for i, (g, _) in enumerate(sorted(frequency.items(), key=lambda x: (x[1], x[0])))}
+    held = words.sparkSession.sparkContext.broadcast(order)
+
+    def prefixes(lists: pa.Array) -> pa.Array:
+        order, out = held.value, []
+        for grams in lists.to_pylist():
+            need = math.ceil(least * len(grams) - 1e-9)
+            known = sorted((g for g in grams if g in order), key=order.__getitem__)
+            out.append(known[: max(0, len(known) - need + 1)] if len(known) >= need else [])
+        return pa.array(out, pa.list_(pa.string()))
+
+    rows = words.withColumn("grams", grams(F.col("word"), n))
+    return rows.withColumn("prefix", F.arrow_udf(prefixes, ArrayType(StringType()))("grams")).where(F.size("prefix") > 0)
+
+
 def similar(left: DataFrame, right: DataFrame, least: float = 0.5, a: str = "a", b: str = "b", n: int = 3) -> DataFrame:
     """All pairs (a, b, similarity) of distinct words of `left.a` and `right.b` whose similarity is at least `least` (over 0).
 
-    Words that are null or empty have no grams and no partners.
+    Grams are ordered by how many words of `left` have them. While these are
+    MOST_GRAMS at most, every task knows them, and of the other words only
+    those travel that may have a partner, with the few grams that decide it.
+    With more of them the same prefixes are found by joins. Words that are null
+    or empty have no grams and no partners.
     """
-    sides = {}
-    for name, rows in ((a, left), (b, right)):
-        words = rows.select(F.col(name).alias("word")).where("word <> ''").distinct()
-        sides[name] = words.withColumn("grams", grams(F.col("word"), n))
-    frequency = sides[a].unionByName(sides[b]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = {}
-    for name, rows in sides.items():
-        each = rows.select("word", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(frequency, "gram")
-        ordered = each.groupBy("word", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
-        prefix = F.slice("grams", F.lit(1), (F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).cast("int"))
-        ranked[name] = ordered.withColumn("prefix", prefix)
-    x, y = (ranked[s].select(F.col("word").alias(s), F.col("size").alias(f"n_{s}"), F.col("grams").alias(f"g_{s}"), F.explode("prefix").alias("gram")) for s in (a, b))
+    words = {name: rows.select(F.col(name).alias("word")).where("word <> ''").distinct() for name, rows in ((a, left), (b, right))}
+    mine = stored(words[a].withColumn("grams", grams(F.col("word"), n)), "words")
+    frequency = mine.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    known = frequency.limit(MOST_GRAMS + 1).collect()
+    if len(known) <= MOST_GRAMS:
+        found = {name: _known_prefixes(words[name], {r["gram"]: r["df"] for r in known}, least, n) for name in (a, b)}
+    else:
+        found = {}
+        for name in (a, b):
+            each = words[name].withColumn("grams", grams(F.col("word"), n)).select("word", "grams", F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+            ordered = each.groupBy("word").agg(F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
+            found[name] = ordered.withColumn("prefix", F.slice("o.gram", F.lit(1), prefix_size(F.size("grams"), least)))
+    x, y = (found[s].select(F.col("word").alias(s), F.size("grams").alias(f"n_{s}"), F.col("grams").alias(f"g_{s}"), F.col("prefix").alias(f"p_{s}"), F.explode("prefix").alias("gram")) for s in (a, b))
     fits = (F.col(f"n_{a}") >= F.lit(least) * F.col(f"n_{b}") - 1e-9) & (F.col(f"n_{b}") >= F.lit(least) * F.col(f"n_{a}") - 1e-9)
     met = x.join(y, "gram").where(fits)
-    # a pair that shares several prefix grams is kept where they meet first
-    both = F.array_intersect(F.slice(f"g_{a}", F.lit(1), (F.col(f"n_{a}") - F.ceil(F.lit(least) * F.col(f"n_{a}") - 1e-9) + 1).cast("int")), F.slice(f"g_{b}", F.lit(1), (F.col(f"n_{b}") - F.ceil(F.lit(least) * F.col(f"n_{b}") - 1e-9) + 1).cast("int")))
-    met = met.where(F.get(both, F.lit(0)) == F.col("gram"))
+    met = met.where(F.get(F.array_intersect(f"p_{a}", f"p_{b}"), F.lit(0)) == F.col("gram"))  # a pair that shares several is kept where it meets first
     return met.withColumn("similarity", similarity(F.col(f"g_{a}"), F.col(f"g_{b}"))).where(F.col("similarity") >= least - 1e-12).select(a, b, F.round("similarity", 9).alias("similarity"))
