@@ -29,6 +29,13 @@ def _folder(s, d):
     return path
 
 
+def _files(s, d):
+    """Text files of each language of at most a thousand documents, since a file is read whole; no document is moved to write them."""
+    path = S.new_path(s, "texts")
+    _docs(s, d).select("lang", F.col("text").alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(path)
+    return path
+
+
 def file_discovery(s, d):
     """The files of each language: how many, of what kind and size."""
     found = L.discovered(s, _folder(s, d), ["latex", "markdown", "web"])
@@ -37,7 +44,7 @@ def file_discovery(s, d):
 
 def file_texts(s, d):
     """The lines of all files, read whole and decoded."""
-    rows = L.read_files(s, _folder(s, d), "markdown").select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line"))
+    rows = L.read_files(s, _files(s, d), "markdown").select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line"))
     return rows.where("line <> ''").groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).cast("long").alias("chars"), F.countDistinct(F.md5("line")).alias("distinct_lines"))
 
 
