@@ -22,6 +22,10 @@ from .vector_index import IvfIndex, _usable
 
 #: Tokens of a document in a row of the table that exact scores are worked out from.
 TOKENS_A_ROW = 128
+#: Tokens of queries and of documents that meet in a task, about.
+QUERY_TILE, DOC_TILE = 4096, 8192
+#: Documents of more tokens than this are scored row by row.
+LONG = 1 << 17
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -42,6 +46,52 @@ def _best_cosines(queries: pa.Array, tokens: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.float64()))
 
 
+def _tokens_of(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of all tokens, and of each the number of its row."""
+    rows = rows.combine_chunks()
+    tokens = rows.flatten()
+    m = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(tokens), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n), np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+
+
+def _tile(k: int, chosen: bool):
+    """Function of queries (query_id, qs, docs) and rows of documents (doc_id, vs): each query's k best documents, of those in `docs` if they are chosen."""
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if len(left) and len(right):
+            right = right.sort_by("doc_id")
+            ids, names = right["doc_id"].to_numpy(), left["query_id"].to_numpy()
+            tokens, row = _tokens_of(right["vs"])
+            owner = ids[row]
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            ids = owner[first]
+            asks, query = _tokens_of(left["qs"])
+            score = np.zeros((len(names), len(ids)))
+            for i in range(0, len(asks), 256):
+                best = np.maximum.reduceat(asks[i : i + 256] @ tokens.T, first, axis=1)
+                own = query[i : i + 256]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                score[own[starts]] += np.add.reduceat(best, starts, axis=0)
+            score = np.round(score, 6)
+            if chosen:
+                wanted = left["docs"].combine_chunks()
+                allowed = np.zeros(score.shape, bool)
+                docs = wanted.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(ids, docs), len(ids) - 1)
+                of = np.repeat(np.arange(len(names)), np.diff(wanted.offsets.to_numpy()))
+                allowed[of[ids[at] == docs], at[ids[at] == docs]] = True
+                score[~allowed] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # documents ascend
+            best = np.take_along_axis(score, top, 1)
+            found = np.repeat(names, top.shape[1]), ids[top.ravel()], best.ravel()
+            found = tuple(c[found[2] > -np.inf] for c in found)
+        return pa.table(list(map(pa.array, found)), ["query_id", "doc_id", "score"])
+
+    return tile
+
+
 @dataclass(frozen=True)
 class TokenIndex:
     """`path`/index: the lists of tokens; `path`/members: list, doc_id; `path`/rows: doc_id, row, vs."""
@@ -89,15 +139,35 @@ class TokenIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, nearest: int | None = None, depth: int | None = None) -> DataFrame:
         """query_id, doc_id, score, rank: the k best documents of each query (query_id, place, q), ties to the smaller doc_id.
 
-        Scores are exact; without the other arguments (see `candidates`) so is the choice. A
-        document's tokens are scored in rows of TOKENS_A_ROW, so that no long
-        document has to fit a task.
+        Scores are exact; without the other arguments (see `candidates`) so is
+        the choice. Queries and documents meet in tiles of bounded size, each
+        a matrix product that hands on k documents of a query. The tokens of a
+        document longer than LONG are scored in rows of TOKENS_A_ROW, so that
+        none has to fit a task.
         """
         usable = queries.where(_usable(F.col("q"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("place").cast("long").alias("place"), F.col("q").cast("array<double>").alias("q"))
         usable = S.stored(usable, "usable-query-tokens")
         asked = usable.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "q"))), lambda x: x["q"]).alias("qs"))
-        met = self.candidates(usable, probes, nearest, depth).join(self._read("rows"), "doc_id").join(asked, "query_id")
-        each = met.select("query_id", "doc_id", F.posexplode(_best_cosines("qs", "vs")).alias("token", "best"))
-        sums = each.groupBy("query_id", "doc_id", "token").agg(F.max("best").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 6).alias("score"))
+        rows = self._read("rows")
+        sizes = S.stored(rows.groupBy("doc_id").agg(F.sum(F.size("vs")).alias("tokens")), "token-counts")
+        long = sizes.where(F.col("tokens") > LONG).select("doc_id")
+        every = probes is None and nearest is None
+        pairs = None if every else S.stored(self.candidates(usable, probes, nearest, depth), "candidates")
+
+        q_tiles, v_tiles = max(1, -(-usable.count() // QUERY_TILE)), max(1, -(-(sizes.where(F.col("tokens") <= LONG).agg(F.sum("tokens")).first()[0] or 0) // DOC_TILE))
+        tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        split = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        if every:
+            left = asked.select(tile("query_id", q_tiles).alias("i"), split(v_tiles).alias("j"), "query_id", "qs", F.array().cast("array<long>").alias("docs"))
+        else:
+            left = pairs.groupBy("query_id", tile("doc_id", v_tiles).alias("j")).agg(F.collect_list("doc_id").alias("docs")).join(asked, "query_id").select(tile("query_id", q_tiles).alias("i"), "j", "query_id", "qs", "docs")
+        right = rows.join(long, "doc_id", "left_anti").select(split(q_tiles).alias("i"), tile("doc_id", v_tiles).alias("j"), "doc_id", "vs")
+        scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tile(k, not every), "query_id long, doc_id long, score double")
+
+        if not long.isEmpty():
+            met = rows.join(long, "doc_id")
+            met = met.join(asked) if every else met.join(pairs, "doc_id").join(asked, "query_id")
+            each = met.select("query_id", "doc_id", F.posexplode(_best_cosines("qs", "vs")).alias("token", "best"))
+            scored = scored.unionByName(each.groupBy("query_id", "doc_id", "token").agg(F.max("best").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 6).alias("score")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
