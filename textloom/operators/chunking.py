@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .parallel import SLICE
+
 CHUNKS = "doc_id long, chunk_index int, start_char int, end_char int, content string, token_count int"
 
 
@@ -158,7 +160,7 @@ def split(docs: DataFrame, kernel: str | Callable[[str], list[tuple[int, int]]],
     count = options.get("size", words_in)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in (whole.iloc[i : i + SLICE] for whole in frames for i in range(0, len(whole), SLICE)):
             rows = [(d, i, a, b, t[a:b], count(t[a:b])) for d, t in zip(pdf["doc_id"], pdf["_text"], strict=True) if t for i, (a, b) in enumerate(spans(t, **options))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content", "token_count"])
 
@@ -169,7 +171,7 @@ def hybrid(docs: DataFrame, most: int = 512, doc_id: str = "doc_id", text: str =
     """The canonical chunk table with `heading_path` and `contextual`, the chunk's text below its headings; chunks never cross a heading."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in (whole.iloc[i : i + SLICE] for whole in frames for i in range(0, len(whole), SLICE)):
             rows = [(d, i, a, b, t[a:b], words_in(t[a:b]), path) for d, t in zip(pdf["doc_id"], pdf["_text"], strict=True) if t for i, (a, b, path) in enumerate(headed_spans(t, most))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "content", "token_count", "heading_path"])
 
