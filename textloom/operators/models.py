@@ -23,7 +23,7 @@ from ..sources.stored import stored
 from . import lexical
 from . import vectors as search
 from .keyed_store import KeyedStore
-from .parallel import spread
+from .parallel import SLICE, spread
 
 Embedder = Callable[[pd.Series], list[list[float] | None]]
 
@@ -31,10 +31,13 @@ Embedder = Callable[[pd.Series], list[list[float] | None]]
 def hashing_embedder(dims: int = 256) -> Embedder:
     """A stand-in for a model: signed feature hashing of lower-case words, unit length; empty texts give zeros.
 
-    A batch's distinct words are hashed once each.
+    A slice's distinct words are hashed once each.
     """
 
     def embed(texts: pd.Series) -> list[list[float]]:
+        return [v for i in range(0, len(texts), SLICE) for v in part(texts.iloc[i : i + SLICE])]
+
+    def part(texts: pd.Series) -> list[list[float]]:
         words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(pa.array(texts, pa.large_string()), "")))
         coded = words.flatten().dictionary_encode()
         hashed = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.int64)
