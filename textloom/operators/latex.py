@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parallel import sliced
 
 # Patterns of headings, environments, display equations and inline ones, and the custom class's name.
 HEADING = r"\\{level}(?:\[([^\]]+)\])?\{{([^}}]+)\}}"
@@ -85,7 +86,7 @@ def all_spans(text: Column, patterns: dict[str, str]) -> Column:
     ready = compiled(patterns)
     names = ["kind", "start", "stop", "line", "found", "before", "after"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return F.arrow_udf(lambda texts: _per_text(texts, lambda t: span_rows(t, ready), names, types), SPAN)(text)
+    return F.arrow_udf(sliced(lambda texts: _per_text(texts, lambda t: span_rows(t, ready), names, types)), SPAN)(text)
 
 
 def front_matter(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
