@@ -4,6 +4,11 @@ Tokens are kept in lists around centroids, with the documents of each list
 apart. A query's tokens look for their nearest tokens in the nearest lists; the
 documents of these are ranked by them, and the best are scored exactly: for
 every query token its best cosine with a token of the document, summed.
+
+No row is made for a query token and a token that is near it, of which there
+are as many as the product of both sides: the score of a token's last near one,
+and then the gain of a query's last chosen document, are found by counting in
+ever narrower ranges, and only k documents of a query leave a tile.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ TOKENS_A_ROW = 128
 QUERY_TILE, DOC_TILE = 4096, 8192
 #: Documents of more tokens than this are scored row by row.
 LONG = 1 << 17
+#: Tokens of documents whose scores a task counts for a tile of queries, about; ranges that a count tells apart; counts that a task adds up, about.
+COUNT_TILE, BINS, COUNTS = 1 << 16, 256, 1 << 24
+#: Scores are compared as whole millionths.
+UNITS = 1_000_000
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -34,6 +43,11 @@ def _unit(rows: list) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
+def _usable_tokens(queries: DataFrame) -> DataFrame:
+    usable = queries.where(_usable(F.col("q")))
+    return usable.select(F.col("query_id").cast("long").alias("query_id"), F.col("place").cast("long").alias("place"), F.col("q").cast("array<double>").alias("q"))
+
+
 @F.arrow_udf(ArrayType(DoubleType()))
 def _best_cosines(queries: pa.Array, tokens: pa.Array) -> pa.Array:
     """Of each row's query tokens, the best cosine with one of the row's document tokens."""
@@ -92,6 +106,154 @@ def _tile(k: int, chosen: bool):
     return tile
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of arrays."""
+    column = column.combine_chunks()
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+@dataclass(frozen=True)
+class _Probes:
+    """Which lists a query token meets: its nearest ones, or all if these have fewer than `nearest` tokens."""
+
+    unit: np.ndarray
+    sizes: np.ndarray
+    probes: int
+    nearest: int
+
+    def met(self, asks: np.ndarray) -> np.ndarray:
+        """For each token and list, whether they meet."""
+        order = np.argsort(-(asks @ self.unit.T), axis=1, kind="stable")[:, : self.probes]
+        met = np.zeros((len(asks), len(self.unit)), bool)
+        np.put_along_axis(met, order, True, 1)
+        met[self.sizes[order].sum(axis=1) < self.nearest] = True
+        return met
+
+
+def _millionths(scores: np.ndarray) -> np.ndarray:
+    return np.rint(scores * UNITS).astype(np.int64)
+
+
+def _binned(keys: np.ndarray, counted: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+    """Of each row of keys, how many of those that count lie in each of BINS ranges of `width`, from `high` down to `low`."""
+    low, high = low[:, None], high[:, None]
+    at = np.where(counted & (keys >= low) & (keys <= high), (high - keys) // width, BINS) + np.arange(len(keys))[:, None] * (BINS + 1)
+    return np.bincount(at.ravel(), minlength=len(keys) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
+
+
+def _counts(items: np.ndarray, counts: list[np.ndarray]) -> pa.Table:
+    flat = np.concatenate(counts).ravel().astype(np.int64) if counts else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
+    return pa.table([pa.array(items, pa.int64()), lists], ["item", "counts"])
+
+
+def _score_counts(held, width: int):
+    """Function of query tokens (item, q, low, high) and tokens (list, v): counts of the scores between those ends."""
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return _counts(np.empty(0, np.int64), [])
+        asks, tokens, lists = _vectors(left["q"]), _vectors(right["v"]), right["list"].to_numpy()
+        low, high, out = left["low"].to_numpy(), left["high"].to_numpy(), []
+        for i in range(0, len(asks), 64):
+            some = slice(i, i + 64)
+            out.append(_binned(_millionths(asks[some] @ tokens.T), held.value.met(asks[some])[:, lists], low[some], high[some], width))
+        return _counts(left["item"].to_numpy(), out)
+
+    return tile
+
+
+def _gains(held, docs: int, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of a tile, and of each query (a row) and document the exact score and a key that orders candidates: by gain, then by smaller id; -1 for one that isn't found."""
+    right = right.sort_by([("doc_id", "ascending"), ("place", "ascending")])
+    tokens, lists, owner = _vectors(right["v"]), right["list"].to_numpy(), right["doc_id"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    asks, query = _tokens_of(left["qs"])
+    floors = left["floors"].combine_chunks().flatten().to_numpy()
+    score, gain, found = (np.zeros((len(left), len(first)), t) for t in (np.float64, np.int64, bool))
+    for i in range(0, len(asks), 256):
+        some = slice(i, i + 256)
+        each = asks[some] @ tokens.T
+        over = np.where(held.value.met(asks[some])[:, lists], _millionths(each) - floors[some, None], -1)
+        over = np.maximum.reduceat(over, first, axis=1)
+        own = query[some]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        score[own[starts]] += np.add.reduceat(np.maximum.reduceat(each, first, axis=1), starts, axis=0)
+        gain[own[starts]] += np.add.reduceat(np.maximum(over, 0), starts, axis=0)
+        found[own[starts]] |= np.maximum.reduceat(over, starts, axis=0) >= 0
+    key = np.where(found, gain * docs + (docs - 1 - right["at"].to_numpy()[first]), -1)
+    return owner[first], np.round(score, 6), key
+
+
+def _gain_counts(held, docs: int, width: int):
+    """Function of queries (item, qs, floors, low, high) and tokens (doc_id, place, at, list, v): counts of the keys of candidates between those ends."""
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return _counts(np.empty(0, np.int64), [])
+        key = _gains(held, docs, left, right)[2]
+        low, high = left["low"].to_numpy(), left["high"].to_numpy()
+        return _counts(left["item"].to_numpy(), [_binned(key[i : i + 64], key[i : i + 64] >= 0, low[i : i + 64], high[i : i + 64], width) for i in range(0, len(key), 64)])
+
+    return tile
+
+
+def _chosen(held, docs: int, k: int | None):
+    """Function of queries (item, qs, floors, low) and tokens (doc_id, place, at, list, v): each query's k best of the candidates whose key is at least `low`, all of them without k."""
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if len(left) and len(right):
+            ids, score, key = _gains(held, docs, left, right)
+            score[key < np.maximum(left["low"].to_numpy(), 0)[:, None]] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # documents ascend
+            best = np.take_along_axis(score, top, 1)
+            found = np.repeat(left["item"].to_numpy(), top.shape[1]), ids[top.ravel()], best.ravel()
+            found = tuple(c[found[2] > -np.inf] for c in found)
+        return pa.table(list(map(pa.array, found)), ["query_id", "doc_id", "score"])
+
+    return tile
+
+
+def _narrower(width: int):
+    """Function of items (item, low, high, left: which of the keys from `high` down is wanted) and their counts: the one range of `width` that has it; `low` alone if there are fewer keys."""
+
+    def narrow(items: pa.Table, counts: pa.Table) -> pa.Table:
+        items = items.sort_by("item")
+        names, low, high, left = (items[c].to_numpy() for c in ("item", "low", "high", "left"))
+        total = np.zeros((len(names), BINS), np.int64)
+        if len(counts):
+            np.add.at(total, np.searchsorted(names, counts["item"].to_numpy()), counts["counts"].combine_chunks().flatten().to_numpy().reshape(-1, BINS))
+        upto = total.cumsum(axis=1)
+        at = (upto >= left[:, None]).argmax(axis=1)
+        before = np.take_along_axis(upto - total, at[:, None], 1)[:, 0] if len(names) else left
+        enough = upto[:, -1] >= left
+        high = np.where(enough, high - at * width, low)
+        low = np.where(enough, np.maximum(low, high - width + 1), low)
+        return pa.table([names, low, high, np.where(enough, left - before, 0)], ["item", "low", "high", "left"])
+
+    return narrow
+
+
+def _nth_largest(items: DataFrame, low: int, high: int, n: int, tiles: int, counted) -> DataFrame:
+    """item, low: the n-th largest of each item's keys, which lie between `low` and `high`; `low` where there are fewer.
+
+    `counted` gives a table of (item, counts) for (item, low, high, left) and a
+    width, as many as `tiles` rows for an item.
+    """
+    ranges = items.select("item", F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"), F.lit(n).cast("long").alias("left"))
+    parts = max(1, -(-items.count() * tiles * BINS // COUNTS))
+    part = F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")
+    span = high - low + 1
+    while span > 1:
+        span = -(-span // BINS)
+        found = ranges.groupBy(part).cogroup(counted(ranges, span).groupBy(part)).applyInArrow(_narrower(span), "item long, low long, high long, left long")
+        ranges = S.stored(found, "ranges")
+    return ranges.select("item", "low")
+
+
 @dataclass(frozen=True)
 class TokenIndex:
     """`path`/index: the lists of tokens; `path`/members: list, doc_id; `path`/rows: doc_id, row, vs."""
@@ -117,24 +279,66 @@ class TokenIndex:
     def candidates(self, queries: DataFrame, probes: int | None, nearest: int | None, depth: int | None) -> DataFrame:
         """(query_id, doc_id): the documents of the `nearest` tokens of each query token in its `probes` nearest lists; of these the `depth` best by what those tokens score.
 
-        A document that isn't among a token's nearest counts as the last that
+        Tokens that score as much as the last of the nearest are near, too. A
+        query token whose lists have fewer than `nearest` meets all lists. A
+        document that isn't among a token's nearest counts as the last that
         is. Without `nearest`, all documents with a token in such a list, all of
         them if every list is probed; without `depth`, all that are found.
+        Documents longer than LONG are candidates of every query.
         """
+        if nearest is not None:
+            sizes = self._sizes()
+            usable = S.stored(_usable_tokens(queries), "usable-query-tokens")
+            found = self._near(usable, sizes, None, probes, nearest, depth).select("query_id", "doc_id")
+            return found.unionByName(usable.select("query_id").distinct().crossJoin(sizes.where(F.col("tokens") > LONG).select("doc_id")))
         index = IvfIndex(self.spark, f"{self.path}/index")
         asked = S.stored(queries.select("query_id", F.monotonically_increasing_id().alias("token"), "q"), "query-tokens")
         own = asked.select(F.col("token").alias("query_id"), "q")
-        if nearest is None:
-            lists = index.probed(own, probes).select(F.col("query_id").alias("token"), "list").join(asked.select("token", "query_id"), "token").select("query_id", "list").distinct()
-            return lists.join(self._read("members"), "list").select("query_id", "doc_id").distinct()
-        found = index.search(own, nearest, probes=probes, own=True).select(F.col("query_id").alias("token"), "id", "score")
-        floor = F.min("score").over(Window.partitionBy("token"))
-        met = found.withColumn("gain", F.col("score") - floor).join(index.lists().select("id", "doc_id"), "id").join(asked.select("token", "query_id"), "token")
-        scored = met.groupBy("query_id", "token", "doc_id").agg(F.max("gain").alias("gain")).groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain"))
+        lists = index.probed(own, probes).select(F.col("query_id").alias("token"), "list").join(asked.select("token", "query_id"), "token").select("query_id", "list").distinct()
+        return lists.join(self._read("members"), "list").select("query_id", "doc_id").distinct()
+
+    def _sizes(self) -> DataFrame:
+        """doc_id, tokens, at: the documents, numbered from 0 in the order of their ids."""
+        each = self._read("rows").groupBy("doc_id").agg(F.sum(F.size("vs")).alias("tokens")).orderBy("doc_id").withColumn("_m", F.monotonically_increasing_id())
+        each = S.stored(each.withColumn("_part", F.shiftright("_m", 33)), "token-counts")
+        before, starts = 0, []
+        for part, n in sorted(each.groupBy("_part").count().collect()):  # a row for each partition of the sort
+            starts.append((part, before))
+            before += n
+        starts = F.broadcast(self.spark.createDataFrame(starts, "_part long, _before long"))
+        return each.join(starts, "_part").select("doc_id", "tokens", (F.col("_m") - F.shiftleft("_part", 33) + F.col("_before")).alias("at"))
+
+    def _near(self, usable: DataFrame, sizes: DataFrame, k: int | None, probes: int | None, nearest: int, depth: int | None) -> DataFrame:
+        """query_id, doc_id, score: the k best by exact score, or all, of each query's candidates among the documents that aren't long."""
+        index = IvfIndex(self.spark, f"{self.path}/index")
+        _, unit = index.centroids()
+        counts = dict(index.lists().groupBy("list").count().collect())  # MOST_LISTS at most
+        lists = np.array([counts.get(i, 0) for i in range(len(unit))], np.int64)
+        held = self.spark.sparkContext.broadcast(_Probes(unit, lists, len(unit) if probes is None else min(probes, len(unit)), nearest))
+        n_queries, n_tokens, docs = usable.count(), int(lists.sum()), max(1, sizes.count())
+        q_tiles, c_tiles, v_tiles = max(1, -(-n_queries // QUERY_TILE)), max(1, -(-n_tokens // COUNT_TILE)), max(1, -(-n_tokens // DOC_TILE))
+        tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        split = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        met = lambda left, right: left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+
+        asked = S.stored(usable.withColumn("item", F.monotonically_increasing_id()), "query-tokens")
+        tokens = index.lists().select(split(q_tiles).alias("i"), tile("id", c_tiles).alias("j"), "list", "v")
+        scores = lambda ranges, width: met(asked.select("item", "q").join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(c_tiles).alias("j"), "item", "q", "low", "high"), tokens).applyInArrow(_score_counts(held, width), "item long, counts array<long>")
+        floors = _nth_largest(asked, -UNITS, UNITS, nearest, c_tiles, scores)
+
+        both = F.array_sort(F.collect_list(F.struct("place", "q", "low")))
+        queries = asked.join(floors, "item").groupBy(F.col("query_id").alias("item")).agg(both.alias("t"), F.count("*").alias("n"))
+        queries = S.stored(queries.select("item", F.transform("t", lambda x: x["q"]).alias("qs"), F.transform("t", lambda x: x["low"]).alias("floors"), "n"), "queries")
+        rows = index.lists().select("doc_id", F.col("id").alias("place"), "list", "v").join(sizes.where(F.col("tokens") <= LONG).select("doc_id", "at"), "doc_id")
+        rows = rows.select(split(q_tiles).alias("i"), tile("doc_id", v_tiles).alias("j"), "doc_id", "place", "at", "list", "v")
+        dealt = lambda ranges: queries.join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(v_tiles).alias("j"), "item", "qs", "floors", *(c for c in ("low", "high") if c in ranges.columns))
         if depth is None:
-            return scored.select("query_id", "doc_id")
-        order = Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id")
-        return scored.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= depth).select("query_id", "doc_id")
+            least = queries.select("item", F.lit(0).cast("long").alias("low"))
+        else:
+            most = (2 * UNITS * (queries.agg(F.max("n")).first()[0] or 0) + 1) * docs - 1
+            gains = lambda ranges, width: met(dealt(ranges), rows).applyInArrow(_gain_counts(held, docs, width), "item long, counts array<long>")
+            least = _nth_largest(queries, 0, most, depth, v_tiles, gains)
+        return met(dealt(least), rows).applyInArrow(_chosen(held, docs, k), "query_id long, doc_id long, score double")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, nearest: int | None = None, depth: int | None = None) -> DataFrame:
         """query_id, doc_id, score, rank: the k best documents of each query (query_id, place, q), ties to the smaller doc_id.
@@ -145,28 +349,31 @@ class TokenIndex:
         document longer than LONG are scored in rows of TOKENS_A_ROW, so that
         none has to fit a task.
         """
-        usable = queries.where(_usable(F.col("q"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("place").cast("long").alias("place"), F.col("q").cast("array<double>").alias("q"))
-        usable = S.stored(usable, "usable-query-tokens")
+        usable = S.stored(_usable_tokens(queries), "usable-query-tokens")
         asked = usable.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "q"))), lambda x: x["q"]).alias("qs"))
         rows = self._read("rows")
-        sizes = S.stored(rows.groupBy("doc_id").agg(F.sum(F.size("vs")).alias("tokens")), "token-counts")
+        sizes = S.stored(rows.groupBy("doc_id").agg(F.sum(F.size("vs")).alias("tokens")), "token-counts") if nearest is None else self._sizes()
         long = sizes.where(F.col("tokens") > LONG).select("doc_id")
         every = probes is None and nearest is None
-        pairs = None if every else S.stored(self.candidates(usable, probes, nearest, depth), "candidates")
+        pairs = S.stored(self.candidates(usable, probes, nearest, depth), "candidates") if nearest is None and not every else None
 
         q_tiles, v_tiles = max(1, -(-usable.count() // QUERY_TILE)), max(1, -(-(sizes.where(F.col("tokens") <= LONG).agg(F.sum("tokens")).first()[0] or 0) // DOC_TILE))
         tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
         split = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = None
         if every:
             left = asked.select(tile("query_id", q_tiles).alias("i"), split(v_tiles).alias("j"), "query_id", "qs", F.array().cast("array<long>").alias("docs"))
-        else:
+        elif nearest is None:
             left = pairs.groupBy("query_id", tile("doc_id", v_tiles).alias("j")).agg(F.collect_list("doc_id").alias("docs")).join(asked, "query_id").select(tile("query_id", q_tiles).alias("i"), "j", "query_id", "qs", "docs")
         right = rows.join(long, "doc_id", "left_anti").select(split(q_tiles).alias("i"), tile("doc_id", v_tiles).alias("j"), "doc_id", "vs")
-        scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tile(k, not every), "query_id long, doc_id long, score double")
+        if left is None:
+            scored = self._near(usable, sizes, k, probes, nearest, depth)
+        else:
+            scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tile(k, not every), "query_id long, doc_id long, score double")
 
         if not long.isEmpty():
             met = rows.join(long, "doc_id")
-            met = met.join(asked) if every else met.join(pairs, "doc_id").join(asked, "query_id")
+            met = met.join(asked) if pairs is None else met.join(pairs, "doc_id").join(asked, "query_id")
             each = met.select("query_id", "doc_id", F.posexplode(_best_cosines("qs", "vs")).alias("token", "best"))
             scored = scored.unionByName(each.groupBy("query_id", "doc_id", "token").agg(F.max("best").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 6).alias("score")))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
