@@ -2,8 +2,10 @@
 
 Rows wait in state until the watermark has passed them and are then taken in
 the order of (ts, event_id), so results don't depend on the order of arrival
-and equal those of a batch over all rows that weren't late. State needs
-Spark's RocksDB store, which `started` sets for its query.
+and equal those of a batch over all rows that weren't late. Many waiting rows
+of a key are kept as short sorted runs, which are merged a few at a time, so
+that a task never holds all of them. State needs Spark's RocksDB store, which
+`started` sets for its query.
 """
 
 from __future__ import annotations
@@ -12,45 +14,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_WAITING = "us long, event_id long, value double, failed boolean"
+#: Rows of a key that wait in one value, and rows of a run; rows that are merged and handed on at a time.
+RUN, SLICE = 512, 10_000
+_ROW = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("value", "<f8"), ("failed", "?")])
+_ENDS = np.dtype([("number", "<i8"), ("first", "<i8")])
 HEALTH = "component string, event_id long, ts timestamp, n long, p95_ms double, error_pct double"
 LOOKUPS = "key string, event_id long, ts timestamp, hit boolean"
 
 
 class Ordered(StatefulProcessor):
-    """Hands rows on in the order of event time once none can come before them; subclasses say what becomes of them."""
+    """Hands rows on in the order of event time once none can come before them; subclasses say what becomes of them.
+
+    A key's state is one value while few rows wait: the last `keep` rows that
+    were handed on, the rows that wait, and where the sorted runs of further
+    ones begin in time.
+    """
+
+    keep = 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.state = handle.getValueState("ordered", "last binary, waiting binary, ends binary")
+        self.runs = handle.getMapState("runs", "number long", "rows binary")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        last, waiting, ends = self.state.get() or (b"", b"", b"")
+        return np.frombuffer(last, _ROW), np.frombuffer(waiting, _ROW), np.frombuffer(ends, _ENDS)
+
+    def _hold(self, last: np.ndarray, waiting: np.ndarray, ends: np.ndarray) -> None:
+        if len(waiting) > RUN:
+            waiting = np.sort(waiting, order=["us", "event_id"])
+            number = int(ends["number"].max()) + 1 if len(ends) else 0
+            parts = [waiting[i : i + RUN] for i in range(0, len(waiting), RUN)]
+            for i, part in enumerate(parts):
+                self.runs.updateValue((number + i,), (part.tobytes(),))
+            ends = np.concatenate([ends, np.array([(number + i, part["us"][0]) for i, part in enumerate(parts)], _ENDS)])
+            waiting = waiting[:0]
+        if len(last) or len(waiting) or len(ends):
+            self.state.update((last.tobytes(), waiting.tobytes(), ends.tobytes()))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[["us", "event_id", "value", "failed"]].astype(object).where(lambda x: x.notna(), None).itertuples(index=False)]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(r[0] for r in new) // 1000 + 1)  # all of them are final when the watermark gets there
+        latest, held = None, self._held()
+        for pdf in rows:
+            new = np.empty(len(pdf), _ROW)
+            for c, empty in (("us", 0), ("event_id", 0), ("value", np.nan), ("failed", False)):
+                new[c] = pdf[c].to_numpy() if pdf[c].dtype != object else pdf[c].fillna(empty).to_numpy(new[c].dtype)
+            latest = max(new["us"].max(), new["us"].max() if latest is None else latest)
+            last, waiting, ends = held
+            waiting = np.concatenate([waiting, new])
+            if len(waiting) > RUN:
+                self._hold(last, waiting, ends)
+                held = self._held()
+            else:
+                held = last, waiting, ends
+        if latest is not None:
+            self._hold(*held)
+            self.handle.registerTimer(int(latest) // 1000 + 1)  # all of them are final when the watermark gets there
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        done = sorted(r for r in rows if r[0] // 1000 < now)
-        if len(done) < len(rows):
-            self.waiting.put([r for r in rows if r[0] // 1000 >= now])
-        else:
-            self.waiting.clear()
-        if done:
-            yield self.take(key[0], done, now)
-
-    def take(self, key, rows: list[tuple], now: int) -> pd.DataFrame:
+        last, waiting, ends = self._held()
+        due = np.sort(ends[ends["first"] < 1000 * now], order="first")
+        parts, fresh = [waiting], len(waiting)
+        for i in range(len(due) + 1):
+            if i < len(due):
+                number = (int(due["number"][i]),)
+                parts.append(np.frombuffer(self.runs.getValue(number)[0], _ROW))
+                self.runs.removeKey(number)
+                fresh += len(parts[-1])
+            if fresh < SLICE and i < len(due):
+                continue
+            rows, fresh = np.concatenate(parts), 0
+            final = rows["us"] < (min(1000 * now, due["first"][i + 1]) if i + 1 < len(due) else 1000 * now)  # no run that is still to be read has earlier ones
+            done, parts = np.sort(rows[final], order=["us", "event_id"]), [rows[~final]]
+            for j in range(0, len(done), SLICE):
+                some = done[j : j + SLICE]
+                yield self.take(key[0], last, some)
+                last = np.concatenate([last, some])[-self.keep :]
+        self._hold(self.still(last, now), parts[0], ends[ends["first"] >= 1000 * now])
+
+    def take(self, key, last: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        """What is made of rows that are final, with the last ones before them."""
         raise NotImplementedError
 
+    def still(self, last: np.ndarray, now: int) -> np.ndarray:
+        """The last rows, as far as later ones may ask for them."""
+        return last
+
     def close(self) -> None:
         pass
 
@@ -60,21 +120,22 @@ class RollingHealth(Ordered):
 
     def __init__(self, n: int):
         self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "latencies array<double>, failures array<boolean>")
-
-    def take(self, key, rows: list[tuple], now: int) -> pd.DataFrame:
-        held = self.last.get() if self.last.exists() else ([], [])
-        latencies, failures = list(held[0]), list(held[1])
-        out = []
-        for us, event_id, value, failed in rows:
-            latencies, failures = [*latencies, np.nan if value is None else value][-self.n :], [*failures, bool(failed)][-self.n :]
-            known = [x for x in latencies if x == x]
-            out.append((key, event_id, pd.Timestamp(us, unit="us"), len(latencies), float(np.percentile(known, 95)) if known else None, 100.0 * sum(failures) / len(failures)))
-        self.last.update((latencies, failures))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HEALTH.split(", ")])
+        self.keep = max(1, n - 1)
+
+    def take(self, key, last: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        before = last[len(last) - min(len(last), self.n - 1) :]
+        every = np.concatenate([before, rows])
+        n = np.minimum(np.arange(1, len(rows) + 1) + len(before), self.n)
+        windows = lambda x, empty: sliding_window_view(np.concatenate([np.full(self.n - 1 - len(before), empty), x]), self.n)
+        failed = windows(every["failed"].astype(np.float64), 0.0).sum(axis=1)
+        values = np.sort(windows(every["value"], np.nan), axis=1)  # unknown ones come last
+        known = self.n - np.isnan(values).sum(axis=1)
+        at = 0.95 * np.maximum(known - 1, 0)
+        low = at.astype(np.int64)
+        a, b = (np.take_along_axis(values, np.minimum(x, self.n - 1)[:, None], 1)[:, 0] for x in (low, np.minimum(low + 1, np.maximum(known - 1, 0))))
+        share = at - low
+        p95 = np.where(share < 0.5, a + (b - a) * share, b - (b - a) * (1 - share))
+        return pd.DataFrame({"component": key, "event_id": rows["event_id"], "ts": pd.to_datetime(rows["us"], unit="us"), "n": n, "p95_ms": p95, "error_pct": 100.0 * failed / n})
 
 
 class Renewed(Ordered):
@@ -83,24 +144,19 @@ class Renewed(Ordered):
     def __init__(self, ttl_ms: int):
         self.ttl_us = 1000 * ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.used = handle.getValueState("used", "us long")
-
-    def take(self, key, rows: list[tuple], now: int) -> pd.DataFrame:
-        last = self.used.get()[0] if self.used.exists() else None
-        out = []
-        for us, event_id, _, _ in rows:
-            out.append((key, event_id, pd.Timestamp(us, unit="us"), last is not None and us - last <= self.ttl_us))
-            last = us
-        self.used.update((last,))
-        self.handle.registerTimer((last + self.ttl_us) // 1000 + 2)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LOOKUPS.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.used.exists() and (self.used.get()[0] + self.ttl_us) // 1000 + 2 <= timerValues.getCurrentWatermarkInMs():
-            self.used.clear()
+    def take(self, key, last: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        us = np.concatenate([last["us"], rows["us"]])
+        hit = np.concatenate([np.zeros(1 - len(last), bool), np.diff(us) <= self.ttl_us])
+        return pd.DataFrame({"key": key, "event_id": rows["event_id"], "ts": pd.to_datetime(rows["us"], unit="us"), "hit": hit})
+
+    def still(self, last: np.ndarray, now: int) -> np.ndarray:
+        if not len(last):
+            return last
+        end = (int(last["us"][-1]) + self.ttl_us) // 1000 + 2
+        if end <= now:
+            return last[:0]
+        self.handle.registerTimer(end)
+        return last
 
 
 def _keyed(rows: DataFrame, key: str, value, failed, lateness: str) -> DataFrame:
