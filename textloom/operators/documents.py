@@ -82,14 +82,18 @@ def dictionary_entities(text: Column) -> dict[str, Column]:
     """Entities of the four dictionaries: companies as whole words in any case, technologies anywhere in any case, the others verbatim."""
 
     def found(names: tuple[str, ...], test) -> Column:
-        return F.array_sort(F.filter(F.array(*map(F.lit, names)), test))
+        hits = F.array(*(F.when(test(n), F.lit(n)) for n in sorted(names)))  # names are constants and no lambda is asked, so the text is lowered once
+        return F.array_except(hits, F.array(F.lit(None).cast("string")))
+
+    def word(n: str) -> Column:
+        return F.contains(low, F.lit(n.lower())) & F.rlike(low, F.lit(rf"\b{n.lower()}\b"))  # few texts have to be matched
 
     low = F.lower(text)
     return {
-        "companies": found(COMPANIES, lambda n: F.rlike(low, F.concat(F.lit(r"\b"), F.lower(n), F.lit(r"\b")))),
-        "technologies": found(TECHNOLOGIES, lambda n: F.contains(low, F.lower(n))),
-        "people": found(PEOPLE, lambda n: F.contains(text, n)),
-        "locations": found(LOCATIONS, lambda n: F.contains(text, n)),
+        "companies": found(COMPANIES, word),
+        "technologies": found(TECHNOLOGIES, lambda n: F.contains(low, F.lit(n.lower()))),
+        "people": found(PEOPLE, lambda n: F.contains(text, F.lit(n))),
+        "locations": found(LOCATIONS, lambda n: F.contains(text, F.lit(n))),
     }
 
 
