@@ -66,6 +66,12 @@ def discovered(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
     return out
 
 
+def whole(found: DataFrame) -> DataFrame:
+    """path, name, kind, size, parts of `discovered` files; those that one write of Spark left in a folder as parts of its output are one file, named by that write."""
+    path = F.regexp_replace("path", r"/part-\d+-([0-9a-f-]{36})[^/]*?((?:\.[A-Za-z]\w*)?)$", "/$1$2")
+    return found.groupBy(path.alias("path"), F.substring_index(path, "/", -1).alias("name"), "kind").agg(F.sum("size").alias("size"), F.count("*").alias("parts"))
+
+
 def metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add frontmatter (a map of its `key: value` lines, null without a block), line_count, word_count and file_size."""
     t = F.col(text)
