@@ -9,17 +9,23 @@ that shares none of them.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..sources.stored import stored
 
-#: Grams of the left words that every task may hold.
-MOST_GRAMS = 200_000
+#: Grams of the left words that every task may hold, and left words themselves.
+MOST_GRAMS, MOST_WORDS = 200_000, 100_000
+#: Words met by their grams, and half the pairs there may be, that a task counts at a time.
+MET = 1 << 21
 
 
 def grams(word: Column, n: int = 3) -> Column:
@@ -60,11 +66,64 @@ def _known_prefixes(words: DataFrame, frequency: dict[str, int], least: float, n
     return rows.withColumn("prefix", F.arrow_udf(prefixes, ArrayType(StringType()))("grams")).where(F.size("prefix") > 0)
 
 
+def _held(left: pa.Table) -> tuple:
+    """The words of a table (word, grams), how many grams each has, the words of each gram one after another, and for each gram where these begin and how many they are."""
+    grams = left["grams"].combine_chunks()
+    sizes = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = grams.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    owners = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[np.argsort(codes, kind="stable")]
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+    places = dict(zip(coded.dictionary.to_pylist(), itertools.pairwise([0, *ends.tolist()]), strict=True))
+    return left["word"].combine_chunks(), sizes, owners, places
+
+
+def _pairs(held, least: float, n: int):
+    """Function of batches (word, low): pairs with the words held, counted over the words of each gram that both have."""
+
+    def met(lists: list[list[tuple[int, int]]], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of a row and of a word held, and their similarity, where it is at least `least`."""
+        _, sizes, owners, _ = held.value
+        spans = np.fromiter(itertools.chain.from_iterable(lists), np.dtype((np.int64, 2)))
+        times = spans[:, 1] - spans[:, 0]
+        ends = np.cumsum(times)
+        at = np.repeat(spans[:, 1] - ends, times) + np.arange(ends[-1] if len(ends) else 0)
+        row = np.repeat(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), times)
+        both = np.bincount(row * len(sizes) + owners[at])
+        pair = np.flatnonzero(both)
+        row, word, both = pair // len(sizes), pair % len(sizes), both[pair]
+        similar = both / (own[row] + sizes[word] - both)
+        near = similar >= least - 1e-12
+        return row[near], word[near], similar[near]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, _, places = held.value
+        most = max(1, 2 * MET // max(1, len(words)))
+        for batch in batches:
+            low, a = batch["low"].to_pylist(), 0
+            while a < len(low):
+                lists, own, work = [], [], 0
+                while a + len(own) < len(low) and len(own) < most and work < MET:
+                    padded = " " * (n - 1) + low[a + len(own)] + " "
+                    each = {padded[i : i + n] for i in range(len(padded) - n + 1)}
+                    lists.append([places[g] for g in each if g in places])
+                    own.append(len(each))
+                    work += sum(stop - start for start, stop in lists[-1])
+                row, word, similar = met(lists, np.array(own))
+                yield pa.record_batch([words.take(pa.array(word)), batch["word"].take(pa.array(row + a)), pa.array(similar)], ["a", "b", "similarity"])
+                a += len(own)
+
+    return pairs
+
+
 def similar(left: DataFrame, right: DataFrame, least: float = 0.5, a: str = "a", b: str = "b", n: int = 3) -> DataFrame:
     """All pairs (a, b, similarity) of distinct words of `left.a` and `right.b` whose similarity is at least `least` (over 0).
 
-    Grams are ordered by how many words of `left` have them. While these are
-    MOST_GRAMS at most, every task knows them, and of the other words only
+    Up to MOST_WORDS words of `left` with MOST_GRAMS grams are held by every
+    task with the words of each gram, and the shared grams of a word and its
+    partners are counted there; nothing travels but the words of `right`, once.
+    Else grams are ordered by how many words of `left` have them. While these
+    are MOST_GRAMS at most, every task knows them, and of the other words only
     those travel that may have a partner, with the few grams that decide it.
     With more of them the same prefixes are found by joins. Words that are null
     or empty have no grams and no partners.
@@ -73,6 +132,11 @@ def similar(left: DataFrame, right: DataFrame, least: float = 0.5, a: str = "a",
     mine = stored(words[a].withColumn("grams", grams(F.col("word"), n)), "words")
     frequency = mine.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     known = frequency.limit(MOST_GRAMS + 1).collect()
+    if len(known) <= MOST_GRAMS and (few := mine.limit(MOST_WORDS + 1).toArrow()).num_rows <= MOST_WORDS:
+        held = left.sparkSession.sparkContext.broadcast(_held(few))
+        rows = words[b].select("word", F.lower("word").alias("low")).repartition(left.sparkSession.sparkContext.defaultParallelism)
+        met = rows.mapInArrow(_pairs(held, least, n), "a string, b string, similarity double")
+        return met.select(F.col("a").alias(a), F.col("b").alias(b), F.round("similarity", 9).alias("similarity"))
     if len(known) <= MOST_GRAMS:
         found = {name: _known_prefixes(words[name], {r["gram"]: r["df"] for r in known}, least, n) for name in (a, b)}
     else:
