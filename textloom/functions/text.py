@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
+#: What stands between two tokens.
+BETWEEN = r"[^\p{L}\p{N}_-]+"
 
 # The kinds of equation and their patterns, and the kinds of heading.
 EQUATION_KINDS = {
@@ -48,8 +50,12 @@ def sorted_set(values: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words: what is neither letter, digit, underscore, hyphen nor white space separates."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " ")
-    return F.array_remove(F.split(clean, r"\s+"), "")
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
+
+
+def words(text: Column) -> Column:
+    """The tokens of a text as one text, a space between any two; one may stand at either end."""
+    return F.regexp_replace(F.lower(text), BETWEEN, " ")
 
 
 def normalize_whitespace(text: Column) -> Column:

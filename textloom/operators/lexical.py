@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
-from .parallel import MOST_BROADCAST, spread
+from ..sources.stored import stored
+from .parallel import MOST_BROADCAST, SLICE, spread
+from .postings import GATHERED, _most, _rounded
+
+#: Parts of scores, and pairs of a query and a document, that a task adds up at a time.
+PARTS = 1 << 21
 
 # Abbreviations, expansions, keyword lists and weights of query analysis.
 ABBREVIATIONS = {
@@ -139,17 +149,117 @@ def document_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return terms.join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
+def _counted(terms):
+    """Function of batches (doc_id, words), words with single spaces between them: (doc_id, dl, terms, tf), the numbers of those of `terms` that a text has and how often; a null text has no length."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, size = pa.array(terms.value, pa.string()), max(1, len(terms.value))
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                some = batch.slice(a, SLICE)
+                lists = pc.split_pattern(some["words"].fill_null(""), " ")
+                words = lists.flatten()
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                lengths = np.bincount(row[pc.not_equal(words, "").to_numpy(zero_copy_only=False)], minlength=len(lists))
+                code = pc.index_in(words, value_set=wanted)
+                key, times = np.unique(row[code.is_valid().to_numpy(zero_copy_only=False)] * size + code.drop_null().to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(len(lists) + 1) * size).astype(np.int32))
+                found = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % size, times))
+                yield pa.record_batch([some["doc_id"], pa.array(lengths, pa.int64(), mask=some["words"].is_null().to_numpy(zero_copy_only=False)), *found], ["doc_id", "dl", "terms", "tf"])
+
+    return counted
+
+
+def _relevance(held, n: int, avgdl: float, k: int | None, k1: float, b: float):
+    """Function of batches (doc_id, dl, terms, tf): (query, doc_id, score), the k best of each query in a task, or all that share a term.
+
+    `held` has for each term its frequency and where its queries begin in the
+    two arrays that follow (numbers of queries, and how often each asks), and
+    how many queries there are.
+    """
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, starts, queries, asks, most = held.value
+        weights = np.log((n - df + 0.5) / (df + 0.5) + 1)
+
+        def scored(terms: np.ndarray, tf: np.ndarray, dl: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            part = weights[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            times = starts[terms + 1] - starts[terms]
+            ends = np.cumsum(times)
+            at = np.repeat(starts[terms] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)
+            key = queries[at] * rows + np.repeat(row, times)
+            sums = np.bincount(key, np.repeat(part, times) * asks[at])
+            key = np.flatnonzero(sums)  # each part is over 0
+            return key // rows, key % rows, _rounded(sums[key])
+
+        found, gathered = [], 0
+        for batch in batches:
+            ids, dl = batch["doc_id"], batch["dl"].fill_null(0).to_numpy()
+            offsets = batch["terms"].offsets.to_numpy().astype(np.int64)
+            terms, tf = (batch[c].flatten().to_numpy() for c in ("terms", "tf"))
+            offsets = offsets - offsets[0]
+            work = np.concatenate(([0], np.cumsum(starts[terms + 1] - starts[terms])))[offsets]
+            a = 0
+            while a < len(ids):
+                z = min(max(a + 1, int(np.searchsorted(work, work[a] + PARTS, "right")) - 1), a + max(1, PARTS // max(1, most)), len(ids))
+                own = slice(offsets[a], offsets[z])
+                row = np.repeat(np.arange(z - a), np.diff(offsets[a : z + 1]))
+                query, doc, score = scored(terms[own], tf[own].astype(np.int64), dl[a:z], row, z - a)
+                docs = ids.take(pa.array(doc + a)).to_numpy(zero_copy_only=False)
+                found.append((query, docs, score) if k is None else _most(query, docs, score, k))
+                gathered, a = gathered + len(found[-1][0]), z
+                if gathered > GATHERED:
+                    best = tuple(map(np.concatenate, zip(*found, strict=True)))
+                    if k is None:
+                        yield pa.record_batch(list(map(pa.array, best)), ["query", "doc_id", "score"])
+                    found = [] if k is None else [_most(*best, k)]
+                    gathered = 0
+        if found:
+            best = tuple(map(np.concatenate, zip(*found, strict=True)))
+            yield pa.record_batch(list(map(pa.array, best if k is None else _most(*best, k))), ["query", "doc_id", "score"])
+
+    return search
+
+
+def _bm25_in_place(asked: DataFrame, docs: DataFrame, k: int | None, k1: float, b: float) -> DataFrame | None:
+    """`bm25` of few terms (query_id, term, qtf), or None if the documents repeat a doc_id or lack one."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    rows = asked.collect()
+    terms, ids = sorted({r["term"] for r in rows}), list({r["query_id"]: None for r in rows})
+    held = spark.sparkContext.broadcast(terms)
+    texts = docs.select(F.col("doc_id").cast("long"), T.words(F.col("text")).alias("words"))
+    counted = stored(texts.mapInArrow(_counted(held), "doc_id long, dl long, terms array<int>, tf array<int>"), "counted")
+    if not counted.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return None
+    n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(terms))
+    for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # terms of the queries only
+        df[r["term"]] = r["count"]
+    term, query = ({x: i for i, x in enumerate(xs)} for xs in (terms, ids))
+    asks = np.array(sorted((term[r["term"]], query[r["query_id"]], r["qtf"]) for r in rows), np.int64).reshape(-1, 3)
+    plan = spark.sparkContext.broadcast((df, np.searchsorted(asks[:, 0], np.arange(len(terms) + 1)), asks[:, 1], asks[:, 2], len(ids)))
+    scored = counted.mapInArrow(_relevance(plan, n, avgdl or 1.0, k, k1, b), "query long, doc_id long, score double")
+    names = spark.createDataFrame(list(enumerate(ids)), StructType([StructField("query", LongType()), asked.schema["query_id"]]))
+    scored = scored.join(F.broadcast(names), "query").select("query_id", F.col("doc_id").cast(kind).alias("doc_id"), "score")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """ranked: query_id, doc_id, score, rank of each query's best documents (all that share a term, if k is None).
 
     A term that a query repeats counts each time. Scores are rounded to nine
-    places before ranking; ties go to the smaller doc_id. Terms of queries are
-    broadcast if they are few; then a document's score adds up where its
-    postings are, and a task hands on k documents for each query.
+    places before ranking; ties go to the smaller doc_id. Up to MOST_BROADCAST
+    terms of queries are held by every task: a text is read once, what it has
+    of them is stored, and its scores add up where that is, so no posting
+    travels and a task hands on k documents for each query. With more of them,
+    or where rows repeat a doc_id or have none, postings meet by joins.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    small = F.broadcast if asked.count() <= MOST_BROADCAST else lambda df: df
+    few = asked.count() <= MOST_BROADCAST
     docs = spread(docs)
+    if few and docs.schema["doc_id"].dataType.typeName() in ("integer", "long") and (found := _bm25_in_place(asked, docs, k, k1, b)) is not None:
+        return found
+    small = F.broadcast if few else lambda df: df
     post = postings(docs, terms=small(asked.select("term").distinct()))
     df = small(post.groupBy("term").agg(F.count("*").alias("df")))
     stats = F.broadcast(corpus_stats(docs))
@@ -191,6 +301,12 @@ def holding(passages: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("query_id", "doc_id").unionByName(texts.join(rest, F.contains("text", F.col("query"))).select("query_id", "doc_id")).distinct()
 
 
+def fetched(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """`found` (doc_id and other columns) with the rows of `docs`; it is stored, and every task holds it if it has MOST_BROADCAST rows at most, so that no text of another document travels."""
+    found = stored(found, "found")
+    return (F.broadcast(found) if found.count() <= MOST_BROADCAST else found).join(docs, "doc_id")
+
+
 # --- fusion ---------------------------------------------------------------------------
 
 

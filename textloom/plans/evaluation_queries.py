@@ -84,14 +84,14 @@ def usage_cost(s, d):
 
 def keyword_coverage(s, d):
     """Of the distinct words of each passage, the share that its best document has."""
-    best = L.bm25(_asked(s, d), _docs(s, d), 1).join(_docs(s, d).select("doc_id", "text"), "doc_id").join(_asked(s, d), "query_id")
+    best = L.fetched(L.bm25(_asked(s, d), _docs(s, d), 1), _docs(s, d).select("doc_id", "text")).join(_asked(s, d), "query_id")
     words = F.array_distinct(T.tokens(F.col("query")))
     return best.select("query_id", F.round(E.keyword_coverage(F.col("text"), words), 6).alias("coverage"))
 
 
 def _cases(s, d):
     """Each passage as a question, its best document as the answer, its three best documents as contexts."""
-    best = L.bm25(_asked(s, d), _docs(s, d), 3).select("query_id", "doc_id", "rank").join(_docs(s, d).select("doc_id", "text"), "doc_id")
+    best = L.fetched(L.bm25(_asked(s, d), _docs(s, d), 3).select("query_id", "doc_id", "rank"), _docs(s, d).select("doc_id", "text"))
     context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     rows = _asked(s, d).join(context, "query_id")
     return rows.select(F.col("query_id").alias("id"), F.col("query").alias("question"), F.col("c")[0]["text"].alias("answer"), F.transform("c", lambda x: x["text"]).alias("contexts"), F.when(F.col("query_id") % 4 != 0, F.col("query")).alias("ground_truth"))

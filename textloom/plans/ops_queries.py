@@ -267,7 +267,7 @@ def link_equations(s, d):
 
 def qa_prompt(s, d):
     """A prompt for each benchmark passage with its five best documents as context."""
-    best = L.bm25(_asked(s, d), _docs(s, d), 5).select("query_id", "doc_id", "rank").join(_docs(s, d).select("doc_id", "text"), "doc_id")
+    best = L.fetched(L.bm25(_asked(s, d), _docs(s, d), 5).select("query_id", "doc_id", "rank"), _docs(s, d).select("doc_id", "text"))
     context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     rows = _asked(s, d).join(context, "query_id", "left").select("query_id", G.qa_prompt(F.col("query"), F.transform("c", lambda x: x["text"])).alias("p"))
     return rows.select("query_id", F.char_length("p").cast("long").alias("n"), F.md5("p").alias("digest"))

@@ -163,7 +163,7 @@ def score_clamp(s, d):
 
 def prompt_kinds(s, d):
     """The five kinds of prompt over each passage's three best documents."""
-    best = L.bm25(_asked(s, d), table(s, d, "documents"), 3).select("query_id", "doc_id", "rank").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    best = L.fetched(L.bm25(_asked(s, d), table(s, d, "documents"), 3).select("query_id", "doc_id", "rank"), table(s, d, "documents").select("doc_id", "text"))
     context = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     rows = _asked(s, d).join(context, "query_id").select("query_id", "query", F.transform("c", lambda x: x["text"]).alias("c"))
     q, c = F.col("query"), F.col("c")
@@ -193,7 +193,7 @@ def citation_summary(s, d):
 
 def _results(s, d):
     best = L.bm25(_asked(s, d), table(s, d, "documents"), 6)
-    return best.join(table(s, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("source"), F.col("text").alias("content")), "doc_id")
+    return L.fetched(best, table(s, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("source"), F.col("text").alias("content")))
 
 
 def rendered_results(s, d):
