@@ -280,24 +280,58 @@ def all_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return met.where("n = need").select("query_id", "doc_id")
 
 
+def _held_by(held):
+    """Function of batches (doc_id, text): (query, doc_id), the numbers of the passages that a text holds. `held` has the passages and the word of each by which texts meet it, if any."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages, words = held.value
+        by_word: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
+            by_word.setdefault(word, []).append(i)
+        everywhere, known = by_word.pop(None, []), pa.array(by_word, pa.string())
+        by_code = list(by_word.values())
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                some = batch.slice(a, SLICE)
+                lists, texts = pc.split_pattern(some["text"], " "), some["text"].cast(pa.binary())
+                code = pc.index_in(lists.flatten(), value_set=known)
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[code.is_valid().to_numpy(zero_copy_only=False)]
+                met = np.unique(row * max(1, len(known)) + code.drop_null().to_numpy())
+                rows, queries = [], []
+                for i, own in [(k // len(known), by_code[k % len(known)]) for k in met.tolist()] + [(i, everywhere) for i in range(len(texts) if everywhere else 0)]:
+                    text = texts[i].as_py()
+                    holds = [q for q in own if passages[q] in text]
+                    queries += holds
+                    rows += [i] * len(holds)
+                yield pa.record_batch([pa.array(queries, pa.int64()), some["doc_id"].take(pa.array(rows, pa.int64()))], ["query", "doc_id"])
+
+    return found
+
+
 def holding(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id) of all documents that hold a passage whole; passages are (query_id, query).
 
     The inner words of a passage, those between its first and its last space,
     are words of every text that holds it. So texts meet passages by the
-    longest inner word and are then searched. A passage without inner words is
-    looked for in all texts.
+    longest inner word and are then searched, in the task that reads them
+    while there are MOST_BROADCAST passages at most, else by joins. A passage
+    without inner words is looked for in all texts.
     """
     words = F.split("query", " ")
     inner = F.array_remove(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     asked = passages.where("query IS NOT NULL").select("query_id", "query", longest.alias("word"))
-    small = F.broadcast if asked.count() <= MOST_BROADCAST else lambda df: df
     texts = spread(docs.select("doc_id", "text"))
-    known = small(asked.where("word IS NOT NULL").select("word").distinct())
-    met = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(known, "word", "left_semi").join(small(asked), "word").select("query_id", "query", "doc_id")
+    if asked.count() <= MOST_BROADCAST:
+        rows = asked.collect()
+        held = docs.sparkSession.sparkContext.broadcast(([r["query"].encode() for r in rows], [r["word"] for r in rows]))
+        names = docs.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], StructType([StructField("query", LongType()), asked.schema["query_id"]]))
+        found = texts.where("text IS NOT NULL").mapInArrow(_held_by(held), StructType([StructField("query", LongType()), docs.schema["doc_id"]]))
+        return found.join(F.broadcast(names), "query").select("query_id", "doc_id").distinct()
+    known = asked.where("word IS NOT NULL").select("word").distinct()
+    met = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(known, "word", "left_semi").join(asked, "word").select("query_id", "query", "doc_id")
     found = met.join(texts, "doc_id").where(F.contains("text", F.col("query")))
-    rest = small(asked.where("word IS NULL"))
+    rest = asked.where("word IS NULL")
     return found.select("query_id", "doc_id").unionByName(texts.join(rest, F.contains("text", F.col("query"))).select("query_id", "doc_id")).distinct()
 
 
