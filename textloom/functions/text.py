@@ -166,18 +166,24 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _where(x: Column, part: str, then: Column) -> Column:
+    """`then` of a text that has a part without which `then` would change nothing; a plain search costs less than a pattern."""
+    return F.when(F.contains(x, F.lit(part)), then).otherwise(x)
+
+
 def _close(text: Column, opened: Column, closed: Column, tail: str) -> Column:
     return F.concat(text, F.repeat(F.lit(tail), F.greatest(opened - closed, F.lit(0))))
 
 
 def _closed_environment(env: str):
     begin, end = f"\\begin{{{env}}}", f"\\end{{{env}}}"
-    return lambda x: _close(x, occurrences(x, begin), occurrences(x, end), " " + end)
+    return lambda x: _where(x, begin, _close(x, occurrences(x, begin), occurrences(x, end), " " + end))
 
 
 def _closed_delimiters(x: Column) -> Column:
     left, right = occurrences(x, "\\left"), occurrences(x, "\\right")
-    return F.concat(F.repeat(F.lit("\\left. "), F.greatest(right - left, F.lit(0))), _close(x, left, right, " \\right."))
+    closed = F.concat(F.repeat(F.lit("\\left. "), F.greatest(right - left, F.lit(0))), _close(x, left, right, " \\right."))
+    return F.when(F.contains(x, F.lit("\\left")) | F.contains(x, F.lit("\\right")), closed).otherwise(x)
 
 
 def _without_open_end(x: Column) -> Column:
@@ -186,19 +192,23 @@ def _without_open_end(x: Column) -> Column:
 
 def _balanced_braces(x: Column) -> Column:
     opened, closed = occurrences(x, "{"), occurrences(x, "}")
-    spare = F.least(F.greatest(closed - opened, F.lit(0)), F.char_length(F.regexp_extract(x, r"\}*$", 0)))
-    return F.concat(F.substring(x, F.lit(1), F.char_length(x) - spare), F.repeat(F.lit("}"), F.greatest(opened - closed, F.lit(0))))
+    spare = F.when(closed > opened, F.least(closed - opened, F.char_length(F.regexp_extract(x, r"\}*$", 0)))).otherwise(0)
+    return F.when(opened == closed, x).otherwise(F.concat(F.substring(x, F.lit(1), F.char_length(x) - spare), F.repeat(F.lit("}"), F.greatest(opened - closed, F.lit(0)))))
+
+
+def _trimmed(x: Column) -> Column:
+    """Without white space at the ends; a line's end of another kind may stand after that which goes, so the last two characters tell."""
+    ends = F.concat(F.substring(x, 1, 1), F.substring(x, -2, 2))
+    return F.when(F.rlike(ends, F.lit(r"\s")), F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(x)
 
 
 def _clean_once(x: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(x, r"\\def\\([a-zA-Z]+)\{\\\1\}", ""), r"(.)\1{50,}", "$1$1$1")
-    for env in BALANCED:
-        x = _let(x, _closed_environment(env))
-    x = F.regexp_replace(_let(x, _closed_delimiters), r"\\frac\s*\{([^}]*)\}\s*$", r"\\frac{$1}{}")
-    x = F.regexp_replace(F.regexp_replace(x, r"_\s*$", ""), r"\^\s*$", "")
-    x = _let(F.regexp_replace(_let(x, _without_open_end), r"\\\\\s*$", ""), _balanced_braces)
-    for pattern, short in (("  +", " "), (r"\{\s+", "{"), (r"\s+\}", "}"), (r"^\s+|\s+$", "")):
-        x = F.regexp_replace(x, pattern, short)
+    replaced = lambda part, pattern, short: lambda x: _where(x, part, F.regexp_replace(x, pattern, short))
+    steps = [replaced("\\def\\", r"\\def\\([a-zA-Z]+)\{\\\1\}", ""), lambda x: F.regexp_replace(x, r"(.)\1{50,}", "$1$1$1"), *map(_closed_environment, BALANCED), _closed_delimiters]
+    steps += [replaced("\\frac", r"\\frac\s*\{([^}]*)\}\s*$", r"\\frac{$1}{}"), replaced("_", r"_\s*$", ""), replaced("^", r"\^\s*$", ""), _without_open_end, replaced("\\\\", r"\\\\\s*$", ""), _balanced_braces]
+    steps += [replaced("  ", "  +", " "), replaced("{", r"\{\s+", "{"), replaced("}", r"\s+\}", "}"), _trimmed]
+    for step in steps:
+        x = _let(x, step)
     return x
 
 
@@ -214,10 +224,11 @@ def latex_error(text: Column) -> Column:
     out = out.when(opened != closed, F.format_string("Unbalanced braces: %d open, %d close", opened, closed))
     for env in BALANCED:
         begin, end = occurrences(text, f"\\begin{{{env}}}"), occurrences(text, f"\\end{{{env}}}")
-        out = out.when(begin != end, F.format_string(f"Unbalanced {env} environment: %d begin, %d end", begin, end))
+        out = out.when(F.contains(text, F.lit(f"{{{env}}}")) & (begin != end), F.format_string(f"Unbalanced {env} environment: %d begin, %d end", begin, end))
     left, right = occurrences(text, "\\left"), occurrences(text, "\\right")
-    out = out.when(left != right, F.format_string("Unbalanced \\left/\\right: %d left, %d right", left, right))
-    out = out.when(F.rlike(text, F.lit(r"[_^\\]\s*$")), "Incomplete command at end")
+    out = out.when((F.contains(text, F.lit("\\left")) | F.contains(text, F.lit("\\right"))) & (left != right), F.format_string("Unbalanced \\left/\\right: %d left, %d right", left, right))
+    some = F.contains(text, F.lit("_")) | F.contains(text, F.lit("^")) | F.contains(text, F.lit("\\"))
+    out = out.when(some & F.rlike(text, F.lit(r"[_^\\]\s*$")), "Incomplete command at end")
     out = out.when(F.rlike(text, F.lit(r"(.)\1{100,}")), "Excessive character repetition (possible infinite loop)")
     return out.when(F.char_length(text) > 5000, F.format_string("LaTeX too long (%d chars, max 5000)", F.char_length(text)))
 

@@ -48,10 +48,14 @@ def enrich(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def clean_latex(rows: DataFrame, column: str, out: str = "cleaned", rounds: int = 3) -> DataFrame:
     """Repair LaTeX in `rounds` rounds; after one that changes nothing the others don't either."""
-    rows = rows.withColumn(out, F.col(column))
-    for _ in range(rounds):
-        rows = rows.withColumn(out, T.clean_latex_step(F.col(out)))
-    return rows
+    rows, last = rows.withColumn(out, F.col(column)), None
+    for i in range(rounds):
+        step = T.clean_latex_step(F.col(out))
+        step = step if last is None else F.when(F.col(last).eqNullSafe(F.col(out)), F.col(out)).otherwise(step)
+        last, before = f"_before_{i}", last
+        rows = rows.withColumns({last: F.col(out), out: step})
+        rows = rows if before is None else rows.drop(before)
+    return rows if last is None else rows.drop(last)
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
