@@ -162,7 +162,8 @@ class WordBpe:
         raw = lists.flatten()
         pieces = pc.ascii_lower(raw)
         for mark in self.marks:
-            pieces = pc.if_else(pc.match_substring(pieces, mark), raw, pieces)
+            if pc.any(pc.match_substring(texts, mark)).as_py():  # in whole texts, which is cheaper than in each piece, and rare
+                pieces = pc.if_else(pc.match_substring(pieces, mark), raw, pieces)
         ids, lengths = gather(pieces, self.memo)
         offsets = lists.offsets.to_numpy(zero_copy_only=False)
         return ids, per_text(offsets - offsets[0], lengths)
