@@ -21,7 +21,7 @@ from . import text as T
 SCALARS = {
     "dot_product(a array<double>, b array<double>) RETURNS double": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
     "cosine_similarity(a array<double>, b array<double>) RETURNS double": "coalesce(try_divide(dot_product(a, b), sqrt(dot_product(a, a)) * sqrt(dot_product(b, b))), 0D)",
-    "text_tokens(t string) RETURNS array<string>": r"array_remove(split(regexp_replace(lower(t), r'[^\p{L}\p{N}_\s-]', ' '), r'\s+'), '')",
+    "text_tokens(t string) RETURNS array<string>": f"array_remove(split(lower(t), r'{T.BETWEEN}'), '')",
     "bm25_term(tf double, dl double, avgdl double, df double, n double) RETURNS double": "ln((n - df + 0.5D) / (df + 0.5D) + 1D) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * dl / avgdl))",
     "rrf_term(weight double, place int) RETURNS double": "coalesce(weight / (60D + place), 0D)",
 }

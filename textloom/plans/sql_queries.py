@@ -52,11 +52,13 @@ def sql_scalars(s, d):
     """BM25 of the words of all documents by scalar functions alone."""
     Q.register(s, "loom_")
     _docs(s, d).createOrReplaceTempView("loom_texts")
+    counted = s.sql("""
+        WITH t AS (SELECT doc_id, text_tokens(text) AS toks FROM loom_texts)
+        SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, size(toks) AS dl, explode(toks) AS term FROM t) GROUP BY doc_id, dl, term""")
+    S.stored(counted, "counted").createOrReplaceTempView("loom_counted")  # read twice, counted once
     return s.sql("""
-        WITH t AS (SELECT doc_id, text_tokens(text) AS toks FROM loom_texts), n AS (SELECT count(*) AS n, avg(size(toks)) AS avgdl FROM t),
-        p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, size(toks) AS dl, explode(toks) AS term FROM t) GROUP BY doc_id, dl, term),
-        f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
-        SELECT doc_id, round(sum(bm25_term(tf, dl, avgdl, df, n)), 5) AS weight FROM p JOIN f USING (term) CROSS JOIN n GROUP BY doc_id""")
+        WITH n AS (SELECT count(*) AS n, avg(size(text_tokens(text))) AS avgdl FROM loom_texts), f AS (SELECT term, count(*) AS df FROM loom_counted GROUP BY term)
+        SELECT doc_id, round(sum(bm25_term(tf, dl, avgdl, df, n)), 5) AS weight FROM loom_counted JOIN f USING (term) CROSS JOIN n GROUP BY doc_id""")
 
 
 def sql_chunks_lateral(s, d):
