@@ -28,9 +28,11 @@ from .parallel import SLICE, spread
 Embedder = Callable[[pd.Series], list[list[float] | None]]
 
 
-def hashing_embedder(dims: int = 256) -> Embedder:
+def hashing_embedder(dims: int = 256, always: bool = False) -> Embedder:
     """A stand-in for a model: signed feature hashing of lower-case words, unit length; empty texts give zeros.
 
+    Words whose signs leave nothing count without them. With `always` a text
+    without words gets the first unit vector, as a model gives one to any text.
     A slice's distinct words are hashed once each.
     """
 
@@ -47,6 +49,12 @@ def hashing_embedder(dims: int = 256) -> Embedder:
         h = hashed[index[real]] if len(hashed) else np.empty(0, np.int64)
         sums = np.bincount(row[real] * dims + h % dims, np.where(h >> 31, 1.0, -1.0), len(texts) * dims)
         out = sums.reshape(len(texts), dims).astype(np.float32)
+        left = ~out.any(axis=1)
+        if left.any():
+            lost = left[row[real]]
+            out[left] = np.bincount(row[real][lost] * dims + h[lost] % dims, minlength=len(texts) * dims).reshape(len(texts), dims)[left]
+            if always:
+                out[~out.any(axis=1), 0] = 1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
@@ -61,10 +69,14 @@ def embed(rows: DataFrame, text: str, out: str = "vector", embedder: Embedder |
 
 
 def embed_missing(rows: DataFrame, cache: DataFrame, text: str, embedder: Embedder | None = None) -> DataFrame:
-    """content_key, vector of each distinct text: from the cache where it has the key, else embedded once."""
-    keyed = spread(rows).select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    fresh = keyed.join(cache, "content_key", "left_anti").groupBy("content_key").agg(F.first("_text").alias("_text"))
-    known = cache.join(keyed.select("content_key").distinct(), "content_key", "left_semi").select("content_key", "vector")
+    """content_key, vector of each distinct text: from the cache where it has the key, else embedded once.
+
+    A null text has the null key, in the cache too, and is embedded as an empty one.
+    """
+    keyed = spread(rows).select(F.sha2(F.col(text), 256).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    same = F.col("content_key").eqNullSafe(F.col("_key"))
+    fresh = keyed.join(cache, same, "left_anti").groupBy(F.col("_key").alias("content_key")).agg(F.first("_text").alias("_text"))
+    known = cache.join(keyed.select("_key").distinct(), same, "left_semi").select("content_key", "vector")
     return known.unionByName(embed(fresh, "_text", embedder=embedder).select("content_key", "vector"))
 
 
