@@ -6,14 +6,18 @@ documents of these are ranked by them, and the best are scored exactly: for
 every query token its best cosine with a token of the document, summed.
 
 No row is made for a query token and a token that is near it, of which there
-are as many as the product of both sides: the score of a token's last near one,
-and then the gain of a query's last chosen document, are found by counting in
-ever narrower ranges, and only k documents of a query leave a tile.
+are as many as the product of both sides. Samples tell about where the score of
+a token's last near one lies, and then the gain of a query's last chosen
+document; one pass over all each counts what is above and keeps what is close,
+which gives them exactly, and few documents of a query leave a tile.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,12 @@ TOKENS_A_ROW = 128
 QUERY_TILE, DOC_TILE = 4096, 8192
 #: Documents of more tokens than this are scored row by row.
 LONG = 1 << 17
-#: Tokens of documents whose scores a task counts for a tile of queries, about; ranges that a count tells apart; counts that a task adds up, about.
-COUNT_TILE, BINS, COUNTS = 1 << 16, 256, 1 << 24
+#: Tokens of documents whose scores a task counts for a tile of queries, about; keys that a task picks from, about.
+COUNT_TILE, COUNTS = 1 << 15, 1 << 22
+#: Tokens up to which there is no sample; tokens and documents of a sample, about; standard deviations (and keys) to either side of what it tells.
+DIRECT, SAMPLE, SAMPLE_DOCS, SPREAD = 1 << 14, 1 << 16, 1 << 13, 5
+#: Query tokens and tokens that are multiplied at once, about; tokens of a document that isn't met by a loop; tokens that are worth a tile of their own.
+ASKS, CHUNK, SHORT, MANY = 64, 2048, 32, 1024
 #: Scores are compared as whole millionths.
 UNITS = 1_000_000
 
@@ -114,144 +122,269 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-@dataclass(frozen=True)
-class _Probes:
-    """Which lists a query token meets: its nearest ones, or all if these have fewer than `nearest` tokens."""
+def _met(held, probes: int, nearest: int):
+    """Function of batches (..., q): a bit for each list that a query token meets, its nearest ones, or all if these have fewer than `nearest` tokens, and how many tokens these lists have."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sizes = held.value
+        for batch in batches:
+            asks = _vectors(pa.chunked_array([batch["q"]])) if len(batch) else np.empty((0, unit.shape[1]))
+            order = np.argsort(-(asks @ unit.T), axis=1, kind="stable")[:, :probes]
+            met = np.zeros((len(asks), len(unit)), bool)
+            np.put_along_axis(met, order, True, 1)
+            met[sizes[order].sum(axis=1) < nearest] = True
+            bits = pa.array([row.tobytes() for row in np.packbits(met, axis=1)], pa.binary())
+            yield pa.record_batch([*batch.columns, bits, pa.array(met @ sizes, pa.int64())], [*batch.schema.names, "met", "among"])
+
+    return add
 
-    unit: np.ndarray
-    sizes: np.ndarray
-    probes: int
-    nearest: int
 
-    def met(self, asks: np.ndarray) -> np.ndarray:
-        """For each token and list, whether they meet."""
-        order = np.argsort(-(asks @ self.unit.T), axis=1, kind="stable")[:, : self.probes]
-        met = np.zeros((len(asks), len(self.unit)), bool)
-        np.put_along_axis(met, order, True, 1)
-        met[self.sizes[order].sum(axis=1) < self.nearest] = True
-        return met
+def _unmet(bits: pa.ChunkedArray, lists: int) -> np.ndarray:
+    """A row for each list and a column for each query token: what to add to a score, so that none counts where the two don't meet."""
+    packed = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(bits), -1)
+    return np.where(np.unpackbits(packed, axis=1, count=lists).T, 0.0, -4.0)
 
 
 def _millionths(scores: np.ndarray) -> np.ndarray:
     return np.rint(scores * UNITS).astype(np.int64)
 
 
-def _binned(keys: np.ndarray, counted: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
-    """Of each row of keys, how many of those that count lie in each of BINS ranges of `width`, from `high` down to `low`."""
-    low, high = low[:, None], high[:, None]
-    at = np.where(counted & (keys >= low) & (keys <= high), (high - keys) // width, BINS) + np.arange(len(keys))[:, None] * (BINS + 1)
-    return np.bincount(at.ravel(), minlength=len(keys) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
+def _lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+def _bracket(keys: np.ndarray, n: int, among: int, bottom: int, top: int, spread: float) -> tuple[int, int]:
+    """Of a sample, largest first, two keys between which the n-th largest of all `among` keys lies, but for what `spread` standard deviations leave."""
+    if n > among:
+        return bottom, bottom
+    share = n / among
+    around = spread * (len(keys) * share * (1 - share)) ** 0.5 + spread
+    first, last = math.floor(len(keys) * share - around), math.ceil(len(keys) * share + around)
+    low = max(bottom, int(keys[last - 1])) if last <= len(keys) else bottom
+    return low, max(low, int(keys[first - 1])) if first >= 1 else top
 
 
-def _counts(items: np.ndarray, counts: list[np.ndarray]) -> pa.Table:
-    flat = np.concatenate(counts).ravel().astype(np.int64) if counts else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
-    return pa.table([pa.array(items, pa.int64()), lists], ["item", "counts"])
+def _nth(keys: np.ndarray, above: int, n: int, low: int, bottom: int, top: int) -> int | None:
+    """The n-th largest of `above` keys and these, which are all from `low` to where the others begin; `bottom` if there are fewer, `top` for none; None if it isn't among these."""
+    need = n - above
+    if 1 <= need <= len(keys):
+        return int(np.partition(keys, len(keys) - need)[len(keys) - need])
+    return top if n < 1 else bottom if need >= 1 and low <= bottom else None
 
 
-def _score_counts(held, width: int):
-    """Function of query tokens (item, q, low, high) and tokens (list, v): counts of the scores between those ends."""
+def _items(rows: pa.Table) -> Iterator[tuple[int, Callable[[str], np.ndarray]]]:
+    """Of rows with an item: each item, and a function that gives a column of its rows, joined if these are lists."""
+    rows = rows.sort_by("item")
+    names = rows["item"].to_numpy()
+    ends = np.flatnonzero(np.concatenate((names[1:] != names[:-1], [True]))) + 1 if len(names) else []
+    columns = {}
+    for c in rows.column_names:
+        x = rows[c].combine_chunks()
+        nested = pa.types.is_list(x.type)
+        columns[c] = (x.flatten() if nested else x).to_numpy(), np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy()))) if nested else np.arange(len(x) + 1)
+    for a, b in zip([0, *ends], ends):
+        yield int(names[a]), lambda c, a=a, b=b: columns[c][0][columns[c][1][a] : columns[c][1][b]]
+
+
+def _sampled_floors(lists: int, nearest: int):
+    """Function of query tokens (item, q, met, among) and sampled tokens (list, v): between which keys the one of the last near token lies."""
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return _counts(np.empty(0, np.int64), [])
-        asks, tokens, lists = _vectors(left["q"]), _vectors(right["v"]), right["list"].to_numpy()
-        low, high, out = left["low"].to_numpy(), left["high"].to_numpy(), []
-        for i in range(0, len(asks), 64):
-            some = slice(i, i + 64)
-            out.append(_binned(_millionths(asks[some] @ tokens.T), held.value.met(asks[some])[:, lists], low[some], high[some], width))
-        return _counts(left["item"].to_numpy(), out)
+        items, ranges = left["item"].to_numpy(), []
+        if len(left) and len(right):
+            asks, tokens, at, among = _vectors(left["q"]), _vectors(right["v"]), right["list"].to_numpy(), left["among"].to_numpy()
+            for i in range(0, len(asks), ASKS):
+                unmet = _unmet(left["met"].slice(i, ASKS), lists)
+                keys = asks[i : i + ASKS] @ tokens.T
+                keys += unmet.T[:, at]
+                keys.sort(axis=1)
+                for row, n in zip(keys, among[i : i + ASKS]):
+                    seen = row[np.searchsorted(row, -2.0) :][::-1]
+                    ranges.append(_bracket(np.rint(seen * UNITS), nearest, int(n), -UNITS, UNITS, SPREAD))
+        else:
+            ranges = [(-UNITS, UNITS)] * len(items)
+        low, high = zip(*ranges) if ranges else ((), ())
+        return pa.table([pa.array(items, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["item", "low", "high"])
 
     return tile
 
 
-def _gains(held, docs: int, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a tile, and of each query (a row) and document the exact score and a key that orders candidates: by gain, then by smaller id; -1 for one that isn't found."""
-    right = right.sort_by([("doc_id", "ascending"), ("place", "ascending")])
-    tokens, lists, owner = _vectors(right["v"]), right["list"].to_numpy(), right["doc_id"].to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    asks, query = _tokens_of(left["qs"])
-    floors = left["floors"].combine_chunks().flatten().to_numpy()
-    score, gain, found = (np.zeros((len(left), len(first)), t) for t in (np.float64, np.int64, bool))
-    for i in range(0, len(asks), 256):
-        some = slice(i, i + 256)
-        each = asks[some] @ tokens.T
-        over = np.where(held.value.met(asks[some])[:, lists], _millionths(each) - floors[some, None], -1)
-        over = np.maximum.reduceat(over, first, axis=1)
-        own = query[some]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        score[own[starts]] += np.add.reduceat(np.maximum.reduceat(each, first, axis=1), starts, axis=0)
-        gain[own[starts]] += np.add.reduceat(np.maximum(over, 0), starts, axis=0)
-        found[own[starts]] |= np.maximum.reduceat(over, starts, axis=0) >= 0
-    key = np.where(found, gain * docs + (docs - 1 - right["at"].to_numpy()[first]), -1)
-    return owner[first], np.round(score, 6), key
-
-
-def _gain_counts(held, docs: int, width: int):
-    """Function of queries (item, qs, floors, low, high) and tokens (doc_id, place, at, list, v): counts of the keys of candidates between those ends."""
+def _keys_between(lists: int):
+    """Function of query tokens (item, q, met, low, high) and tokens (list, v): how many met tokens have keys above `high`, and the keys between those ends."""
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return _counts(np.empty(0, np.int64), [])
-        key = _gains(held, docs, left, right)[2]
-        low, high = left["low"].to_numpy(), left["high"].to_numpy()
-        return _counts(left["item"].to_numpy(), [_binned(key[i : i + 64], key[i : i + 64] >= 0, low[i : i + 64], high[i : i + 64], width) for i in range(0, len(key), 64)])
+        items, low, high = (left[c].to_numpy() for c in ("item", "low", "high"))
+        counts, found = [], []
+        if len(left) and len(right):
+            right = right.sort_by("list")
+            asks, tokens, at = _vectors(left["q"]), _vectors(right["v"]), right["list"].to_numpy()
+            for i in range(0, len(asks), ASKS):
+                some = slice(i, i + ASKS)
+                each, unmet = np.ascontiguousarray(asks[some].T), _unmet(left["met"].slice(i, ASKS), lists)
+                least, most, n = (low[some] - 0.75) / UNITS, (high[some] + 0.75) / UNITS, each.shape[1]
+                above, owners, keys = np.zeros(n, np.int64), [], []
+                for j in range(0, len(tokens), CHUNK):
+                    scores = tokens[j : j + CHUNK] @ each
+                    scores += unmet[at[j : j + CHUNK]]
+                    over = scores > most
+                    inside = scores >= least
+                    inside ^= over
+                    above += over.sum(axis=0)
+                    here = np.flatnonzero(inside)
+                    owners.append((here % n).astype(np.int16))
+                    keys.append(scores.ravel()[here])
+                owner, key = np.concatenate(owners), _millionths(np.concatenate(keys))
+                above += np.bincount(owner[key > high[some][owner]], minlength=n)
+                kept = (key >= low[some][owner]) & (key <= high[some][owner])
+                owner, key = owner[kept], key[kept].astype(np.int32)
+                counts.append(above)
+                found += np.split(key[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=n))[:-1])
+        else:
+            items, low = items[:0], low[:0]
+        return pa.table([pa.array(items, pa.int64()), pa.array(low, pa.int64()), pa.array(np.concatenate(counts) if counts else [], pa.int64()), _lists_of(found, pa.int32())], ["item", "low", "above", "keys"])
 
     return tile
 
 
-def _chosen(held, docs: int, k: int | None):
-    """Function of queries (item, qs, floors, low) and tokens (doc_id, place, at, list, v): each query's k best of the candidates whose key is at least `low`, all of them without k."""
+def _floors(nearest: int):
+    """Function of rows (item, low, above, keys): the key of each item's last near token, null if it isn't between the ends."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        found = [(item, _nth(of("keys"), int(of("above").sum()), nearest, int(of("low")[0]), -UNITS, UNITS)) for item, of in _items(rows)]
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["item", "floor"])
+
+    return settle
+
+
+class _Documents:
+    """Tokens of a tile's documents, laid out in chunks in which each document's largest value is found without a loop over documents, unless they are long."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("doc_id")
+        owner = rows["doc_id"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        lengths = np.diff(np.concatenate((starts, [len(owner)])))
+        self.ids, self.at = owner[starts], rows["at"].to_numpy()[starts]
+        tokens, lists = _vectors(rows["v"]), rows["list"].to_numpy()
+        self.chunks, order, i = [], np.argsort(-lengths, kind="stable"), 0
+        while i < len(order):
+            most = int(lengths[order[i]])
+            docs = order[i : i + max(1, CHUNK // most)]
+            i += len(docs)
+            if most <= SHORT:  # first tokens of all, then second ones, and so on
+                parts = [starts[docs[: np.count_nonzero(lengths[docs] > j)]] + j for j in range(most)]
+            else:
+                parts = [np.arange(starts[d], starts[d] + lengths[d]) for d in docs]
+            places = np.concatenate(parts)
+            self.chunks.append((docs, tokens[places], lists[places], list(map(len, parts)), most <= SHORT))
+
+    @staticmethod
+    def best(values: np.ndarray, parts: list[int], short: bool) -> np.ndarray:
+        """A row for each document of a chunk: the largest of its rows."""
+        if not short:
+            return np.stack([x.max(axis=0) for x in np.split(values, np.cumsum(parts)[:-1])])
+        out, done = values[: parts[0]].copy(), parts[0]
+        for n in parts[1:]:
+            np.maximum(out[:n], values[done : done + n], out=out[:n])
+            done += n
+        return out
+
+
+def _gains(lists: int, docs: int, left: pa.Table, held: _Documents):
+    """For some queries (item, qs, mets, floors) at a time, where they begin and, a row for each document and a column for each query, the exact score and a key that orders candidates: by gain, then by smaller id; -1 for one that isn't found."""
+    asks, query = _tokens_of(left["qs"])
+    mets, floors = left["mets"].combine_chunks().flatten(), left["floors"].combine_chunks().flatten().to_numpy()
+    ends = np.searchsorted(query, np.arange(len(left) + 1))
+    begin = 0
+    while begin < len(left):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ASKS, side="right")) - 1)
+        score, gain = (np.zeros((len(held.ids), end - begin)) for _ in range(2))
+        found = np.zeros((len(held.ids), end - begin), bool)
+        for i in range(ends[begin], ends[end], ASKS):
+            some = slice(i, min(i + ASKS, ends[end]))
+            each, unmet, floor = np.ascontiguousarray(asks[some].T), _unmet(mets[some], lists), floors[some]
+            own = query[some]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            columns = own[starts] - begin
+            for chunk, tokens, at, parts, short in held.chunks:
+                values = tokens @ each
+                cell = chunk[:, None], columns
+                score[cell] += np.add.reduceat(held.best(values, parts, short), starts, axis=1)
+                values += unmet[at]
+                over = np.rint(held.best(values, parts, short) * UNITS) - floor
+                found[cell] |= np.maximum.reduceat(over, starts, axis=1) >= 0
+                gain[cell] += np.add.reduceat(np.maximum(over, 0), starts, axis=1)
+        yield begin, np.round(score, 6), np.where(found, gain.astype(np.int64) * docs + (docs - 1 - held.at)[:, None], -1)
+        begin = end
+
+
+def _sampled_keys(lists: int, docs: int, depth: int, among: int, most: int):
+    """Function of queries (item, qs, mets, floors) and sampled documents' tokens (doc_id, at, list, v): between which keys the one of a query's last chosen document lies."""
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        ranges = [(0, most)] * len(left)
         if len(left) and len(right):
-            ids, score, key = _gains(held, docs, left, right)
-            score[key < np.maximum(left["low"].to_numpy(), 0)[:, None]] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # documents ascend
-            best = np.take_along_axis(score, top, 1)
-            found = np.repeat(left["item"].to_numpy(), top.shape[1]), ids[top.ravel()], best.ravel()
-            found = tuple(c[found[2] > -np.inf] for c in found)
-        return pa.table(list(map(pa.array, found)), ["query_id", "doc_id", "score"])
+            for begin, _, key in _gains(lists, docs, left, _Documents(right)):
+                for i, column in enumerate(np.sort(key, axis=0)[::-1].T):
+                    ranges[begin + i] = _bracket(column, depth, among, 0, most, SPREAD)
+        low, high = zip(*ranges) if ranges else ((), ())
+        return pa.table([pa.array(left["item"].to_numpy(), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["item", "low", "high"])
 
     return tile
 
 
-def _narrower(width: int):
-    """Function of items (item, low, high, left: which of the keys from `high` down is wanted) and their counts: the one range of `width` that has it; `low` alone if there are fewer keys."""
+#: What `_chosen` makes of a query and a tile of documents.
+CHOSEN = "item long, low long, above long, keys array<long>, docs array<long>, scores array<double>, of array<long>"
+
+
+def _chosen(lists: int, docs: int, k: int | None):
+    """Function of queries (item, qs, mets, floors, low, high) and tokens (doc_id, at, list, v): how many candidates have keys above `high`, the keys between those ends, and the documents that may be among the k best, all without k."""
 
-    def narrow(items: pa.Table, counts: pa.Table) -> pa.Table:
-        items = items.sort_by("item")
-        names, low, high, left = (items[c].to_numpy() for c in ("item", "low", "high", "left"))
-        total = np.zeros((len(names), BINS), np.int64)
-        if len(counts):
-            np.add.at(total, np.searchsorted(names, counts["item"].to_numpy()), counts["counts"].combine_chunks().flatten().to_numpy().reshape(-1, BINS))
-        upto = total.cumsum(axis=1)
-        at = (upto >= left[:, None]).argmax(axis=1)
-        before = np.take_along_axis(upto - total, at[:, None], 1)[:, 0] if len(names) else left
-        enough = upto[:, -1] >= left
-        high = np.where(enough, high - at * width, low)
-        low = np.where(enough, np.maximum(low, high - width + 1), low)
-        return pa.table([names, low, high, np.where(enough, left - before, 0)], ["item", "low", "high", "left"])
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        items, low, high = (left[c].to_numpy() for c in ("item", "low", "high"))
+        counts, lists_of = [], {c: [] for c in ("keys", "docs", "scores", "of")}
+        if len(left) and len(right):
+            held = _Documents(right)
+            for begin, scores, keys in _gains(lists, docs, left, held):
+                for i, (score, key) in enumerate(zip(scores.T, keys.T), begin):
+                    sure, open_ = np.flatnonzero(key > max(high[i], -1)), np.flatnonzero((key >= max(low[i], 0)) & (key <= high[i]))
+                    counts.append(len(sure))
+                    if k is not None and len(sure) >= k:
+                        last = np.partition(score[sure], len(sure) - k)[len(sure) - k]
+                        sure = sure[score[sure] >= last]
+                        sure = sure[np.argsort(-score[sure], kind="stable")[:k]]  # documents ascend
+                        maybe = np.concatenate((sure, open_[score[open_] >= last]))
+                    else:
+                        maybe = np.concatenate((sure, open_))
+                    for c, x in (("keys", key[open_]), ("docs", held.ids[maybe]), ("scores", score[maybe]), ("of", key[maybe])):
+                        lists_of[c].append(x)
+        else:
+            items, low = items[:0], low[:0]
+        columns = [_lists_of(x, pa.float64() if c == "scores" else pa.int64()) for c, x in lists_of.items()]
+        return pa.table([pa.array(items, pa.int64()), pa.array(low, pa.int64()), pa.array(counts, pa.int64()), *columns], ["item", "low", "above", *lists_of])
+
+    return tile
 
-    return narrow
 
+def _best_chosen(depth: int | None, k: int | None, most: int):
+    """Function of rows of `_chosen`: each query's k best documents among its chosen ones, all of them without k; one without a number if it isn't told who is chosen."""
 
-def _nth_largest(items: DataFrame, low: int, high: int, n: int, tiles: int, counted) -> DataFrame:
-    """item, low: the n-th largest of each item's keys, which lie between `low` and `high`; `low` where there are fewer.
+    def settle(rows: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64)], [pa.array([], pa.int64())], [pa.array([], pa.float64())]
+        for item, of in _items(rows):
+            least = 0 if depth is None else _nth(of("keys"), int(of("above").sum()), depth, int(of("low")[0]), 0, most)
+            docs, scores = pa.array([None], pa.int64()), pa.array([None], pa.float64())
+            if least is not None:
+                chosen = of("of") >= least
+                docs, scores = of("docs")[chosen], of("scores")[chosen]
+                top = np.lexsort((docs, -scores))[:k]
+                docs, scores = pa.array(docs[top]), pa.array(scores[top])
+            for column, values in zip(out, (np.full(len(docs), item), docs, scores)):
+                column.append(values)
+        return pa.table([pa.array(np.concatenate(out[0])), pa.chunked_array(out[1]), pa.chunked_array(out[2])], ["item", "doc_id", "score"])
 
-    `counted` gives a table of (item, counts) for (item, low, high, left) and a
-    width, as many as `tiles` rows for an item.
-    """
-    ranges = items.select("item", F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"), F.lit(n).cast("long").alias("left"))
-    parts = max(1, -(-items.count() * tiles * BINS // COUNTS))
-    part = F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")
-    span = high - low + 1
-    while span > 1:
-        span = -(-span // BINS)
-        found = ranges.groupBy(part).cogroup(counted(ranges, span).groupBy(part)).applyInArrow(_narrower(span), "item long, low long, high long, left long")
-        ranges = S.stored(found, "ranges")
-    return ranges.select("item", "low")
+    return settle
 
 
 @dataclass(frozen=True)
@@ -309,36 +442,75 @@ class TokenIndex:
         return each.join(starts, "_part").select("doc_id", "tokens", (F.col("_m") - F.shiftleft("_part", 33) + F.col("_before")).alias("at"))
 
     def _near(self, usable: DataFrame, sizes: DataFrame, k: int | None, probes: int | None, nearest: int, depth: int | None) -> DataFrame:
-        """query_id, doc_id, score: the k best by exact score, or all, of each query's candidates among the documents that aren't long."""
+        """query_id, doc_id, score: the k best by exact score, or all, of each query's candidates among the documents that aren't long.
+
+        Samples tell within which range of keys a token's last near one and a
+        query's last chosen document lie; a pass over all then counts the keys
+        above it and keeps those within, of which the right one is picked. What
+        isn't found within is looked for among all keys.
+        """
         index = IvfIndex(self.spark, f"{self.path}/index")
         _, unit = index.centroids()
-        counts = dict(index.lists().groupBy("list").count().collect())  # MOST_LISTS at most
-        lists = np.array([counts.get(i, 0) for i in range(len(unit))], np.int64)
-        held = self.spark.sparkContext.broadcast(_Probes(unit, lists, len(unit) if probes is None else min(probes, len(unit)), nearest))
-        n_queries, n_tokens, docs = usable.count(), int(lists.sum()), max(1, sizes.count())
-        q_tiles, c_tiles, v_tiles = max(1, -(-n_queries // QUERY_TILE)), max(1, -(-n_tokens // COUNT_TILE)), max(1, -(-n_tokens // DOC_TILE))
+        every = index.lists()
+        counts = dict(every.groupBy("list").count().collect())  # MOST_LISTS at most
+        lists, in_lists = len(unit), np.array([counts.get(i, 0) for i in range(len(unit))], np.int64)
+        if not lists:
+            return self.spark.createDataFrame([], "query_id long, doc_id long, score double")
+        held = self.spark.sparkContext.broadcast((unit, in_lists))
+        n_queries, n_tokens, docs, cores = usable.count(), int(in_lists.sum()), max(1, sizes.count()), self.spark.sparkContext.defaultParallelism
+        short = sizes.where(F.col("tokens") <= LONG)
+        n_short = short.count()
         tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
         split = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
         met = lambda left, right: left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+        fewer = lambda n, tile: max(1, -(-n // tile), min(cores, n // ASKS))
+        q_tiles, s_tiles = max(1, -(-n_queries // (4 * QUERY_TILE))), fewer(n_queries, QUERY_TILE // 2)
+        v_tiles = max(-(-n_tokens // COUNT_TILE), min(-(-2 * cores // q_tiles), n_tokens // MANY), 1)
+        zero = F.lit(0).cast("long")
+        wide = lambda low, high: (F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+
+        def settled(ranges: DataFrame, items: int, others: int, sample: int, ends: tuple[int, int], passed, settle, kinds: str) -> DataFrame:
+            """What `settle` makes of each item's rows of `passed`; items for which it finds nothing go through it again with all keys."""
+            found, done = kinds.split()[2], []
+            for share in (SPREAD * (sample**0.5 + 2) / sample if sample else 1, 1):
+                parts = max(1, -(-int(items * others * min(1, share)) // COUNTS))
+                done.append(S.stored(passed(ranges).groupBy(F.pmod(F.xxhash64("item"), F.lit(parts))).applyInArrow(settle, kinds), found))
+                missed = done[-1].where(F.col(found).isNull()).select("item")
+                items = missed.count()
+                if not items:
+                    break
+                ranges = missed.select("item", *wide(*ends))
+            return reduce(DataFrame.unionByName, done).where(F.col(found).isNotNull())
+
+        asked = usable.withColumn("item", F.monotonically_increasing_id())
+        asked = S.stored(asked.mapInArrow(_met(held, lists if probes is None else min(probes, lists), nearest), "query_id long, place long, q array<double>, item long, met binary, among long"), "query-tokens")
+        sample = min(SAMPLE, n_tokens // 4) if n_tokens > DIRECT else 0
+        if sample:
+            some = every.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_tokens)) < sample).select(split(s_tiles).alias("i"), zero.alias("j"), "list", "v")
+            ranges = met(asked.select(tile("item", s_tiles).alias("i"), zero.alias("j"), "item", "q", "met", "among"), some).applyInArrow(_sampled_floors(lists, nearest), "item long, low long, high long")
+            ranges = S.stored(ranges, "ranges")
+        else:
+            ranges = asked.select("item", *wide(-UNITS, UNITS))
+        tokens = every.select(split(q_tiles).alias("i"), tile("id", v_tiles).alias("j"), "list", "v")
+        scores = lambda ranges: met(asked.select("item", "q", "met").join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(v_tiles).alias("j"), "item", "q", "met", "low", "high"), tokens).applyInArrow(_keys_between(lists), "item long, low long, above long, keys array<int>")
+        floors = settled(ranges, n_queries, n_tokens, sample, (-UNITS, UNITS), scores, _floors(nearest), "item long, floor long")
 
-        asked = S.stored(usable.withColumn("item", F.monotonically_increasing_id()), "query-tokens")
-        tokens = index.lists().select(split(q_tiles).alias("i"), tile("id", c_tiles).alias("j"), "list", "v")
-        scores = lambda ranges, width: met(asked.select("item", "q").join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(c_tiles).alias("j"), "item", "q", "low", "high"), tokens).applyInArrow(_score_counts(held, width), "item long, counts array<long>")
-        floors = _nth_largest(asked, -UNITS, UNITS, nearest, c_tiles, scores)
-
-        both = F.array_sort(F.collect_list(F.struct("place", "q", "low")))
+        both = F.array_sort(F.collect_list(F.struct("place", "q", "floor", "met")))
         queries = asked.join(floors, "item").groupBy(F.col("query_id").alias("item")).agg(both.alias("t"), F.count("*").alias("n"))
-        queries = S.stored(queries.select("item", F.transform("t", lambda x: x["q"]).alias("qs"), F.transform("t", lambda x: x["low"]).alias("floors"), "n"), "queries")
-        rows = index.lists().select("doc_id", F.col("id").alias("place"), "list", "v").join(sizes.where(F.col("tokens") <= LONG).select("doc_id", "at"), "doc_id")
-        rows = rows.select(split(q_tiles).alias("i"), tile("doc_id", v_tiles).alias("j"), "doc_id", "place", "at", "list", "v")
-        dealt = lambda ranges: queries.join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(v_tiles).alias("j"), "item", "qs", "floors", *(c for c in ("low", "high") if c in ranges.columns))
-        if depth is None:
-            least = queries.select("item", F.lit(0).cast("long").alias("low"))
+        queries = S.stored(queries.select("item", F.transform("t", lambda x: x["q"]).alias("qs"), F.transform("t", lambda x: x["met"]).alias("mets"), F.transform("t", lambda x: x["floor"]).alias("floors"), "n"), "queries")
+        asking, longest = queries.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+        most = (2 * UNITS * longest + 1) * docs - 1
+        rows = every.select("doc_id", "list", "v").join(short.select("doc_id", "at"), "doc_id")
+        sample = min(SAMPLE_DOCS, n_short // 4) if depth is not None and n_short > DIRECT // 8 else 0
+        if sample:
+            some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n_short)) < sample).select(split(s_tiles).alias("i"), zero.alias("j"), "doc_id", "at", "list", "v")
+            ranges = met(queries.select(tile("item", s_tiles).alias("i"), zero.alias("j"), "item", "qs", "mets", "floors"), some).applyInArrow(_sampled_keys(lists, docs, depth, n_short, most), "item long, low long, high long")
+            ranges = S.stored(ranges, "ranges")
         else:
-            most = (2 * UNITS * (queries.agg(F.max("n")).first()[0] or 0) + 1) * docs - 1
-            gains = lambda ranges, width: met(dealt(ranges), rows).applyInArrow(_gain_counts(held, docs, width), "item long, counts array<long>")
-            least = _nth_largest(queries, 0, most, depth, v_tiles, gains)
-        return met(dealt(least), rows).applyInArrow(_chosen(held, docs, k), "query_id long, doc_id long, score double")
+            ranges = queries.select("item", *(wide(0, -1) if depth is None else wide(0, most)))
+        tokens = rows.select(split(q_tiles).alias("i"), tile("doc_id", v_tiles).alias("j"), "doc_id", "at", "list", "v")
+        chosen = lambda ranges: met(queries.join(ranges, "item").select(tile("item", q_tiles).alias("i"), split(v_tiles).alias("j"), "item", "qs", "mets", "floors", "low", "high"), tokens).applyInArrow(_chosen(lists, docs, k), CHOSEN)
+        return settled(ranges, asking, n_short, sample, (0, most), chosen, _best_chosen(depth, k, most), "item long, doc_id long, score double").withColumnRenamed("item", "query_id")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, nearest: int | None = None, depth: int | None = None) -> DataFrame:
         """query_id, doc_id, score, rank: the k best documents of each query (query_id, place, q), ties to the smaller doc_id.
