@@ -162,7 +162,7 @@ class WordBpe:
         raw = lists.flatten()
         pieces = pc.ascii_lower(raw)
         for mark in self.marks:
-            if pc.any(pc.match_substring(texts, mark)).as_py():  # in whole texts, which is cheaper than in each piece, and rare
+            if pc.any(pc.match_substring(texts, mark, ignore_case=True)).as_py():  # in whole texts, which is cheaper than in each piece, and rare; one in capitals is none, but its piece would be once lower-cased
                 pieces = pc.if_else(pc.match_substring(pieces, mark), raw, pieces)
         ids, lengths = gather(pieces, self.memo)
         offsets = lists.offsets.to_numpy(zero_copy_only=False)
